@@ -32,6 +32,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.llm.common import table, text_or_empty, written
 from textloom.llm.ngram_jaccard import grouped
@@ -79,8 +80,10 @@ def _row_key(text: Column) -> Column:
 
 
 def _documents(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """docs without the text under its name, with d and r, which tell documents apart, and t, the text."""
     t = text_or_empty(text)
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("d"), _row_key(t).alias("r"), F.col(key).alias("__id"), t.alias("t"))
+    names = {"d": F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))), "r": _row_key(t), "t": t}
+    return docs.select(F.struct(*[c for c in docs.columns if c != text]).alias("own"), *[c.alias(n) for n, c in names.items()])
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, together: int = TOGETHER) -> DataFrame:
@@ -155,24 +158,25 @@ def _without(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
 
 
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """(key, raw, n_bytes, n_removed, n_spans) for each document, raw: its remaining bytes."""
-    docs = _documents(docs, key, text)
+    """docs with raw, the text's remaining bytes, in the text's place, and with n_bytes, n_removed and n_spans."""
+    docs = _documents(docs.drop("raw", "n_bytes", "n_removed", "n_spans"), key, text)
     spans = repeated_windows(docs, length).groupBy("d", "r").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for k, t, spans in zip(b["__id"], b["t"], b["spans"]):
+            for t, spans in zip(b["t"], b["spans"]):
                 raw, n = t.encode("utf-8", "surrogatepass"), 0
                 size = len(raw)
                 if spans is not None:
                     a, e = runs(np.array([x["first"] for x in spans]), np.array([x["last"] for x in spans]), length)
                     raw, n = _without(raw, a, e), len(a)
-                rows.append((k, raw, size, size - len(raw), n))
-            yield pd.DataFrame(rows, columns=["__id", "raw", "n_bytes", "n_removed", "n_spans"]).astype({"__id": "Int64"})
+                rows.append((raw, size, size - len(raw), n))
+            yield b[["own"]].assign(**dict(zip(["raw", "n_bytes", "n_removed", "n_spans"], map(list, zip(*rows)) if rows else [[]] * 4)))
 
-    out = docs.join(spans, ["d", "r"], "left").select("__id", "t", "spans")
-    return out.mapInPandas(cut, "__id long, raw binary, n_bytes long, n_removed long, n_spans long").withColumnRenamed("__id", key)
+    schema = T.StructType([docs.schema["own"], *T.StructType.fromDDL("raw binary, n_bytes long, n_removed long, n_spans long").fields])
+    out = docs.join(spans, ["d", "r"], "left").select("own", "t", "spans").mapInPandas(cut, schema)
+    return out.select("own.*", "raw", "n_bytes", "n_removed", "n_spans")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
