@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Lines that navigation leaves behind.
 NAVIGATION = r"(?iu)^\s*(?:\d+|page\s+\d+(?:\s+of\s+\d+)?|стр\.?\s*\d+|страница\s+\d+|оглавление|содержание|www\.\S+|https?://\S+)\s*$|^\s*(?:copyright|all rights reserved)(?:[^\p{L}\p{N}_]|$)"
@@ -22,7 +23,7 @@ def clean_spaces(t: Column) -> Column:
     return F.regexp_replace(t, r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """NRM-02, first half: NFKC, which no built-in function has."""
     for b in batches:
