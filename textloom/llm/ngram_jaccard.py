@@ -217,8 +217,8 @@ def links(docs: DataFrame, nodes: DataFrame, leaves: DataFrame, key: str, text:
         return df.repartition(*GROUP).sortWithinPartitions(*GROUP, "node")
 
     picked = written(sort(rows).mapInPandas(likely_rows, "leaf long, one int, two int, own int, node long"), "likely")
-    texts = docs.select(F.coalesce(F.col(key).cast("long"), F.xxhash64(text)).alias("node"), text_or_empty(text).alias("t")).join(picked.select("node").distinct(), "node", "left_semi")
-    full = picked.join(nodes.select("node", "n", "tokens"), "node").join(of, "node").join(texts, "node")
+    texts = docs.select(F.coalesce(F.col(key).cast("long"), F.xxhash64(text)).alias("node"), text_or_empty(text).alias("t")).join(picked.select("node").distinct().hint("merge"), "node", "left_semi")
+    full = picked.join(nodes.select("node", "n", "tokens"), "node").join(of, "node").join(texts.hint("merge"), "node")
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Words()
