@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 import os
 import re
 
@@ -25,7 +26,7 @@ class BytePieces:
     encoded once and kept. Other texts are encoded whole.
     """
 
-    def __init__(self, path: str, keep: int = 2_000_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.eos = len(ranks)
@@ -44,3 +45,9 @@ class BytePieces:
         first, *rest = text.split(" ")
         known, part = self._parts.get, self._part
         return b"".join([known(p) or part(p) for p in [first, *map(" ".__add__, rest)] if p])
+
+
+@functools.lru_cache(maxsize=2)
+def byte_pieces(path: str) -> BytePieces:
+    """One for each worker, whose later tasks find the parts that earlier ones met."""
+    return BytePieces(path)

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.bpe_words import TOKENIZERS, BytePieces
+from textloom.llm.bpe_words import TOKENIZERS, byte_pieces
 from textloom.llm.common import shared_dir, table, text_or_empty, written
 
 LENGTH, PER_SHARD, SEED, ROUNDS = 1024, 2048, 20240101, 6
@@ -58,7 +58,7 @@ def permute(index: np.ndarray, n: int, seed: int = SEED) -> np.ndarray:
 
 def _sequences(batches: Iterator[pd.DataFrame], path: str, length: int, counting: bool) -> Iterator[tuple[bytes, list, int] | int]:
     """(tokens, ids of its documents, tokens before the filling) of each sequence; or once their number."""
-    coder, size = BytePieces(path), 2 * length
+    coder, size = byte_pieces(path), 2 * length
     end = np.uint16(coder.eos).tobytes()
     if counting:
         yield -(-sum(len(coder.encode(t)) + 2 for b in batches for t in b["t"]) // size)
