@@ -15,7 +15,7 @@ the one at its last (state out). So:
 Documents of at most ``chunk`` characters are one chunk between two certain states, which is the library's work
 alone; words between single spaces recur and are kept. Decoding joins the bytes of the pieces.
 
-Defined cases: a null or empty text has no ids, and no ids decode to an empty text; characters outside the
+Defined cases: of unigram paths with equal scores any may be taken where a chunk is cut; a null or empty text has no ids, and no ids decode to an empty text; characters outside the
 vocabulary are bytes if the model has byte pieces, else the unknown piece; equal rows are encoded each; columns
 beyond the text are kept, ids is replaced if it is there; an empty table gives an empty result.
 """
@@ -116,6 +116,20 @@ class Pieces:
             parts[-k : 2 - k] = [parts[-k] + parts[1 - k]]
         return parts
 
+    def made(self, piece: str) -> bool:
+        """Whether BPE makes the piece of its own characters."""
+        out = self._valid.get((piece, ""))
+        if out is None:
+            out = self._valid[piece, ""] = self.merged(piece) == [piece]
+        return out
+
+    def certain(self, s: str, a: int, b: int) -> tuple[int | None, int | None]:
+        """The first and the last place in [a, b] where no piece can lie across; the first one before a space, if there is any, as the library starts there."""
+        at = [i for i in (*range(a, min(b, a + 4 * self.longest) + 1), *range(max(a, b - 4 * self.longest), b + 1)) if self.hard(s, i)] or [i for i in range(a, b + 1) if self.hard(s, i)]
+        if not at:
+            return None, None
+        return next((i for i in sorted(at) if s[i : i + 1] == SPACE), min(at)), max(at)
+
     def follows(self, a: str, b: str) -> bool:
         """Whether piece b may stand behind piece a."""
         if not self.bpe or a[-1] + b[0] not in self.inner:
@@ -148,6 +162,8 @@ class Pieces:
                     score = self.unknown_score
                 if self.bpe:
                     score = 0.0
+                    if q > p + 1 and not self.made(piece):
+                        continue
                 found = None
                 for n in by_end[p]:
                     if (n == root and state == CLEAN) or self.follows(s[n[0] : n[1]], piece):
@@ -173,12 +189,11 @@ class Pieces:
 
     def transfer(self, s: str, a: int, b: int) -> dict[State, dict[State, float]]:
         """The matrix of the chunk [a, b) of the string s, which has the neighbours' characters around it."""
-        first = next((i for i in range(a, b + 1) if self.hard(s, i)), None)
-        last = next((i for i in range(b, a - 1, -1) if self.hard(s, i)), None)
+        first, last = self.certain(s, a, b)
 
         def leaves(at: int, state: State, to: int) -> dict[State, float]:
             if at + state[1] >= to and state != CLEAN:
-                return {(at + state[0] - to, at + state[1] - to, state[2]): 0.0}
+                return {CLEAN: 0.0} if self.hard(s, to) else {(at + state[0] - to, at + state[1] - to, state[2]): 0.0}
             ends = self.paths(s, at, state, to)[1]
             if self.hard(s, to):
                 return {CLEAN: max(v[0] for n, v in ends.items() if n[1] == to)} if any(n[1] == to for n in ends) else {}
@@ -206,10 +221,9 @@ class Pieces:
 
     def chunk_ids(self, s: str, a: int, x: State, b: int, y: State) -> list[int]:
         """trace(), with the library between the first and the last place where no piece lies across."""
-        first = next((i for i in range(a, b + 1) if self.hard(s, i)), None)
+        first, last = self.certain(s, a, b)
         if first is None:
             return self.trace(s, a, x, b, y)
-        last = next(i for i in range(b, a - 1, -1) if self.hard(s, i))
         left = [] if first == a else self.trace(s, a, x, first, CLEAN)
         right = [] if last == b else self.trace(s, last, CLEAN, b, y)
         return left + (self.encode_escaped(s[first:last]) if first < last else []) + right
