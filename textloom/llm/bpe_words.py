@@ -26,7 +26,7 @@ class BytePieces:
     encoded once and kept. Other texts are encoded whole.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 500_000):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.eos = len(ranks)

@@ -16,7 +16,17 @@ SPACES = " \t\n\x0b\x0c\r"
 _own: dict[str, str] = {}
 
 
+def bounded_batches(spark: SparkSession, rows: int = 500, size: int = 16 << 20) -> None:
+    """Rows are whole texts here: Python workers get at most that many rows and about that many bytes at once."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        name = f"spark.sql.execution.arrow.{name}"
+        have = spark.conf.get(name).lower().removesuffix("b")
+        if not have.isdigit() or not 0 < int(have) <= most:
+            spark.conf.set(name, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,6 +41,7 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession, label)
+    bounded_batches(spark)
     df.write.parquet(path)
     return spark.read.parquet(path)
 

@@ -45,10 +45,10 @@ _B = np.array([xxhash.xxh3_64_intdigest(b"b", seed=k) for k in range(PLACES)], n
 
 
 class Words(dict):
-    """64-bit hashes of words, kept while there are at most a million."""
+    """64-bit hashes of words, kept while there are at most 300,000."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 300_000:
             self.clear()
         out = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return out

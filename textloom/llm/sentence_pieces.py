@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2
 
 from textloom.llm.bpe_words import TOKENIZERS
-from textloom.llm.common import table, text_or_empty, written
+from textloom.llm.common import bounded_batches, table, text_or_empty, written
 
 SPACE = "▁"
 CHUNK = 32_768
@@ -48,7 +48,7 @@ CLEAN: State = (0, 0, -1)
 class Pieces:
     """A model file: the library's processor and what the lattice needs."""
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 200_000):
         proto = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as f:
             raw = f.read()
@@ -136,7 +136,7 @@ class Pieces:
             return True
         out = self._valid.get((a, b))
         if out is None:
-            if len(self._valid) > 1_000_000:
+            if len(self._valid) > 100_000:
                 self._valid.clear()
             out = self._valid[a, b] = self.merged(a + b) == [a, b]
         return out
@@ -269,6 +269,7 @@ def _unpacked(raw: str) -> dict:
 
 def encode(docs: DataFrame, *, path: str, text: str = "text", ids: str = "ids", chunk: int = CHUNK) -> DataFrame:
     """docs with ids array<int> of the text, which itself is dropped."""
+    bounded_batches(docs.sparkSession)
     docs = docs.drop(ids)
     kept = [f for f in docs.schema.fields if f.name != text]
     schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType()))])
