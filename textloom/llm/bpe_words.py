@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import functools
 import os
-import re
 
 import numpy as np
 import tiktoken
@@ -15,36 +14,47 @@ TOKENIZERS = os.environ.get("TEXTLOOM_TOKENIZERS", "/opt/tokenizers")
 #: The split pattern that the vocabulary was made with: fixed, as token ids depend on it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_TWO_SPACES = re.compile(r"\s\s")
-
-
 class BytePieces:
     """Token ids of texts as little-endian uint16 bytes.
 
     A piece of the pattern holds a space only in front, or as part of a run of white space; so a text in which no
-    two white-space characters stand together may be cut before each space, and the parts, which recur, are
-    encoded once and kept. Other texts are encoded whole.
+    other white space stands beside a space may be cut before each space, and the parts, which recur, are encoded
+    once and kept. New parts of a text are encoded in one call, behind one another, and told apart by the
+    bytes of their tokens. Other texts are encoded whole.
     """
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.eos = len(ranks)
+        self._bytes = np.zeros(len(ranks), np.int64)
+        self._bytes[list(ranks.values())] = list(map(len, ranks))
         self._encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._keep, self._parts = keep, {}
 
-    def _part(self, part: str) -> bytes:
-        if len(self._parts) >= self._keep:
+    def _learn(self, parts: list[str]) -> None:
+        if len(self._parts) + len(parts) > self._keep:
             self._parts.clear()
-        out = self._parts[part] = np.array(self._encode(part), "<u2").tobytes()
-        return out
+        ids = np.array(self._encode(" " + " ".join(parts)), "<u2")
+        ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) + 1 for p in parts])
+        cuts = np.searchsorted(np.cumsum(self._bytes[ids]), ends) + 1
+        raw, at = ids.tobytes(), 0
+        for p, c in zip(parts, (2 * cuts).tolist()):
+            self._parts[p] = raw[at:c]
+            at = c
 
     def encode(self, text: str) -> bytes:
-        if _TWO_SPACES.search(text):
-            return np.array(self._encode(text), "<u2").tobytes()
         first, *rest = text.split(" ")
-        known, part = self._parts.get, self._part
-        return b"".join([known(p) or part(p) for p in [first, *map(" ".__add__, rest)] if p])
+        known = self._parts
+        new = {p for p in rest if p not in known}
+        if first and first == first.rstrip() and all(p and p == p.strip() for p in new):
+            if new:
+                self._learn(list(new))
+            try:
+                return np.array(self._encode(first), "<u2").tobytes() + b"".join(map(known.__getitem__, rest))
+            except KeyError:  # room was made for the new parts
+                pass
+        return np.array(self._encode(text), "<u2").tobytes()
 
 
 @functools.lru_cache(maxsize=2)
