@@ -32,29 +32,29 @@ class BytePieces:
         self._encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._keep, self._parts = keep, {}
 
-    def _learn(self, parts: list[str]) -> None:
-        if len(self._parts) + len(parts) > self._keep:
-            self._parts.clear()
+    def _learn(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of new parts, kept while there is room: what recurs often is met early."""
         ids = np.array(self._encode(" " + " ".join(parts)), "<u2")
         ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) + 1 for p in parts])
         cuts = np.searchsorted(np.cumsum(self._bytes[ids]), ends) + 1
-        raw, at = ids.tobytes(), 0
+        raw, at, own = ids.tobytes(), 0, {}
         for p, c in zip(parts, (2 * cuts).tolist()):
-            self._parts[p] = raw[at:c]
+            own[p] = raw[at:c]
             at = c
+        if len(self._parts) + len(own) <= self._keep:
+            self._parts.update(own)
+            return self._parts
+        return own
 
     def encode(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         known = self._parts
         new = {p for p in rest if p not in known}
-        if first and first == first.rstrip() and all(p and p == p.strip() for p in new):
-            if new:
-                self._learn(list(new))
-            try:
-                return np.array(self._encode(first), "<u2").tobytes() + b"".join(map(known.__getitem__, rest))
-            except KeyError:  # room was made for the new parts
-                pass
-        return np.array(self._encode(text), "<u2").tobytes()
+        if not first or first != first.rstrip() or not all(p and p == p.strip() for p in new):
+            return np.array(self._encode(text), "<u2").tobytes()
+        own = self._learn(list(new)) if new else known
+        ids = map(known.__getitem__, rest) if own is known else [known[p] if p in known else own[p] for p in rest]
+        return np.array(self._encode(first), "<u2").tobytes() + b"".join(ids)
 
 
 @functools.lru_cache(maxsize=2)
