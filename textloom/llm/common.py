@@ -38,11 +38,11 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+def written(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors. options: of the writer."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession, label)
     bounded_batches(spark)
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     return spark.read.parquet(path)
 
 

@@ -1,18 +1,16 @@
 """Training-order materialisation: token sequences in fixed-stride shards, in the order of a keyed permutation.
 
-1. Documents are encoded, ended with an end-of-text id and packed, one behind the other within a task, to sequences
-   of equal length; the last sequence of a task is filled up with end-of-text ids.
-2. A first pass counts the sequences of each task, so sequence i of task t has the index offset[t] + i below the
-   whole number N. The second pass checks that it makes as many as were counted.
+1. Documents are encoded once, ended with an end-of-text id and packed, one behind the other within a task, to
+   sequences of equal length; the last sequence of a task is filled up with end-of-text ids. Sequences are written as
+   a table with the task's number and their place in it, so an unstable order of the input does no harm.
+2. That table's counts give each task an offset, so sequence i of task t has the index offset[t] + i below the whole
+   number N.
 3. The slot of an index is its image under a Feistel permutation of the next power of two, keyed by the seed, applied
    again while the image is N or more (cycle-walking): a permutation of 0 .. N - 1, computed where the row is.
-4. Slots are dealt by ranges of ``per_shard``; a task writes each of its shards as per_shard * length uint16 numbers
-   in slot order, so slot s lies at s % per_shard * stride of shard s // per_shard, and a reader may start at any
-   slot. A shard appears under its name only when it is whole; shards that are there with the right size are not
-   written again.
-
-The encoded text is never stored but in the shards. Its rows must come in the same order each time, as they do from
-a scan; pass a written table otherwise.
+4. Slots are dealt by ranges, which are known beforehand: a task gets adjacent shards and writes each of them as
+   per_shard * length uint16 numbers in slot order, so slot s lies at s % per_shard * stride of shard s // per_shard,
+   and a reader may start at any slot. A shard appears under its name only when it is whole; shards that are there
+   with the right size are not written again.
 
 Defined cases: null and empty texts give a lone end-of-text id; texts of any length run over as many sequences as
 they need; equal rows are written each; a null id is noted as null; an empty table gives no shard and an empty
@@ -21,6 +19,7 @@ result; columns beyond id and text are not read.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -56,13 +55,10 @@ def permute(index: np.ndarray, n: int, seed: int = SEED) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def _sequences(batches: Iterator[pd.DataFrame], path: str, length: int, counting: bool) -> Iterator[tuple[bytes, list, int] | int]:
-    """(tokens, ids of its documents, tokens before the filling) of each sequence; or once their number."""
+def _sequences(batches: Iterator[pd.DataFrame], path: str, length: int) -> Iterator[tuple[bytes, list, int]]:
+    """(tokens, ids of its documents, tokens before the filling) of each sequence."""
     coder, size = byte_pieces(path), 2 * length
     end = np.uint16(coder.eos).tobytes()
-    if counting:
-        yield -(-sum(len(coder.encode(t)) + 2 for b in batches for t in b["t"]) // size)
-        return
     rest, owners = b"", []
     for b in batches:
         for k, t in zip(b["k"], b["t"]):
@@ -83,34 +79,22 @@ def write_shards(docs: DataFrame, path: str, *, tokenizer: str, key: str = "doc_
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("k"), text_or_empty(text).alias("t"))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = next(_sequences(batches, tokenizer, length, True))
-        yield pd.DataFrame({"task": [TaskContext.get().partitionId()], "n": [n]})
-
-    counts = sorted(docs.mapInPandas(count, "task int, n long").collect())  # one pair of numbers for each task
-    n, starts = 0, {}
-    for r in counts:
-        starts[r["task"]] = (n, r["n"])
-        n += r["n"]
-
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        start, want = starts[TaskContext.get().partitionId()]
-        rows, made = [], 0
-
-        def flush() -> pd.DataFrame:
-            slots = permute(np.arange(start + made - len(rows), start + made), n, seed)
-            return pd.DataFrame({"shard": slots // per_shard, "slot": slots, "tokens": [r[0] for r in rows], "doc_ids": [r[1] for r in rows], "n_tokens": [r[2] for r in rows]})
-
-        for r in _sequences(batches, tokenizer, length, False):
-            rows.append(r)
-            made += 1
-            if len(rows) == 1024:
-                yield flush()
-                rows = []
-        if made != want:
-            raise RuntimeError(f"{made} sequences where {want} were counted: the input's order isn't stable, pass a written table")
-        if rows:
-            yield flush()
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, at, found = TaskContext.get().partitionId(), 0, _sequences(batches, tokenizer, length)
+        while rows := list(itertools.islice(found, 1024)):
+            yield pd.DataFrame({"task": task, "i": np.arange(at, at + len(rows)), "tokens": [r[0] for r in rows], "doc_ids": [r[1] for r in rows], "n_tokens": [r[2] for r in rows]})
+            at += len(rows)
+
+    packed = written(docs.mapInPandas(pack, "task int, i long, tokens binary, doc_ids array<long>, n_tokens int"), "sequences", compression="zstd")
+    counts = packed.groupBy("task").count().collect()  # one pair of numbers for each task
+    n, starts = 0, np.zeros(max((r["task"] for r in counts), default=0) + 1, np.int64)
+    for r in sorted(counts):
+        starts[r["task"]] = n
+        n += r["count"]
+
+    @F.pandas_udf("long")
+    def slot_of(task: pd.Series, i: pd.Series) -> pd.Series:
+        return pd.Series(permute(starts[task.to_numpy()] + i.to_numpy(), n, seed))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = fs.FileSystem.from_uri(path)
@@ -137,8 +121,10 @@ def write_shards(docs: DataFrame, path: str, *, tokenizer: str, key: str = "doc_
         if parts:
             close()
 
-    schema = "shard long, slot long, tokens binary, doc_ids array<long>, n_tokens int"
-    rows = docs.mapInPandas(make, schema).repartition("shard").sortWithinPartitions("shard", "slot")
+    shards = max(1, -(-n // per_shard))
+    tasks = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = packed.withColumn("slot", slot_of("task", "i")).withColumn("shard", F.floor(F.col("slot") / per_shard)).select("shard", "slot", "tokens", "doc_ids", "n_tokens")
+    rows = rows.repartitionById(tasks, F.floor(F.col("shard") * tasks / shards).cast("int")).sortWithinPartitions("slot")
     return written(rows.mapInPandas(write, "shard long, slot long, doc_ids array<long>, n_tokens int"), "shard-index")
 
 
