@@ -42,7 +42,7 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors. options: of the writer."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession, label)
     bounded_batches(spark)
-    df.write.parquet(path, **options)
+    df.write.options(**options).parquet(path)
     return spark.read.parquet(path)
 
 

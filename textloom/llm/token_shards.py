@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,8 @@ from textloom.llm.bpe_words import TOKENIZERS, byte_pieces
 from textloom.llm.common import shared_dir, table, text_or_empty, written
 
 LENGTH, PER_SHARD, SEED, ROUNDS = 1024, 2048, 20240101, 6
+#: How the table of sequences is written: it is the largest scratch table, read once.
+PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -85,7 +88,7 @@ def write_shards(docs: DataFrame, path: str, *, tokenizer: str, key: str = "doc_
             yield pd.DataFrame({"task": task, "i": np.arange(at, at + len(rows)), "tokens": [r[0] for r in rows], "doc_ids": [r[1] for r in rows], "n_tokens": [r[2] for r in rows]})
             at += len(rows)
 
-    packed = written(docs.mapInPandas(pack, "task int, i long, tokens binary, doc_ids array<long>, n_tokens int"), "sequences", compression="zstd")
+    packed = written(docs.mapInPandas(pack, "task int, i long, tokens binary, doc_ids array<long>, n_tokens int"), "sequences", **PACKED)
     counts = packed.groupBy("task").count().collect()  # one pair of numbers for each task
     n, starts = 0, np.zeros(max((r["task"] for r in counts), default=0) + 1, np.int64)
     for r in sorted(counts):
@@ -96,6 +99,10 @@ def write_shards(docs: DataFrame, path: str, *, tokenizer: str, key: str = "doc_
     def slot_of(task: pd.Series, i: pd.Series) -> pd.Series:
         return pd.Series(permute(starts[task.to_numpy()] + i.to_numpy(), n, seed))
 
+    @F.pandas_udf("binary")
+    def small(tokens: pd.Series) -> pd.Series:
+        return tokens.map(lambda t: pa.compress(t, codec="zstd", asbytes=True))
+
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = fs.FileSystem.from_uri(path)
         store.create_dir(root)
@@ -116,14 +123,14 @@ def write_shards(docs: DataFrame, path: str, *, tokenizer: str, key: str = "doc_
                     if parts:
                         close()
                     shard, parts = s, []
-                parts.append(t)
+                parts.append(pa.decompress(t, 2 * length, codec="zstd", asbytes=True))
             yield b.drop(columns="tokens")
         if parts:
             close()
 
     shards = max(1, -(-n // per_shard))
     tasks = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = packed.withColumn("slot", slot_of("task", "i")).withColumn("shard", F.floor(F.col("slot") / per_shard)).select("shard", "slot", "tokens", "doc_ids", "n_tokens")
+    rows = packed.withColumn("slot", slot_of("task", "i")).withColumn("shard", F.floor(F.col("slot") / per_shard)).select("shard", "slot", small("tokens").alias("tokens"), "doc_ids", "n_tokens")
     rows = rows.repartitionById(tasks, F.floor(F.col("shard") * tasks / shards).cast("int")).sortWithinPartitions("slot")
     return written(rows.mapInPandas(write, "shard long, slot long, doc_ids array<long>, n_tokens int"), "shard-index")
 
