@@ -39,9 +39,9 @@ def rates(df: DataFrame, source: str, size: Column, weight: Column | None = None
     """One row for each source: rate, parts and the distribution's table. weight: of a source, from ``size`` and ``source``; by default the root of its size."""
     by = df.groupBy(F.col(source).alias("__source")).agg(F.sum(size).alias("size"))
     by = by.withColumn("weight", F.sqrt(F.col("size").cast("double")) if weight is None else weight)
-    whole = by.agg(F.sum("size").alias("all_size"), F.sum("weight").alias("all_weight"))
-    rate = F.when(F.col("size") > 0, F.lit(target) * (F.col("weight") / F.col("all_weight")) * F.col("all_size") / F.col("size")).otherwise(F.lit(1.0))
-    by = by.crossJoin(whole).withColumn("rate", rate).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART_RATE)).cast("int"))
+    whole = by.agg(F.struct(F.sum("size").alias("size"), F.sum("weight").alias("weight")).alias("all")).scalar()
+    rate = F.when(F.col("size") > 0, F.lit(target) * (F.col("weight") / whole["weight"]) * whole["size"] / F.col("size")).otherwise(F.lit(1.0))
+    by = by.withColumn("rate", rate).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART_RATE)).cast("int"))
     return by.withColumn("cdf", cumulative(F.col("rate") / F.col("parts"))).select("__source", "rate", "parts", "cdf")
 
 
