@@ -215,6 +215,14 @@ def test_chats(spark):
     assert chat_format.format_chats(m.limit(0)).count() == 0
 
 
+def test_levels_of_chains(spark):
+    rows = [(1, f"c{i}", f"c{i - 1}" if i else None) for i in range(37)] + [(1, f"t{i}", "c20") for i in range(5)]
+    rows += [(2, "x", "y"), (2, "y", "z"), (2, "z", "x"), (2, "w", "x"), (2, "self", "self"), (2, "m", "gone"), (2, "n", "m"), (2, "c1", "c0"), (None, "a", None)]
+    got = chat_format.levels(spark.createDataFrame(rows, "conv_id long, call_id string, after string")).collect()
+    want = {(1, f"c{i}"): i for i in range(37)} | {(1, f"t{i}"): 21 for i in range(5)} | {(None, "a"): 0}
+    assert len(got) == len(want) and {(r["conv_id"], r["call_id"]): r["level"] for r in got} == want
+
+
 def brute_repeats(texts, length):
     seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     for t in texts:

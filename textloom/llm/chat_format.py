@@ -3,8 +3,8 @@
 Messages carry the calls that they make and the id of the call that they answer. Calls and results meet in an equi
 join on (conversation, call id); results are brought to one row an id first, so ids that many rows share cost no
 product. A call may name the calls that it needs in its argument ``after``; its level is one more than the highest
-of theirs, found by rounds of joins over the calls that are still open (Kahn's order), so (level, turn, kind) puts
-every call behind what it needs and every result behind its call. Arguments are parsed, checked against the tool's
+of theirs, found by joins over the calls that are still open, whose steps double with each round, so (level, turn,
+kind) puts every call behind what it needs and every result behind its call. Arguments are parsed, checked against the tool's
 schema and written with sorted keys.
 
 Defined cases: a null or empty content is written as an empty string; a null role as "unknown"; a repeated call id
@@ -44,17 +44,20 @@ def valid(tool: Column, arguments: Column, schemas: dict) -> Column:
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of the calls that an order exists for; calls: (conv_id, call_id, after)."""
-    calls = written(calls.groupBy("conv_id", "call_id").agg(F.max("after").alias("after")), "calls")
-    done = calls.filter("after is null").select("conv_id", "call_id", F.lit(0).alias("level"))
-    front, open_, k = done, calls.filter("after is not null"), 0
-    while True:
-        k += 1
-        met = open_.join(front.select("conv_id", F.col("call_id").alias("after")), ["conv_id", "after"], "left_semi")
-        front = written(met.select("conv_id", "call_id", F.lit(k).alias("level")), "front")
-        if front.isEmpty():
-            return done
-        done, open_ = done.unionByName(front), written(open_.join(front, ["conv_id", "call_id"], "left_anti"), "open")
+    """(conv_id, call_id, level) of the calls that an order exists for; calls: (conv_id, call_id, after).
+
+    An open call holds a call that it needs, over ``level`` steps; a round replaces it by what that one holds, so
+    steps double. What is open when steps exceed the calls of the longest conversation stands in or behind a cycle.
+    """
+    level = F.when(F.col("after").isNull(), 0).otherwise(1)
+    state = written(calls.groupBy("conv_id", "call_id").agg(F.max("after").alias("after")).withColumn("level", level), "calls")
+    longest = state.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0  # one number
+    done, open_, steps = state.filter("after is null"), state.filter("after is not null"), 1
+    while steps <= longest and not open_.isEmpty():
+        at = done.unionByName(open_).select("conv_id", F.col("call_id").alias("after"), F.col("after").alias("next"), F.col("level").alias("more"))
+        met = written(open_.join(at, ["conv_id", "after"]).select("conv_id", "call_id", F.col("next").alias("after"), (F.col("level") + F.col("more")).alias("level")), "steps")
+        done, open_, steps = done.unionByName(met.filter("after is null")), met.filter("after is not null"), 2 * steps
+    return done.select("conv_id", "call_id", "level")
 
 
 def format_chats(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
