@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 import sentencepiece
+import xxhash
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
@@ -260,6 +261,33 @@ def test_fingerprints(spark, docs, rows, none, tmp_path):
     assert imatch.op9_imatch(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_imatch_counts_each_term(spark, tmp_path):
+    """Fingerprints against document frequencies of single terms; the words of one document only share their first 20 bits with others'."""
+    rng, by = random.Random(9), defaultdict(list)
+    for k in range(40_000):
+        by[xxhash.xxh3_64_intdigest(f"w{k}".encode()) >> 44].append(f"w{k}")
+    alike = [ws[:2] for ws in by.values() if len(ws) > 1][:300]
+    texts = [" ".join([*words(rng, 60).split(), *(p[k % 2] for p in alike[k // 2 :: 20])]) for k in range(40)]
+    texts = [f"{t} {texts[0][:40]}\n" if k % 3 else t for k, t in enumerate(texts)]
+    own = [set(t.lower().split()) for t in texts]
+    df = Counter(w for ws in own for w in ws)
+
+    def fingerprint(text):
+        every = sorted(xxhash.xxh3_64_intdigest(w.encode()) for w in set(text.lower().split()))
+        kept = sorted(xxhash.xxh3_64_intdigest(w.encode()) for w in set(text.lower().split()) if df[w] and 0.2 <= np.log(40 / df[w]) / np.log(40) <= 0.95)
+        out = []
+        for k in range(imatch.SUBSETS):
+            m = [h for h in kept if (lambda x: (x ^ (x >> 29)) * 0x9E3779B97F4A7C15 % 2**64)((h ^ int(imatch._SEEDS[k])) * 0x9E3779B97F4A7C15 % 2**64) < int(imatch._LIMITS[k])]
+            out.append(xxhash.xxh3_64_intdigest(np.array(m or every, np.uint64).tobytes(), seed=k if m else 0) & 0xFFFFFFFF)
+        return np.array(out, np.uint32).tobytes().hex()
+
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    for r in imatch.op9_imatch(spark, str(tmp_path)).collect():
+        t, after = texts[r["doc_id"]], texts[(r["doc_id"] + 1) % 40]
+        assert r["fingerprint"] == fingerprint(t)
+        assert r["edited_fingerprint"] == fingerprint(t[: len(t) - len(t) // 2] + after[: len(t) // 2])
+
+
 def test_rules(spark, docs, none):
     m = quality_rules.measures(docs)
     a = quality_rules.cascade(m, quality_rules.order_rules(m, quality_rules.default_rules(), 1.0))

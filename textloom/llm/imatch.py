@@ -1,11 +1,12 @@
 """Document fingerprints by I-Match with randomised lexicons.
 
-Terms are the lower-cased words between white space, hashed to 64 bits. Document frequencies are counted over all
-documents in a table of 2**bits buckets (a term's frequency is its bucket's), whose size depends on nothing but
-``bits``; so it may be brought to the driver and sent to every task however large the corpus is. A text keeps its
-distinct terms whose inverse document frequency, as a share of log N, lies in a band. Each of the lexicon subsets
-is a pseudo-random share of all terms; the text's terms in it are sorted and hashed. The fingerprint is the list
-of these hashes, and the likeness of two fingerprints the share of equal ones among them.
+Terms are the lower-cased words between white space, hashed to 64 bits. Document frequencies are counted for each
+term over all documents: documents are dealt by ranges of keys, each range gives its distinct terms with their counts,
+these meet by ranges of hashes, and a range of keys gets back a bit for each of its own terms, whether it is in the
+band, so no task holds the lexicon of the whole corpus. A text keeps its distinct terms whose inverse document frequency, as a share of
+log N, lies in the band. Each of the lexicon subsets is a pseudo-random share of all terms; the text's terms in it are
+sorted and hashed. The fingerprint is the list of these hashes, and the likeness of two fingerprints the share of equal
+ones among them.
 
 Subsets come in several shares, as a hash survives only edits that touch no term of its subset: large subsets tell
 slight changes of short texts, small ones still agree for long texts that share half of their words.
@@ -13,7 +14,8 @@ slight changes of short texts, small ones still agree for long texts that share
 Defined cases: a null text counts as empty; a text without terms in a subset gives the hash of all its distinct
 terms there, so short texts agree only if their terms do; equal texts have equal fingerprints; a null key sorts
 first; rows that share a key are ordered by text; a table of one row is its own next document; an empty table gives
-an empty result; columns beyond key and text are not read.
+an empty result; columns beyond key and text are not read. Rows that share a key are in one range, and a range is held
+in memory where it is compared.
 """
 
 from __future__ import annotations
@@ -29,12 +31,13 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import table, text_or_empty
 
-BITS = 20
 #: Shares of all terms that the lexicon subsets keep; each share is used by SUBSETS / 4 of them.
 SHARES, SUBSETS = (1 / 4, 1 / 16, 1 / 64, 1 / 256), 32
 BAND = (0.2, 0.95)
-#: Longs in one row of the bucket table on its way through the shuffle.
-SLICE = 1 << 14
+#: Ranges of hashes; the terms of one, with the counts of all documents, are held in memory at once.
+SLICES = 256
+#: Hashes that a range of keys gathers before it counts them.
+GATHERED = 1 << 22
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.array([xxhash.xxh3_64_intdigest(b"lexicon", seed=k) for k in range(SUBSETS)], np.uint64)
@@ -48,56 +51,117 @@ def terms(text: str) -> np.ndarray:
     return np.unique(out)
 
 
-def bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+def borders(head: str, rest: str) -> np.ndarray:
+    """Terms among which are all of head + rest that neither whole text may have: the words at the seam and at rest's end."""
+    x, y, last = "".join(head.rsplit(None, 1)[-1:]), "".join(rest.split(None, 1)[:1]), "".join(rest.rsplit(None, 1)[-1:])
+    return terms(f"{x} {y} {x}{y} {last}")
 
 
-def document_frequencies(docs: DataFrame, *, text: str = "text", bits: int = BITS) -> tuple[int, np.ndarray]:
-    """The number of documents, and for each bucket that of the documents with a term in it.
+def edit(text: str, after: str) -> tuple[str, str]:
+    """What stays of a text whose second half is replaced, and the part of the next one that is put there."""
+    half = len(text) // 2
+    return text[: len(text) - half], after[:half]
 
-    Each task counts its rows in one table and hands it on in slices; the slices are summed where they meet, one
-    at a time. What comes to the driver is the one table of 2**bits counts.
+
+def counted(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes, and the sum of the counts of each."""
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    own, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    return own, np.bincount(at, np.concatenate(counts), len(own)).astype(np.int64)
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Integers as all their first bytes, then all their second ones and so on: small ones compress well."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def from_planes(data: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def slices(hashes: np.ndarray) -> np.ndarray:
+    """Where each of the SLICES ranges begins among sorted hashes, and the end."""
+    return np.searchsorted(hashes >> np.uint64(32), np.arange(SLICES + 1, dtype=np.uint64) << np.uint64(32 - SLICES.bit_length() + 1))
+
+
+def lexicon_of(own: list[np.ndarray], found: pd.DataFrame) -> np.ndarray:
+    """The terms of a part that are in the band. own: all terms that lexicons() finds in it; found: its rows of lexicons()."""
+    hashes = np.unique(np.concatenate(own))
+    cuts, inside = slices(hashes), np.zeros(len(hashes), bool)
+    for k, bits in zip(found["slice"], found["bits"]):
+        inside[cuts[k] : cuts[k + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=cuts[k + 1] - cuts[k])
+    return hashes[inside]
+
+
+def lexicons(dealt: DataFrame, n: int, band: tuple[float, float] | None = None) -> DataFrame:
+    """Rows (part, slice, bits): for the sorted distinct terms of each part of with_next() in a slice, whether their frequency among all n documents is in the band.
+
+    Terms of a halo row, and those that only edited texts have, are looked up and not counted.
     """
-    slices = max(1, (1 << bits) // SLICE)
+    band = band or BAND
+
+    def occurring(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, last, own, size = None, None, ([], []), 0
+
+        def sliced() -> pd.DataFrame:
+            hashes, counts = counted(*own)
+            cuts = slices(hashes)
+            rows = [(k, part, planes(np.diff(hashes[i:j], prepend=np.uint64(0))), planes(counts[i:j].astype("<i4"))) for k, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
+            return pd.DataFrame(rows, columns=["slice", "part", "hashes", "counts"]).astype({"slice": "int32", "part": "int32"})
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, total = 0, np.zeros(1 << bits, np.int64)
         for b in batches:
-            for t in b["__t"]:
-                total[np.unique(bucket(terms(t), bits))] += 1
-            n += len(b)
-        if n:
-            parts = total.reshape(slices, -1)
-            yield pd.DataFrame({"slice": np.arange(slices, dtype=np.int32), "n": np.r_[n, np.zeros(slices - 1, np.int64)], "df": [p.astype("<i8").tobytes() for p in parts]})
-
-    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: dict[int, list] = {}
+            for p, halo, text in zip(b["part"], b["halo"], b["__t"]):
+                if p != part:
+                    if part is not None:
+                        yield sliced()
+                    part, last, own, size = p, None, ([], []), 0
+                found = [(terms(text), 0 if halo else 1)] + ([] if last is None else [(borders(*edit(last, text)), 0)])
+                for h, count in found:
+                    own[0].append(h)
+                    own[1].append(np.full(len(h), count, np.int64))
+                    size += len(h)
+                if size > GATHERED:
+                    h, counts = counted(*own)
+                    own, size = ([h], [counts]), 0
+                last = text
+        if part is not None:
+            yield sliced()
+
+    def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def kept(k: int, rows: list[tuple[int, bytes, bytes]]) -> pd.DataFrame:
+            own = [np.cumsum(from_planes(h, "<u8"), dtype=np.uint64) for _, h, _ in rows]
+            hashes, counts = counted(own, [from_planes(c, "<i4") for *_, c in rows])
+            inside = in_band(n, counts, band)
+            out = [(part, k, np.packbits(inside[np.searchsorted(hashes, h)]).tobytes()) for (part, *_), h in zip(rows, own)]
+            return pd.DataFrame(out, columns=["part", "slice", "bits"]).astype({"part": "int32", "slice": "int32"})
+
+        at, rows = None, []
         for b in batches:
-            for s, n, df in zip(b["slice"], b["n"], b["df"]):
-                own = out.setdefault(s, [0, 0])
-                own[0], own[1] = own[0] + n, own[1] + np.frombuffer(df, "<i8")
-        if out:
-            yield pd.DataFrame({"slice": np.array(list(out), np.int32), "n": [v[0] for v in out.values()], "df": [v[1].tobytes() for v in out.values()]})
+            for k, *row in zip(b["slice"], b["part"], b["hashes"], b["counts"]):
+                if k != at and rows:
+                    yield kept(at, rows)
+                    rows = []
+                at = k
+                rows.append(row)
+        if rows:
+            yield kept(at, rows)
 
-    schema = "slice int, n long, df binary"
-    rows = docs.select(text_or_empty(text).alias("__t")).mapInPandas(counted, schema).repartition("slice").mapInPandas(summed, schema).collect()
-    df = np.zeros((slices, (1 << bits) // slices), np.int64)
-    for r in rows:
-        df[r["slice"]] = np.frombuffer(r["df"], "<i8")
-    return sum(r["n"] for r in rows), df.ravel()
+    found = dealt.mapInPandas(occurring, "slice int, part int, hashes binary, counts binary")
+    return found.repartition("slice").sortWithinPartitions("slice").mapInPandas(chosen, "part int, slice int, bits binary")
 
 
 def in_band(n: int, df: np.ndarray, band: tuple[float, float] = BAND) -> np.ndarray:
-    """Packed bits: whether a bucket's inverse document frequency is in the band, as a share of log n."""
+    """Whether a term's inverse document frequency is in the band, as a share of log n."""
     idf = np.log(max(n, 2) / np.maximum(df, 1)) / np.log(max(n, 2))
-    return np.packbits((df > 0) & (idf >= band[0]) & (idf <= band[1]))
+    return (df > 0) & (idf >= band[0]) & (idf <= band[1])
 
 
-def fingerprint(text: str, band: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """One 32-bit hash for each lexicon subset. band: the packed bits of in_band()."""
-    own = terms(text)
-    at = bucket(own, bits)
-    kept = own[(band[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
+def fingerprint(own: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
+    """One 32-bit hash for each lexicon subset. own: the text's terms; lexicon: the sorted terms in the band, the text's at least."""
+    at = np.searchsorted(lexicon, own)
+    kept = own[np.append(lexicon, np.uint64(0))[at] == own] if len(lexicon) else own[:0]
     mixed = (kept[None, :] ^ _SEEDS[:, None]) * _MUL
     mixed = (mixed ^ (mixed >> np.uint64(29))) * _MUL
     inside = mixed < _LIMITS[:, None]
@@ -111,7 +175,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def with_next(docs: DataFrame, *, key: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
-    """Rows (part, halo, key, text), dealt by part and sorted: each part holds a range of keys, and behind it, as a
+    """Rows (part, halo, sort key, key, text), dealt by part and sorted: each part holds a range of keys, and behind it, as a
     row with halo 1, the document that follows its last one; behind the last range that is the first document of all.
 
     Only keys are read to find the ranges; the texts are shuffled once. One number for each range comes to the driver.
@@ -136,26 +200,26 @@ def with_next(docs: DataFrame, *, key: str = "doc_id", text: str = "text", range
         return pd.Series([[{"part": int(p), "halo": 0}] + ([] if h != h else [{"part": int(h), "halo": 1}]) for p, h in zip(own, halo)])
 
     out = docs.select("*", F.inline(places("__k")))
-    return out.repartition(F.col("part")).sortWithinPartitions("part", "halo", "__k", "__t").select("part", "halo", F.col(key).alias("__id"), "__t")
+    return out.repartition(F.col("part")).sortWithinPartitions("part", "halo", "__k", "__t").select("part", "halo", "__k", F.col(key).alias("__id"), "__t")
 
 
 def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    band = in_band(*document_frequencies(docs))
-    sent = spark.sparkContext.broadcast(band)  # 2**BITS bits, whatever the corpus
-
-    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        band, last = sent.value, None
-        for b in batches:
-            rows = []
-            for part, halo, key, text in zip(b["part"], b["halo"], b["__id"], b["__t"]):
-                own = fingerprint(text, band) if last is not None and last[0] == part or not halo else None
-                if last is not None and last[0] == part:
-                    half = len(last[2]) // 2
-                    edited = last[2][: len(last[2]) - half] + text[:half]
-                    mark = fingerprint(edited, band)
-                    rows.append((last[1], len(last[2]), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), last[3].tobytes().hex(), mark.tobytes().hex(), likeness(last[3], mark), likeness(last[3], own)))
-                last = None if halo else (part, key, text, own)
-            yield pd.DataFrame(rows, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]).astype({"doc_id": "Int64"})
-
-    return with_next(docs).mapInPandas(compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    dealt = with_next(docs)
+
+    def compared(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        texts = texts.sort_values(["halo", "__k", "__t"])
+        every = [terms(t) for t in texts["__t"]]
+        lexicon = lexicon_of([*every, *(borders(*edit(t, after)) for t, after in zip(texts["__t"], texts["__t"][1:]))], found)
+        rows, last = [], None
+        for halo, key, text, found_terms in zip(texts["halo"], texts["__k"].where(texts["__id"].notna(), None).astype("Int64"), texts["__t"], every):
+            own = fingerprint(found_terms, lexicon)
+            if last is not None:
+                edited = "".join(edit(last[1], text))
+                mark = fingerprint(terms(edited), lexicon)
+                rows.append((last[0], len(last[1]), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), last[2].tobytes().hex(), mark.tobytes().hex(), likeness(last[2], mark), likeness(last[2], own)))
+            last = None if halo else (key, text, own)
+        return pd.DataFrame(rows, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]).astype({"doc_id": "Int64"})
+
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return dealt.groupBy("part").cogroup(lexicons(dealt, docs.count()).groupBy("part")).applyInPandas(compared, schema)
