@@ -56,3 +56,14 @@ def test_validation_and_ids(spark):
     assert [r["vector_id"] for r in ids] == list(range(100))
     p = spark.createDataFrame([(1, "t", "a.txt"), (2, "t", "a.txt")], "id long, target string, name string")
     assert [r["target_name"] for r in sinks.copy_plan(p, "target", "name", "id").orderBy("id").collect()] == ["a.txt", "a__1.txt"]
+
+
+def test_searches_go_through_blocks_of_queries(spark, monkeypatch):
+    v = spark.createDataFrame([(k, [float((k * j) % 7 - 3) for j in (1, 2, 3)] if k % 7 else [1.0, 0.0, 0.5]) for k in range(30)], "vec_id long, embedding array<double>")
+    q = v.filter("vec_id < 11").withColumnRenamed("vec_id", "query_id")
+    a = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(k % 5, 9))) for k in range(20)], "article_id long, text string")
+    words = spark.createDataFrame([(k, f"w{k % 6} w{k % 4} none") for k in range(11)], "query_id long, query string")
+    both = lambda: (sorted(map(tuple, retrieve.top_k(q, v, 4).collect())), sorted(map(tuple, retrieve.lexical(words, a).collect())))
+    whole = both()
+    monkeypatch.setattr(retrieve, "QUERIES", 3)
+    assert both() == whole and len(whole[0]) == 44 and len(whole[1]) == 33

@@ -2,25 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions.measures import dot, normalised
 
-#: Queries that one search sends to every task; more are searched in rounds of this many.
+#: Queries that one search sends to every task; more are searched in blocks of about this many.
 QUERIES = 4096
 
 
+def in_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """search() of all queries, block by block; the rows of a query_id are in one block."""
+    blocks = -(-queries.count() // QUERIES)
+    if blocks <= 1:
+        return search(queries)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [search(queries.filter(block == k)) for k in range(blocks)])
+
+
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, *, vector: str = "embedding", floor: float | None = None) -> DataFrame:
     """JON-09, SRT-01: (query_id, rank, vec_id, score): exact cosine, ties by vec_id.
 
-    A stated query set against all vectors: at most QUERIES queries are broadcast (checked), vectors are never
-    shuffled; Spark's window group limit keeps k rows of a query in each task before the ranking.
+    A query set against all vectors: queries are broadcast in blocks of about QUERIES, each of which reads all vectors;
+    vectors are never shuffled; Spark's window group limit keeps k rows of a query in each task before the ranking.
     """
-    n = queries.count()
-    if n > QUERIES:
-        raise ValueError(f"{n} queries; search in rounds of at most {QUERIES}")
+    return in_blocks(queries, lambda q: _top_k(q, corpus, k, vector, floor))
+
+
+def _top_k(queries: DataFrame, corpus: DataFrame, k: int, vector: str, floor: float | None) -> DataFrame:
     q = queries.select("query_id", normalised(F.col(vector)).alias("__q"))
     v = corpus.select("vec_id", normalised(F.col(vector)).alias("__v"))
     scored = v.crossJoin(F.broadcast(q)).select("query_id", "vec_id", dot(F.col("__q"), F.col("__v")).alias("score"))
@@ -62,10 +75,11 @@ def dedupe_hits(hits: DataFrame, k: int, key: str, text_key: str) -> DataFrame:
 
 
 def lexical(queries: DataFrame, articles: DataFrame, k: int = 3, *, query: str = "query", text: str = "text") -> DataFrame:
-    """JON-12, SRT-02: (query_id, rank, article_id, hits): words of the query, split at single spaces, that the article holds as substrings."""
-    n = queries.count()
-    if n > QUERIES:
-        raise ValueError(f"{n} queries; search in rounds of at most {QUERIES}")
+    """JON-12, SRT-02: (query_id, rank, article_id, hits): words of the query, split at single spaces, that the article holds as substrings; queries go in blocks as in top_k()."""
+    return in_blocks(queries, lambda q: _lexical(q, articles, k, query, text))
+
+
+def _lexical(queries: DataFrame, articles: DataFrame, k: int, query: str, text: str) -> DataFrame:
     q = queries.select("query_id", F.split(F.lower(query), " ").alias("__words"))
     a = articles.select("article_id", F.lower(text).alias("__t"))
     found = a.crossJoin(F.broadcast(q)).select("query_id", "article_id", F.size(F.filter("__words", lambda x: F.contains(F.col("__t"), x))).alias("hits")).filter("hits > 0")
