@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from textloom.functions import measures as M
 from textloom.functions import text as X
-from textloom.operators import retrieve, usage, validate
+from textloom.operators import dedupe, retrieve, segment, usage, validate
+from textloom.queries import documents
 from textloom.sources import sinks
 
 
@@ -67,3 +68,13 @@ def test_searches_go_through_blocks_of_queries(spark, monkeypatch):
     whole = both()
     monkeypatch.setattr(retrieve, "QUERIES", 3)
     assert both() == whole and len(whole[0]) == 44 and len(whole[1]) == 33
+
+
+def test_packed_chunk_names_the_copy_before_it(spark, monkeypatch, sf):
+    ids = [3, 999, 1000, 1001, 2500, 7000]
+    t = spark.createDataFrame([(k, 0, "Same  chunk" if k % 2 else "same chunk", 1) for k in ids] + [(4, 0, "another", 1)], "doc_id long, chunk_index int, chunk string, parts int")
+    monkeypatch.setattr(segment, "token_chunks", lambda *a, **b: t)
+    got = {r["doc_id"]: (r["duplicate_of"], r["n_same"]) for r in documents.chunk_token_packed(spark, sf).collect()}
+    assert got == {4: (-1, 1)} | {k: (before * 100_000 if before else -1, 6) for before, k in zip([None, *ids], ids)}
+    n = spark.createDataFrame([(None, "a"), (5, "a"), (6, "a")], "seq long, k string")
+    assert sorted(((r["seq"] or 0), r["duplicate_of"], r["n_same"]) for r in dedupe.previous_duplicates(n, F.col("k"), "seq", 2).collect()) == [(0, None, 3), (5, None, 3), (6, 5, 3)]

@@ -1,8 +1,9 @@
-"""Exact and near duplicates inside the corpus-build operators (WIN-01..05, JON-05..08, JON-10, AGG-10, AGG-27)."""
+"""Exact and near duplicates inside the corpus-build operators (WIN-01, WIN-03, WIN-04, JON-05..08, JON-10, AGG-10, AGG-27)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -17,6 +18,20 @@ def exact_duplicates(df: DataFrame, key: Column, order: str = "doc_id") -> DataF
     return df.join(first, "__key").withColumn("duplicate_of", F.when(F.col(order) > F.col("__first"), F.col("__first"))).drop("__key", "__first")
 
 
+def previous_duplicates(df: DataFrame, key: Column, order: str, span: int) -> DataFrame:
+    """WIN-03: df with duplicate_of, the last row of equal key before it in order, null for the first, and n_same.
+
+    Rows of a key are sorted in ranges of ``span`` of the order column, so that no task sorts a key that a third of all
+    rows share; the first row of a range gets the last one of the key's range before, from one row for each range.
+    """
+    w, least = W.partitionBy("__key").orderBy("__range"), F.lit(-(2**63))
+    df = df.withColumn("__key", key).withColumn("__range", F.coalesce(F.expr(f"`{order}` div {span}"), least))
+    ends = df.groupBy("__key", "__range").agg(F.max(order).alias("__last"), F.count("*").alias("__n"))
+    ends = ends.select("__key", "__range", F.lag("__last").over(w).alias("__before"), F.sum("__n").over(W.partitionBy("__key")).alias("n_same"))
+    df = df.withColumn("__lag", F.lag(order).over(W.partitionBy("__key", "__range").orderBy(order)))
+    return df.join(ends, ["__key", "__range"]).withColumn("duplicate_of", F.coalesce("__lag", "__before")).drop("__key", "__range", "__lag", "__before")
+
+
 def known_before(df: DataFrame, previous: DataFrame, key: str) -> DataFrame:
     """JON-05: df with in_previous."""
     flags = previous.select(key).distinct().withColumn("in_previous", F.lit(True))

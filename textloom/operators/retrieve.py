@@ -1,4 +1,4 @@
-"""Batch retrieval (JON-04, JON-09, JON-12, WIN-06..08, AGG-18..21, SET-05, SRT-*, PIP-10..12)."""
+"""Batch retrieval (JON-04, JON-09, JON-12, WIN-06..08, AGG-18, AGG-19, AGG-21, SET-05, SRT-*, PIP-10..12)."""
 
 from __future__ import annotations
 

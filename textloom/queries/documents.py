@@ -272,7 +272,7 @@ def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_token_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = segment.token_chunks(docs(spark, sf_dir).select("doc_id", "text"), separator="\n")
-    return dedupe.exact_duplicates(c.withColumn("seq", F.col("doc_id") * 100_000 + F.col("chunk_index")), F.sha1(X.hash_key(F.col("chunk"))), "seq").select("doc_id", "chunk_index", "parts", "n_same", F.coalesce("duplicate_of", F.lit(-1)).alias("duplicate_of"), F.sha1("chunk").alias("sha1"))
+    return dedupe.previous_duplicates(c.withColumn("seq", F.col("doc_id") * 100_000 + F.col("chunk_index")), F.sha1(X.hash_key(F.col("chunk"))), "seq", 1000 * 100_000).select("doc_id", "chunk_index", "parts", "n_same", F.coalesce("duplicate_of", F.lit(-1)).alias("duplicate_of"), F.sha1("chunk").alias("sha1"))
 
 
 def chunk_paragraph_words(spark: SparkSession, sf_dir: str) -> DataFrame:
