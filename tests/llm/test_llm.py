@@ -235,14 +235,26 @@ def brute_repeats(texts, length):
         yield len(t), sum(gone), sum(1 for i, x in enumerate(gone) if x and (not i or not gone[i - 1])), hashlib.sha256(kept).hexdigest()
 
 
-@pytest.mark.parametrize("together", [4096, 1])
-def test_repeats_are_brute_force(spark, docs, rows, none, monkeypatch, together):
-    monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda d, length, f=suffix_dedup.repeated_windows: f(d, length, together))
+def test_repeats_are_brute_force(spark, docs, rows, none):
     got = suffix_dedup.remove_repeats(docs.withColumn("raw", F.lit(1)))
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["raw"]).hexdigest()) for r in got.collect()) == Counter((r[0], *x) for r, x in zip(rows, brute_repeats([(t or "").encode() for _, t, *_ in rows], 200)))
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_repeats_of_one_passage(spark, seed):
+    """Pieces of one passage between unlike surroundings, in more tasks than a name has rows."""
+    rng = random.Random(seed)
+    passage = words(rng, 200)
+    texts = []
+    for k in range(60):
+        a = rng.randrange(len(passage) - 150)
+        texts.append(words(rng, rng.randint(0, 30)) + passage[a : a + rng.randint(150, 600)] + words(rng, rng.randint(0, 30)) + "ab" * rng.choice([0, 0, 150]))
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)).collect()
+    want = {k: x for k, x in enumerate(brute_repeats([t.encode() for t in texts], 200))}
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["raw"]).hexdigest()) for r in got} == want
+
+
 def test_fingerprints(spark, docs, rows, none, tmp_path):
     for name, d in (("full", docs.drop("score", "ids")), ("none", none)):
         d.write.parquet(f"{tmp_path}/{name}/documents.parquet")

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,13 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that written() gave, once nothing reads it any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        store, path = fs.FileSystem.from_uri(folder)
+        store.delete_dir(path)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, whatever the optimiser does with the projections around it."""
     return F.transform(F.array(value), body)[0]

@@ -2,44 +2,47 @@
 
 Wanted: every byte of a 200-byte string (``length``) that also starts somewhere else. A suffix sort of all positions
 would need a row for each byte (two thirds of them in the first round of sampled triples); so the cover that is
-sampled here is chosen by content, one position in 64, and names are exact only to the depth that is asked for:
+sampled here is chosen by content, one position in 64, and suffixes are told apart only to the depth that is asked for:
 
 1. Sample. Of the 128 eight-byte grams that start in a window's first 128 places, the one with the smallest hash
    marks the window's sample position. Equal windows have it at the same place, so two suffixes that agree for 200
-   bytes meet at a common sample position, which is what a difference cover is for.
-2. Sort the samples by the bytes that all their windows share (73 of them) and name them. Samples whose name is
-   unique can't lie in a repeated string and go; most do.
-3. Recurse on the names: samples of one name are named again by the bytes of all their windows. Where a name of the
-   second round is met twice, all windows of these samples are repeated.
-4. Merge the remaining suffixes: the windows of the samples that are still apart are told by (offset to the sample,
-   bytes), sorted within the sample's name, and adjacent prefixes of 200 bytes are compared. A name with very many
-   samples is compared the same way by keys of its windows over all tasks.
-
-Removed runs are judged on the input. Matches don't cross documents, as windows don't.
+   bytes meet at a common sample position, which is what a difference cover is for. A sample stands for all windows
+   that it marks, which start 0 to 127 places before it.
+2. Sort and name. A sample's name is the fingerprint of the bytes that all its possible windows share; behind it
+   stands the fingerprint of all bytes that its own windows cover, then its place. Samples are range-partitioned and sorted by all of
+   these, so that a name with any number of samples is spread over as many tasks as it fills, and neighbours are compared: a
+   neighbour with the same name and bytes repeats all windows; without a neighbour of the same name none is repeated.
+   Only the first and the last row of each task are compared across tasks.
+3. Recurse on the names. Samples of one name whose bytes differ, one or two for each of the differing byte strings,
+   are cut into narrower runs of windows (16, then 4), which are sorted, named and compared in the same way.
+4. Merge what remains: single windows, sorted by the 128-bit fingerprint of their 200 bytes and their distance from
+   the sample. Adjacent prefixes of 200 bytes that are equal are repeats.
+
+No join has a name as its key. Removed runs are judged on the input. Matches don't cross documents, as windows don't.
 
 Defined cases: a null text is empty; texts shorter than ``length`` lose nothing; rows that share an id are told
 apart by their text, and equal rows are copies of each other; an empty table gives an empty result; columns beyond
-id and text are not read. Names are 64-bit hashes; keys of step 4 are the bytes themselves, or 128-bit hashes.
+id and text are not read. Any order serves that puts equal strings side by side: it is that of 64-bit fingerprints.
+A repeat is two equal fingerprints, 128 bits together.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import table, text_or_empty, written
-from textloom.llm.ngram_jaccard import grouped
+from textloom.llm.common import discard, table, text_or_empty, written
 
 LENGTH, GRAM, WINDOW = 200, 8, 128
-#: Samples of one name that are compared in one task; names with more are compared by their windows' keys.
-TOGETHER = 4096
+#: Windows in a run at each level, by their distance from the sample.
+WIDTHS = (WINDOW, 16, 4, 1)
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _HIGH, _LOW, _HALF = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF), np.uint64(32)
@@ -86,70 +89,116 @@ def _documents(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.struct(*[c for c in docs.columns if c != text]).alias("own"), *[c.alias(n) for n, c in names.items()])
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH, together: int = TOGETHER) -> DataFrame:
+def named(raw: bytes, at: int, low: int, high: int, width: int, length: int) -> Iterator[tuple[int, int, int, int]]:
+    """(name, whole, low, high) for each run of width windows among those that start low to high places before a sample at position at."""
+    for k in range(low // width, high // width + 1):
+        a, b = max(low, k * width), min(high, (k + 1) * width - 1)
+        name = xxhash.xxh3_64_intdigest(raw[at - k * width : at - (k + 1) * width + 1 + length], seed=k)
+        yield name, xxhash.xxh3_64_intdigest(raw[at - b : at - a + length], seed=b + 1), a, b
+
+
+NAMES = "name long, whole long, d long, r long, place long"
+#: A sample's position and its nearest and furthest windows' distance in one number.
+_at = lambda: F.shiftright("place", 16)
+_low = lambda: F.shiftright("place", 8).bitwiseAND(F.lit(255))
+_high = lambda: F.col("place").bitwiseAND(F.lit(255))
+
+
+def _names(rows: list[tuple[int, int, int, int, int]]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["name", "whole", "d", "r", "place"])
+    return out.astype({"name": "uint64", "whole": "uint64"}).astype("int64")
+
+
+def neighbours(names: DataFrame) -> DataFrame:
+    """(d, r, place, up, down) of the rows that agree with the row before (up) or behind (down) in sorted order: 1 by name, 2 by name and whole."""
+    key = ["name", "whole", "d", "r", "place"]
+
+    def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, no, held, up = TaskContext.get().partitionId(), 0, None, 0
+
+        def out(b: pd.DataFrame, up: np.ndarray, down: np.ndarray, last: bool) -> pd.DataFrame:
+            nonlocal no
+            b = b.assign(task=np.int32(task), no=np.arange(no, no + len(b)), up=up, down=down, edge=False)
+            b["edge"] = (b["no"] == 0) | last
+            no += len(b)
+            return b
+
+        for b in batches:
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            name, whole = b["name"].to_numpy(), b["whole"].to_numpy()
+            same = (name[1:] == name[:-1]).astype(np.int8)
+            same += same * (whole[1:] == whole[:-1])
+            ups = np.r_[np.int8(up), same]
+            if len(b) > 1:
+                yield out(b.iloc[:-1], ups[:-1], same, False)
+            held, up = b.iloc[-1:], ups[-1]
+        if held is not None:
+            yield out(held, np.array([up], np.int8), np.zeros(1, np.int8), True)
+
+    met = names.repartitionByRange(*key).sortWithinPartitions(*key).mapInPandas(marked, f"{NAMES}, task int, no long, up tinyint, down tinyint, edge boolean")
+    met = met.filter("edge or up > 0 or down > 0").select("d", "r", "place", "up", "down", "edge", *[F.when(F.col("edge"), F.col(c)).alias(c) for c in ("name", "whole", "task", "no")])
+    met = written(met, "neighbours")
+    tasks = Window.orderBy("task", "no")  # two rows of each task
+
+    def across(move: Callable[[str], Column]) -> Column:
+        there = {c: move(c).over(tasks) for c in ("task", "name", "whole")}
+        return F.when((there["task"] != F.col("task")) & (there["name"] == F.col("name")), F.when(there["whole"] == F.col("whole"), 2).otherwise(1)).otherwise(0).cast("tinyint")
+
+    edges = met.filter("edge").withColumns({"__up": across(F.lag), "__down": across(F.lead)})
+    edges = edges.select("d", "r", "place", F.greatest("up", "__up").alias("up"), F.greatest("down", "__down").alias("down"))
+    return met.filter("not edge").select("d", "r", "place", "up", "down").unionByName(edges)
+
+
+def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(d, r, first, last): ranges of starts of repeated windows; docs as _documents() gives them."""
-    shared = length - WINDOW + 1
 
     def sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            d, r, name, whole, lo, hi = [], [], [], [], [], []
-            for one, two, t in zip(b["d"], b["r"], b["t"]):
+            rows = []
+            for d, r, t in zip(b["d"].tolist(), b["r"].tolist(), b["t"]):
                 raw = t.encode("utf-8", "surrogatepass")
-                at, first, last = samples(raw, length)
-                d.append(np.full(len(at), one))
-                r.append(np.full(len(at), two))
-                lo.append(first)
-                hi.append(last)
-                name += [xxhash.xxh3_64_intdigest(raw[a : a + shared]) for a in at.tolist()]
-                whole += [xxhash.xxh3_64_intdigest(raw[f : e + length], seed=a - f) for a, f, e in zip(at.tolist(), first.tolist(), last.tolist())]
-            yield pd.DataFrame({"name": np.array(name, np.uint64).view(np.int64), "whole": np.array(whole, np.uint64).view(np.int64), "d": np.concatenate(d), "r": np.concatenate(r), "first": np.concatenate(lo).astype(np.int32), "last": np.concatenate(hi).astype(np.int32)})
-
-    found = docs.filter(F.octet_length("t") >= length).select("d", "r", "t").mapInPandas(sampled, "name long, whole long, d long, r long, first int, last int")
-    names = found.groupBy("name").agg(F.count("*").alias("n"), (F.min("whole") != F.max("whole")).alias("apart")).filter("n > 1")
-    left = written(found.join(names, "name"), "samples")
-    again = written(left.filter("apart").groupBy("name", "whole").agg(F.count("*").alias("c"), F.min(F.struct("d", "r", "first", "last")).alias("x"), F.any_value("n").alias("n")), "names")
-    alike = left.filter("not apart").select("d", "r", "first", "last")
-    twice = left.filter("apart").join(again.filter("c > 1").select("name", "whole"), ["name", "whole"], "left_semi").select("d", "r", "first", "last")
-
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for a, f, e in zip(*(x.tolist() for x in samples(raw, length))):
+                    rows += [(n, w, d, r, a << 16 | low << 8 | high) for n, w, low, high in named(raw, a, a - e, a - f, WINDOW, length)]
+            yield _names(rows)
+
+    def covered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for d, r, t, those in zip(b["d"], b["r"], b["t"], b["those"]):
+            for d, r, t, places in zip(b["d"], b["r"], b["t"], b["places"]):
                 raw = t.encode("utf-8", "surrogatepass")
-                starts = {int(f): int(a) for a, f in zip(*samples(raw, length)[:2])}
-                for x in those:
-                    f, e = int(x["first"]), int(x["last"])
-                    if x["n"] <= together:
-                        rows.append((x["name"], None, starts[f] - f, raw[f : e + length], d, r, f, e, x["c"]))
-                    else:
-                        rows += [(int.from_bytes(k[:8], "big", signed=True), int.from_bytes(k[8:], "big", signed=True), 0, None, d, r, s, s, x["c"]) for s in range(f, e + 1) for k in [xxhash.xxh3_128_digest(raw[s : s + length])]]
-            yield pd.DataFrame(rows, columns=["k", "k2", "at", "raw", "d", "r", "first", "last", "c"]).astype({"k2": "Int64"})
-
-    those = again.select("name", "c", "n", "x.*").groupBy("d", "r").agg(F.collect_list(F.struct("name", "first", "last", "c", "n")).alias("those"))
-    texts = docs.select("d", "r", "t").join(those, ["d", "r"])
-    rest = written(texts.mapInPandas(windows, "k long, k2 long, at int, raw binary, d long, r long, first int, last int, c long"), "windows")
-
-    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in grouped(batches, ["k"]):
-            out = []
-            raws, firsts, lasts, ats, ds, rs = (b[c].to_list() for c in ("raw", "first", "last", "at", "d", "r"))
-            c = b["c"].to_numpy()
-            edges = np.flatnonzero(np.r_[True, b["k"].to_numpy()[1:] != b["k"].to_numpy()[:-1], True])
-            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                met = Counter((ats[x] - s, raws[x][s : s + length]) for x in range(i, j) for s in range(lasts[x] - firsts[x] + 1))
-                for x in range(i, j):
-                    if c[x] == 1:
-                        hit = [s for s in range(lasts[x] - firsts[x] + 1) if met[ats[x] - s, raws[x][s : s + length]] > 1]
-                        if hit:
-                            a, e = runs(np.array(hit), np.array(hit), 1)
-                            out += [(ds[x], rs[x], firsts[x] + p, firsts[x] + q - 1) for p, q in zip(a.tolist(), e.tolist())]
-            yield pd.DataFrame(out, columns=["d", "r", "first", "last"])
-
-    small = rest.filter("k2 is null").repartition("k").sortWithinPartitions("k").mapInPandas(compared, "d long, r long, first int, last int")
-    hot = rest.filter("k2 is not null")
-    many = hot.groupBy("k", "k2").agg(F.count("*").alias("m")).filter("m > 1")
-    large = hot.filter("c = 1").join(many, ["k", "k2"], "left_semi").select("d", "r", "first", "last")
-    return alike.unionByName(twice).unionByName(small).unionByName(large)
+                rows += [(d, r, p, raw[(p >> 16) - (p & 255) : (p >> 16) - (p >> 8 & 255) + length]) for p in places.tolist()]
+            yield pd.DataFrame(rows, columns=["d", "r", "place", "raw"])
+
+    def finer(width: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                rows = []
+                for d, r, place, raw, runs in zip(b["d"].tolist(), b["r"].tolist(), b["place"].tolist(), b["raw"], b["runs"]):
+                    for p in runs.tolist():
+                        rows += [(n, w, d, r, p >> 16 << 16 | low << 8 | high) for n, w, low, high in named(raw, place & 255, p >> 8 & 255, p & 255, width, length)]
+                yield _names(rows)
+
+        return cut
+
+    names = written(docs.filter(F.octet_length("t") >= length).select("d", "r", "t").mapInPandas(sampled, NAMES), "names")
+    out = parts = None
+    for width, below in zip(WIDTHS, [*WIDTHS[1:], 0]):
+        met = neighbours(names)
+        discard(names)
+        alike = met.filter("up = 2 or down = 2").select("d", "r", (_at() - _high()).cast("int").alias("first"), (_at() - _low()).cast("int").alias("last"))
+        out = alike if out is None else out.unionByName(alike)
+        apart = met.filter("up = 1 or down = 1").select("d", "r", "place")
+        if not below or apart.isEmpty():
+            break
+        if parts is None:
+            those = apart.groupBy("d", "r").agg(F.collect_set("place").alias("places"))
+            parts = written(docs.select("d", "r", "t").join(those, ["d", "r"]).mapInPandas(covered, "d long, r long, place long, raw binary"), "parts")
+            cut = parts.withColumn("runs", F.array("place"))
+        else:
+            those = apart.groupBy("d", "r", _at().alias("at")).agg(F.collect_set("place").alias("runs"))
+            cut = parts.withColumn("at", _at()).join(those, ["d", "r", "at"]).drop("at")
+        names = written(cut.mapInPandas(finer(below), NAMES), "names")
+    return out
 
 
 def _without(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
