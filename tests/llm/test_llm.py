@@ -122,22 +122,52 @@ def test_sources_meet_their_weights(spark, docs, none):
 
 
 def test_shards(spark, docs, rows, none, tmp_path):
-    path = f"file://{tmp_path}/shards"
+    path, how = f"file://{tmp_path}/shards", {"tokenizer": f"{TOKENIZERS}/byte_bpe_50k.tiktoken", "length": 32, "per_shard": 10}
     d = spark.createDataFrame(rows, SCHEMA).coalesce(2)
-    index = token_shards.write_shards(d, path, tokenizer=f"{TOKENIZERS}/byte_bpe_50k.tiktoken", length=32, per_shard=10)
+    index = token_shards.write_shards(d, path, **how)
     n = index.count()
     assert sorted(r["slot"] for r in index.collect()) == list(range(n))
-    coder = token_shards.byte_pieces(f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    coder = token_shards.byte_pieces(how["tokenizer"])
     want = Counter(k for _, t, *_ in rows for k in np.frombuffer(coder.encode(t or ""), "<u2").tolist())
-    read = token_shards.read_shards(spark, path, length=32, per_shard=10).collect()
+    read = token_shards.read_shards(spark, path).collect()
     found = Counter(k for r in read for k in np.frombuffer(bytes(r["tokens"]), "<u2").tolist())
     assert found - Counter({coder.eos: found[coder.eos]}) == want and len(read) == n
-    assert token_shards.read_shards(spark, path, length=32, per_shard=10, start=15).count() == n - 15
+    assert token_shards.read_shards(spark, path, start=15).count() == n - 15
     sizes = [os.path.getsize(tmp_path / "shards" / f) for f in os.listdir(tmp_path / "shards") if f.endswith(".bin")]
     assert sorted(sizes)[1:] == [640] * (len(sizes) - 1)
-    assert token_shards.write_shards(none, f"file://{tmp_path}/none", tokenizer=f"{TOKENIZERS}/byte_bpe_50k.tiktoken").count() == 0
     for n in (1, 2, 3, 17, 1000):
         assert sorted(token_shards.permute(np.arange(n), n).tolist()) == list(range(n))
+    token_shards.write_shards(none, f"file://{tmp_path}/none", tokenizer=how["tokenizer"])
+    assert token_shards.read_shards(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def feistel(i, n, seed):
+    """The permutation in plain numbers."""
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    while True:
+        left, right = i >> half, i % 2**half
+        for r in range(token_shards.ROUNDS):
+            f = (right + seed * 0x9E3779B9 + r * 0x85EBCA6B + 1) * 0x9E3779B97F4A7C15 % 2**64
+            f = (f ^ f >> 31) * 0xD6E8FEB86659FD93 % 2**64
+            left, right = right, left ^ (f >> 29) % 2**half
+        i = left << half | right
+        if i < n:
+            return i
+
+
+def test_slots_hold_their_sequences(spark, tmp_path):
+    """Two corpora, one behind the other, in one folder: each slot has the sequence that the permutation puts there."""
+    path, how = f"file://{tmp_path}/s", {"tokenizer": f"{TOKENIZERS}/byte_bpe_50k.tiktoken", "length": 16, "per_shard": 4}
+    coder, rng = token_shards.byte_pieces(how["tokenizer"]), random.Random(3)
+    for size, seed in ((60, 1), (60, 2), (25, 2)):
+        texts = [words(rng, rng.randint(0, 40)) for _ in range(size)]
+        index = token_shards.write_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), path, seed=seed, **how)
+        raw = b"".join(coder.encode(t) + np.uint16(coder.eos).tobytes() for t in texts)
+        n = -(-len(raw) // 32)
+        raw += np.uint16(coder.eos).tobytes() * ((n * 32 - len(raw)) // 2)
+        got = {r["slot"]: bytes(r["tokens"]) for r in token_shards.read_shards(spark, path).collect()}
+        assert got == {feistel(i, n, seed): raw[32 * i : 32 * i + 32] for i in range(n)}
+        assert {r["slot"]: r["shard"] for r in index.collect()} == {s: s // 4 for s in range(n)}
 
 
 def test_pieces_in_spark(spark, docs, rows, none):

@@ -9,8 +9,12 @@
    again while the image is N or more (cycle-walking): a permutation of 0 .. N - 1, computed where the row is.
 4. Slots are dealt by ranges, which are known beforehand: a task gets adjacent shards and writes each of them as
    per_shard * length uint16 numbers in slot order, so slot s lies at s % per_shard * stride of shard s // per_shard,
-   and a reader may start at any slot. A shard appears under its name only when it is whole; shards that are there
-   with the right size are not written again.
+   and a reader may start at any slot. A shard appears under its name only when it is whole, and a run writes all of its
+   shards, whatever lies there. Last comes a manifest with the seed and the numbers of sequences; a reader
+   needs it and opens no shard beyond it, so shards of an earlier, longer run are not read.
+
+Sequences are shuffled zstd-compressed with a dictionary, the first DICTIONARY sequences of the table, which tasks get
+with their code; any sequences would do, they only change the size of what is shuffled.
 
 Defined cases: null and empty texts give a lone end-of-text id; texts of any length run over as many sequences as
 they need; equal rows are written each; a null id is noted as null; an empty table gives no shard and an empty
@@ -20,23 +24,26 @@ result; columns beyond id and text are not read.
 from __future__ import annotations
 
 import itertools
+import json
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.bpe_words import TOKENIZERS, byte_pieces
-from textloom.llm.common import shared_dir, table, text_or_empty, written
+from textloom.llm.common import discard, shared_dir, table, text_or_empty, written
 
 LENGTH, PER_SHARD, SEED, ROUNDS = 1024, 2048, 20240101, 6
 #: How the table of sequences is written: it is the largest scratch table, read once.
-PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
+PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "7", "parquet.page.size": str(8 << 20)}
+#: Sequences in the dictionary that the shuffled ones are compressed with, 1 MB of tokens at most.
+DICTIONARY = 512
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -99,46 +106,74 @@ def write_shards(docs: DataFrame, path: str, *, tokenizer: str, key: str = "doc_
     def slot_of(task: pd.Series, i: pd.Series) -> pd.Series:
         return pd.Series(permute(starts[task.to_numpy()] + i.to_numpy(), n, seed))
 
+    common = b"".join(bytes(r["tokens"]) for r in packed.select("tokens").limit(DICTIONARY).collect())
+
+    def shared() -> zstandard.ZstdCompressionDict:
+        return zstandard.ZstdCompressionDict(common, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
     @F.pandas_udf("binary")
-    def small(tokens: pd.Series) -> pd.Series:
-        return tokens.map(lambda t: pa.compress(t, codec="zstd", asbytes=True))
+    def small(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        coder = zstandard.ZstdCompressor(level=5, dict_data=shared())
+        for tokens in batches:
+            yield tokens.map(coder.compress)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = fs.FileSystem.from_uri(path)
         store.create_dir(root)
-        shard, parts = None, []
+        coder, shard, parts = zstandard.ZstdDecompressor(dict_data=shared()), None, []
 
         def close() -> None:
-            name, whole = f"{root}/shard-{shard:08d}.bin", b"".join(parts)
-            if store.get_file_info(name).size == len(whole):
-                return
+            name = f"{root}/shard-{shard:08d}.bin"
             own = f"{name}.{uuid.uuid4().hex}.part"
             with store.open_output_stream(own, compression=None) as out:
-                out.write(whole)
+                out.write(b"".join(parts))
+            if store.get_file_info(name).type != fs.FileType.NotFound:
+                store.delete_file(name)
             store.move(own, name)
 
         for b in batches:
+            b.insert(0, "shard", b["slot"] // per_shard)
             for s, t in zip(b["shard"].tolist(), b["tokens"]):
                 if s != shard:
                     if parts:
                         close()
                     shard, parts = s, []
-                parts.append(pa.decompress(t, 2 * length, codec="zstd", asbytes=True))
+                parts.append(coder.decompress(t))
             yield b.drop(columns="tokens")
         if parts:
             close()
 
     shards = max(1, -(-n // per_shard))
     tasks = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = packed.withColumn("slot", slot_of("task", "i")).withColumn("shard", F.floor(F.col("slot") / per_shard)).select("shard", "slot", small("tokens").alias("tokens"), "doc_ids", "n_tokens")
-    rows = rows.repartitionById(tasks, F.floor(F.col("shard") * tasks / shards).cast("int")).sortWithinPartitions("slot")
-    return written(rows.mapInPandas(write, "shard long, slot long, doc_ids array<long>, n_tokens int"), "shard-index")
-
-
-def read_shards(spark: SparkSession, path: str, *, length: int = LENGTH, per_shard: int = PER_SHARD, start: int = 0) -> DataFrame:
+    rows = packed.select(slot_of("task", "i").alias("slot"), small("tokens").alias("tokens"), "doc_ids", "n_tokens")
+    rows = rows.repartitionById(tasks, F.floor(F.floor(F.col("slot") / per_shard) * tasks / shards).cast("int")).sortWithinPartitions("slot")
+    _manifest(path, None)
+    index = written(rows.mapInPandas(write, "shard long, slot long, doc_ids array<long>, n_tokens int"), "shard-index")
+    _manifest(path, {"seed": seed, "sequences": n, "length": length, "per_shard": per_shard})
+    discard(packed)
+    return index
+
+
+def _manifest(path: str, found: dict | None) -> None:
+    """Writes the manifest of the shards below path, or deletes it."""
+    store, root = fs.FileSystem.from_uri(path)
+    store.create_dir(root)
+    name = f"{root}/manifest.json"
+    if store.get_file_info(name).type != fs.FileType.NotFound:
+        store.delete_file(name)
+    if found:
+        with store.open_output_stream(name, compression=None) as out:
+            out.write(json.dumps(found).encode())
+
+
+def read_shards(spark: SparkSession, path: str, *, start: int = 0) -> DataFrame:
     """(slot, tokens) from slot ``start`` on; earlier shards are not opened."""
+    store, root = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(f"{root}/manifest.json", compression=None) as f:
+        found = json.loads(f.read())
+    n, length, per_shard = found["sequences"], found["length"], found["per_shard"]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(path)
-    files = files.withColumn("shard", F.regexp_extract("path", r"shard-(\d+)\.bin$", 1).cast("long")).filter(F.col("shard") >= start // per_shard)
+    files = files.withColumn("shard", F.regexp_extract("path", r"shard-(\d+)\.bin$", 1).cast("long")).filter((F.col("shard") >= start // per_shard) & (F.col("shard") < -(-n // per_shard)))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -154,7 +189,5 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each sequence, in the shards as they are read back: slot, shard, its documents, tokens, SHA-256 of its bytes."""
     path = shared_dir(spark, "shards")
     index = write_shards(table(spark, sf_dir, "documents"), path, tokenizer=f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
-    if index.isEmpty():
-        return index.withColumn("sha256", F.lit("")).select("slot", "shard", "doc_ids", "n_tokens", "sha256")
     found = read_shards(spark, path).select("slot", F.sha2("tokens", 256).alias("sha256"))
     return index.join(found, "slot", "left").select("slot", "shard", "doc_ids", "n_tokens", "sha256")
