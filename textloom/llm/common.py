@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: White space of the word rules: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _own: dict[str, str] = {}
 
 
@@ -39,11 +41,19 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors. options: of the writer."""
+def written(df: DataFrame, label: str, batch_rows: int | None = None, **options: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
+
+    batch_rows: rows that Python workers get at once, where rows are short. options: of the writer.
+    """
     spark, path = df.sparkSession, shared_dir(df.sparkSession, label)
     bounded_batches(spark)
-    df.write.options(**options).parquet(path)
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, str(batch_rows or before))
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
     return spark.read.parquet(path)
 
 

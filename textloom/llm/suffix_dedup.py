@@ -43,6 +43,8 @@ from textloom.llm.common import discard, table, text_or_empty, written
 LENGTH, GRAM, WINDOW = 200, 8, 128
 #: Windows in a run at each level, by their distance from the sample.
 WIDTHS = (WINDOW, 16, 4, 1)
+#: Rows that a task hands on at once; they are of bounded size.
+AT_ONCE = 1 << 14
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _HIGH, _LOW, _HALF = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF), np.uint64(32)
@@ -104,9 +106,9 @@ _low = lambda: F.shiftright("place", 8).bitwiseAND(F.lit(255))
 _high = lambda: F.col("place").bitwiseAND(F.lit(255))
 
 
-def _names(rows: list[tuple[int, int, int, int, int]]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["name", "whole", "d", "r", "place"])
-    return out.astype({"name": "uint64", "whole": "uint64"}).astype("int64")
+def _names(name, whole, d, r, place) -> pd.DataFrame:
+    own = lambda x: np.array(x, np.uint64).view(np.int64)
+    return pd.DataFrame({"name": own(name), "whole": own(whole), "d": d, "r": r, "place": place}).astype("int64")
 
 
 def neighbours(names: DataFrame) -> DataFrame:
@@ -137,7 +139,7 @@ def neighbours(names: DataFrame) -> DataFrame:
 
     met = names.repartitionByRange(*key).sortWithinPartitions(*key).mapInPandas(marked, f"{NAMES}, task int, no long, up tinyint, down tinyint, edge boolean")
     met = met.filter("edge or up > 0 or down > 0").select("d", "r", "place", "up", "down", "edge", *[F.when(F.col("edge"), F.col(c)).alias(c) for c in ("name", "whole", "task", "no")])
-    met = written(met, "neighbours")
+    met = written(met, "neighbours", batch_rows=AT_ONCE)
     tasks = Window.orderBy("task", "no")  # two rows of each task
 
     def across(move: Callable[[str], Column]) -> Column:
@@ -151,22 +153,36 @@ def neighbours(names: DataFrame) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(d, r, first, last): ranges of starts of repeated windows; docs as _documents() gives them."""
+    shared = length - WINDOW + 1
 
     def sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for d, r, t in zip(b["d"].tolist(), b["r"].tolist(), b["t"]):
+            name, whole, d, r, place = [], [], [], [], []
+            for one, two, t in zip(b["d"], b["r"], b["t"]):
                 raw = t.encode("utf-8", "surrogatepass")
-                for a, f, e in zip(*(x.tolist() for x in samples(raw, length))):
-                    rows += [(n, w, d, r, a << 16 | low << 8 | high) for n, w, low, high in named(raw, a, a - e, a - f, WINDOW, length)]
-            yield _names(rows)
+                at, first, last = samples(raw, length)
+                low, high = at - last, at - first
+                name += [xxhash.xxh3_64_intdigest(raw[a : a + shared]) for a in at.tolist()]
+                whole += [xxhash.xxh3_64_intdigest(raw[f : e + length], seed=h + 1) for f, e, h in zip(first.tolist(), last.tolist(), high.tolist())]
+                d.append(np.full(len(at), one))
+                r.append(np.full(len(at), two))
+                place.append(at << 16 | low << 8 | high)
+                if len(name) > AT_ONCE:
+                    yield _names(name, whole, *map(np.concatenate, (d, r, place)))
+                    name, whole, d, r, place = [], [], [], [], []
+            if name:
+                yield _names(name, whole, *map(np.concatenate, (d, r, place)))
 
     def covered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for d, r, t, places in zip(b["d"], b["r"], b["t"], b["places"]):
                 raw = t.encode("utf-8", "surrogatepass")
-                rows += [(d, r, p, raw[(p >> 16) - (p & 255) : (p >> 16) - (p >> 8 & 255) + length]) for p in places.tolist()]
+                for k in range(0, len(places), AT_ONCE):
+                    rows += [(d, r, p, raw[(p >> 16) - (p & 255) : (p >> 16) - (p >> 8 & 255) + length]) for p in places[k : k + AT_ONCE].tolist()]
+                    if len(rows) > AT_ONCE:
+                        yield pd.DataFrame(rows, columns=["d", "r", "place", "raw"])
+                        rows = []
             yield pd.DataFrame(rows, columns=["d", "r", "place", "raw"])
 
     def finer(width: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -176,7 +192,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 for d, r, place, raw, runs in zip(b["d"].tolist(), b["r"].tolist(), b["place"].tolist(), b["raw"], b["runs"]):
                     for p in runs.tolist():
                         rows += [(n, w, d, r, p >> 16 << 16 | low << 8 | high) for n, w, low, high in named(raw, place & 255, p >> 8 & 255, p & 255, width, length)]
-                yield _names(rows)
+                yield _names(*(zip(*rows) if rows else [()] * 5))
 
         return cut
 
@@ -197,7 +213,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         else:
             those = apart.groupBy("d", "r", _at().alias("at")).agg(F.collect_set("place").alias("runs"))
             cut = parts.withColumn("at", _at()).join(those, ["d", "r", "at"]).drop("at")
-        names = written(cut.mapInPandas(finer(below), NAMES), "names")
+        names = written(cut.mapInPandas(finer(below), NAMES), "names", batch_rows=AT_ONCE // 8)
     return out
 
 
