@@ -254,6 +254,48 @@ def test_levels_of_chains(spark):
     assert len(got) == len(want) and {(r["conv_id"], r["call_id"]): r["level"] for r in got} == want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_levels_of_lists(spark, seed):
+    """Several needs a call, some in a cycle or missing, against a plain search."""
+    rng = random.Random(seed)
+    ids = [f"c{k}" for k in range(40)]
+    needs = {x: {rng.choice(ids[:k] if k and rng.random() < 0.96 else [*ids, "gone"]) for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))} for k, x in enumerate(ids)}
+    level, more = {}, True
+    while more:
+        new = {x: 1 + max((level[y] for y in n), default=-1) for x, n in needs.items() if x not in level and all(y in level for y in n)}
+        level |= new
+        more = bool(new)
+    rows = [(7, x, y) for x, n in needs.items() for y in (n or {None})]
+    got = chat_format.levels(spark.createDataFrame(rows, "conv_id long, call_id string, after string")).collect()
+    assert {r["call_id"]: r["level"] for r in got} == level and len(got) == len(level)
+
+
+def test_calls_keep_their_own_needs(spark):
+    call = "array<struct<id:string,name:string,arguments:string>>"
+    rows = [
+        (1, 0, [("a", "lookup", '{"query":"q"}'), ("b", "lookup", '{"query":"q","after":"a"}'), ("d", "lookup", '{"query":"q","after":["b"]}'), ("d", "lookup", '{"query":"q","after":"a"}')]),
+        (1, 1, [("e", "lookup", '{"query":"q","after":["a","d"]}'), ("f", "lookup", '{"query":"q","after":["a","gone"]}'), ("g", "lookup", '{"query":"q","after":[1]}')]),
+        (1, 1, [("e", "lookup", '{"query":"q","after":["a","d"]}')]),
+        (None, 0, [("a", "lookup", '{"query":"q"}'), ("b", "lookup", '{"query":"q","after":"a"}')]),
+    ]
+    m = spark.createDataFrame([(c, t, "user", None, x, None, "mine") for c, t, x in rows], f"conv_id long, turn long, role string, content string, calls {call}, answers string, level string")
+    got = [r for r in chat_format.format_chats(m).collect() if r["kind"] == "call"]
+    assert Counter((r["conv_id"], r["call_id"], r["level"], r["valid"]) for r in got) == Counter(
+        {(1, "a", 0, True): 1, (1, "b", 1, True): 1, (1, "d", 2, True): 1, (1, "d", 1, True): 1, (1, "e", 3, True): 2, (1, "f", None, True): 1, (1, "g", None, False): 1, (None, "a", 0, True): 1, (None, "b", None, True): 1}
+    )
+
+
+def test_arguments_have_one_form(spark):
+    same = ['{"n":1e2}', '{ "n" : 100 }', '{"n":100.0}', '{"n":1.00E+2}']
+    more = [r'{"n":"1e2 \" 1.50","m":[1.50,-0.0,2e-3]}', '{"n":1e40}', '{"n":-12.5,"b":{"z":1,"a":true}}']
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in [*same, *more]], "raw string").select(F.to_json(F.try_parse_json(chat_format.one_form(F.col("raw"))))).collect()]
+    assert got[:4] == ['{"n":100}'] * 4 and got[4] == r'{"m":[1.5,0,0.002],"n":"1e2 \" 1.50"}' and got[6] == '{"b":{"a":true,"z":1},"n":-12.5}'
+    schema = {"type": "object", "additionalProperties": False, "required": ["a"], "properties": {"a": {"type": "object", "required": ["k"], "properties": {"k": {"enum": ["x", 2]}}}, "l": {"type": "array", "items": {"type": "integer"}}}}
+    cases = {'{"a":{"k":"x"}}': True, '{"a":{"k":2.0,"more":1}}': True, '{"a":{"k":"y"}}': False, '{"a":{}}': False, '{"a":3}': False, '{"a":{"k":"x"},"l":[1,2]}': True, '{"a":{"k":"x"},"l":[1,"2"]}': False, '{"a":{"k":"x"},"l":[1.5]}': False, '{"a":{"k":"x"},"z":1}': False, "[1]": False, "3": False}
+    d = spark.createDataFrame([(x,) for x in cases], "raw string").withColumn("v", F.try_parse_json(chat_format.one_form(F.col("raw"))))
+    assert {r["raw"]: r["ok"] for r in d.select("raw", chat_format.valid(F.lit("t"), F.col("v"), {"t": schema}).alias("ok")).collect()} == cases
+
+
 def brute_repeats(texts, length):
     seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     for t in texts:

@@ -2,62 +2,105 @@
 
 Messages carry the calls that they make and the id of the call that they answer. Calls and results meet in an equi
 join on (conversation, call id); results are brought to one row an id first, so ids that many rows share cost no
-product. A call may name the calls that it needs in its argument ``after``; its level is one more than the highest
-of theirs, found by joins over the calls that are still open, whose steps double with each round, so (level, turn,
-kind) puts every call behind what it needs and every result behind its call. Arguments are parsed, checked against the tool's
-schema and written with sorted keys.
+product. A call may name the calls that it needs, one id or a list of them, in its argument ``after``; its level is one
+more than the highest of theirs, so (level, turn, kind) puts every call behind what it needs and every result behind
+its call. Levels come from joins over the ids that are still open: each round replaces an id with one open need by
+what that one stands for, so chains take rounds in the logarithm of their length, and ids with several open needs take one round for
+each such id on the deepest path. Arguments are brought to one form for each number, parsed, checked against the
+tool's JSON schema (types, enum, properties, required, additionalProperties, items) and written with sorted keys.
 
 Defined cases: a null or empty content is written as an empty string; a null role as "unknown"; a repeated call id
-links each of its calls to the first answer; a result without a call is an unlinked result; malformed arguments
+links each of its calls to the first answer, and who needs that id stands behind all of its calls, each of which keeps its own
+needs and level; a result without a call is an unlinked result and has no level; malformed arguments
 are invalid, written as a JSON string of what they were, and need nothing; calls in a cycle, or behind a missing
-call, have no level; an empty table gives an empty result; columns beyond those named below are not read.
+call, have no level; a null conv_id links nothing; repeated message rows are written each; numbers outside 20 digits before
+and 18 behind the point are doubles; an empty table gives an empty result; columns beyond those named below are not read.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import table, written
+from textloom.llm.common import let, table, written
 
-#: tool -> argument -> (JSON kinds that it may have, required)
+_AFTER = {"type": ["string", "array"], "items": {"type": "string"}}
+#: tool -> JSON schema of its arguments
 SCHEMAS = {
-    "search": {"query": (("STRING",), True), "limit": (("BIGINT",), True), "after": (("STRING",), False)},
-    "lookup": {"query": (("STRING",), True), "after": (("STRING",), False)},
+    "search": {"type": "object", "properties": {"query": {"type": "string"}, "limit": {"type": "integer"}, "after": _AFTER}, "required": ["query", "limit"]},
+    "lookup": {"type": "object", "properties": {"query": {"type": "string"}, "after": _AFTER}, "required": ["query"]},
 }
 
+#: JSON type -> what schema_of_variant() says of its values
+KINDS = {"string": "STRING", "integer": r"BIGINT|DECIMAL\(\d+,0\)", "number": r"BIGINT|DOUBLE|DECIMAL\(\d+,\d+\)", "boolean": "BOOLEAN", "null": "VOID", "object": "OBJECT<.*", "array": "ARRAY<.*"}
+TOKENS = r'("(?:[^"\\]|\\.)*"|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|[^"\d-]+|.)'
+
+
+def one_form(raw: Column) -> Column:
+    """JSON text with every number of a point or an exponent as a plain decimal without trailing zeros, if a decimal can hold it."""
+
+    def plain(token: Column) -> Column:
+        exact = token.try_cast("decimal(38,18)")
+        short = F.regexp_replace(F.regexp_replace(exact.cast("string"), r"0+$", ""), r"\.$", "")
+        return F.when(exact.cast("double") == token.try_cast("double"), F.when(exact == 0, "0").otherwise(short)).otherwise(token)
+
+    number = lambda x: x.rlike(r"^-?\d.*[.eE]|^-0$")
+    whole = F.array_join(F.transform(F.regexp_extract_all(raw, F.lit(TOKENS), F.lit(1)), lambda x: F.when(number(x), plain(x)).otherwise(x)), "")
+    return F.when(raw.rlike(r"\d[.eE]|-0"), whole).otherwise(raw)
 
-def field(arguments: Column, name: str) -> Column:
-    return F.try_variant_get(arguments, f"$.{name}", "variant")
+
+def fits(value: Column, schema: dict) -> Column:
+    """Whether a variant meets a JSON schema; null if there is no value."""
+    kind = F.schema_of_variant(value)
+    ok = F.lit(True)
+    if "type" in schema:
+        types = [schema["type"]] if isinstance(schema["type"], str) else schema["type"]
+        ok = kind.rlike("^(?:" + "|".join(KINDS[t] for t in types) + ")$")
+    if "enum" in schema:
+        ok = ok & F.to_json(value).isin([json.dumps(x, ensure_ascii=False, separators=(",", ":"), sort_keys=True) for x in schema["enum"]])
+    for name, below in schema.get("properties", {}).items():
+        child = F.try_variant_get(value, f"$['{name}']", "variant")
+        ok = ok & (~kind.startswith("OBJECT<") | F.coalesce(fits(child, below), F.lit(name not in schema.get("required", []))))
+    if schema.get("additionalProperties") is False:
+        keys = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
+        ok = ok & F.coalesce(F.size(F.array_except(keys, F.array(*map(F.lit, schema.get("properties", {}))).cast("array<string>"))) == 0, F.lit(True))
+    if "items" in schema:
+        ok = ok & F.coalesce(F.forall(F.try_variant_get(value, "$", "array<variant>"), lambda x: fits(x, schema["items"])), F.lit(True))
+    return ok
 
 
 def valid(tool: Column, arguments: Column, schemas: dict) -> Column:
-    """Whether parsed arguments are an object that meets the tool's schema; false for unknown tools and null arguments."""
-    out = None
-    for name, fields in schemas.items():
-        ok = F.schema_of_variant(arguments).startswith("OBJECT<")
-        for key, (kinds, required) in fields.items():
-            kind = F.schema_of_variant(field(arguments, key))
-            ok = ok & F.coalesce(kind.isin(*kinds), F.lit(not required))
-        out = F.when(tool == name, ok) if out is None else out.when(tool == name, ok)
-    return F.coalesce(out & arguments.isNotNull(), F.lit(False))
-
-
-def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of the calls that an order exists for; calls: (conv_id, call_id, after).
-
-    An open call holds a call that it needs, over ``level`` steps; a round replaces it by what that one holds, so
-    steps double. What is open when steps exceed the calls of the longest conversation stands in or behind a cycle.
+    """Whether parsed arguments meet the tool's schema; false for unknown tools and null arguments."""
+    out = F.lit(False)
+    for name, schema in schemas.items():
+        out = F.when(tool == name, fits(arguments, schema)).otherwise(out)
+    return F.coalesce(out, F.lit(False))
+
+
+def levels(needs: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level) of the ids that an order exists for; needs: (conv_id, call_id, after), a row for each id needed, or one with null.
+
+    Rows of ``front`` say that an id's level is w at least (to is null), or w more than that of ``to``. A round puts
+    what is known of each ``to`` with at most one open need in its place. The ids that no round
+    resolves stand in or behind a cycle or a missing call.
     """
-    level = F.when(F.col("after").isNull(), 0).otherwise(1)
-    state = written(calls.groupBy("conv_id", "call_id").agg(F.max("after").alias("after")).withColumn("level", level), "calls")
-    longest = state.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0  # one number
-    done, open_, steps = state.filter("after is null"), state.filter("after is not null"), 1
-    while steps <= longest and not open_.isEmpty():
-        at = done.unionByName(open_).select("conv_id", F.col("call_id").alias("after"), F.col("after").alias("next"), F.col("level").alias("more"))
-        met = written(open_.join(at, ["conv_id", "after"]).select("conv_id", "call_id", F.col("next").alias("after"), (F.col("level") + F.col("more")).alias("level")), "steps")
-        done, open_, steps = done.unionByName(met.filter("after is null")), met.filter("after is not null"), 2 * steps
-    return done.select("conv_id", "call_id", "level")
+    w = F.when(F.col("after").isNull(), 0).otherwise(1)
+    front = written(needs.select("conv_id", "call_id", F.col("after").alias("to"), w.alias("w")).distinct(), "needs")
+    before = None
+    while True:
+        known = front.groupBy("conv_id", F.col("call_id").alias("to")).agg(F.count("to").alias("open"), F.max(F.when(F.col("to").isNull(), F.col("w"))).alias("base"), F.max(F.when(F.col("to").isNotNull(), F.struct("to", "w"))).alias("one"))
+        now = known.filter("open > 0").count()
+        if now in (0, before):
+            return known.filter("open = 0").select("conv_id", F.col("to").alias("call_id"), F.col("base").alias("level"))
+        before = now
+        met = front.filter("to is not null").join(known.filter("open < 2"), ["conv_id", "to"], "left")
+        none = F.lit(None).cast("string")
+        base = F.when(F.col("base").isNotNull(), F.struct(none.alias("to"), (F.col("w") + F.col("base")).alias("w")))
+        ahead = F.when(F.col("open").isNull(), F.struct("to", "w")).when(F.col("open") == 1, F.struct(F.col("one.to").alias("to"), (F.col("w") + F.col("one.w")).alias("w")))
+        met = met.select("conv_id", "call_id", F.inline(F.array_compact(F.array(base, ahead))))
+        front = written(front.filter("to is null").unionByName(met).groupBy("conv_id", "call_id", "to").agg(F.max("w").alias("w")), "needs")
 
 
 def format_chats(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
@@ -67,18 +110,23 @@ def format_chats(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     """
     role, content = F.coalesce("role", F.lit("unknown")), F.coalesce("content", F.lit(""))
     said = messages.select("conv_id", "turn", F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("boolean").alias("linked"), F.lit(None).cast("boolean").alias("valid"), F.to_json(F.struct(content.alias("content"), role.alias("role"))).alias("json"))
-    calls = messages.select("conv_id", "turn", F.explode("calls").alias("c")).select("conv_id", "turn", F.col("c.id").alias("call_id"), F.col("c.name").alias("tool"), F.col("c.arguments").alias("raw"))
-    calls = calls.withColumn("arguments", F.try_parse_json("raw"))
-    calls = calls.withColumn("after", F.try_variant_get("arguments", "$.after", "string"))
+    calls = messages.select("conv_id", "turn", F.posexplode("calls").alias("place", "c")).select("conv_id", "turn", "place", F.col("c.id").alias("call_id"), F.col("c.name").alias("tool"), F.col("c.arguments").alias("raw"))
+    calls = calls.withColumn("arguments", F.try_parse_json(one_form(F.col("raw")))).withColumn("node", F.xxhash64("turn", "place", "call_id", "tool", "raw"))
+    after = let(F.try_variant_get("arguments", "$.after", "variant"), lambda x: F.when(F.schema_of_variant(x).startswith("ARRAY<"), F.try_variant_get(x, "$", "array<string>")).otherwise(F.array(F.try_variant_get(x, "$", "string"))))
+    needs = calls.select("conv_id", "call_id", "node", F.explode_outer(F.array_distinct(F.array_compact(after))).alias("after"))
     results = messages.filter("answers is not null").select("conv_id", F.col("answers").alias("call_id"), "turn", content.alias("content"))
     first = results.groupBy("conv_id", "call_id").agg(F.min("turn").alias("answered"))
-    known = calls.groupBy("conv_id", "call_id").agg(F.lit(True).alias("linked"))
-    at = levels(calls.select("conv_id", "call_id", "after"))
+    at = levels(needs.select("conv_id", "call_id", "after"))
+    known = calls.select("conv_id", "call_id").distinct().join(at, ["conv_id", "call_id"], "left").withColumn("linked", F.lit(True))
+    below = needs.filter("after is not null").select("conv_id", "node", "after").distinct().join(at.select("conv_id", F.col("call_id").alias("after"), F.col("level").alias("below")), ["conv_id", "after"], "left")
+    below = below.groupBy("conv_id", "node").agg(F.when(F.count("below") == F.count("*"), F.max("below") + 1).otherwise(-1).alias("level"))
+    below = below.withColumnsRenamed({"conv_id": "__conv", "node": "__node"})
+    calls = calls.join(below, F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("node") == F.col("__node")), "left").withColumn("level", F.coalesce("level", F.lit(0)))
     ok = valid(F.col("tool"), F.col("arguments"), schemas)
     written_arguments = F.when(F.col("arguments").isNotNull(), F.to_json("arguments")).otherwise(quoted(F.coalesce("raw", F.lit(""))))
     call_json = F.concat(F.lit('{"arguments":'), written_arguments, F.lit(',"id":'), quoted(F.coalesce("call_id", F.lit(""))), F.lit(',"tool":'), quoted(F.coalesce("tool", F.lit(""))), F.lit("}"))
-    asked = calls.join(first, ["conv_id", "call_id"], "left").join(at, ["conv_id", "call_id"], "left").select("conv_id", "turn", F.lit("call").alias("kind"), "call_id", "level", F.col("answered").isNotNull().alias("linked"), ok.alias("valid"), call_json.alias("json"))
-    got = results.join(known, ["conv_id", "call_id"], "left").join(at, ["conv_id", "call_id"], "left").select("conv_id", "turn", F.lit("result").alias("kind"), "call_id", "level", F.coalesce("linked", F.lit(False)).alias("linked"), F.lit(None).cast("boolean").alias("valid"), F.to_json(F.struct(F.col("content"), F.col("call_id").alias("id"))).alias("json"))
+    asked = calls.join(first, ["conv_id", "call_id"], "left").select("conv_id", "turn", F.lit("call").alias("kind"), "call_id", F.nullif("level", F.lit(-1)).alias("level"), F.col("answered").isNotNull().alias("linked"), ok.alias("valid"), call_json.alias("json"))
+    got = results.join(known, ["conv_id", "call_id"], "left").select("conv_id", "turn", F.lit("result").alias("kind"), "call_id", "level", F.coalesce("linked", F.lit(False)).alias("linked"), F.lit(None).cast("boolean").alias("valid"), F.to_json(F.struct(F.col("content"), F.col("call_id").alias("id"))).alias("json"))
     return said.unionByName(asked).unionByName(got)
 
 
