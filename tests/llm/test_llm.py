@@ -1,5 +1,6 @@
 """The operators on small cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import gzip
 import hashlib
 import os
 import random
@@ -225,6 +226,29 @@ def test_warc(spark, none, tmp_path):
     assert warc.read_records(spark, f"file://{tmp_path}/x").filter("type = 'revisit'").count() == 2
 
 
+def test_warc_of_others(spark, tmp_path):
+    """Archives of other writers: lower-case names, no blank behind the colon, several concurrent-to, no gzip, one gzip member for all."""
+    def rec(kind, name, body, *more):
+        head = [f"warc-type:{kind}", f"WARC-RECORD-ID: <{name}>", f"Content-Length:   {len(body)}", *more]
+        return ("WARC/1.0\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + body + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\n\r\n"
+    one = rec("warcinfo", "i", b"x") + rec("response", "a", http + b"hello\r\n\r\nyou") + rec("Response", "b", http) + rec("metadata", "m", b"page-id: 5", "WARC-Concurrent-To: <a>", "warc-concurrent-to:<b>") + rec("metadata", "k", b"page-id: 6", "WARC-Concurrent-To: <a>")
+    two = rec("request", "q", b"GET / HTTP/1.1\r\n\r\n", "WARC-Concurrent-To: <c>") + b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <c>\r\n\r\n" + http + b"rest"
+    (tmp_path / "one.warc").write_bytes(one)
+    (tmp_path / "two.warc.gz").write_bytes(gzip.compress(two))
+    (tmp_path / "none.warc").write_bytes(b"")
+    got = {r["record_id"]: r for r in warc.captures(warc.read_records(spark, f"file://{tmp_path}")).withColumn("page", warc.page_id()).collect()}
+    assert {k: (r["page"], bytes(r["response"]["payload"]), r["n_requests"], r["n_metadata"]) for k, r in got.items()} == {"<a>": (6, b"hello\r\n\r\nyou", 0, 2), "<b>": (5, b"", 0, 1), "<c>": (None, b"rest", 1, 0)}
+    assert got["<c>"]["request"]["id"] == "<q>" and got["<b>"]["response"]["payload_digest"] == warc.base32_sha1(b"")
+
+
+def test_null_page_id_is_the_response(spark, tmp_path):
+    spark.createDataFrame([(None, "x", "same"), (3, "y", "same"), (4, "z", "other")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = warc.op6_warc(spark, str(tmp_path)).collect()
+    assert {(r["page_id"], r["record_type"], r["refers_to"]) for r in got} == {(None, "response", None), (3, "revisit", None), (4, "response", None)} and {r["payload_bytes"] for r in got} == {4, 5}
+
+
 def test_chats(spark):
     call = "array<struct<id:string,name:string,arguments:string>>"
     rows = [

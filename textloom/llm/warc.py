@@ -6,11 +6,16 @@ most ``file_bytes`` of uncompressed records plus one transaction, since a reader
 name holds the task's number, and a file appears under it only when it is whole, so a task that runs again
 overwrites its own files with the same bytes.
 
-``read_captures`` reads archives with Spark's binary reader, splits them into records, and joins request, response
-and metadata records through the concurrent-to identifiers to one nested row for each capture. A revisit gets the
+``read_records`` reads archives, gzipped or not, with Spark's binary reader and splits them into records;
+``captures`` brings request, response and metadata records together through the concurrent-to identifiers, each of
+which a record may have several of, to one nested row for each capture. Archives are read once: the records meet in one
+shuffle by the response's identifier, and only the columns asked for take part. A revisit gets the
 length and the digest of its payload from the response that it refers to.
 
-Defined cases: a null or empty payload is a response or revisit like others, of 0 bytes; equal rows are told apart by
+Defined cases: a null id counts as the smallest, so it is the response of equal payloads, and what refers to it has a null
+refers_to; of several requests or metadata records of one response the one with the smallest identifier is in the
+row, which has their numbers; header names have any case; a record without Content-Length reaches to the end of its
+gzip member or file; a record without a type or an identifier is in no capture; a null or empty payload is a response or revisit like others, of 0 bytes; equal rows are told apart by
 their place among those with the same id and payload; a null url is written as an empty one; a null id is written
 as no id and read as null; an empty table gives no file and an empty result; columns beyond id, url and html are
 not read. Records of other types, and requests or metadata without a response, are left out of captures.
@@ -20,9 +25,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyarrow import fs
@@ -36,7 +42,7 @@ FILE_BYTES = 32 << 20
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-RECORD = "type string, record_id string, concurrent_to string, refers_to string, target_uri string, http string, payload binary, payload_bytes long, payload_digest string, fields string"
+RECORD = "type string, record_id string, concurrent_to array<string>, refers_to string, target_uri string, http string, payload binary, payload_bytes long, payload_digest string, fields string"
 
 
 def base32_sha1(raw: bytes) -> str:
@@ -117,19 +123,51 @@ def write_warc(pages: DataFrame, path: str, *, key: str = "page_id", url: str =
     return written(kept.mapInPandas(write, "file string, captures long"), "warc-files")
 
 
-def parse(raw: bytes) -> tuple:
-    """A RECORD of one WARC record's bytes."""
-    head, _, body = raw.partition(b"\r\n\r\n")
-    h = dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
-    body = body[: int(h["Content-Length"])]
-    kind, http, payload, fields = h["WARC-Type"], None, None, None
+def records_in(raw: bytes) -> Iterator[tuple]:
+    """A RECORD for each of the WARC records that stand one behind the other in raw."""
+    at = 0
+    while True:
+        while raw[at : at + 2] == b"\r\n":
+            at += 2
+        end = raw.find(b"\r\n\r\n", at)
+        if end < 0:
+            return
+        h: dict[str, list[str]] = {}
+        for line in raw[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+            name, _, value = line.partition(":")
+            h.setdefault(name.strip().lower(), []).append(value.strip())
+        one = lambda name: h.get(name, [None])[0]  # noqa: B023, E731
+        size = one("content-length") or ""
+        at = min(len(raw), end + 4 + int(size)) if size.isdigit() else len(raw)
+        yield parse(one, h.get("warc-concurrent-to", []), raw[end + 4 : at])
+
+
+def parse(one: Callable[[str], str | None], concurrent: list[str], body: bytes) -> tuple:
+    """A RECORD of a record's headers and block."""
+    kind, http, payload, fields = (one("warc-type") or "").lower(), None, None, None
     if kind in ("request", "response", "revisit"):
         top, _, payload = body.partition(b"\r\n\r\n")
         http = top.decode("utf-8", "replace")
     else:
         fields = body.decode("utf-8", "replace")
     full = kind == "response"
-    return (kind, h["WARC-Record-ID"], h.get("WARC-Concurrent-To"), h.get("WARC-Refers-To"), h.get("WARC-Target-URI", ""), http, payload if full else None, len(payload) if full else None, base32_sha1(payload) if full else h.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None, fields)
+    digest = base32_sha1(payload) if full else (one("warc-payload-digest") or "").removeprefix("sha1:") or None
+    return (kind, one("warc-record-id"), concurrent, one("warc-refers-to"), one("warc-target-uri") or "", http, payload if full else None, len(payload) if full else None, digest, fields)
+
+
+def members(content: bytes) -> Iterator[bytes]:
+    """The gzip members of an archive, one by one; an archive without gzip as it is."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
+    view, at = memoryview(content), 0
+    while at < len(view):
+        z, parts, step = zlib.decompressobj(31), [], 1 << 16
+        while not z.eof and at < len(view):
+            parts.append(z.decompress(view[at : at + step]))
+            at += step
+        at = min(at, len(view)) - len(z.unused_data)
+        yield b"".join(parts)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -139,31 +177,22 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         names = [x.split()[0] for x in RECORD.split(", ")]
         for b in batches:
             for content in b["content"]:
-                rows, view, at = [], memoryview(content), 0
-                while at < len(view):
-                    z = zlib.decompressobj(31)
-                    one = z.decompress(view[at : at + (1 << 16)])
-                    used = min(1 << 16, len(view) - at)
-                    while not z.eof and at + used < len(view):
-                        one += z.decompress(view[at + used : at + used + (1 << 16)])
-                        used = min(used + (1 << 16), len(view) - at)
-                    at += used - len(z.unused_data)
-                    rows.append(parse(one))
-                    if len(rows) == 512:
-                        yield pd.DataFrame(rows, columns=names).astype({"payload_bytes": "Int64"})
-                        rows = []
-                yield pd.DataFrame(rows, columns=names).astype({"payload_bytes": "Int64"})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path)
+                found = (r for m in members(content) for r in records_in(m))
+                while rows := list(itertools.islice(found, 512)):
+                    yield pd.DataFrame(rows, columns=names).astype({"payload_bytes": "Int64"})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,warc.gz}").load(path)
     return files.select("content").mapInPandas(split, RECORD)
 
 
 def captures(records: DataFrame) -> DataFrame:
-    """(record_id, request, response, metadata): one nested row for each response or revisit record."""
-    ask = records.filter("type = 'request'").select(F.col("concurrent_to").alias("record_id"), F.struct(F.col("record_id").alias("id"), "target_uri", "http").alias("request"))
-    about = records.filter("type = 'metadata'").select(F.col("concurrent_to").alias("record_id"), F.struct(F.col("record_id").alias("id"), "fields").alias("metadata"))
-    main = records.filter("type in ('response', 'revisit')").select("record_id", F.struct("type", "refers_to", "target_uri", "http", "payload", "payload_bytes", "payload_digest").alias("response"))
-    return main.join(ask, "record_id", "left").join(about, "record_id", "left")
+    """(record_id, request, response, metadata, n_requests, n_metadata): one nested row for each response or revisit record."""
+    main = F.col("type").isin("response", "revisit")
+    ends = records.withColumn("capture", F.explode(F.when(main, F.array("record_id")).otherwise(F.array_distinct("concurrent_to")))).filter("capture is not null")
+    own = {c: F.any_value(F.when(main, F.col(c)), True) for c in ("type", "refers_to", "target_uri", "http", "payload", "payload_bytes", "payload_digest")}
+    least = lambda kind, *more: F.min(F.when(F.col("type") == kind, F.struct(F.col("record_id").alias("id"), *more)))
+    by = ends.groupBy("capture").agg(*[v.alias(f"r_{c}") for c, v in own.items()], least("request", "target_uri", "http").alias("request"), least("metadata", "fields").alias("metadata"), F.count_if(F.col("type") == "request").alias("n_requests"), F.count_if(F.col("type") == "metadata").alias("n_metadata"))
+    return by.filter("r_type is not null").select(F.col("capture").alias("record_id"), "request", F.struct(*[F.col(f"r_{c}").alias(c) for c in own]).alias("response"), "metadata", "n_requests", "n_metadata")
 
 
 def page_id():
