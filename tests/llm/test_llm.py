@@ -355,7 +355,8 @@ def test_fingerprints(spark, docs, rows, none, tmp_path):
     for name, d in (("full", docs.drop("score", "ids")), ("none", none)):
         d.write.parquet(f"{tmp_path}/{name}/documents.parquet")
     got = imatch.op9_imatch(spark, f"{tmp_path}/full").collect()
-    order = sorted(((-(2**63) if k is None else k, t or "") for k, t, *_ in rows))
+    hashed = {r["t"]: r["h"] for r in spark.createDataFrame([(t or "",) for _, t, *_ in rows], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    order = [(k, t) for k, _, t in sorted((-(2**63) if k is None else k, hashed[t or ""], t or "") for k, t, *_ in rows)]
     want = Counter()
     for i, (k, t) in enumerate(order):
         after, half = order[(i + 1) % len(order)][1], len(t) // 2
@@ -383,17 +384,51 @@ def test_imatch_counts_each_term(spark, tmp_path):
     def fingerprint(text):
         every = sorted(xxhash.xxh3_64_intdigest(w.encode()) for w in set(text.lower().split()))
         kept = sorted(xxhash.xxh3_64_intdigest(w.encode()) for w in set(text.lower().split()) if df[w] and 0.2 <= np.log(40 / df[w]) / np.log(40) <= 0.95)
-        out = []
-        for k in range(imatch.SUBSETS):
-            m = [h for h in kept if (lambda x: (x ^ (x >> 29)) * 0x9E3779B97F4A7C15 % 2**64)((h ^ int(imatch._SEEDS[k])) * 0x9E3779B97F4A7C15 % 2**64) < int(imatch._LIMITS[k])]
-            out.append(xxhash.xxh3_64_intdigest(np.array(m or every, np.uint64).tobytes(), seed=k if m else 0) & 0xFFFFFFFF)
-        return np.array(out, np.uint32).tobytes().hex()
+        if not kept:
+            return 0, {0: xxhash.xxh3_64_intdigest(np.array(every, np.uint64).tobytes()) & 0xFFFFFFFF}
+        octave, out = int(np.log2(len(kept))), {}
+        for level in range(octave + 1, octave + 4):
+            for f in range(imatch.FAMILIES):
+                m = [h for h in kept if (lambda x: (x ^ (x >> 29)) * 0x9E3779B97F4A7C15 % 2**64)((h ^ int(imatch._SEEDS[f])) * 0x9E3779B97F4A7C15 % 2**64) < 2.0 ** (64 - level)]
+                if m:
+                    out[level, f] = xxhash.xxh3_64_intdigest(np.array(m, np.uint64).tobytes(), seed=(level - 1) * imatch.FAMILIES + f) & 0xFFFFFFFF
+        return octave + 1, out
+
+    def written_out(mark):
+        octave, own = mark
+        return np.array([octave, *(own.get((octave + k, f) if octave else (k or f), 0) for k in range(imatch.LEVELS) for f in range(imatch.FAMILIES))], np.uint32).tobytes().hex()
+
+    def near(a, b):
+        if not a[0] or not b[0]:
+            return float(a == b)
+        both = {(k, f) for k in range(max(a[0], b[0]), min(a[0], b[0]) + 3) for f in range(imatch.FAMILIES)} & (a[1].keys() | b[1].keys())
+        return sum(a[1].get(x) == b[1].get(x) for x in both) / len(both) if both else 0.0
 
     spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     for r in imatch.op9_imatch(spark, str(tmp_path)).collect():
         t, after = texts[r["doc_id"]], texts[(r["doc_id"] + 1) % 40]
-        assert r["fingerprint"] == fingerprint(t)
-        assert r["edited_fingerprint"] == fingerprint(t[: len(t) - len(t) // 2] + after[: len(t) // 2])
+        own, edited = fingerprint(t), fingerprint(t[: len(t) - len(t) // 2] + after[: len(t) // 2])
+        assert r["fingerprint"] == written_out(own) and r["edited_fingerprint"] == written_out(edited)
+        assert abs(r["near_edited"] - near(own, edited)) < 1e-9 and abs(r["near_next"] - near(own, fingerprint(after))) < 1e-9
+
+
+def test_imatch_tells_edits_from_others(spark, sf):
+    got = imatch.op9_imatch(spark, sf.replace("sf0.001", "sf0.01")).agg(F.avg("near_edited"), F.avg("near_next"), F.avg((F.col("near_edited") > F.col("near_next")).cast("int"))).first()
+    assert got[0] > 0.15 and got[1] < 0.05 and got[2] > 0.9
+
+
+def test_shared_keys_are_split(spark):
+    """A key that most rows share fills several ranges; each row has its successor."""
+    d = spark.createDataFrame([(None if k % 4 else k, f"text {k} {k % 50}") for k in range(400)], "doc_id long, text string")
+    got = imatch.with_next(d, ranges=8).collect()
+    own = Counter(r["part"] for r in got if not r["halo"])
+    assert sum(own.values()) == 400 and len(own) >= 6 and max(own.values()) < 120
+    whole = sorted((r["__k"], r["__h"], r["__t"]) for r in got if not r["halo"])
+    for p in own:
+        part = sorted((r["halo"], r["__k"], r["__h"], r["__t"]) for r in got if r["part"] == p)
+        last = max(x[1:] for x in part if not x[0])
+        after = next(x[1:] for x in part if x[0])
+        assert after == whole[(whole.index(last) + 1) % 400]
 
 
 def test_rules(spark, docs, none):

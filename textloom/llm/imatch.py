@@ -4,22 +4,24 @@ Terms are the lower-cased words between white space, hashed to 64 bits. Document
 term over all documents: documents are dealt by ranges of keys, each range gives its distinct terms with their counts,
 these meet by ranges of hashes, and a range of keys gets back a bit for each of its own terms, whether it is in the
 band, so no task holds the lexicon of the whole corpus. A text keeps its distinct terms whose inverse document frequency, as a share of
-log N, lies in the band. Each of the lexicon subsets is a pseudo-random share of all terms; the text's terms in it are
-sorted and hashed. The fingerprint is the list of these hashes, and the likeness of two fingerprints the share of equal
-ones among them.
-
-Subsets come in several shares, as a hash survives only edits that touch no term of its subset: large subsets tell
-slight changes of short texts, small ones still agree for long texts that share half of their words.
-
-Defined cases: a null text counts as empty; a text without terms in a subset gives the hash of all its distinct
-terms there, so short texts agree only if their terms do; equal texts have equal fingerprints; a null key sorts
-first; rows that share a key are ordered by text; a table of one row is its own next document; an empty table gives
-an empty result; columns beyond key and text are not read. Rows that share a key are in one range, and a range is held
-in memory where it is compared.
+log N, lies in the band.
+
+A lexicon subset (family, level) is a pseudo-random share of 2 ** -level of all terms. The text's terms in it are sorted
+and hashed, and a hash survives only edits that touch none of them; so a text of 2 ** n to 2 ** (n + 1) kept terms uses the
+subsets of levels n + 1, n + 2 and n + 3 of each family, which hold one of its terms or few. The fingerprint is n and the list
+of these hashes, 0 where the text has no term in the subset. The likeness of two fingerprints is the share of equal
+hashes among the subsets that both use and one at least has terms in.
+
+Defined cases: a null text counts as empty; texts that keep no term have the hash of all their distinct
+terms instead, and are alike (1) if it is equal, else not (0); equal texts have equal fingerprints; a null key sorts
+first; rows that share a key are ordered by a hash of their text, then by text; a table of one row is its own next document; an empty
+table gives an empty result; columns beyond key and text are not read. A range of keys is held
+in memory where it is compared; a key that many rows share is split over ranges by that hash, rows equal in key and text are in one.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import table, text_or_empty
 
-#: Shares of all terms that the lexicon subsets keep; each share is used by SUBSETS / 4 of them.
-SHARES, SUBSETS = (1 / 4, 1 / 16, 1 / 64, 1 / 256), 32
+#: Families of nested lexicon subsets, and how many levels of each a text uses.
+FAMILIES, LEVELS = 24, 3
 BAND = (0.2, 0.95)
 #: Ranges of hashes; the terms of one, with the counts of all documents, are held in memory at once.
 SLICES = 256
@@ -40,8 +42,7 @@ SLICES = 256
 GATHERED = 1 << 22
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-_SEEDS = np.array([xxhash.xxh3_64_intdigest(b"lexicon", seed=k) for k in range(SUBSETS)], np.uint64)
-_LIMITS = np.array([int(SHARES[k % len(SHARES)] * 2**64) for k in range(SUBSETS)], np.uint64)
+_SEEDS = np.array([xxhash.xxh3_64_intdigest(b"lexicon", seed=k) for k in range(FAMILIES)], np.uint64)
 
 
 def terms(text: str) -> np.ndarray:
@@ -159,19 +160,42 @@ def in_band(n: int, df: np.ndarray, band: tuple[float, float] = BAND) -> np.ndar
 
 
 def fingerprint(own: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
-    """One 32-bit hash for each lexicon subset. own: the text's terms; lexicon: the sorted terms in the band, the text's at least."""
+    """The text's octave of kept terms plus 1, and a 32-bit hash for each of its lexicon subsets, by level, then family.
+
+    own: the text's terms; lexicon: the sorted terms in the band, the text's at least.
+    """
     at = np.searchsorted(lexicon, own)
     kept = own[np.append(lexicon, np.uint64(0))[at] == own] if len(lexicon) else own[:0]
+    out = np.zeros(1 + LEVELS * FAMILIES, np.uint32)
+    if not len(kept):
+        out[1] = xxhash.xxh3_64_intdigest(own.tobytes()) & 0xFFFFFFFF
+        return out
+    octave = len(kept).bit_length() - 1
     mixed = (kept[None, :] ^ _SEEDS[:, None]) * _MUL
     mixed = (mixed ^ (mixed >> np.uint64(29))) * _MUL
-    inside = mixed < _LIMITS[:, None]
-    whole = xxhash.xxh3_64_intdigest(own.tobytes()) & 0xFFFFFFFF
-    out = [xxhash.xxh3_64_intdigest(kept[m].tobytes(), seed=k) & 0xFFFFFFFF if m.any() else whole for k, m in enumerate(inside)]
-    return np.array(out, np.uint32)
+    out[0] = octave + 1
+    family, term = np.nonzero(mixed < np.uint64(2 ** (63 - octave)))
+    high = mixed[family, term]
+    for k in range(LEVELS):
+        inside = high < np.uint64(2 ** (63 - octave - k))
+        own_family = family[inside]
+        raw, cuts = kept[term[inside]].tobytes(), np.searchsorted(own_family, np.arange(FAMILIES + 1)) * 8
+        for f in np.unique(own_family).tolist():
+            out[1 + k * FAMILIES + f] = (xxhash.xxh3_64_intdigest(raw[cuts[f] : cuts[f + 1]], seed=(octave + k) * FAMILIES + f) & 0xFFFFFFFF) or 1
+    return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    return float((a == b).mean())
+    if a[0] == 0 or b[0] == 0:
+        return float((a == b).all())
+    shift = int(b[0]) - int(a[0])
+    if abs(shift) >= LEVELS:
+        return 0.0
+    x, y = a[1 + max(shift, 0) * FAMILIES :], b[1 + max(-shift, 0) * FAMILIES :]
+    n = min(len(x), len(y))
+    x, y = x[:n], y[:n]
+    met = (x != 0) | (y != 0)
+    return float((x == y)[met].mean()) if met.any() else float((a == b).all())
 
 
 def with_next(docs: DataFrame, *, key: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
@@ -182,25 +206,34 @@ def with_next(docs: DataFrame, *, key: str = "doc_id", text: str = "text", range
     """
     spark = docs.sparkSession
     ranges = ranges or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("__k"), F.col(key), text_or_empty(text).alias("__t"))
+    docs = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("__k"), F.col(key), text_or_empty(text).alias("__t")).withColumn("__h", F.xxhash64("__t"))
     cuts = docs.agg(F.percentile_approx("__k", [k / ranges for k in range(1, ranges)], 100 * ranges)).first()[0] if ranges > 1 else []
-    cuts = np.unique(np.array(cuts or [], np.int64))
+    keys, times = np.unique(np.array(cuts or [], np.int64), return_counts=True)
+    # a key that is met m times among the cuts is cut m - 1 times more, by its hash
+    edges = [(int(k), -(2**63) + i * 2**64 // int(m)) for k, m in zip(keys, times) for i in range(int(m))]
+
+    def places_of(k: pd.Series, h: pd.Series) -> np.ndarray:
+        own = k.to_numpy(np.int64)
+        out = np.searchsorted(np.array([e[0] for e in edges], np.int64), own)
+        there = np.flatnonzero(np.isin(own, keys))
+        out[there] = [bisect.bisect_right(edges, x) for x in zip(own[there].tolist(), h.to_numpy(np.int64)[there].tolist())]
+        return out
 
     @F.pandas_udf("int")
-    def part(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, k.to_numpy(np.int64)).astype(np.int32))
+    def part(k: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(places_of(k, h).astype(np.int32))
 
-    first = sorted((r["p"], r["k"]) for r in docs.groupBy(part("__k").alias("p")).agg(F.min("__k").alias("k")).collect())
-    before = pd.Series([first[i - 1][0] for i in range(len(first))], index=[k for _, k in first], dtype="int32")
+    first = sorted((r["p"], tuple(r["x"])) for r in docs.groupBy(part("__k", "__h").alias("p")).agg(F.min(F.struct("__k", "__h")).alias("x")).collect())
+    before = {x: first[i - 1][0] for i, (_, x) in enumerate(first)}
+    starts = {k for k, _ in before}
 
     @F.pandas_udf("array<struct<part:int,halo:int>>")
-    def places(k: pd.Series) -> pd.Series:
-        own = np.searchsorted(cuts, k.to_numpy(np.int64))
-        halo = k.map(before)
-        return pd.Series([[{"part": int(p), "halo": 0}] + ([] if h != h else [{"part": int(h), "halo": 1}]) for p, h in zip(own, halo)])
+    def places(k: pd.Series, h: pd.Series) -> pd.Series:
+        halo = [before.get(x) if x[0] in starts else None for x in zip(k, h)]
+        return pd.Series([[{"part": int(p), "halo": 0}] + ([] if b is None else [{"part": b, "halo": 1}]) for p, b in zip(places_of(k, h), halo)])
 
-    out = docs.select("*", F.inline(places("__k")))
-    return out.repartition(F.col("part")).sortWithinPartitions("part", "halo", "__k", "__t").select("part", "halo", "__k", F.col(key).alias("__id"), "__t")
+    out = docs.select("*", F.inline(places("__k", "__h")))
+    return out.repartition(F.col("part")).sortWithinPartitions("part", "halo", "__k", "__h", "__t").select("part", "halo", "__k", "__h", F.col(key).alias("__id"), "__t")
 
 
 def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +241,7 @@ def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = with_next(docs)
 
     def compared(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        texts = texts.sort_values(["halo", "__k", "__t"])
+        texts = texts.sort_values(["halo", "__k", "__h", "__t"])
         every = [terms(t) for t in texts["__t"]]
         lexicon = lexicon_of([*every, *(borders(*edit(t, after)) for t, after in zip(texts["__t"], texts["__t"][1:]))], found)
         rows, last = [], None
