@@ -49,7 +49,7 @@ class BytePieces:
     def encode(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         known = self._parts
-        new = {p for p in rest if p not in known}
+        new = set(rest).difference(known)
         if not first or first != first.rstrip() or not all(p and p == p.strip() for p in new):
             return np.array(self._encode(text), "<u2").tobytes()
         own = self._learn(list(new)) if new else known

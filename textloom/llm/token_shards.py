@@ -41,7 +41,7 @@ from textloom.llm.common import discard, shared_dir, table, text_or_empty, writt
 
 LENGTH, PER_SHARD, SEED, ROUNDS = 1024, 2048, 20240101, 6
 #: How the table of sequences is written: it is the largest scratch table, read once.
-PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "7", "parquet.page.size": str(8 << 20)}
+PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "5", "parquet.page.size": str(8 << 20)}
 #: Sequences in the dictionary that the shuffled ones are compressed with, 1 MB of tokens at most.
 DICTIONARY = 512
 
