@@ -73,6 +73,16 @@ def test_ngram_jaccard_is_brute_force(spark, docs, rows, none):
     assert ngram_jaccard.near_classes(none).count() == 0
 
 
+def test_rows_of_one_id_keep_their_own_classes(spark):
+    rng = random.Random(8)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    d = spark.createDataFrame([(1, a), (1, b), (2, b), (3, c), (1, a), (4, a + " tail")], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_jaccard.near_classes(d).collect())
+    assert got == Counter({(1, 1, 2): 2, (1, 1, 1): 1, (2, 1, 1): 1, (3, 3, 0): 1, (4, 1, 2): 1})
+    keys = {(r["doc_id"], r["text_hash"]): r["class_key"] for r in ngram_jaccard.near_classes(d).collect()}
+    assert len(set(keys.values())) == 3
+
+
 def test_blocks_of_a_large_leaf_meet(spark, monkeypatch):
     rng = random.Random(1)
     w = words(rng, 150).split()

@@ -7,7 +7,7 @@
    the mean, so a pair of similarity 0.8 keeps one common child in the mean. A bucket is left as a leaf when it is
    small, when a split of its parent hardly split it (its members are alike), or at the last level. Runs are
    repeated until a pair at the threshold is met with the target recall: a branching process gives the chance of
-   one run (see ``runs_for``).
+   one run, averaged over how many of the 64 tokens such a pair shares (see ``runs_for``).
 4. Leaves are compared by brute force: first the 64 tokens, then, for the pairs these leave, the whole sets. Leaves
    too large for one task are cut into blocks, and each pair of blocks is a task's group. A pair that meets in
    several leaves belongs to the smallest, so it is verified and counted once.
@@ -17,13 +17,14 @@ components and counts need; so a group of n near copies gives n rows. Brute forc
 still costs m * m / 2 comparisons, spread over its blocks.
 
 Defined cases: texts with fewer than five words have one shingle of all their words; null, empty and blank texts
-have none, link to nothing and are a class of their own each; rows that share an id share its class; equal rows
-count as copies; a null id counts as an id made of its text; an empty table gives an empty result; columns beyond
-id and text are not read.
+have none, link to nothing and are a class of their own each; rows that share an id are told apart by their texts, so each has
+the class of its text; equal rows count as copies; a null id counts as an id made of its text; an empty table gives an
+empty result; columns beyond id and text are not read. Nodes are 64-bit hashes of sets.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -79,13 +80,27 @@ def sampled(own: np.ndarray) -> np.ndarray:
     return low.astype(np.uint32).view(np.int32)
 
 
+def likely(threshold: float) -> int:
+    """Sampled tokens that a pair at the threshold shares at least, but for four standard deviations."""
+    return int(PLACES * threshold - 4 * math.sqrt(PLACES * threshold * (1 - threshold)))
+
+
 def runs_for(recall: float, threshold: float = THRESHOLD, levels: int = LEVELS) -> int:
-    """Runs that meet a pair at the threshold with that recall: q is the chance that a bucket at a level still leads to a common leaf."""
-    q, more = 1.0, 1 / threshold - 1
-    for _ in range(levels):
-        miss = 1 - threshold * q
-        q = 1 - ((1 - more) * miss + more * miss**2)
-    return math.ceil(math.log(1 - recall) / math.log(1 - q))
+    """Runs that meet a pair at the threshold with that recall.
+
+    The pair shares a binomial number of the sampled tokens. Given it, q is the chance that a bucket at a level still
+    leads to a common leaf.
+    """
+    more, chances = 1 / threshold - 1, []
+    for k in range(likely(threshold), PLACES + 1):
+        q = 1.0
+        for _ in range(levels):
+            miss = 1 - k / PLACES * q
+            q = 1 - ((1 - more) * miss + more * miss**2)
+        chances.append((math.comb(PLACES, k) * threshold**k * (1 - threshold) ** (PLACES - k), q))
+    if recall >= sum(p for p, _ in chances):
+        raise ValueError(f"a recall of {recall} is out of reach with {PLACES} sampled tokens")
+    return next(n for n in itertools.count(1) if sum(p * (1 - (1 - q) ** n) for p, q in chances) >= recall)
 
 
 def children(path: Column, tokens: Column, more: float) -> Column:
@@ -96,30 +111,41 @@ def children(path: Column, tokens: Column, more: float) -> Column:
     return F.when(second, F.array(key(0), key(1))).otherwise(F.array(key(0)))
 
 
+def node_of(own: np.ndarray) -> int:
+    """A set's node."""
+    return int.from_bytes(xxhash.xxh3_128_digest(own.tobytes())[:8], "little", signed=True)
+
+
+def _id(key: str, text: str) -> Column:
+    return F.coalesce(F.col(key).cast("long"), F.xxhash64(text))
+
+
 def nodes_of(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(id, set) for each document, and for each set (node, n, tokens): its smallest id, documents and sampled tokens."""
+    """(id, text_hash, node) for each document, and for each node (node, low, n, tokens): its smallest id, documents and sampled tokens."""
 
     def embedded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Words()
         for b in batches:
             sets = [shingles(t, hashes) for t in b["t"]]
-            yield pd.DataFrame({"id": b["id"], "set": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "tokens": [sampled(s) if len(s) else None for s in sets]})
+            node = pd.array([node_of(s) if len(s) else None for s in sets], "Int64")
+            yield pd.DataFrame({"id": b["id"], "text_hash": b["text_hash"], "node": node, "tokens": [sampled(s) if len(s) else None for s in sets]})
 
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.xxhash64(text)).alias("id"), text_or_empty(text).alias("t"))
-    rows = written(rows.mapInPandas(embedded, "id long, set binary, tokens array<int>"), "embedded")
-    nodes = rows.filter("set is not null").groupBy("set").agg(F.min("id").alias("node"), F.count("*").alias("n"), F.any_value("tokens").alias("tokens"))
-    return rows.select("id", "set"), written(nodes, "nodes")
+    t = text_or_empty(text)
+    rows = docs.select(_id(key, text).alias("id"), F.xxhash64(t).alias("text_hash"), t.alias("t"))
+    rows = written(rows.mapInPandas(embedded, "id long, text_hash long, node long, tokens array<int>"), "embedded")
+    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.any_value("tokens").alias("tokens"))
+    return rows.select("id", "text_hash", "node"), written(nodes, "nodes")
 
 
-def leaves_of(nodes: DataFrame, runs: int, threshold: float, levels: int = LEVELS, leaf: int = LEAF) -> DataFrame:
-    """(leaf, node, size) of all leaves with at least two nodes."""
+def leaves_of(nodes: DataFrame, runs: int, threshold: float, levels: int = LEVELS, leaf: int = LEAF, alike: float = 0.5) -> DataFrame:
+    """(leaf, node, size) of all leaves with at least two nodes. alike: a bucket with that share of its parent's nodes isn't split again."""
     more = 1 / threshold - 1
     start = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: children(F.xxhash64(F.lit("run"), r), F.col("tokens"), more))
     front, out = nodes.select("node", F.explode(F.flatten(start)).alias("leaf"), F.lit(None).cast("long").alias("above")), None
     for level in range(1, levels + 1):
         sizes = front.groupBy("leaf").agg(F.count("*").alias("size")).filter("size > 1")
         front = written(front.join(sizes, "leaf"), "level")
-        done = (F.col("size") <= leaf) | F.coalesce(2 * F.col("size") >= F.col("above"), F.lit(False)) | F.lit(level == levels)
+        done = (F.col("size") <= leaf) | F.coalesce(F.col("size") >= alike * F.col("above"), F.lit(False)) | F.lit(level == levels)
         closed = front.filter(done).select("leaf", "node", "size")
         out = closed if out is None else out.unionByName(closed)
         if level < levels:
@@ -204,28 +230,36 @@ def shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.nd
 
 def links(docs: DataFrame, nodes: DataFrame, leaves: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     """(node, to, links): for each leaf and node with links there, the smallest node they lead to in the leaf, and the documents at their other ends."""
-    likely = int(PLACES * threshold - 4 * math.sqrt(PLACES * threshold * (1 - threshold)))
+    least = likely(threshold)
     of = leaves.groupBy("node").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))
     rows = blocks(leaves.distinct().join(nodes.select("node", "tokens"), "node").join(of, "node"))
 
     def likely_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in grouped(batches, GROUP):
-            p, q = candidates(b, likely)
+            p, q = candidates(b, least)
             yield b.iloc[np.unique(np.r_[p, q])][[*GROUP, "own", "node"]]
 
     def sort(df: DataFrame) -> DataFrame:
         return df.repartition(*GROUP).sortWithinPartitions(*GROUP, "node")
 
     picked = written(sort(rows).mapInPandas(likely_rows, "leaf long, one int, two int, own int, node long"), "likely")
-    texts = docs.select(F.coalesce(F.col(key).cast("long"), F.xxhash64(text)).alias("node"), text_or_empty(text).alias("t")).join(picked.select("node").distinct().hint("merge"), "node", "left_semi")
-    full = picked.join(nodes.select("node", "n", "tokens"), "node").join(of, "node").join(texts.hint("merge"), "node")
+    some = picked.select("node").distinct().join(nodes.select("node", "low"), "node").select(F.col("low").alias("id")).distinct()
+    texts = docs.select(_id(key, text).alias("id"), text_or_empty(text).alias("t")).join(some.hint("merge"), "id", "left_semi")
+    full = picked.join(nodes.select("node", "n", "tokens", F.col("low").alias("id")), "node").join(of, "node").join(texts.hint("merge"), "id")
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Words()
         for b in grouped(batches, GROUP):
-            b = b.drop_duplicates([*GROUP, "node"]).reset_index(drop=True)
-            p, q = candidates(b, likely)
             sets = [shingles(t, hashes) for t in b["t"]]
+            # rows of other texts with the same id go
+            own = np.array([len(s) > 0 and node_of(s) == k for s, k in zip(sets, b["node"])]) & ~b.duplicated([*GROUP, "node", "t"]).to_numpy()
+            sets = [s for s, x in zip(sets, own) if x]
+            b = b[own].reset_index(drop=True)
+            first = ~b.duplicated([*GROUP, "node"]).to_numpy()
+            sets, b = [s for s, x in zip(sets, first) if x], b[first].reset_index(drop=True)
+            if not len(b):
+                continue
+            p, q = candidates(b, least)
             size = np.array([len(s) for s in sets])
             both = shared(sets, p, q)
             sure = both >= threshold * (size[p] + size[q] - both) - 1e-9
@@ -244,17 +278,19 @@ def links(docs: DataFrame, nodes: DataFrame, leaves: DataFrame, key: str, text:
 
 
 def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(key, class_id, set_id, n_links) for each document: the smallest id of its group of linked documents, that of
-    the documents with its set of shingles, and how many other documents are similar to it."""
+    """(key, text_hash, class_id, class_key, set_id, n_links) for each document: the smallest id of its group of linked
+    documents, a number of that group (null for blank texts), the smallest id of the documents with its set of shingles,
+    and how many other documents are similar to it. text_hash, xxhash64 of the text, tells rows apart that share an id."""
     rows, nodes = nodes_of(docs.select(key, text), key, text)
     found = links(docs, nodes, leaves_of(nodes, runs_for(recall, threshold), threshold), key, text, threshold)
     label = components(found.select(F.col("node").alias("u"), F.col("to").alias("v")))
     degree = found.groupBy("node").agg(F.sum("links").alias("links"))
-    by_set = nodes.select("set", "node", "n").join(degree, "node", "left").join(label, "node", "left")
-    by_set = by_set.select("set", F.col("node").alias("set_id"), F.coalesce("label", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    out = rows.join(by_set, "set", "left")
-    return out.select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("set_id", "id").alias("set_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    own = nodes.select("node", "low", "n").join(degree, "node", "left").join(label, "node", "left").withColumn("class_key", F.coalesce("label", "node"))
+    classes = own.groupBy("class_key").agg(F.min("low").alias("class_id"))
+    own = own.join(classes, "class_key").select("node", F.col("low").alias("set_id"), "class_id", "class_key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    out = rows.join(own, "node", "left")
+    return out.select(F.col("id").alias(key), "text_hash", F.coalesce("class_id", "id").alias("class_id"), "class_key", F.coalesce("set_id", "id").alias("set_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_classes(table(spark, sf_dir, "documents"))
+    return near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "set_id", "n_links")

@@ -217,31 +217,39 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return out
 
 
-def _without(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
+def _kept(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """What remains between the removed runs."""
     edges = [0, *np.stack([starts, ends], 1).ravel().tolist(), len(raw)]
-    return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
+    return [raw[a:b] for a, b in zip(edges[::2], edges[1::2])]
 
 
-def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """docs with raw, the text's remaining bytes, in the text's place, and with n_bytes, n_removed and n_spans."""
-    docs = _documents(docs.drop("raw", "n_bytes", "n_removed", "n_spans"), key, text)
+def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, as_text: bool = False) -> DataFrame:
+    """docs with raw, the text's remaining bytes, in the text's place, and with n_bytes, n_removed and n_spans.
+
+    as_text: the text stays under its name instead, as what remains of it without the pieces of characters that were cut.
+    """
+    columns = docs.columns
+    docs = _documents(docs.drop("n_bytes", "n_removed", "n_spans", *([] if as_text else ["raw"])), key, text)
     spans = repeated_windows(docs, length).groupBy("d", "r").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans"))
+    joined = (lambda parts: "".join(x.decode("utf-8", "ignore") for x in parts)) if as_text else b"".join
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for t, spans in zip(b["t"], b["spans"]):
                 raw, n = t.encode("utf-8", "surrogatepass"), 0
-                size = len(raw)
+                parts, removed = [raw], 0
                 if spans is not None:
                     a, e = runs(np.array([x["first"] for x in spans]), np.array([x["last"] for x in spans]), length)
-                    raw, n = _without(raw, a, e), len(a)
-                rows.append((raw, size, size - len(raw), n))
-            yield b[["own"]].assign(**dict(zip(["raw", "n_bytes", "n_removed", "n_spans"], map(list, zip(*rows)) if rows else [[]] * 4)))
+                    parts, removed, n = _kept(raw, a, e), int((e - a).sum()), len(a)
+                rows.append((joined(parts), len(raw), removed, n))
+            yield b[["own"]].assign(**dict(zip(["kept", "n_bytes", "n_removed", "n_spans"], map(list, zip(*rows)) if rows else [[]] * 4)))
 
-    schema = T.StructType([docs.schema["own"], *T.StructType.fromDDL("raw binary, n_bytes long, n_removed long, n_spans long").fields])
+    kind = "string" if as_text else "binary"
+    schema = T.StructType([docs.schema["own"], *T.StructType.fromDDL(f"kept {kind}, n_bytes long, n_removed long, n_spans long").fields])
     out = docs.join(spans, ["d", "r"], "left").select("own", "t", "spans").mapInPandas(cut, schema)
-    return out.select("own.*", "raw", "n_bytes", "n_removed", "n_spans")
+    own = [F.col("kept").alias(text) if c == text else F.col(f"own.`{c}`") for c in columns if c in docs.schema["own"].dataType.names or c == text] if as_text else ["own.*", F.col("kept").alias("raw")]
+    return out.select(*own, "n_bytes", "n_removed", "n_spans")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
