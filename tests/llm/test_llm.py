@@ -443,7 +443,7 @@ def test_shared_keys_are_split(spark):
 
 def test_rules(spark, docs, none):
     m = quality_rules.measures(docs)
-    a = quality_rules.cascade(m, quality_rules.order_rules(m, quality_rules.default_rules(), 1.0))
+    a = quality_rules.cascade(m, quality_rules.order_rules(m, quality_rules.default_rules(), times=2))
     b = quality_rules.cascade(m, quality_rules.default_rules()[::-1])
     assert {r["doc_id"]: r["failed_rule"] is None for r in a.collect()} == {r["doc_id"]: r["failed_rule"] is None for r in b.collect()}
     t = spark.createDataFrame([("a b c a b c x",), ("a a a a a",), (None,), ("x\ny y\nx\n\n\n",)], "text string")
@@ -452,6 +452,25 @@ def test_rules(spark, docs, none):
     assert quality_rules.cascade(quality_rules.measures(none), quality_rules.order_rules(quality_rules.measures(none), quality_rules.default_rules())).count() == 0
 
 
+def test_rules_are_ordered_by_rejections_per_cost(spark):
+    assert quality_rules.ranked([1.0, 1.0, 10.0], [(5, (True, False, True)), (4, (True, True, False)), (3, (False, False, True)), (2, (False, True, False))]) == [0, 1, 2]
+    assert quality_rules.ranked([1.0, 0.1], [(5, (True, False)), (4, (True, True))]) == [1, 0]
+    assert quality_rules.ranked([1.0, 1.0, 1.0], [(6, (True, True, False)), (1, (True, False, False)), (2, (False, False, True))]) == [0, 2, 1]  # the second rejects nothing behind the first
+    d = spark.createDataFrame([(k, f"word {k} " * 300) for k in range(200)], "doc_id long, text string")
+    dear = F.size(F.array_distinct(F.transform(F.split("text", ""), lambda c: F.md5(c)))) > 3
+    rules = [quality_rules.Rule("dear", dear), quality_rules.Rule("cheap", F.col("doc_id") % 2 == 0), quality_rules.Rule("never", F.col("doc_id") < 0)]
+    assert [r.name for r in quality_rules.order_rules(d, rules, times=5)] == ["cheap", "dear", "never"]
+    own = quality_rules.measures(d.withColumn("__words", F.lit("mine")).withColumn("n_words", F.lit("x")))
+    assert own.filter("`__words` = 'mine' and n_words = 600").count() == 200
+
+
+def test_shards_of_a_mix_follow_its_size(spark, monkeypatch):
+    d = spark.createDataFrame([(k, "x" * 50, None if k % 2 else "b") for k in range(400)], "doc_id long, text string, source string")
+    monkeypatch.setattr(source_mixing, "PARTITION", 1000)
+    assert 15 <= source_mixing.mix(d).rdd.getNumPartitions() <= 30
+    assert source_mixing.mix(d, partitions=3).rdd.getNumPartitions() == 3
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_same_as_sql(spark, sf, name):
     from tests.test_oracle import rows as plain

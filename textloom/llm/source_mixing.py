@@ -13,13 +13,17 @@ added (copy, rate, mix_key) are replaced.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import table, text_or_empty
+from textloom.llm.common import let, table, text_or_empty, written
 
 #: A Poisson draw of a higher rate is a sum of draws of at most this one; 80 terms leave less than 2**-52 of its tail.
 PART_RATE, TERMS = 16, 80
+#: Characters, or whatever a document's size is, that one partition of the result holds.
+PARTITION = 64 << 20
 
 
 def uniform(*parts: Column) -> Column:
@@ -42,20 +46,26 @@ def rates(df: DataFrame, source: str, size: Column, weight: Column | None = None
     whole = by.agg(F.struct(F.sum("size").alias("size"), F.sum("weight").alias("weight")).alias("all")).scalar()
     rate = F.when(F.col("size") > 0, F.lit(target) * (F.col("weight") / whole["weight"]) * whole["size"] / F.col("size")).otherwise(F.lit(1.0))
     by = by.withColumn("rate", rate).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART_RATE)).cast("int"))
-    return by.withColumn("cdf", cumulative(F.col("rate") / F.col("parts"))).select("__source", "rate", "parts", "cdf")
+    return by.withColumn("cdf", cumulative(F.col("rate") / F.col("parts"))).select("__source", "size", "rate", "parts", "cdf")
+
 
+def mix(df: DataFrame, *, key: str = "doc_id", source: str = "source", size: Column | None = None, weight: Column | None = None, target: float = 1.0, seed: int = 42, partitions: int | None = None) -> DataFrame:
+    """The rows of df, each as often as it is drawn, with copy (from 1), rate and mix_key, dealt and sorted by mix_key.
 
-def mix(df: DataFrame, *, key: str = "doc_id", source: str = "source", size: Column | None = None, weight: Column | None = None, target: float = 1.0, seed: int = 42) -> DataFrame:
-    """The rows of df, each as often as it is drawn, with copy (from 1), rate and mix_key, dealt and sorted by mix_key."""
+    partitions: by default as many as give each about PARTITION of the size that is drawn, and no fewer than Spark's own number.
+    """
     df = df.drop("copy", "rate", "mix_key")
     kept = df.columns
-    by = rates(df, source, F.length(text_or_empty()) if size is None else size, weight, target)
-    drawn = lambda j: F.size(F.filter(F.col("cdf"), lambda c: c <= uniform(F.lit(seed), F.col(key), j)))
+    by = written(rates(df, source, F.length(text_or_empty()) if size is None else size, weight, target), "rates")  # a row for each source
+    if partitions is None:
+        out = by.agg(F.sum(F.col("size") * F.col("rate"))).first()[0] or 0.0
+        partitions = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(out / PARTITION))
+    drawn = lambda j: let(uniform(F.lit(seed), F.col(key), j), lambda u: F.size(F.filter(F.col("cdf"), lambda c: c <= u)))
     copies = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda n, j: n + drawn(j))
-    out = df.join(by, F.col(source).eqNullSafe(F.col("__source"))).withColumn("__n", copies).filter("__n > 0")
+    out = df.join(by.drop("size"), F.col(source).eqNullSafe(F.col("__source"))).withColumn("__n", copies).filter("__n > 0")
     out = out.select(*kept, "rate", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
     mix_key = F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("copy").cast("string")))
-    return out.withColumn("mix_key", mix_key).repartition("mix_key").sortWithinPartitions("mix_key")
+    return out.withColumn("mix_key", mix_key).repartition(partitions, "mix_key").sortWithinPartitions("mix_key")
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +85,7 @@ WITH RECURSIVE s AS (
 ), cdf AS (
   SELECT source, list(c ORDER BY k) AS cdf FROM p GROUP BY source
 ), d AS (
-  SELECT doc_id, source, text, unnest(range(1, parts + 1)) AS j, cdf FROM documents JOIN q USING (source) JOIN cdf USING (source)
+  SELECT d.doc_id, d.source, d.text, unnest(range(1, parts + 1)) AS j, cdf FROM documents d JOIN q ON d.source IS NOT DISTINCT FROM q.source JOIN cdf ON d.source IS NOT DISTINCT FROM cdf.source
 ), n AS (
   SELECT doc_id, source, text, sum(len(list_filter(cdf, lambda c: c <= CAST('0x' || substr(md5('42:' || doc_id || ':' || j), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE))) AS n
   FROM d GROUP BY doc_id, source, text
