@@ -181,8 +181,9 @@ def test_slots_hold_their_sequences(spark, tmp_path):
         assert {r["slot"]: r["shard"] for r in index.collect()} == {s: s // 4 for s in range(n)}
 
 
-def test_pieces_in_spark(spark, docs, rows, none):
+def test_pieces_in_spark(spark, docs, rows, none, monkeypatch):
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    monkeypatch.setattr(sentence_pieces.scan, "__defaults__", (4,))
     e = sentence_pieces.encode(docs, path=MODEL, chunk=100)
     assert dict(e.dtypes)["ids"] == "array<int>" and e.count() == len(rows)
     want = Counter((k, str(sp.encode(t or ""))) for k, t, *_ in rows)
@@ -223,6 +224,28 @@ def test_chunk_algebra(tmp_path, kind):
     assert sentence_pieces.product(sentence_pieces.product(a, b), c) == sentence_pieces.product(a, sentence_pieces.product(b, c))
 
 
+def test_scan_is_a_fold(spark):
+    """States of a parallel scan over three levels, against the fold over a whole document."""
+    rng = random.Random(4)
+    state = [sentence_pieces.CLEAN, (-1, 1, 7), (-2, 2, 9)]
+    rows, want = [], {}
+    for r, n in ((1, 100), (2, 1), (3, 5), (4, 25)):
+        own = [{x: {y: float(rng.randint(-9, 9)) for y in state if rng.random() < 0.9 or y == state[0]} for x in state} for _ in range(n)]
+        rows += [(r, k, sentence_pieces._packed(m)) for k, m in enumerate(own)]
+        found = sentence_pieces.chain(own)
+        want[r] = sum(m[x][y] for m, (x, y) in zip(own, found))
+        assert found[0][0] == found[-1][1] == sentence_pieces.CLEAN
+    d = spark.createDataFrame(rows, "row long, no int, matrix string")
+    got = sentence_pieces.scan(d, fan=4).collect()
+    assert len(got) == len(rows)
+    matrix = {(r, k): sentence_pieces._unpacked(m) for r, k, m in rows}
+    found = {(g["row"], g["no"]): [tuple(x) for x in sentence_pieces.json.loads(g["states"])] for g in got}
+    for r, worth in want.items():
+        own = [found[r, k] for k in range(sum(x == r for x, *_ in rows))]
+        assert own[0][0] == own[-1][1] == sentence_pieces.CLEAN and all(a[1] == b[0] for a, b in zip(own, own[1:]))
+        assert sum(matrix[r, k][x][y] for k, (x, y) in enumerate(own)) == worth  # as good a path; equal ones may differ
+
+
 def test_warc(spark, none, tmp_path):
     pages = spark.createDataFrame([(1, "http://a", "same"), (2, "http://b\n", "same"), (3, None, None), (4, "", ""), (5, "http://c", "é" * 70000), (2, "http://b\n", "same"), (None, "x", "y")], "page_id long, url string, html string")
     path = f"file://{tmp_path}/w"

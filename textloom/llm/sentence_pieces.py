@@ -9,7 +9,9 @@ the one at its last (state out). So:
 1. Each chunk gives a transfer matrix from states in to states out. Between the first and the last place of the
    chunk where no piece can lie across, the library encodes; only the fringes need the lattice. A chunk without such
    a place is solved by the lattice alone.
-2. Matrices multiply associatively; each document's prefix products give every chunk its states.
+2. Matrices multiply associatively, so they are scanned in parallel: products of FAN neighbours, products of FAN of these, and
+   so on up to one small group a document; that one is solved between clean ends, and states go down
+   again level by level, each group between the states of its own two ends. A task never holds more than FAN matrices of a document.
 3. Each chunk traces its own pieces back between its states, independently of the others.
 
 Documents of at most ``chunk`` characters are one chunk between two certain states, which is the library's work
@@ -39,6 +41,8 @@ from textloom.llm.common import bounded_batches, table, text_or_empty, written
 
 SPACE = "▁"
 CHUNK = 32_768
+#: Matrices that are multiplied in one group of the scan.
+FAN = 64
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 
 State = tuple[int, int, int]  # start and end of a piece, counted from the cut, and its id; (0, 0, -1): nothing lies across
@@ -241,14 +245,14 @@ def product(a: dict, b: dict) -> dict:
     return out
 
 
-def chain(matrices: list[dict]) -> list[tuple[State, State]]:
-    """(state in, state out) of each chunk on the best path from a clean start to a clean end."""
-    ahead = [{CLEAN: {CLEAN: 0.0}}]
+def chain(matrices: list[dict], start: State = CLEAN, end: State = CLEAN) -> list[tuple[State, State]]:
+    """(state in, state out) of each matrix on the best path from start to end."""
+    ahead = [{start: 0.0}]
     for m in matrices:
-        ahead.append(product({CLEAN: ahead[-1][CLEAN]}, m))
-    y, out = CLEAN, []
+        ahead.append(product({start: ahead[-1]}, m)[start])
+    y, out = end, []
     for k in range(len(matrices) - 1, -1, -1):
-        x = max((x for x in matrices[k] if y in matrices[k][x] and x in ahead[k][CLEAN]), key=lambda x: ahead[k][CLEAN][x] + matrices[k][x][y])
+        x = max((x for x in matrices[k] if y in matrices[k][x] and x in ahead[k]), key=lambda x: ahead[k][x] + matrices[k][x][y])
         out.append((x, y))
         y = x
     return out[::-1]
@@ -267,6 +271,30 @@ def _unpacked(raw: str) -> dict:
     return {tuple(x): {tuple(y): v for y, v in row} for x, row in json.loads(raw)}
 
 
+def scan(matrices: DataFrame, fan: int = FAN) -> DataFrame:
+    """(row, no, states) from (row, no, matrix): the states in and out of each chunk, as JSON."""
+    group = F.floor(F.col("no") / fan).cast("int").alias("group")
+
+    def multiplied(b: pd.DataFrame) -> pd.DataFrame:
+        found = functools.reduce(product, map(_unpacked, b.sort_values("no")["matrix"]))
+        return pd.DataFrame({"row": b["row"].iloc[:1], "no": b["group"].iloc[:1], "matrix": [_packed(found)]})
+
+    def solved(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("no")
+        ends = [tuple(x) for x in json.loads(b["ends"].iloc[0])] if "ends" in b else (CLEAN, CLEAN)
+        return b[["row", "no"]].assign(states=[json.dumps(x) for x in chain([_unpacked(x) for x in b["matrix"]], *ends)])
+
+    levels, last = [matrices], matrices.agg(F.max("no")).first()[0] or 0  # one number
+    while last >= fan:
+        levels.append(written(levels[-1].select("*", group).groupBy("row", "group").applyInPandas(multiplied, "row long, no int, matrix string"), "products"))
+        last //= fan
+    states = levels.pop().groupBy("row").applyInPandas(solved, "row long, no int, states string")
+    for level in reversed(levels):
+        ends = states.select("row", F.col("no").alias("group"), F.col("states").alias("ends"))
+        states = level.select("*", group).join(ends, ["row", "group"]).groupBy("row", "group").applyInPandas(solved, "row long, no int, states string")
+    return states
+
+
 def encode(docs: DataFrame, *, path: str, text: str = "text", ids: str = "ids", chunk: int = CHUNK) -> DataFrame:
     """docs with ids array<int> of the text, which itself is dropped."""
     bounded_batches(docs.sparkSession)
@@ -297,10 +325,6 @@ def encode(docs: DataFrame, *, path: str, text: str = "text", ids: str = "ids",
         for b in batches:
             yield b[["row", "no"]].assign(matrix=[_packed(m.transfer(s, x, y)) for s, x, y in zip(b["s"], b["a"], b["b"])])
 
-    def states(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("no")
-        return b[["row", "no"]].assign(states=[json.dumps(x) for x in chain([_unpacked(x) for x in b["matrix"]])])
-
     def traced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model(path)
         for b in batches:
@@ -308,7 +332,7 @@ def encode(docs: DataFrame, *, path: str, text: str = "text", ids: str = "ids",
             yield b[["row", "no"]].assign(ids=[m.chunk_ids(s, a, x, e, y) for s, a, e, (x, y) in zip(b["s"], b["a"], b["b"], own)])
 
     chunks = written(large.select("__row", text).mapInPandas(cut, "row long, no int, s string, a int, b int").repartition("row", "no"), "chunks")
-    between = chunks.mapInPandas(matrices, "row long, no int, matrix string").groupBy("row").applyInPandas(states, "row long, no int, states string")
+    between = scan(written(chunks.mapInPandas(matrices, "row long, no int, matrix string"), "matrices"))
     parts = chunks.join(between, ["row", "no"]).mapInPandas(traced, "row long, no int, ids array<int>")
     joined = parts.groupBy(F.col("row").alias("__row")).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("no", "ids"))), lambda x: x["ids"])).alias(ids))
     return small.unionByName(large.drop(text).join(joined, "__row").drop("__row"))
