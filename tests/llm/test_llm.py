@@ -2,8 +2,10 @@
 
 import gzip
 import hashlib
+import math
 import os
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -120,6 +122,41 @@ def test_quality_gam(spark, docs, none, sf):
     assert quality_gam.score(none, quality_gam.train(none, labels)).count() == 0
 
 
+def test_gam_is_brute_force(spark):
+    """Scores by plain look-ups; the first tree of each feature by trying every cut; loss falls with every round."""
+    rng = np.random.default_rng(3)
+    x, y = np.round(rng.random((300, 4)), 2), (rng.random(300) < 0.4).astype(float)
+    m = quality_gam.fit(x, y, bins=8, rounds=4, pairs=3, pair_bins=4, pair_rounds=3)
+    for row, s in zip(x, m.score(x)):
+        f = m.intercept + sum(t[sum(e < v for e in edges)] for v, edges, t in zip(row, m.edges, m.tables))
+        f += sum(t[sum(e < row[a] for e in m.pair_edges[a]), sum(e < row[b] for e in m.pair_edges[b])] for (a, b), t in zip(m.pairs, m.pair_tables))
+        assert abs(s - 1 / (1 + math.exp(-f))) < 1e-9
+    one = quality_gam.fit(x, y, bins=8, rounds=1, leaves=2, rate=1.0, pairs=0)
+    f = np.full(len(y), one.intercept)
+    for j in range(4):
+        p = 1 / (1 + np.exp(-f))
+        def fitted(left):
+            value = lambda side: (y - p)[side].sum() / ((p * (1 - p))[side].sum() + 1.0)  # noqa: B023, E731
+            gain = sum((y - p)[side].sum() ** 2 / ((p * (1 - p))[side].sum() + 1.0) for side in (left, ~left))  # noqa: B023
+            return gain, np.where(left, value(left), value(~left))
+        best = max((fitted(x[:, j] <= e) for e in one.edges[j] if (x[:, j] > e).any()), key=lambda g: g[0])
+        assert np.allclose(one.tables[j][np.searchsorted(one.edges[j], x[:, j])], best[1])
+        f = f + best[1]
+    loss = lambda k: (lambda s: -(y * np.log(s) + (1 - y) * np.log(1 - s)).mean())(quality_gam.fit(x, y, rounds=k, pairs=2, pair_rounds=k).score(x))
+    assert loss(1) > loss(3) > loss(9)
+
+
+def test_gam_rows_that_share_an_id(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b"), (1, "c d e"), (1, "a b"), (None, "x"), (7, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (7, 0), (None, 1)], "doc_id long, quality int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = quality_gam.op2_quality_gam(spark, str(tmp_path)).collect()
+    assert len(got) == 5 and all(r["held_out"] is not None and r["score"] is not None for r in got)
+    assert {r["held_out"] for r in got if r["doc_id"] is None} == {False}
+    assert {r["held_out"] for r in got if r["doc_id"] == 1} == {zlib.crc32(b"1") % 5 == 0}
+
+
 def test_sources_meet_their_weights(spark, docs, none):
     d = spark.createDataFrame([(k, "x" * 50, "a" if k % 3 else "b") for k in range(3000)], "doc_id long, text string, source string")
     got = source_mixing.mix(d, weight=F.when(F.col("__source") == "a", 1.0).otherwise(3.0))

@@ -34,9 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder under spark.checkpoint.dir, which every executor reaches; a local one only where that is unset."""
+    """A new folder under spark.checkpoint.dir, which every executor reaches; a local one where that is unset and Spark runs on this machine alone."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: it has to name a folder that the driver and all executors reach")
         base = _own.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='textloom-', dir=os.environ.get('TEXTLOOM_TMP'))}")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 

@@ -9,7 +9,8 @@ once. Features come from the text alone.
 Defined cases: null texts count as empty; an empty text has all features 0 and gets the score that follows; with no
 labelled rows, or with labels of one kind only, the score is the share of ones, held inside [0.01, 0.99] (0.5 without
 rows); ties and repeated rows are scored each; further columns are kept, and those named like the added ones are
-replaced; an empty table gives an empty result.
+replaced; an empty table gives an empty result. A null id has no label and isn't held out; of documents that share a labelled
+id one is learned from, that with the smallest features, so no id brings more than a row to the driver.
 """
 
 from __future__ import annotations
@@ -182,8 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, text: s
 
     rows = docs.select(key, text_or_empty(text).alias("__t")).join(F.broadcast(picked), key)
     schema = T.StructType([*(T.StructField(c, T.DoubleType()) for c in FEATURES), T.StructField("__k", T.LongType()), T.StructField("__y", T.DoubleType())])
-    got = rows.select(F.xxhash64(key).alias("__k"), "__t", "__y").mapInPandas(measured, schema).toPandas()
-    got = got.drop_duplicates().sort_values(["__k", *FEATURES], kind="stable")
+    got = rows.select(F.xxhash64(key).alias("__k"), "__t", "__y").mapInPandas(measured, schema)
+    got = got.groupBy("__k").agg(F.min(F.struct(*FEATURES, "__y")).alias("x")).select("__k", "x.*").toPandas().sort_values("__k", kind="stable")
     return fit(got[FEATURES].to_numpy(), got["__y"].to_numpy(), **how)
 
 
@@ -201,7 +202,7 @@ def score(docs: DataFrame, model: Gam, *, text: str = "text", threshold: float =
 
 
 def held_out(key: str = "doc_id"):
-    return F.crc32(F.col(key).cast("string")) % 5 == 0
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(False))
 
 
 def train_on_labels(spark: SparkSession, docs: DataFrame, sf_dir: str, **how) -> Gam:
