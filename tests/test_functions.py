@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import measures as M
 from textloom.functions import text as X
-from textloom.operators import dedupe, retrieve, segment, usage, validate
+from textloom.operators import dedupe, lines, retrieve, segment, usage, validate
 from textloom.queries import documents
 from textloom.sources import sinks
 
@@ -22,10 +22,41 @@ def test_normalisation(spark):
     assert one(spark, "ТЕСТ, Ёж!", X.letter_key(t)) == "тест ёж"
     assert one(spark, "ﬁne", X.nfkc(t)) == "fine"
     assert one(spark, "стр. 12", X.is_page_marker(t)) and one(spark, "=== page 3 / 9 ===", X.is_page_marker(t))
-    assert one(spark, "report_ocr_cleaned", X.base_key(t)) == "report"
+    names = {"a.ocr.raw.cleaned.txt": "a", "a.b.ocr.cleaned.cleaned.txt": "a.b", "a.cleaned.txt": "a", "a.cleaned.cleaned.txt": "a", "a.b.txt": "a.b", "a": "a", ".txt": ".txt"}
+    assert {k: one(spark, k, X.base_key(t)) for k in names} == names
+    cuts = {"short": "short", "One two. three four five": "One two.", "abcdefghi jklmnop qrst": "abcdefghi.", "x" * 30: "x" * 15 + ".", "A. bcdefgh ijklmnopqrst": "A. bcdefgh."}
+    assert {k: one(spark, k, X.cut_at_word(t, 15)) for k in cuts} == cuts
     assert one(spark, "", X.file_name(t)) == "file"
 
 
+def test_lines_keep_their_paragraphs(spark):
+    rows = {
+        1: ("\n\n First \n\n\nsecond\r\n  \nFIRST\n\nthird\n\n", "\nFirst\n\nsecond\n\nthird\n", 0, 1, 8),
+        2: ("Page 3 of 9\n\nbody\n12\n\nbody  \nwww.example.org", "\nbody\n", 3, 1, 2),
+        3: ("", "", 0, 0, 1),
+        4: ("a\nA\na b\nA  B", "a\na b", 0, 2, 0),
+    }
+    d = spark.createDataFrame([(k, v[0]) for k, v in rows.items()], "doc_id long, text string")
+    got = {r["doc_id"]: (r["cleaned"], r["navigation"], r["repeated"], r["empty"]) for r in lines.clean_lines(d).collect()}
+    assert got == {k: v[1:] for k, v in rows.items()}
+    d = spark.createDataFrame([(1, "Head line\nx\nHead line\nHead line\ny\n Head line \nword\nword\nword\nword\nEnd it.\nEnd it.\nEnd it.\nEnd it."), (2, "Head line"), (3, "")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["removed_lines"]) for r in lines.without_repeated_lines(d).collect()}
+    assert got == {1: ("x\ny\nword\nword\nword\nword\nEnd it.\nEnd it.\nEnd it.\nEnd it.", ["Head line"]), 2: ("Head line", []), 3: ("", [])}
+
+
+def test_cleaner_scores(spark):
+    t = F.col("t")
+    score = lambda text: one(spark, text, M.cleaner_score(t, M.cleaner_signals(t, {"tests": ["quiz"]})))
+    assert score("") == 0 and score(" \n ") == 0
+    assert score("word " * 300) == 100 and score("word " * 100) == 85 and score("word " * 50) == 38 and score("quiz " * 300) == 88
+    assert score("1234 " * 300) == 65
+    signals = lambda text: one(spark, text, M.cleaner_signals(t, {}))
+    assert "corrupted_ocr_or_mojibake" in signals("Рђж " * 120) and "corrupted_ocr_or_mojibake" not in signals("Рaж " * 10 + "latin " * 100)
+    assert "repeated_patterns" in signals("word " * 80 + "______ " * 4) and "repeated_patterns" not in signals("word " * 80 + "!!!!!! " * 4)
+    assert "repeated_lines" in signals("\n" * 7 + "word " * 80) and "low_semantic_density" not in signals("")
+    assert [one(spark, x, M.cleaner_action(t)) for x in ("HIGH", "MEDIUM", "LOW", "REJECT")] == ["keep", "manual_review", "manual_review", "reject"]
+
+
 def test_boundaries(spark):
     t = F.col("t")
     for n, score in ((299, 0.38), (300, 0.75), (999, 0.75), (1000, 1.0)):
@@ -78,3 +109,42 @@ def test_packed_chunk_names_the_copy_before_it(spark, monkeypatch, sf):
     assert got == {4: (-1, 1)} | {k: (before * 100_000 if before else -1, 6) for before, k in zip([None, *ids], ids)}
     n = spark.createDataFrame([(None, "a"), (5, "a"), (6, "a")], "seq long, k string")
     assert sorted(((r["seq"] or 0), r["duplicate_of"], r["n_same"]) for r in dedupe.previous_duplicates(n, F.col("k"), "seq", 2).collect()) == [(0, None, 3), (5, None, 3), (6, 5, 3)]
+
+
+def test_near_pairs_are_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    base = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(60)) for _ in range(rng.choice([3, 5, 30, 90]))) for _ in range(30)]
+    texts = ["", None, *base, *base[:6]]
+    for t in base[:20]:
+        w = t.split()
+        for _ in range(rng.randint(1, 3)):
+            w[rng.randrange(len(w))] = "new"
+        texts += [" ".join(w), "head " + t, t.upper() + " tail"]
+    sets = {k: frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for k, t in enumerate(texts) if (w := (t or "").lower().split())}
+    own = {}
+    for k, g in sets.items():
+        own.setdefault(g, k)
+    want = {(k, own[g], 1.0) for k, g in sets.items() if own[g] < k}
+    reps = sorted(own.values())
+    want |= {(b, a, round(j, 9)) for i, a in enumerate(reps) for b in reps[i + 1 :] if (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= 0.8}
+    got = dedupe.near_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("text", F.coalesce("text", F.lit("")))).collect()
+    assert len(got) == len(want) > 30 and {(r["doc_id"], r["duplicate_of"], round(r["similarity"], 9)) for r in got} == want
+
+
+def test_canonical_choice(spark):
+    d = spark.createDataFrame([(1, "a", 0.5, False, 10), (2, "a", 0.9, True, 10), (3, "a", 0.9, False, 10), (4, "a", 0.9, False, 20), (5, "b", 0.1, True, 1)], "doc_id long, base string, q double, raw boolean, n long")
+    got = dedupe.canonical(d, "base", -F.col("q"), F.col("raw"), -F.col("n"), F.col("doc_id")).filter("canonical").collect()
+    assert {r["doc_id"] for r in got} == {4, 5}
+
+
+def test_search_edges(spark):
+    v = spark.createDataFrame([(3, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 0.0]), (4, [-1.0, 0.0]), (5, [float("nan"), 1.0])], "vec_id long, embedding array<double>")
+    q = spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, embedding array<double>")
+    assert [(r["vec_id"], r["rank"]) for r in retrieve.top_k(q, v, 3).orderBy("rank").collect()] == [(1, 1), (3, 2), (2, 3)]
+    assert [r["vec_id"] for r in retrieve.top_k(q, v, 3, floor=0.05).orderBy("rank").collect()] == [1, 3]
+    assert retrieve.top_k(q.limit(0), v, 3).count() == 0 and retrieve.top_k(q, v.limit(0), 3).count() == 0
+    a = spark.createDataFrame([(1, "Abc abd"), (2, None), (3, "")], "article_id long, text string").fillna("")
+    words = spark.createDataFrame([(7, "ab  bc ab"), (8, "zz")], "query_id long, query string")
+    assert sorted(map(tuple, retrieve.lexical(words, a).select("query_id", "article_id", "hits").collect())) == [(7, 1, 4), (7, 2, 1), (7, 3, 1)]

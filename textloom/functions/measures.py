@@ -7,8 +7,11 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Mojibake of Cyrillic read as Latin-1, and what counts as a suspicious run.
+# Mojibake of Cyrillic read as Latin-1, in intake and in cleaning; its single marks; runs of punctuation.
 MOJIBAKE = "[РС][А-Яа-яA-Za-z]{1,3}"
+LONG_MOJIBAKE = "[РС][\u0400-\u04FFA-Za-z]{2,}"
+MOJIBAKE_MARKS = "[РСЃЊЉЌЋЏЂ™њќў]|вЂ"
+PUNCTUATION_RUN = r"[._\-–—=]{6,}"
 SEVERE = ("low_semantic_density", "corrupted_ocr_or_mojibake")
 
 
@@ -125,32 +128,38 @@ def intake_action(status: Column, score: Column, duplicate: Column) -> Column:
 def cleaner_signals(t: Column, families: dict[str, list[str]]) -> Column:
     """MSR-13: numeric signals and one for each lexicon family that is met, in fixed order."""
     n = F.length(t)
-    alpha, cyr = F.regexp_count(t, F.lit(r"\p{L}")), F.regexp_count(t, F.lit("[А-Яа-яЁё]"))
-    moji, marks = F.regexp_count(t, F.lit(MOJIBAKE)), F.regexp_count(t, F.lit("[РС]"))
-    keys = F.transform(F.split(t, "\n"), lambda x: F.lower(F.trim(x)))
+    alpha, cyr = F.regexp_count(t, F.lit("[A-Za-zА-Яа-яЁё]")), F.regexp_count(t, F.lit("[А-Яа-яЁё]"))
+    moji, marks = F.regexp_count(t, F.lit(LONG_MOJIBAKE)), F.regexp_count(t, F.lit(MOJIBAKE_MARKS))
+    keys = F.transform(F.split(t, "\n"), lambda x: F.trim(x))
     signal = lambda test, name: F.when(test, F.lit(name))
     return F.array_compact(F.array(
         signal(n < 300, "ultra_short_fragments"),
-        signal(alpha / F.greatest(n, F.lit(1)) < 0.35, "low_semantic_density"),
+        signal((n > 0) & (alpha / F.greatest(n, F.lit(1)) < 0.35), "low_semantic_density"),
         signal((moji > 15) | (marks > 40) | ((moji > 6) & (cyr / F.greatest(alpha, F.lit(1)) > 0.5)), "corrupted_ocr_or_mojibake"),
         signal(F.regexp_count(t, F.lit("�")) > 5, "broken_symbols"),
-        signal(F.regexp_count(t, F.lit(r"[!-/:-@\[-`{-~]{6,}")) > 3, "repeated_patterns"),
+        signal(F.regexp_count(t, F.lit(PUNCTUATION_RUN)) > 3, "repeated_patterns"),
         signal(F.size(keys) - F.size(F.array_distinct(keys)) > 5, "repeated_lines"),
         *[signal(t.rlike("|".join(p)), name) for name, p in families.items()],
     ))
 
 
-def cleaner_score(n: Column, signals: Column) -> Column:
-    """MSR-15."""
+def cleaner_score(t: Column, signals: Column) -> Column:
+    """MSR-15; 0 for blank texts."""
+    n = F.length(t)
     severe = F.size(F.array_intersect(signals, F.array(*map(F.lit, SEVERE))))
     s = 100 - F.when(n < 1000, 15).otherwise(0) - F.when(n < 300, 35).otherwise(0) - 35 * severe - 12 * (F.size(signals) - severe)
-    return F.greatest(F.lit(0), s)
+    return F.when(F.regexp_replace(t, r"\s+", "") == "", 0).otherwise(F.greatest(F.lit(0), s))
 
 
 def quality_label(score: Column, signals: Column) -> Column:
     return F.when((score < 35) | F.array_contains(signals, "corrupted_ocr_or_mojibake"), "REJECT").when(score < 55, "LOW").when(score < 80, "MEDIUM").otherwise("HIGH")
 
 
+def cleaner_action(label: Column) -> Column:
+    """MSR-15: what follows from the label."""
+    return F.when(label == "REJECT", "reject").when(label == "HIGH", "keep").otherwise("manual_review")
+
+
 def readiness(large: Column, average: Column, tail: Column, duplicate: Column, form: Column) -> Column:
     """MSR-18."""
     s = 1.0 - F.when(large, 0.35).otherwise(0.0) - F.when(average > 2400, 0.18).otherwise(0.0) + F.when(tail, 0.04).otherwise(0.0) - F.when(duplicate, 0.25).otherwise(0.0) - F.when(form, 0.2).otherwise(0.0)
@@ -159,7 +168,7 @@ def readiness(large: Column, average: Column, tail: Column, duplicate: Column, f
 
 def overlap(a: Column, b: Column) -> Column:
     """MSR-23, SET-03: shared words of four letters and more, as a share of the smaller set."""
-    words = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(r"(\p{L}{4,})"), F.lit(1)))
+    words = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit("([A-Za-zА-Яа-яЁё]{4,})"), F.lit(1)))
     x, y = words(a), words(b)
     return F.coalesce(F.size(F.array_intersect(x, y)) / F.nullif(F.least(F.size(x), F.size(y)), F.lit(0)), F.lit(0.0))
 

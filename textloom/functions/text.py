@@ -107,9 +107,23 @@ def file_name(t: Column) -> Column:
     return F.coalesce(F.nullif(F.substring(F.regexp_replace(t, r'[<>:"/\\|?*\x00-\x1f]', "_"), 1, 120), F.lit("")), F.lit("file"))
 
 
-def base_key(name: Column, suffixes: tuple[str, ...] = ("_ocr_cleaned", "_cleaned", "_ocr", "_raw")) -> Column:
-    """NRM-19: the name without the suffixes that variants of a file get, longest first."""
-    return F.regexp_replace(F.lower(name), "(?:" + "|".join(sorted(suffixes, key=len, reverse=True)) + ")$", "")
+# Endings of the variants of a file.
+VARIANTS = (".ocr.raw.cleaned.txt", ".ocr.cleaned.cleaned.txt", ".cleaned.cleaned.txt", ".cleaned.txt")
+
+
+def base_key(name: Column, suffixes: tuple[str, ...] = VARIANTS) -> Column:
+    """NRM-19: the name without the ending of a file's variant, longest first; other names without their extension."""
+    ends = "|".join(s.replace(".", r"\.") for s in sorted(suffixes, key=len, reverse=True))
+    return F.regexp_replace(name, rf"(?<=.)(?:{ends}|\.[^.]*)$", "")
+
+
+def cut_at_word(t: Column, limit: int) -> Column:
+    """NRM-21, second form: after the last full stop up to the limit if that lies beyond 40 % of it, else at the last space, with a full stop."""
+    head = F.substring(t, 1, limit + 1)
+    stop = F.length(head) - F.instr(F.reverse(head), ".")
+    space = F.length(head) - F.instr(F.reverse(head), " ")
+    at_space = F.when(F.instr(head, " ") > 0, F.substring(t, F.lit(1), space)).otherwise(F.substring(t, 1, limit))
+    return F.when(F.length(t) <= limit, t).when((F.instr(head, ".") > 0) & (stop > 0.4 * limit), F.substring(t, F.lit(1), stop + 1)).otherwise(F.concat(at_space, F.lit(".")))
 
 
 def is_url(t: Column) -> Column:

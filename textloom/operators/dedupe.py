@@ -50,3 +50,48 @@ def same_base_pairs(df: DataFrame, base: str, shingles: str, order: str, thresho
     shared = F.size(F.array_intersect(shingles, F.col(f"__f.{shingles}")))
     ratio = shared / (F.size(shingles) + F.size(f"__f.{shingles}") - shared)
     return pairs.withColumn("similarity", ratio).withColumn("duplicate_of", F.col(f"__f.{order}")).filter(F.col("similarity") >= threshold).drop("__f")
+
+
+def shingle_sets(df: DataFrame, key: str, text: str, width: int = 5) -> DataFrame:
+    """(key, g): the sorted distinct hashes of each text's runs of width lower-cased words; texts with fewer words have one run, blank ones none."""
+    w = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
+    runs = F.when(F.size("__w") <= width, F.array(F.xxhash64(F.array_join("__w", " ")))).otherwise(F.transform(F.sequence(F.lit(1), F.size("__w") - width + 1), lambda i: F.xxhash64(F.array_join(F.slice("__w", i, F.lit(width)), " "))))
+    return df.select(key, w.alias("__w")).filter(F.size("__w") > 0).select(key, F.array_sort(F.array_distinct(runs)).alias("g"))
+
+
+def near_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, width: int = 5) -> DataFrame:
+    """JON-10: (key, duplicate_of, similarity): exact Jaccard of shingle sets at the threshold, by prefixes of rare shingles.
+
+    Texts with equal sets are one class, whose rows name its smallest key with similarity 1; other pairs are between
+    smallest keys of classes. Two sets at the threshold share one of their n - ceil(threshold * n) + 1 rarest
+    shingles, so only texts that meet there are compared. A pair is compared under the smallest such shingle alone.
+    """
+    sets = shingle_sets(df, key, text, width)
+    same = sets.groupBy("g").agg(F.min(key).alias("own"))
+    copies = sets.join(same, "g").filter(F.col(key) > F.col("own")).select(key, F.col("own").alias("duplicate_of"), F.lit(1.0).alias("similarity"))
+    shingle = same.select("own", F.size("g").alias("n"), F.explode("g").alias("s"))
+    rare = shingle.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
+    order = shingle.join(rare, "s").groupBy("own").agg(F.any_value("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "s"))).alias("met"))
+    # shingles of one text alone are the rarest and meet nothing
+    alone = F.col("n") - F.size("met")
+    prefix = F.transform(F.slice("met", F.lit(1), F.greatest(F.lit(0), (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1 - alone).cast("int"))), lambda x: x["s"])
+    front = order.select("own", "n", prefix.alias("p")).filter(F.size("p") > 0)
+    entry = front.select("own", "n", "p", F.explode("p").alias("s"))
+    a, b = (entry.select(*[F.col(c).alias(f"{c}_{side}") for c in ("own", "n", "p")], "s") for side in "ab")
+    near = (F.col("own_a") < F.col("own_b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)
+    pairs = a.join(b, "s").filter(near & (F.array_min(F.array_intersect("p_a", "p_b")) == F.col("s"))).select("own_a", "own_b")
+    g = same.select("own", "g")
+    pairs = pairs.join(g.withColumnsRenamed({"own": "own_a", "g": "g_a"}), "own_a").join(g.withColumnsRenamed({"own": "own_b", "g": "g_b"}), "own_b")
+    shared = F.size(F.array_intersect("g_a", "g_b"))
+    pairs = pairs.select(F.col("own_b").alias(key), F.col("own_a").alias("duplicate_of"), (shared / (F.size("g_a") + F.size("g_b") - shared)).alias("similarity"))
+    return copies.unionByName(pairs.filter(F.col("similarity") >= threshold - 1e-12))
+
+
+def canonical(df: DataFrame, base: str, *order: Column) -> DataFrame:
+    """WIN-05: df with canonical, whether the row is the first of its base key in the given order.
+
+    A minimum for each base key and a join, so a base key that many rows share is pre-aggregated.
+    """
+    df = df.withColumn("__order", F.struct(*order))
+    first = df.groupBy(base).agg(F.min("__order").alias("__first"))
+    return df.join(first, base).withColumn("canonical", F.col("__order") == F.col("__first")).drop("__order", "__first")

@@ -20,16 +20,24 @@ def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least
     return x.groupBy(key, "line").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
+def without_repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", **bounds: int) -> DataFrame:
+    """NRM-08: df with its text free of repeated_lines(), and with them as removed_lines, sorted."""
+    found = repeated_lines(df, key, text, **bounds).groupBy(key).agg(F.sort_array(F.collect_list("line")).alias("removed_lines"))
+    out = df.join(found, key, "left").withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<string>")))
+    return out.withColumn(text, F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("removed_lines", F.trim(x))), "\n"))
+
+
 def clean_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """NRM-12: (key, cleaned, navigation, repeated, empty): lines without navigation, without later repeats, without blanks behind blanks.
+    """NRM-12: (key, cleaned, navigation, repeated, empty): lines without navigation and later repeats, one blank for each run of blanks.
 
     Lines are sorted into their document by position after the filters; a document's lines meet in one row, as its text did.
     """
-    x = lines(df, key, text).withColumn("k", hash_key(F.col("line")))
-    x = x.withColumn("nav", is_navigation(F.col("line")))
+    x = df.select(key, F.posexplode(F.split(text, "\r?\n")).alias("pos", "line")).withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", ""))
+    x = x.withColumn("k", hash_key(F.col("line"))).withColumn("nav", is_navigation(F.col("line")))
     first = x.filter("k != '' and not nav").groupBy(key, "k").agg(F.min("pos").alias("first"))
     x = x.join(first, [key, "k"], "left")
     x = x.withColumn("again", (F.col("k") != "") & ~F.col("nav") & (F.col("pos") > F.col("first")))
-    kept = F.when((F.col("k") != "") & ~F.col("nav") & ~F.col("again"), F.struct("pos", F.trim("line").alias("line")))
+    kept = F.when(~F.col("nav") & ~F.col("again"), F.struct("pos", "line"))
     by = x.groupBy(key).agg(F.sort_array(F.collect_list(kept)).alias("kept"), F.count_if("nav").alias("navigation"), F.count_if("again").alias("repeated"), F.count_if(F.col("k") == "").alias("empty"))
-    return by.select(key, F.array_join(F.transform("kept", lambda r: r["line"]), "\n").alias("cleaned"), "navigation", "repeated", "empty")
+    blank = lambda x, k: (x["line"] == "") & (k > 0) & (F.get("kept", k - 1)["line"] == "")
+    return by.select(key, F.array_join(F.transform(F.filter("kept", lambda x, k: ~F.coalesce(blank(x, k), F.lit(False))), lambda r: r["line"]), "\n").alias("cleaned"), "navigation", "repeated", "empty")

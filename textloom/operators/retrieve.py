@@ -1,46 +1,79 @@
-"""Batch retrieval (JON-04, JON-09, JON-12, WIN-06..08, AGG-18, AGG-19, AGG-21, SET-05, SRT-*, PIP-10..12)."""
+"""Batch retrieval (JON-04, JON-09, JON-12, WIN-06..08, AGG-18..21, SET-05, SRT-*, PIP-10..12).
+
+Searches take a stated query set against all rows. Queries are read in blocks of bounded size, which every task gets with its
+code; a task scores a batch of rows against a block at once and hands on the k best of each query, so the corpus is read
+once a block and neither shuffled nor joined.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import ahocorasick
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textloom.functions.measures import dot, normalised
-
-#: Queries that one search sends to every task; more are searched in blocks of about this many.
-QUERIES = 4096
+#: Queries of one block, and the characters or numbers of all its queries.
+QUERIES, BLOCK_SIZE = 4096, 4 << 20
 
 
-def in_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """search() of all queries, block by block; the rows of a query_id are in one block."""
-    blocks = -(-queries.count() // QUERIES)
-    if blocks <= 1:
-        return search(queries)
+def in_blocks(queries: DataFrame, size: Column, search: Callable[[pd.DataFrame], DataFrame]) -> DataFrame:
+    """search() of all queries, block by block; the rows of a query_id are in one block. size: characters or numbers of a query."""
+    n, total = queries.agg(F.count("*"), F.sum(size)).first()
+    blocks = max(1, -(-n // QUERIES), -(-(total or 0) // BLOCK_SIZE))
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    return reduce(DataFrame.unionByName, [search(queries.filter(block == k)) for k in range(blocks)])
+    return reduce(DataFrame.unionByName, [search(queries.filter(block == k).toPandas()) for k in range(blocks)])
+
+
+def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best rows of each column, ties by id: (scores, ids). Rows that are no candidates have a score of -inf."""
+    order = np.lexsort((np.broadcast_to(ids[:, None], scores.shape) if ids.ndim == 1 else ids, -scores), axis=0)[:k]
+    return np.take_along_axis(scores, order, 0), np.take_along_axis(np.broadcast_to(ids[:, None], scores.shape) if ids.ndim == 1 else ids, order, 0)
+
+
+def _ranked(corpus: DataFrame, query_ids: np.ndarray, k: int, item: str, score: str, scored: Callable[[pd.DataFrame], np.ndarray], kind: str) -> DataFrame:
+    """(query_id, rank, item, score). scored: a batch of the corpus, which has the item's id first -> scores, a row each, a column for each query."""
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        top, who = np.full((0, len(query_ids)), -np.inf), np.zeros((0, len(query_ids)), np.int64)
+        for b in batches:
+            own, ids = best(scored(b), b.iloc[:, 0].to_numpy(np.int64), k)
+            top, who = best(np.concatenate([top, own]), np.concatenate([who, ids]), k)
+        row, column = np.nonzero(top > -np.inf)
+        yield pd.DataFrame({"query_id": query_ids[column], item: who[row, column], score: top[row, column].astype(kind)})
+
+    found = corpus.mapInPandas(search, f"query_id long, {item} long, {score} {'double' if kind == 'f8' else 'int'}")
+    w = W.partitionBy("query_id").orderBy(F.desc(score), item)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """MSR-28 for rows."""
+    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return vectors / np.where(norm == 0, 1.0, norm)
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, *, vector: str = "embedding", floor: float | None = None) -> DataFrame:
-    """JON-09, SRT-01: (query_id, rank, vec_id, score): exact cosine, ties by vec_id.
+    """JON-09, SRT-01, FLT-16: (query_id, rank, vec_id, score): exact cosine, ties by vec_id; a batch and a block are one matrix product.
 
-    A query set against all vectors: queries are broadcast in blocks of about QUERIES, each of which reads all vectors;
-    vectors are never shuffled; Spark's window group limit keeps k rows of a query in each task before the ranking.
+    floor: the least score; scores that are no numbers are left out. Vectors have one length.
     """
-    return in_blocks(queries, lambda q: _top_k(q, corpus, k, vector, floor))
 
+    def search(q: pd.DataFrame) -> DataFrame:
+        matrix = unit(np.stack(q["v"].to_numpy()).astype(float)).T if len(q) else np.zeros((0, 0))
+
+        def scored(b: pd.DataFrame) -> np.ndarray:
+            s = unit(np.stack(b["v"].to_numpy()).astype(float)) @ matrix if len(q) else np.zeros((len(b), 0))
+            return np.where(np.isnan(s) | (s < (-np.inf if floor is None else floor)), -np.inf, s)
+
+        rows = corpus.select(F.col("vec_id").cast("long"), F.col(vector).alias("v"))
+        return _ranked(rows, q["query_id"].to_numpy(np.int64), k, "vec_id", "score", scored, "f8")
 
-def _top_k(queries: DataFrame, corpus: DataFrame, k: int, vector: str, floor: float | None) -> DataFrame:
-    q = queries.select("query_id", normalised(F.col(vector)).alias("__q"))
-    v = corpus.select("vec_id", normalised(F.col(vector)).alias("__v"))
-    scored = v.crossJoin(F.broadcast(q)).select("query_id", "vec_id", dot(F.col("__q"), F.col("__v")).alias("score"))
-    if floor is not None:
-        scored = scored.filter(~F.isnan("score") & (F.col("score") >= floor))
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return in_blocks(queries.select(F.col("query_id").cast("long"), F.col(vector).alias("v")), F.size("v"), search).select("query_id", "rank", "vec_id", "score")
 
 
 def confidence(hits: DataFrame) -> DataFrame:
@@ -75,16 +108,35 @@ def dedupe_hits(hits: DataFrame, k: int, key: str, text_key: str) -> DataFrame:
 
 
 def lexical(queries: DataFrame, articles: DataFrame, k: int = 3, *, query: str = "query", text: str = "text") -> DataFrame:
-    """JON-12, SRT-02: (query_id, rank, article_id, hits): words of the query, split at single spaces, that the article holds as substrings; queries go in blocks as in top_k()."""
-    return in_blocks(queries, lambda q: _lexical(q, articles, k, query, text))
+    """JON-12, SRT-02: (query_id, rank, article_id, hits): words of the query, split at single spaces, that the article holds as substrings.
 
+    The distinct words of a block of queries are sought in one pass over each article.
+    """
 
-def _lexical(queries: DataFrame, articles: DataFrame, k: int, query: str, text: str) -> DataFrame:
-    q = queries.select("query_id", F.split(F.lower(query), " ").alias("__words"))
-    a = articles.select("article_id", F.lower(text).alias("__t"))
-    found = a.crossJoin(F.broadcast(q)).select("query_id", "article_id", F.size(F.filter("__words", lambda x: F.contains(F.col("__t"), x))).alias("hits")).filter("hits > 0")
-    w = W.partitionBy("query_id").orderBy(F.desc("hits"), "article_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    def search(q: pd.DataFrame) -> DataFrame:
+        words = sorted({w for ws in q["ws"] for w in ws})
+        number = {w: k for k, w in enumerate(words)}
+        times = np.zeros((len(words), len(q)), np.int32)
+        for column, ws in enumerate(q["ws"]):
+            np.add.at(times[:, column], [number[w] for w in ws], 1)
+
+        def scored(b: pd.DataFrame) -> np.ndarray:
+            seek = ahocorasick.Automaton()
+            for w in words:
+                if w:
+                    seek.add_word(w, number[w])
+            seek.make_automaton()
+            met = np.zeros((len(b), len(words)), bool)
+            met[:, [number[w] for w in words if not w]] = True  # an empty word is in every text
+            for row, t in enumerate(b["t"]):
+                if len(seek):
+                    met[row, list({n for _, n in seek.iter(t)})] = True
+            hits = (met.astype(np.float32) @ times.astype(np.float32)).astype(float)
+            return np.where(hits > 0, hits, -np.inf)
+
+        return _ranked(articles.select(F.col("article_id").cast("long"), F.lower(text).alias("t")), q["query_id"].to_numpy(np.int64), k, "article_id", "hits", scored, "i4")
+
+    return in_blocks(queries.select(F.col("query_id").cast("long"), F.split(F.lower(query), " ").alias("ws")), F.length(F.array_join("ws", " ")), search)
 
 
 def cascade(queries: DataFrame, *answers: DataFrame) -> DataFrame:
@@ -93,5 +145,11 @@ def cascade(queries: DataFrame, *answers: DataFrame) -> DataFrame:
     for k, a in enumerate(answers):
         a = a.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("item").cast("long").alias("item"), F.col("score").cast("double").alias("score"), F.lit(k).alias("source"))
         both = a if both is None else both.unionByName(a)
-    first = both.groupBy("query_id").agg(F.min("source").alias("source"))
-    return queries.select("query_id").join(both.join(first, ["query_id", "source"]), "query_id", "left")
+    first = F.min("source").over(W.partitionBy("query_id"))  # a few rows for each query
+    return queries.select("query_id").join(both.withColumn("__first", first).filter("source = __first").drop("__first"), "query_id", "left")
+
+
+def quality(hits: DataFrame, source: str, flagged: str) -> DataFrame:
+    """AGG-20: (query_id, average, sources, flagged, label) of the ranked hits: strong from an average of .45 with two sources and nothing flagged, usable from .32, else weak."""
+    by = hits.groupBy("query_id").agg(F.avg("score").alias("average"), F.count_distinct(source).alias("sources"), F.count_if(F.col(flagged)).alias("flagged"))
+    return by.withColumn("label", F.when((F.col("average") >= 0.45) & (F.col("sources") >= 2) & (F.col("flagged") == 0), "strong").when(F.col("average") >= 0.32, "usable").otherwise("weak"))

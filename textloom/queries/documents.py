@@ -85,20 +85,23 @@ def doc_line_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NAV = r"(?i)^\s*(?:\d+|page\s+\d+(?:\s+of\s+\d+)?|стр\.?\s*\d+|страница\s+\d+|оглавление|содержание|www\.\S+|https?://\S+)\s*$|^\s*(?:copyright|all rights reserved)(?:[^\p{L}\p{N}_]|$)"
-DOC_LINE_CLEAN = f"""WITH {DOCS}, {LINES}, k AS (
+DOC_LINE_CLEAN = f"""WITH {DOCS}, l AS (SELECT doc_id, unnest(range(0, len(ls))) AS pos, regexp_replace(unnest(ls), '^[ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+$', '', 'g') AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d)), k AS (
   SELECT *, trim(lower(regexp_replace(line, '\\s+', ' ', 'g')), ' ') AS k, regexp_matches(line, '{NAV}') AS nav FROM l
-), a AS (SELECT *, k <> '' AND NOT nav AND row_number() OVER (PARTITION BY doc_id, k, nav ORDER BY pos) > 1 AS again FROM k)
-SELECT doc_id, md5(coalesce(string_agg(CASE WHEN k <> '' AND NOT nav AND NOT again THEN trim(line, ' ') END, chr(10) ORDER BY pos), '')) AS cleaned,
-  count(*) FILTER (WHERE nav) AS navigation, count(*) FILTER (WHERE again) AS repeated, count(*) FILTER (WHERE k = '') AS empty FROM a GROUP BY doc_id"""
+), a AS (SELECT *, k <> '' AND NOT nav AND row_number() OVER (PARTITION BY doc_id, k, nav ORDER BY pos) > 1 AS again FROM k),
+b AS (SELECT doc_id, pos, line, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM a WHERE NOT nav AND NOT again),
+c AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS cleaned FROM b WHERE line <> '' OR before IS DISTINCT FROM '' GROUP BY doc_id)
+SELECT doc_id, md5(coalesce(any_value(cleaned), '')) AS cleaned,
+  count(*) FILTER (WHERE nav) AS navigation, count(*) FILTER (WHERE again) AS repeated, count(*) FILTER (WHERE k = '') AS empty FROM a LEFT JOIN c USING (doc_id) GROUP BY doc_id"""
 
 
 def doc_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.repeated_lines(docs(spark, sf_dir), least=2)
+    """NRM-08, AGG-09 for sources: lines that documents of one source repeat."""
+    return lines.repeated_lines(docs(spark, sf_dir).withColumn("source", F.coalesce("source", F.lit(""))), key="source")
 
 
-DOC_REPEATED_LINES = f"""WITH {DOCS}, {LINES}, t AS (SELECT doc_id, trim(line, ' ') AS line FROM l)
-SELECT doc_id, line, count(*) AS n FROM t WHERE length(line) BETWEEN 5 AND 120 AND line NOT LIKE '%.' AND len(list_distinct(regexp_split_to_array(lower(line), '\\s+'))) >= 2
-GROUP BY doc_id, line HAVING count(*) >= 2"""
+DOC_REPEATED_LINES = f"""WITH {DOCS}, t AS (SELECT coalesce(source, '') AS source, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM d)
+SELECT source, line, count(*) AS n FROM t WHERE length(line) BETWEEN 5 AND 120 AND line NOT LIKE '%.' AND len(list_distinct(regexp_split_to_array(lower(line), '\\s+'))) >= 2
+GROUP BY source, line HAVING count(*) >= 4"""
 
 
 def doc_token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,26 +126,26 @@ FAMILIES = {"tests": ["!!"], "questionnaires": ["@"], "forms": ["[*]{3}"], "chec
 def doc_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, size = F.col("text"), F.length("text")
     out = docs(spark, sf_dir).select("doc_id", "text", M.intake_signals(t).alias("intake"), M.cleaner_signals(t, FAMILIES).alias("cleaner"))
-    out = out.withColumn("score", M.cleaner_score(size, F.col("cleaner"))).withColumn("intake_score", M.intake_score(size, F.col("intake")))
+    out = out.withColumn("score", M.cleaner_score(t, F.col("cleaner"))).withColumn("intake_score", M.intake_score(size, F.col("intake")))
     action = M.intake_action(M.extraction_status(F.lit("text"), F.lit("txt"), t), F.col("intake_score"), F.lit("low"))
     return out.select("doc_id", F.array_join("intake", ",").alias("intake"), F.array_join("cleaner", ",").alias("cleaner"), r6(F.col("intake_score")).alias("intake_score"), F.col("score").cast("long").alias("score"), M.quality_label(F.col("score"), F.col("cleaner")).alias("label"), action.alias("action"))
 
 
 DOC_QUALITY = f"""WITH {DOCS}, m AS (
-  SELECT doc_id, text, length(text) AS n, {n('�')} AS repl, {n(M.MOJIBAKE)} AS moji, {n('[РС]')} AS marks, {n('[ \\t\\n\\r\\f\\v]')} AS ws, {n('[A-Za-zА-Яа-яЁё]')} AS al, {n('\\p{L}')} AS letters, {n('[А-Яа-яЁё]')} AS cyr,
+  SELECT doc_id, text, length(text) AS n, {n('�')} AS repl, {n(M.MOJIBAKE)} AS moji, {n('[РС][' + chr(0x400) + '-' + chr(0x4FF) + 'A-Za-z]{2,}')} AS cmoji, {n(M.MOJIBAKE_MARKS)} AS marks, {n('[ \\t\\n\\r\\f\\v]')} AS ws, {n('[A-Za-zА-Яа-яЁё]')} AS al, {n('[А-Яа-яЁё]')} AS cyr,
     len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: length(w) > 45)) AS long_words,
-    {n('[!-/:-@\\[-`{-~]{6,}')} AS runs, list_transform(string_split(text, chr(10)), lambda x: lower(trim(x, ' '))) AS ks FROM d
+    {n('[._' + chr(92) + '-–—=]{6,}')} AS runs, list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')) AS ks FROM d
 ), s AS (
   SELECT doc_id, text, n, CASE WHEN n = 0 THEN ['empty_text'] ELSE list_filter([CASE WHEN repl > 5 THEN 'replacement_characters' END, CASE WHEN moji > 30 THEN 'possible_mojibake' END, CASE WHEN ws / n > 0.45 THEN 'excessive_whitespace' END,
       CASE WHEN al / n < 0.35 THEN 'low_alpha_ratio' END, CASE WHEN long_words > 5 THEN 'many_overlong_tokens' END, CASE WHEN n < 300 THEN 'very_short_text' END], lambda x: x IS NOT NULL) END AS a,
-    list_filter([CASE WHEN n < 300 THEN 'ultra_short_fragments' END, CASE WHEN letters / greatest(n, 1) < 0.35 THEN 'low_semantic_density' END,
-      CASE WHEN moji > 15 OR marks > 40 OR (moji > 6 AND cyr / greatest(letters, 1) > 0.5) THEN 'corrupted_ocr_or_mojibake' END, CASE WHEN repl > 5 THEN 'broken_symbols' END, CASE WHEN runs > 3 THEN 'repeated_patterns' END,
+    list_filter([CASE WHEN n < 300 THEN 'ultra_short_fragments' END, CASE WHEN n > 0 AND al / greatest(n, 1) < 0.35 THEN 'low_semantic_density' END,
+      CASE WHEN cmoji > 15 OR marks > 40 OR (cmoji > 6 AND cyr / greatest(al, 1) > 0.5) THEN 'corrupted_ocr_or_mojibake' END, CASE WHEN repl > 5 THEN 'broken_symbols' END, CASE WHEN runs > 3 THEN 'repeated_patterns' END,
       CASE WHEN len(ks) - len(list_distinct(ks)) > 5 THEN 'repeated_lines' END, CASE WHEN contains(text, '!!') THEN 'tests' END, CASE WHEN contains(text, '@') THEN 'questionnaires' END,
       CASE WHEN contains(text, '***') THEN 'forms' END, CASE WHEN contains(text, ' | ') THEN 'checklists' END], lambda x: x IS NOT NULL) AS b FROM m
 ), q AS (
   SELECT *, len(list_filter(b, lambda x: x IN ('low_semantic_density', 'corrupted_ocr_or_mojibake'))) AS severe,
     round(greatest(0, least(1, 1.0::DOUBLE - CASE WHEN n < 1000 THEN 0.25 ELSE 0 END - CASE WHEN n < 300 THEN 0.25 ELSE 0 END - 0.12::DOUBLE * len(a))), 2) AS intake_score FROM s
-), w AS (SELECT *, greatest(0, 100 - CASE WHEN n < 1000 THEN 15 ELSE 0 END - CASE WHEN n < 300 THEN 35 ELSE 0 END - 35 * severe - 12 * (len(b) - severe)) AS score FROM q)
+), w AS (SELECT *, CASE WHEN regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', '', 'g') = '' THEN 0 ELSE 1 END * greatest(0, 100 - CASE WHEN n < 1000 THEN 15 ELSE 0 END - CASE WHEN n < 300 THEN 35 ELSE 0 END - 35 * severe - 12 * (len(b) - severe)) AS score FROM q)
 SELECT doc_id, array_to_string(a, ',') AS intake, array_to_string(b, ',') AS cleaner, intake_score, CAST(score AS BIGINT) AS score,
   CASE WHEN score < 35 OR list_contains(b, 'corrupted_ocr_or_mojibake') THEN 'REJECT' WHEN score < 55 THEN 'LOW' WHEN score < 80 THEN 'MEDIUM' ELSE 'HIGH' END AS label,
   CASE WHEN intake_score >= 0.65 THEN 'ready_for_cleaning' ELSE 'needs_review' END AS action FROM w"""
@@ -173,12 +176,15 @@ SELECT doc_id, category, round(CASE category WHEN 'duplicate' THEN 0.98::DOUBLE
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-06 for each line, as a block; keys are counted within the document's row, so lines are never shuffled."""
     t = F.col("text")
-    b = lines.lines(docs(spark, sf_dir)).select("doc_id", "pos", F.col("line").alias("text")).filter(F.trim("text") != "")
-    key = X.hash_key(t)
-    same = b.select("doc_id", "pos", key.alias("k")).filter(F.length("k").between(40, 600)).groupBy("doc_id", "k").agg(F.count("*").alias("same"))
-    m = b.select("doc_id", "pos", key.alias("k"), F.length(t).alias("chars"), M.theory_score(t, LEXICON["theory"]).alias("theory"), M.block_noise(t).alias("noise"), M.line_share(t, M.NUMBERED).alias("num"), M.line_share(t, M.CONTENTS).alias("toc"), M.line_share(t, M.REFERENCE).alias("ref"), *[M.hits(t, LEXICON[k]).alias(k) for k in ("bib", "quest", "test", "exer", "tocw", "chap")], t.contains("%").alias("scoring"), t.contains("$").alias("instr"), t.contains("&").alias("clinical"))
-    m = m.join(same, ["doc_id", "k"], "left").withColumn("dup", F.coalesce("same", F.lit(0))).drop("same")
+    own = docs(spark, sf_dir).select("doc_id", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("lines"))
+    keys = F.filter(F.transform("lines", lambda x: X.hash_key(x)), lambda k: F.length(k).between(40, 600))
+    own = own.withColumn("keys", F.array_sort(F.transform(keys, lambda k: F.xxhash64(k))))
+    often = F.array_distinct(F.filter("keys", lambda k, i: F.coalesce(F.get("keys", i + 3) == k, F.lit(False))))  # met four times or more
+    b = own.withColumn("often", often).select("doc_id", "often", F.posexplode("lines").alias("pos", "text"))
+    dup = F.when((F.size("often") > 0) & F.array_contains("often", F.xxhash64(X.hash_key(t))), 4).otherwise(0)
+    m = b.select("doc_id", "pos", dup.alias("dup"), F.length(t).alias("chars"), M.theory_score(t, LEXICON["theory"]).alias("theory"), M.block_noise(t).alias("noise"), M.line_share(t, M.NUMBERED).alias("num"), M.line_share(t, M.CONTENTS).alias("toc"), M.line_share(t, M.REFERENCE).alias("ref"), *[M.hits(t, LEXICON[k]).alias(k) for k in ("bib", "quest", "test", "exer", "tocw", "chap")], t.contains("%").alias("scoring"), t.contains("$").alias("instr"), t.contains("&").alias("clinical"))
     return m.select("doc_id", "pos", "chars", M.block_ladder({c: F.col(c) for c in m.columns}).alias("b")).select("doc_id", "pos", "chars", "b.*")
 
 
@@ -216,17 +222,15 @@ SELECT doc_id, CASE WHEN doc_id > first THEN first ELSE -1 END AS duplicate_of,
 
 
 def doc_near_dupes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON-08, JON-10: base key is the text's opening words; similarity is Jaccard over word triples."""
-    d = docs(spark, sf_dir).withColumn("w", F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).filter(F.size("w") >= 8)
-    d = d.select("doc_id", F.array_join(F.slice("w", 1, 6), " ").alias("base"), F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, F.lit(3)), " "))).alias("g"))
-    return dedupe.same_base_pairs(d, "base", "g", "doc_id").select("doc_id", "duplicate_of", r6(F.col("similarity")).alias("similarity"))
+    """JON-10 over all documents: shingles of five words, similarity 0.8."""
+    return dedupe.near_pairs(docs(spark, sf_dir)).withColumn("similarity", r6(F.col("similarity")))
 
 
 DOC_NEAR_DUPES = f"""WITH {DOCS}, w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM d),
-g AS (SELECT doc_id, array_to_string(w[1:6], ' ') AS base, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 8),
-f AS (SELECT base, min(doc_id) AS first, arg_min(g, doc_id) AS fg FROM g GROUP BY base),
-p AS (SELECT doc_id, first AS duplicate_of, len(list_intersect(g, fg)) AS s, len(g) AS a, len(fg) AS b FROM g JOIN f USING (base) WHERE doc_id <> first)
-SELECT doc_id, duplicate_of, round(s / (a + b - s), 6) AS similarity FROM p WHERE s / (a + b - s) >= 0.86"""
+g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) <= 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4]) END)) AS g FROM w WHERE len(w) > 0),
+c AS (SELECT doc_id, g, min(doc_id) OVER (PARTITION BY g) AS own FROM g), s AS (SELECT doc_id, len(g) AS n, unnest(g) AS s FROM c WHERE doc_id = own),
+p AS (SELECT b.doc_id, a.doc_id AS duplicate_of, count(*) AS k, any_value(a.n) AS x, any_value(b.n) AS y FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2)
+SELECT doc_id, own AS duplicate_of, 1.0::DOUBLE AS similarity FROM c WHERE doc_id > own UNION ALL SELECT doc_id, duplicate_of, round(k / (x + y - k), 6) FROM p WHERE k / (x + y - k) >= 0.8"""
 
 
 def chunk_word_window(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,10 +293,10 @@ SELECT doc_id, target, source || CASE WHEN n = 1 THEN '' ELSE '__' || (n - 1) EN
 
 
 def dense_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.dense_ids(table(spark, sf_dir, "documents").filter("lang != 'en'").select("doc_id"), "doc_id").select("doc_id", F.col("vector_id").cast("long").alias("vector_id"))
+    return sinks.dense_ids(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("doc_id", F.col("vector_id").cast("long").alias("vector_id"))
 
 
-DENSE_IDS = "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS vector_id FROM documents WHERE lang <> 'en'"
+DENSE_IDS = "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS vector_id FROM documents"
 
 
 def page_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,7 +318,7 @@ PAGE_LINKS = """SELECT page_id, 'https://example.org' || h AS link FROM (SELECT
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean, grade and chunk documents; one row for each quality label."""
     d = docs(spark, sf_dir).select("doc_id", "source", X.clean_spaces(F.col("text")).alias("text"))
-    s = d.select("*", M.cleaner_signals(F.col("text"), FAMILIES).alias("s")).withColumn("score", M.cleaner_score(F.length("text"), F.col("s"))).withColumn("label", M.quality_label(F.col("score"), F.col("s")))
+    s = d.select("*", M.cleaner_signals(F.col("text"), FAMILIES).alias("s")).withColumn("score", M.cleaner_score(F.col("text"), F.col("s"))).withColumn("label", M.quality_label(F.col("score"), F.col("s")))
     c = segment.word_windows(s.select("doc_id", "label", "score", "text"))
     return c.groupBy("label").agg(F.count_distinct("doc_id").alias("documents"), F.count("*").alias("chunks"), F.sum(M.tokens_by_chars(F.col("chunk"))).alias("tokens"), r6(F.avg("score")).alias("score"))
 

@@ -9,15 +9,15 @@ from textloom.functions import text as X
 from textloom.operators import dedupe, retrieve, validate
 from textloom.queries.documents import r6, table
 
-HITS_SQL = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id < 8),
+HITS_SQL = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, vec_id, label, list_cosine_similarity(qe, e) AS score FROM q, v),
 h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 5)"""
 
 
 def hits(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
-    """The first eight vectors are the stated queries; the search is over all."""
+    """Every vector whose id is divisible by 50 is a query; the search is over all."""
     v = table(spark, sf_dir, "embeddings")
-    return retrieve.top_k(v.filter("vec_id < 8").select(F.col("vec_id").alias("query_id"), "embedding"), v, k)
+    return retrieve.top_k(v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v, k)
 
 
 def vec_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,12 +41,12 @@ def vec_source_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 VEC_SOURCE_ROLLUP = f"WITH {HITS_SQL} SELECT query_id, label, round(max(score), 6) AS best, count(*) AS n, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY rank) AS chunks FROM h GROUP BY query_id, label"
 
-FOUND_SQL = """a AS (SELECT item_id AS query_id, string_split(lower(text), ' ') AS ws FROM benchmark WHERE item_id < 10), t AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
+FOUND_SQL = """a AS (SELECT item_id AS query_id, string_split(lower(text), ' ') AS ws FROM benchmark), t AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
 f AS (SELECT query_id, doc_id AS article_id, len(list_filter(ws, lambda w: contains(t, w))) AS hits FROM a, t), g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, article_id) AS rank FROM f WHERE hits > 0 QUALIFY rank <= 3)"""
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = table(spark, sf_dir, "benchmark").filter("item_id < 10").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), F.coalesce("text", F.lit("")).alias("text"))
     return retrieve.lexical(q, d)
 
@@ -76,14 +76,14 @@ SELECT query_id, count(*) AS blocks, md5(string_agg(text, {joint} ORDER BY rank)
 
 
 def retrieval_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = table(spark, sf_dir, "benchmark").filter("item_id < 10").select(F.col("item_id").alias("query_id"))
-    grounded = hits(spark, sf_dir).filter("score < 0.999 and score >= 0.4").select("query_id", "rank", F.col("vec_id").alias("item"), "score")
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
+    grounded = hits(spark, sf_dir).filter("score < 0.999 and score >= 0.4").select((F.col("query_id") / 50).cast("long").alias("query_id"), "rank", F.col("vec_id").alias("item"), "score")
     lexical = found(spark, sf_dir).select("query_id", "rank", F.col("article_id").alias("item"), F.col("hits").cast("double").alias("score"))
     out = retrieve.cascade(q, grounded, lexical)
     return out.select("query_id", F.col("source").cast("long").alias("source"), F.col("rank").cast("long").alias("rank"), "item", r6(F.col("score")).alias("score"))
 
 
-RETRIEVAL_CASCADE = f"""WITH {HITS_SQL}, {FOUND_SQL}, u AS (SELECT query_id, 0 AS source, rank, vec_id AS item, score FROM h WHERE score < 0.999 AND score >= 0.4 UNION ALL SELECT query_id, 1, rank, article_id, CAST(hits AS DOUBLE) FROM g),
+RETRIEVAL_CASCADE = f"""WITH {HITS_SQL}, {FOUND_SQL}, u AS (SELECT query_id // 50 AS query_id, 0 AS source, rank, vec_id AS item, score FROM h WHERE score < 0.999 AND score >= 0.4 UNION ALL SELECT query_id, 1, rank, article_id, CAST(hits AS DOUBLE) FROM g),
 m AS (SELECT *, min(source) OVER (PARTITION BY query_id) AS first FROM u)
 SELECT a.query_id, CAST(source AS BIGINT) AS source, rank, item, round(score, 6) AS score FROM a LEFT JOIN (SELECT * FROM m WHERE source = first) USING (query_id)"""
 
