@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.queries import documents, retrieval, usage
+from textloom.queries import corpus, documents, retrieval, usage
 
-ALL = documents.QUERIES | retrieval.QUERIES | usage.QUERIES
+ALL = documents.QUERIES | retrieval.QUERIES | usage.QUERIES | corpus.QUERIES
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

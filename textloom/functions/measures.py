@@ -203,8 +203,9 @@ def dot(a: Column, b: Column) -> Column:
 
 def is_heading(line: Column) -> Column:
     """FLT-01."""
-    t = F.trim(line)
-    return (F.length(t) <= 140) & (t.rlike(r"(?iu)^(?:глава|раздел|часть|chapter|section)\s+\d+") | t.rlike(r"^\d+(?:\.\d+)+\.?\s+\S") | ((t == F.upper(t)) & (F.regexp_count(t, F.lit(r"\p{L}")) >= 4)))
+    t = F.regexp_replace(line, r"^\s+|\s+$", "")
+    named = t.rlike(r"(?iu)^(?:chapter|part|section|глава|часть|раздел)(?![\p{L}\p{N}_])|^\d{1,2}(?:\.\d{1,2}){0,3}\.?\s+\S+")
+    return F.length(t).between(1, 140) & (named | ((t == F.upper(t)) & (F.regexp_count(t, F.lit(r"\p{L}")) >= 4)))
 
 
 def paragraph_label(p: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Exact and near duplicates inside the corpus-build operators (WIN-01, WIN-03, WIN-04, JON-05..08, JON-10, AGG-10, AGG-27)."""
+"""Exact and near duplicates inside the corpus-build operators (WIN-01, WIN-03..05, JON-05..08, JON-10, AGG-27)."""
 
 from __future__ import annotations
 

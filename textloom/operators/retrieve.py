@@ -150,6 +150,43 @@ def cascade(queries: DataFrame, *answers: DataFrame) -> DataFrame:
 
 
 def quality(hits: DataFrame, source: str, flagged: str) -> DataFrame:
-    """AGG-20: (query_id, average, sources, flagged, label) of the ranked hits: strong from an average of .45 with two sources and nothing flagged, usable from .32, else weak."""
-    by = hits.groupBy("query_id").agg(F.avg("score").alias("average"), F.count_distinct(source).alias("sources"), F.count_if(F.col(flagged)).alias("flagged"))
-    return by.withColumn("label", F.when((F.col("average") >= 0.45) & (F.col("sources") >= 2) & (F.col("flagged") == 0), "strong").when(F.col("average") >= 0.32, "usable").otherwise("weak"))
+    """AGG-20: (query_id, top, average, sources, flagged, label) of the ranked hits."""
+    by = hits.groupBy("query_id").agg(F.max("score").alias("top"), F.avg("score").alias("average"), F.count_distinct(source).alias("sources"), F.count_if(F.col(flagged)).alias("flagged"))
+    good = (F.col("top") >= 0.42) & (F.col("average") >= 0.32) & (F.col("flagged") == 0)
+    return by.withColumn("label", F.when(good, "good").when((F.col("top") >= 0.34) & (F.col("flagged") <= 1), "medium").otherwise("low"))
+
+
+def with_texts(vectors: DataFrame, chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """JON-01: vectors with their chunk's text, and a warning where there is none."""
+    out = vectors.join(chunks.select(key, F.col(text).alias("__t")), key, "left")
+    return out.withColumn("warning", F.when(F.col("__t").isNull(), "missing_chunk_text")).withColumn(text, F.coalesce("__t", F.lit(""))).drop("__t")
+
+
+def source_label(*fields: Column) -> Column:
+    """MSR-32: the first field that isn't empty."""
+    return F.coalesce(*[F.nullif(c.cast("string"), F.lit("")) for c in fields], F.lit("unknown"))
+
+
+def prompts(queries: DataFrame, contexts: DataFrame) -> DataFrame:
+    """PIP-11: (query_id, prompt) of queries (query_id, query) and context()'s rows; without context it is empty."""
+    out = queries.join(contexts.select("query_id", "context"), "query_id", "left")
+    return out.select("query_id", F.concat(F.lit("USER_QUERY:\n"), F.coalesce("query", F.lit("")), F.lit("\n\nRETRIEVED_CONTEXT:\n"), F.coalesce("context", F.lit(""))).alias("prompt"))
+
+
+def report(queries: DataFrame, hits: DataFrame, contexts: DataFrame, source: str) -> DataFrame:
+    """PIP-10, PIP-12: a row for each query: retrieved, confidence, its label, sources with their best score, context_chunks, context_chars."""
+    roll = source_rollup(hits, source).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("best")).alias("b"), F.col(source).alias("s")))), lambda x: x["s"]).alias("sources"))
+    sure = confidence(hits).select("query_id", F.col("n").alias("retrieved"), F.round("confidence", 6).alias("confidence"), "label")
+    used = contexts.select("query_id", F.col("blocks").alias("context_chunks"), F.length("context").alias("context_chars"))
+    out = queries.select("query_id").join(sure, "query_id", "left").join(roll, "query_id", "left").join(used, "query_id", "left")
+    return out.fillna({"retrieved": 0, "confidence": 0.0, "label": "low", "context_chunks": 0, "context_chars": 0})
+
+
+def sample(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """SRT-03: n rows without replacement; the same ones for a seed and an order of the input."""
+    return df.withColumn("__r", F.rand(seed)).orderBy("__r").limit(n).drop("__r")
+
+
+def first_flagged(df: DataFrame, flag: Column, *order: str, n: int = 8) -> DataFrame:
+    """SRT-04, SRT-05: the first n flagged rows in a fixed order."""
+    return df.filter(flag).orderBy(*order).limit(n)

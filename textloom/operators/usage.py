@@ -1,4 +1,4 @@
-"""Usage analytics over events (WIN-11..17, AGG-22, AGG-26, MSR-30, MSR-31, STR-03, STR-04, FLT-21). ``now`` is always given."""
+"""Usage analytics over events (WIN-11..16, AGG-22, AGG-26, MSR-30, MSR-31, MSR-33, STR-03, STR-04, FLT-20, FLT-21, JON-15, JON-16). ``now`` is always given."""
 
 from __future__ import annotations
 
@@ -54,3 +54,40 @@ def expiry_warnings(events: DataFrame, now: Column, days: int = DAYS, within: fl
 def daily_digest(events: DataFrame) -> DataFrame:
     """STR-04, AGG-26 as a batch."""
     return events.groupBy(F.to_date("ts").alias("day"), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+
+
+def days_used(activated: Column, now: Column) -> Column:
+    """MSR-30: days since the activation, begun ones whole."""
+    return F.ceil(-hours_left(activated, now) / 24)
+
+
+def latest_sessions(sessions: DataFrame, *open_: str) -> DataFrame:
+    """WIN-11: of each user the session that was created last, of those in an open status; ties by the larger session_id."""
+    some = sessions.filter(F.col("status").isin(*(open_ or ("collecting", "awaiting_confirmation"))))
+    last = F.max_by(F.struct(*[c for c in sessions.columns if c != "user_id"]), F.struct("created_at", "session_id"))
+    return some.groupBy("user_id").agg(last.alias("x")).select("user_id", "x.*")
+
+
+def recent_presets(uses: DataFrame, *preset: str, n: int = 3, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """WIN-14: each user's n distinct presets that were used last, newest first, with place. Uses are pre-aggregated to presets."""
+    by = uses.groupBy("user_id", *preset).agg(F.max(F.struct(*order)).alias("last"))
+    return by.withColumn("place", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("last"), *preset))).filter(F.col("place") <= n)
+
+
+def find_users(users: DataFrame, wanted: str, *columns: str) -> DataFrame:
+    """FLT-20: users that have the wanted text in one of the columns, in any case."""
+    low = F.lit(wanted.lower())
+    test = F.lit(False)
+    for c in columns:
+        test = test | F.coalesce(F.contains(F.lower(F.col(c).cast("string")), low), F.lit(False))
+    return users.filter(test)
+
+
+def by_code(events: DataFrame, users: DataFrame, code: str) -> DataFrame:
+    """JON-16: events with the user whose invite code they carry; others have none."""
+    return events.join(users, code, "left")
+
+
+def generation_cost(chars: Column, per_char: float) -> Column:
+    """MSR-33."""
+    return chars * per_char

@@ -90,3 +90,23 @@ def last_texts(df: DataFrame, key: str, text: str, *order: str) -> DataFrame:
 def with_sidecar(df: DataFrame, sidecar: DataFrame, key: str) -> DataFrame:
     """SRC-10, JON-02: sidecar metadata where there is any, else an empty map."""
     return df.join(sidecar.select(key, "metadata"), key, "left").withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>")))
+
+
+def articles(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """SRC-13: a table of articles, one JSON array."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def scenario_vectors(spark: SparkSession, path: str, scenario: str) -> DataFrame:
+    """SRC-15: the vectors of one scenario; the store is partitioned by it, so others aren't read."""
+    return spark.read.parquet(path).filter(F.col("scenario") == scenario)
+
+
+def scan_roots(spark: SparkSession, *roots: str, **how) -> DataFrame:
+    """SET-01: files() of several roots, with their root; a file below two of them is met once, under the first."""
+    found = None
+    for k, root in enumerate(roots):
+        one = files(spark, root, **how).withColumn("root", F.struct(F.lit(k).alias("n"), F.lit(root).alias("path")))
+        found = one if found is None else found.unionByName(one)
+    first = found.groupBy("path").agg(F.min("root").alias("first"))
+    return found.join(first, "path").filter(F.col("root") == F.col("first")).withColumn("root", F.col("root.path")).drop("first")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,8 +34,12 @@ def markdown(df: DataFrame, heading: str, body: list[str]) -> DataFrame:
 
 def append_new(df: DataFrame, spark: SparkSession, path: str, key: str) -> None:
     """SNK-06, SNK-07: append the rows whose key isn't there yet."""
-    there = spark.read.parquet(path).select(key) if spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path)) else None
-    (df if there is None else df.join(there, key, "left_anti")).write.mode("append").parquet(path)
+    try:
+        df = df.join(spark.read.parquet(path).select(key), key, "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    df.write.mode("append").parquet(path)
 
 
 def replace_partitions(df: DataFrame, path: str, *by: str) -> None:
@@ -42,27 +47,41 @@ def replace_partitions(df: DataFrame, path: str, *by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def dense_ids(df: DataFrame, order: str, name: str = "vector_id", buckets: int = 64) -> DataFrame:
-    """SNK-09, WIN-09: 0, 1, 2 .. in order, without one window over all rows.
+def numbered(df: DataFrame, by: list[str], order: str, name: str, buckets: int | None = None) -> DataFrame:
+    """df with name, 1, 2, 3 .. in order among the rows of equal ``by``, without one window over all rows of a key.
 
-    Rows are numbered inside ranges of the order column; a range's offset is the count of the ranges before it.
+    Rows are numbered inside ranges of the order column; a range's offset is the count of the key's rows in the ranges before it.
     """
-    cuts = df.agg(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    df = df.withColumn("__b", bucket)
-    sizes = df.groupBy("__b").agg(F.count("*").alias("__n"))
-    offsets = sizes.withColumn("__o", F.coalesce(F.sum("__n").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    out = df.join(F.broadcast(offsets), "__b")  # at most ``buckets`` rows
-    return out.withColumn(name, F.row_number().over(W.partitionBy("__b").orderBy(order)) - 1 + F.col("__o")).drop("__b", "__o")
+    buckets = buckets or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = sorted(set(df.agg(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], 100 * buckets)).first()[0] or []))
+    df = df.withColumn("__b", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))) if cuts else F.lit(0)).withColumn("__b", F.coalesce("__b", F.lit(-1)))
+    sizes = df.groupBy(*by, "__b").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(W.partitionBy(*by).orderBy("__b").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__b").alias("__c"), F.coalesce(before, F.lit(0)).alias("__o"))
+    same = F.col("__b") == F.col("__c")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    out = df.join(offsets, same).withColumn(name, F.row_number().over(W.partitionBy(*by, "__b").orderBy(order)) + F.col("__o"))
+    return out.drop("__b", "__c", "__o", *[f"__{c}" for c in by])
+
+
+def dense_ids(df: DataFrame, order: str, name: str = "vector_id") -> DataFrame:
+    """SNK-09, WIN-09: 0, 1, 2 .. in order."""
+    return numbered(df, [], order, name).withColumn(name, F.col(name) - 1)
 
 
 def copy_plan(df: DataFrame, target: str, filename: str, order: str) -> DataFrame:
     """SNK-10, SNK-11: target_name, with __n before the extension where a name is taken, and status."""
-    w = W.partitionBy(target, filename).orderBy(order)
-    n = F.row_number().over(w)
+    n = F.col("__n_same")
     stem, ext = F.regexp_extract(filename, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(filename, r"^(.*?)(\.[^.]*)?$", 2)
-    return df.withColumn("target_name", F.when(n == 1, F.col(filename)).otherwise(F.concat(stem, F.lit("__"), (n - 1).cast("string"), ext))).withColumn("status", F.when(n == 1, "planned").otherwise("renamed"))
+    df = numbered(df, [target, filename], order, "__n_same")
+    return df.withColumn("target_name", F.when(n == 1, F.col(filename)).otherwise(F.concat(stem, F.lit("__"), (n - 1).cast("string"), ext))).withColumn("status", F.when(n == 1, "planned").otherwise("renamed")).drop("__n_same")
+
+
+def rollback_manifest(plan: DataFrame, source: str, target: str, target_name: str) -> tuple[DataFrame, DataFrame]:
+    """SNK-11: (operations, manifest): what is done, and what takes it back."""
+    to = F.concat_ws("/", target, target_name)
+    return plan.select(F.col(source).alias("source"), to.alias("destination"), "status"), plan.select(to.alias("delete"), F.col(source).alias("was"))
 
 
 def put_fields(df: DataFrame, updates: DataFrame, key: str, column: str, field: str) -> DataFrame:
