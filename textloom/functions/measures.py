@@ -125,6 +125,11 @@ def intake_action(status: Column, score: Column, duplicate: Column) -> Column:
     )
 
 
+def final_status(status: Column, score: Column, duplicate: Column) -> Column:
+    """FLT-10: an item's status behind its processing."""
+    return F.when(status.isin("ocr_required", "url_pending", "unsupported"), status).when((duplicate == "high") | (score < 0.65), "needs_review").otherwise("ready_for_cleaning")
+
+
 def cleaner_signals(t: Column, families: dict[str, list[str]]) -> Column:
     """MSR-13: numeric signals and one for each lexicon family that is met, in fixed order."""
     n = F.length(t)

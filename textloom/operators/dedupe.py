@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textloom.functions.text import hash_key
+
 
 def exact_duplicates(df: DataFrame, key: Column, order: str = "doc_id") -> DataFrame:
     """WIN-01, WIN-04: df with duplicate_of, the first row of equal key in order, null for that row itself, and n_same.
@@ -38,18 +40,14 @@ def known_before(df: DataFrame, previous: DataFrame, key: str) -> DataFrame:
     return df.join(flags, key, "left").withColumn("in_previous", F.coalesce("in_previous", F.lit(False)))
 
 
-def only_new(df: DataFrame, existing: DataFrame, key: str) -> DataFrame:
-    """JON-06, JON-07, SNK-07, SNK-15."""
-    return df.join(existing.select(key), key, "left_anti")
+def only_new(df: DataFrame, existing: DataFrame, key: str, force: bool = False) -> DataFrame:
+    """JON-06, JON-07, SNK-07, SNK-15: the rows whose key isn't there; all of them if forced."""
+    return df if force else df.join(existing.select(key), key, "left_anti")
 
 
-def same_base_pairs(df: DataFrame, base: str, shingles: str, order: str, threshold: float = 0.86) -> DataFrame:
-    """JON-08, JON-10: each row of a base key against the key's first row, kept at that Jaccard similarity of shingle sets."""
-    first = df.groupBy(base).agg(F.min_by(F.struct(order, shingles), order).alias("__f"))
-    pairs = df.join(first, base).filter(F.col(order) != F.col(f"__f.{order}"))
-    shared = F.size(F.array_intersect(shingles, F.col(f"__f.{shingles}")))
-    ratio = shared / (F.size(shingles) + F.size(f"__f.{shingles}") - shared)
-    return pairs.withColumn("similarity", ratio).withColumn("duplicate_of", F.col(f"__f.{order}")).filter(F.col("similarity") >= threshold).drop("__f")
+def opening(text: Column, chars: int = 1200) -> Column:
+    """WIN-04: the key of texts that begin alike."""
+    return F.sha1(F.substring(hash_key(text), 1, chars))
 
 
 def shingle_sets(df: DataFrame, key: str, text: str, width: int = 5) -> DataFrame:

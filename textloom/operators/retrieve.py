@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textloom.functions.text import hash_key
+
 #: Queries of one block, and the characters or numbers of all its queries.
 QUERIES, BLOCK_SIZE = 4096, 4 << 20
 
@@ -156,6 +158,13 @@ def quality(hits: DataFrame, source: str, flagged: str) -> DataFrame:
     return by.withColumn("label", F.when(good, "good").when((F.col("top") >= 0.34) & (F.col("flagged") <= 1), "medium").otherwise("low"))
 
 
+def dedupe_results(results: DataFrame, chunk_id: str, text: str, chars: int = 500) -> DataFrame:
+    """WIN-08: of each query's results the first of each id or, without one, of each opening of the normalised text; those with neither go."""
+    key = F.coalesce(F.nullif(F.col(chunk_id).cast("string"), F.lit("")), F.nullif(F.substring(hash_key(F.col(text)), 1, chars), F.lit("")))
+    first = F.row_number().over(W.partitionBy("query_id", "__key").orderBy("rank"))
+    return results.withColumn("__key", key).filter("__key is not null").withColumn("__first", first).filter("__first = 1").drop("__key", "__first")
+
+
 def with_texts(vectors: DataFrame, chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
     """JON-01: vectors with their chunk's text, and a warning where there is none."""
     out = vectors.join(chunks.select(key, F.col(text).alias("__t")), key, "left")

@@ -51,6 +51,13 @@ def expiry_warnings(events: DataFrame, now: Column, days: int = DAYS, within: fl
     return activation(events, days).withColumn("hours_left", hours_left(F.col("expires_at"), now)).filter((F.col("hours_left") > 0) & (F.col("hours_left") <= within))
 
 
+def warn_once(users: DataFrame, now: Column, within: float = 25.0) -> DataFrame:
+    """STR-03: users (expires_at, expiry_warned, ...) with warn, whether a warning is due now, and expiry_warned as it is behind it; what a poll writes back."""
+    left = hours_left(F.col("expires_at"), now)
+    due = F.coalesce((left > 0) & (left <= within) & ~F.coalesce("expiry_warned", F.lit(False)), F.lit(False))
+    return users.withColumn("warn", due).withColumn("expiry_warned", F.coalesce("expiry_warned", F.lit(False)) | F.col("warn"))
+
+
 def daily_digest(events: DataFrame) -> DataFrame:
     """STR-04, AGG-26 as a batch."""
     return events.groupBy(F.to_date("ts").alias("day"), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("value"))

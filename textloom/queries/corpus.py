@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions import measures as M
 from textloom.functions import text as X
 from textloom.operators import cleaning, dedupe, ingest, retrieve, segment, stabilize, triage, usage
 from textloom.queries import retrieval
-from textloom.queries.documents import CHUNKS, DOC_WORDS, DOCS, LEXICON, docs, n, r6, table
+from textloom.queries.documents import BLOCK_CLASSIFY, CHUNKS, DOC_QUALITY, DOC_WORDS, DOCS, LEXICON, blocks, docs, n, r6, table
 from textloom.queries.usage import events
-from textloom.sources import sinks
+from textloom.sources import pages, sinks
 
 
 def named(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,11 +42,10 @@ SELECT doc_id, md5(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}
 
 def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NRM-20, EXT-04: which pages have a URL, and what they say of themselves."""
-    about = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<p[^>]*>(.*?)</p>", 1)
-    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(X.is_url(F.col("url")), F.lit(False)).alias("is_url"), F.trim(F.regexp_replace(F.regexp_replace(about, "<[^>]*>", " "), r"\s+", " ")).alias("description"))
+    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(X.is_url(F.col("url")), F.lit(False)).alias("is_url"), pages.description(F.coalesce("html", F.lit(""))).alias("description"))
 
 
-PAGE_URLS = """SELECT page_id, coalesce(regexp_matches(trim(url, ' '), '(?i)^https?://\\S+$'), false) AS is_url, trim(regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?is)<p[^>]*>(.*?)</p>', 1), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'), ' ') AS description FROM pages"""
+PAGE_URLS = """SELECT page_id, coalesce(regexp_matches(trim(url, ' '), '(?i)^https?://\\S+$'), false) AS is_url, trim(regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?is)<p\\b[^>]*>(.*?)</p>', 1), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'), ' ') AS description FROM pages"""
 
 
 def doc_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,10 +340,97 @@ def rollback_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 ROLLBACK_MANIFEST = """WITH a AS (SELECT doc_id, lang, coalesce(source, '') AS source, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS n FROM documents)
 SELECT concat_ws('/', lang, source || CASE WHEN n = 1 THEN '' ELSE '__' || (n - 1) END || '.txt') AS delete, 'in/' || doc_id AS was FROM a"""
 
+def block_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-01, AGG-03: blocks and characters for each label, with its share of all, most common first."""
+    by = blocks(spark, sf_dir).groupBy("action", "label").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    return by.withColumn("place", F.row_number().over(W.partitionBy("action").orderBy(F.desc("n"), "label")).cast("long"))
+
+
+_BLOCKS = BLOCK_CLASSIFY.rsplit("\nSELECT", 1)[0]
+BLOCK_HISTOGRAM = f"""{_BLOCKS}, y AS (SELECT CASE WHEN label LIKE 'reject%' THEN 'reject' ELSE 'keep' END AS action, label, count(*) AS n, CAST(sum(chars) AS BIGINT) AS chars FROM g GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY action ORDER BY n DESC, label) AS place FROM y"""
+
+
+def chunk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-06: chunks of each source: number, sum, mean, least and most of their tokens, oversized and orphaned ones."""
+    c = segment.word_windows(docs(spark, sf_dir).select("source", "text")).withColumn("tokens", M.tokens_by_words(F.col("chunk")))
+    return c.groupBy("source").agg(F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"), r6(F.avg("tokens")).alias("mean"), F.min("tokens").alias("least"), F.max("tokens").alias("most"), F.count_if(F.col("tokens") > segment.HARD).alias("oversized"), F.count_if(F.col("tokens") < segment.ORPHAN).alias("orphans"))
+
+
+CHUNK_SUMMARY = f"""WITH {DOCS}, {DOC_WORDS}, {CHUNKS}, t AS (SELECT source, CAST(greatest(len(p), round_even(greatest(length(array_to_string(p, ' ')), 1) / 4.2::DOUBLE, 0)) AS BIGINT) AS tokens FROM k)
+SELECT source, count(*) AS chunks, CAST(sum(tokens) AS BIGINT) AS tokens, round(avg(tokens), 6) AS mean, min(tokens) AS least, max(tokens) AS most, count(*) FILTER (WHERE tokens > 1150) AS oversized, count(*) FILTER (WHERE tokens < 220) AS orphans FROM t GROUP BY source"""
+
+
+def doc_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-04: texts whose first 1,200 normalised characters were seen before, and MSR-10."""
+    d = dedupe.exact_duplicates(docs(spark, sf_dir), dedupe.opening(F.col("text")))
+    return d.select("doc_id", F.coalesce("duplicate_of", F.lit(-1)).alias("duplicate_of"), "n_same", F.size(F.split("text", "\n")).cast("long").alias("lines"), F.regexp_count("text", F.lit("(?m)" + M.NUMBERED)).cast("long").alias("numbered"))
+
+
+DOC_FIRST_SEEN = f"""WITH {DOCS}, a AS (SELECT *, substr(trim(lower(regexp_replace(text, '\\s+', ' ', 'g')), ' '), 1, 1200) AS k FROM d), b AS (SELECT *, min(doc_id) OVER (PARTITION BY k) AS first, count(*) OVER (PARTITION BY k) AS n_same FROM a)
+SELECT doc_id, CASE WHEN doc_id > first THEN first ELSE -1 END AS duplicate_of, n_same, CAST(len(string_split(text, chr(10))) AS BIGINT) AS lines, CAST({n('(?m)^\\s*(?:\\d{1,3}[).:]|[a-zA-Zа-яА-Я][).:])\\s+\\S+')} AS BIGINT) AS numbered FROM b"""
+
+
+def intake_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as items of an intake: kind and ending go by the id; items of an url have no text yet."""
+    kind = F.when(F.col("doc_id") % 7 == 0, "url").when(F.col("doc_id") % 2 == 0, "text").otherwise("file")
+    d = docs(spark, sf_dir).withColumn("kind", kind).withColumn("ext", F.element_at(F.array(*map(F.lit, ["txt", "pdf", "exe", "docx"])), (F.col("doc_id") % 4 + 1).cast("int")))
+    d = d.withColumn("text", F.when(F.col("kind") == "url", "").otherwise(F.col("text"))).withColumn("extraction", M.extraction_status(F.col("kind"), F.col("ext"), F.col("text")))
+    d = d.withColumn("text", F.when(F.col("extraction") == "unsupported", "").otherwise(F.col("text"))).withColumn("signals", M.intake_signals(F.col("text")))
+    d = dedupe.exact_duplicates(d.withColumn("score", M.intake_score(F.length("text"), F.col("signals"), F.col("extraction"))), F.sha1(X.hash_key(F.col("text"))))
+    risk = F.when((F.col("text") != "") & F.col("duplicate_of").isNotNull(), "high").otherwise("low")
+    return d.withColumn("risk", risk).withColumn("action", M.intake_action(F.col("extraction"), F.col("score"), F.col("risk"))).withColumn("status", M.final_status(F.col("extraction"), F.col("score"), F.col("risk")))
+
+
+def doc_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-10, FLT-11, MSR-12, MSR-14, WIN-02, PIP-07."""
+    return intake_rows(spark, sf_dir).select("doc_id", "extraction", r6(F.col("score")).alias("score"), "risk", "action", "status")
+
+
+def intake_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-14: items by extraction status, and by their status where that is another one."""
+    d = intake_rows(spark, sf_dir).select(F.explode(F.array_distinct(F.array("extraction", "status"))).alias("status"))
+    return d.groupBy("status").agg(F.count("*").alias("items"))
+
+
+_INTAKE = DOC_QUALITY.rsplit("\n), q AS", 1)[0].replace(DOCS, f"""{DOCS.replace('d AS', 'd0 AS')}, d1 AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN 'url' WHEN doc_id % 2 = 0 THEN 'text' ELSE 'file' END AS kind, ['txt', 'pdf', 'exe', 'docx'][doc_id % 4 + 1] AS ext FROM d0),
+d2 AS (SELECT *, CASE WHEN kind = 'url' THEN '' ELSE text END AS t1 FROM d1), d3 AS (SELECT *, CASE WHEN kind = 'url' THEN 'url_pending' WHEN kind <> 'text' AND ext = 'exe' THEN 'unsupported' WHEN kind = 'file' AND ext = 'pdf' AND length(trim(t1, ' ')) < 500 THEN 'ocr_required' WHEN trim(t1, ' ') = '' THEN 'needs_review' ELSE 'extracted' END AS extraction FROM d2),
+d AS (SELECT doc_id, CASE WHEN extraction = 'unsupported' THEN '' ELSE t1 END AS text, extraction FROM d3)""")
+INTAKE = f"""{_INTAKE}), q AS (SELECT s.*, extraction, CASE WHEN extraction IN ('unsupported', 'ocr_required', 'url_pending') THEN 0 ELSE round(greatest(0, least(1, 1.0::DOUBLE - CASE WHEN n < 1000 THEN 0.25 ELSE 0 END - CASE WHEN n < 300 THEN 0.25 ELSE 0 END - 0.12::DOUBLE * len(a))), 2) END::DOUBLE AS score,
+  CASE WHEN text <> '' AND doc_id > min(doc_id) OVER (PARTITION BY trim(lower(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) THEN 'high' ELSE 'low' END AS risk FROM s JOIN (SELECT doc_id, extraction FROM d) USING (doc_id)),
+o AS (SELECT *, CASE extraction WHEN 'ocr_required' THEN 'send_to_ocr' WHEN 'url_pending' THEN 'fetch_url_or_manual_review' WHEN 'unsupported' THEN 'reject_or_convert_manually' ELSE CASE WHEN risk = 'high' THEN 'review_duplicate_before_cleaning' WHEN score >= 0.65 THEN 'ready_for_cleaning' ELSE 'needs_review' END END AS action,
+  CASE WHEN extraction IN ('ocr_required', 'url_pending', 'unsupported') THEN extraction WHEN risk = 'high' OR score < 0.65 THEN 'needs_review' ELSE 'ready_for_cleaning' END AS status FROM q)"""
+DOC_INTAKE = f"{INTAKE} SELECT doc_id, extraction, round(score, 6) AS score, risk, action, status FROM o"
+INTAKE_SUMMARY = f"{INTAKE} SELECT status, count(*) AS items FROM (SELECT extraction AS status FROM o UNION ALL SELECT status FROM o WHERE status <> extraction) GROUP BY status"
+
+
+def flagged_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-18: chunks with any flag of their diagnostics."""
+    c = segment.word_windows(docs(spark, sf_dir).select("doc_id", "text")).withColumn("x", M.diagnostics(F.col("chunk")))
+    return c.filter("x.size or x.ocr or x.encoding").select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"))
+
+
+FLAGGED_CHUNKS = f"""WITH {DOCS}, {DOC_WORDS}, {CHUNKS}, t AS (SELECT doc_id, i, array_to_string(p, ' ') AS t, len(p) AS words FROM k), m AS (SELECT doc_id, i, words, length(t) AS n, {n('[А-Яа-яЁё]', 't')} AS cyr, {n('[A-Za-z]', 't')} AS lat, {n('�', 't')} AS repl, {n('(?:Р[а-яА-ЯЁёA-Z]?|С[а-яА-ЯЁёA-Z]?|вЂ|В«|В»|В©|В®)', 't')} AS moji,
+  len(list_filter(regexp_extract_all(t, '[^\\p{{L}}\\p{{N}}\\s.,;:!?()"«»\\-—№%/]{{4,}}'), lambda x: NOT regexp_matches(x, '^=+$'))) AS runs, {n('\\d', 't')} AS dig, {n('===== PAGE \\d+ / \\d+ =====', 't')} AS pg FROM t)
+SELECT doc_id, i AS chunk_index FROM m WHERE words < 80 OR words > 650 OR runs > 0 OR dig / n > 0.18 OR pg > 4 OR repl > 0 OR moji > 10 OR cyr / greatest(cyr + lat, 1) < 0.35"""
+
+
+def result_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-08: lexical hits whose ids are known for even ones only."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), F.coalesce("text", F.lit("")).alias("text"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    r = retrieve.lexical(q, d, 8).join(d, "article_id").withColumn("chunk_id", F.when(F.col("article_id") % 2 == 0, F.col("article_id")))
+    return retrieve.dedupe_results(r, "chunk_id", "text").select("query_id", F.col("rank").cast("long").alias("rank"), "article_id")
+
+
+RESULT_DEDUPE = f"""WITH {retrieval.FOUND_SQL.replace('rank <= 3', 'rank <= 8')}, e AS (SELECT g.*, CASE WHEN article_id % 2 = 0 THEN CAST(article_id AS VARCHAR) ELSE nullif(substr(trim(lower(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), ' '), 1, 500), '') END AS k FROM g JOIN documents ON doc_id = article_id),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id, k ORDER BY rank) AS r FROM e WHERE k IS NOT NULL) SELECT query_id, rank, article_id FROM b WHERE r = 1"""
+
+
 QUERIES = {
     "doc_text_keys": (doc_text_keys, DOC_TEXT_KEYS), "page_urls": (page_urls, PAGE_URLS), "doc_structure": (doc_structure, DOC_STRUCTURE), "doc_tails": (doc_tails, DOC_TAILS), "doc_stabilize": (doc_stabilize, None), "stabilize_summary": (stabilize_summary, None),
     "source_triage": (source_triage, f"WITH {TRIAGED} SELECT doc_id, category, confidence, action, target FROM z"), "source_categories": (source_categories, f"WITH {TRIAGED} SELECT category, target, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM z GROUP BY 1, 2"),
     "source_audit": (source_audit, SOURCE_AUDIT), "source_roll_ups": (source_roll_ups, SOURCE_ROLL_UPS), "ingest_plan": (ingest_plan, f"{PLAN} SELECT * FROM x"), "ingest_summary": (ingest_summary, INGEST_SUMMARY), "cleaning_summary": (cleaning_summary, CLEANING_SUMMARY),
     "chunk_records": (chunk_records, CHUNK_RECORDS), "embedding_sizes": (embedding_sizes, EMBEDDING_SIZES), "clean_report": (clean_report, None), "prompt_rows": (prompt_rows, PROMPT_ROWS), "retrieval_report": (retrieval_report, RETRIEVAL_REPORT), "retrieval_quality": (retrieval_quality, RETRIEVAL_QUALITY),
     "vector_texts": (vector_texts, VECTOR_TEXTS), "index_manifest": (index_manifest, INDEX_MANIFEST), "usage_presets": (usage_presets, USAGE_PRESETS), "usage_latest_session": (usage_latest_session, USAGE_LATEST_SESSION), "user_search": (user_search, USER_SEARCH), "rollback_manifest": (rollback_manifest, ROLLBACK_MANIFEST),
+    "block_histogram": (block_histogram, BLOCK_HISTOGRAM), "chunk_summary": (chunk_summary, CHUNK_SUMMARY), "doc_first_seen": (doc_first_seen, DOC_FIRST_SEEN), "doc_intake": (doc_intake, DOC_INTAKE), "intake_summary": (intake_summary, INTAKE_SUMMARY), "flagged_chunks": (flagged_chunks, FLAGGED_CHUNKS), "result_dedupe": (result_dedupe, RESULT_DEDUPE),
 }

@@ -304,7 +304,7 @@ def page_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TAGS = "trim(regexp_replace(regexp_replace({}, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'), ' ')"
-PAGE_EXTRACT = f"""WITH a AS (SELECT page_id, {TAGS.format("regexp_extract(coalesce(html, ''), '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS title, {TAGS.format("regexp_extract(coalesce(html, ''), '(?is)<article[^>]*>(.*?)</article>', 1)")} AS t FROM pages)
+PAGE_EXTRACT = f"""WITH a AS (SELECT page_id, {TAGS.format("regexp_extract(coalesce(html, ''), '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS title, {TAGS.format("array_to_string(regexp_extract_all(coalesce(html, ''), '" + P.CONTAINERS + "'), ' ')")} AS t FROM pages)
 SELECT page_id, title, md5(t) AS text, CASE WHEN title = '' THEN 'no_title' WHEN t = '' THEN 'no_text' ELSE '' END AS error FROM a"""
 
 

@@ -73,15 +73,21 @@ def sessions(spark: SparkSession, path: str, status: str, schema: T.StructType |
 
 
 def newest_csv(spark: SparkSession, *paths: str) -> DataFrame:
-    """SRC-12: the rows of the file that was changed last."""
+    """SRC-12: the rows of the file that was changed last; a byte order mark is no part of the first column's name."""
     df = None
     for p in paths:
-        one = spark.read.option("header", True).csv(p).withColumn("__at", F.col("_metadata.file_modification_time"))
+        one = spark.read.option("header", True).csv(p)
+        one = one.select(*[F.col(f"`{c}`").alias(c.lstrip("\ufeff")) for c in one.columns], F.col("_metadata.file_modification_time").alias("__at"))
         df = one if df is None else df.unionByName(one, allowMissingColumns=True)
     last = df.agg(F.max("__at").alias("__last"))
     return df.join(F.broadcast(last), F.col("__at") == F.col("__last")).drop("__at", "__last")
 
 
+def sidecars(df: DataFrame, key: str = "title", text: str = "text") -> DataFrame:
+    """SRC-10: (key, metadata) of JSON sidecar texts; one that is no object gives an empty map."""
+    return df.select(key, F.coalesce(F.from_json(text, "map<string,string>"), F.create_map().cast("map<string,string>")).alias("metadata"))
+
+
 def last_texts(df: DataFrame, key: str, text: str, *order: str) -> DataFrame:
     """SRC-14: one text for each id, the last in order."""
     return df.groupBy(key).agg(F.max_by(text, F.struct(*order)).alias(text))

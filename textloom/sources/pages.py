@@ -15,9 +15,19 @@ def title(html: Column) -> Column:
     return without_tags(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1))
 
 
+#: The containers of a page's text.
+CONTAINERS = r'(?is)<article\b[^>]*>(.*?)</article>|<(?:div|section|main)\b[^>]*class="(?:[^"]*\s)?(?:article_text|text|content)(?:\s[^"]*)?"[^>]*>(.*?)</(?:div|section|main)>'
+
+
 def main_text(html: Column) -> Column:
-    """EXT-02: the article's paragraphs."""
-    return without_tags(F.regexp_extract(html, r"(?is)<article[^>]*>(.*?)</article>", 1))
+    """EXT-02: what the articles and content containers say, in order; a container ends at its first closing tag."""
+    inside = F.regexp_extract_all(html, F.lit(CONTAINERS), F.lit(0))
+    return without_tags(F.array_join(inside, " "))
+
+
+def description(html: Column) -> Column:
+    """EXT-04: the first paragraph."""
+    return without_tags(F.regexp_extract(html, r"(?is)<p\b[^>]*>(.*?)</p>", 1))
 
 
 def links(df: DataFrame, key: str = "page_id", html: str = "html", prefix: str = "/", base: str = "https://example.org") -> DataFrame:

@@ -26,10 +26,13 @@ def write_summary(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def markdown(df: DataFrame, heading: str, body: list[str]) -> DataFrame:
-    """SNK-05: a section for each row."""
-    lines = [F.concat(F.lit("## "), F.col(heading).cast("string")), *[F.concat(F.lit(f"- {c}: "), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in body]]
-    return df.select(F.concat_ws("\n", *lines, F.lit("")).alias("value"))
+def markdown(df: DataFrame, heading: str, body: list[str], title: str | None = None, totals: DataFrame | None = None) -> DataFrame:
+    """SNK-05: (part, value): with a title first a summary of the one-row totals, then a section for each row, in order of its heading."""
+    said = lambda c: F.concat(F.lit(f"- {c}: "), F.coalesce(F.col(c).cast("string"), F.lit("-")))
+    out = df.select(F.concat(F.lit("1 "), F.col(heading).cast("string")).alias("part"), F.concat_ws("\n", F.concat(F.lit("## "), F.col(heading).cast("string")), *map(said, body), F.lit("")).alias("value"))
+    if title is not None and totals is not None:
+        out = totals.select(F.lit("0").alias("part"), F.concat_ws("\n", F.lit(f"# {title}"), *map(said, totals.columns), F.lit("")).alias("value")).unionByName(out)
+    return out.orderBy("part")
 
 
 def append_new(df: DataFrame, spark: SparkSession, path: str, key: str) -> None:
