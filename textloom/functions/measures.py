@@ -45,7 +45,8 @@ def line_share(t: Column, pattern: str) -> Column:
 
 # Line forms that the ladders count.
 NUMBERED = r"^\s*(?:\d{1,3}[).:]|[a-zA-Zа-яА-Я][).:])\s+\S+"
-CONTENTS = r".{3,120}\s+\.{2,}\s*\d{1,4}\s*$"
+# .{3,120} in front of the white space says no more than .{3}, but is tried 118 times at each place.
+CONTENTS = r".{3}\s+\.{2,}\s*\d{1,4}\s*$"
 REFERENCE = r"(?:^|[^0-9A-Za-z_])(?:19|20)\d{2}(?:[^0-9A-Za-z_].*)?[.,].{8,}"
 
 
