@@ -21,13 +21,27 @@ def activation(events: DataFrame, days: int = DAYS) -> DataFrame:
     return events.groupBy("user_id").agg(F.min("ts").alias("activated_at")).withColumn("expires_at", F.col("activated_at") + F.expr(f"INTERVAL {days} DAYS"))
 
 
-def gate(events: DataFrame, kind: Column, quotas: dict[str, int] = QUOTAS, days: int = DAYS) -> DataFrame:
-    """WIN-15, FLT-21: every event with used (of its kind, before it) and verdict: allowed, expired or quota. A kind without a quota is unlimited."""
+def access_role(users: DataFrame, admins: DataFrame) -> DataFrame:
+    """FLT-21: users (user_id, role, ...) with role admin if they are among the admins, else their own, else demo."""
+    listed = admins.select("user_id").distinct().withColumn("__admin", F.lit(True))
+    return users.join(listed, "user_id", "left").withColumn("role", F.when(F.col("__admin"), "admin").otherwise(F.coalesce("role", F.lit("demo")))).drop("__admin")
+
+
+def may_ingest(role: Column) -> Column:
+    """FLT-21: who may bring new knowledge in."""
+    return F.coalesce(role.isin("admin", "full_access"), F.lit(False))
+
+
+def gate(events: DataFrame, kind: Column, quotas: dict[str, int] = QUOTAS, days: int = DAYS, role: Column | None = None) -> DataFrame:
+    """WIN-15, FLT-21: every event with used (of its kind, before it) and verdict: allowed, expired or quota.
+
+    A kind without a quota is unlimited, and so are admins; a user's window begins with the first event.
+    """
     w = W.partitionBy("user_id", "kind").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
     most = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
     out = events.withColumn("kind", kind).join(activation(events, days), "user_id")
     out = out.withColumn("used", F.count("*").over(w)).withColumn("most", F.try_element_at(most, F.col("kind")))
-    return out.withColumn("verdict", F.when(F.col("expires_at") < F.col("ts"), "expired").when(F.col("used") >= F.col("most"), "quota").otherwise("allowed"))
+    return out.withColumn("verdict", F.when(F.lit(False) if role is None else F.coalesce(role == "admin", F.lit(False)), "allowed").when(F.col("expires_at") < F.col("ts"), "expired").when(F.col("used") >= F.col("most"), "quota").otherwise("allowed"))
 
 
 def hours_left(expires: Column, now: Column) -> Column:
@@ -40,10 +54,15 @@ def temperature(n: Column) -> Column:
     return F.when(n >= 20, "hot").when(n >= 10, "warm").otherwise("cold")
 
 
-def lead_stats(events: DataFrame, now: Column, days: int = DAYS) -> DataFrame:
-    """AGG-22: one row of totals."""
-    users = events.groupBy("user_id").agg(F.count("*").alias("n")).join(activation(events, days), "user_id")
-    return users.agg(F.count("*").alias("users"), F.sum("n").alias("uses"), F.count_if(F.col("expires_at") >= now).alias("active"), F.count_if(F.col("expires_at") < now).alias("expired"), F.count_if(temperature(F.col("n")) == "hot").alias("hot"), F.count_if(temperature(F.col("n")) == "warm").alias("warm"))
+def lead_stats(events: DataFrame, now: Column, days: int = DAYS, users: DataFrame | None = None) -> DataFrame:
+    """AGG-22: one row of totals. With users (user_id), those without events count as not activated."""
+    known = events.groupBy("user_id").agg(F.count("*").alias("n")).join(activation(events, days), "user_id")
+    if users is not None:
+        known = users.select("user_id").distinct().join(known, "user_id", "left")
+    totals = {"users": F.count("*"), "uses": F.coalesce(F.sum("n"), F.lit(0)), "active": F.count_if(F.col("expires_at") >= now), "expired": F.count_if(F.col("expires_at") < now), "hot": F.count_if(temperature(F.col("n")) == "hot"), "warm": F.count_if(temperature(F.col("n")) == "warm")}
+    if users is not None:
+        totals["not_activated"] = F.count_if(F.col("expires_at").isNull())
+    return known.agg(*[c.alias(k) for k, c in totals.items()])
 
 
 def expiry_warnings(events: DataFrame, now: Column, days: int = DAYS, within: float = 25.0) -> DataFrame:
