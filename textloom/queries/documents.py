@@ -323,10 +323,35 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("label").agg(F.count_distinct("doc_id").alias("documents"), F.count("*").alias("chunks"), F.sum(M.tokens_by_chars(F.col("chunk"))).alias("tokens"), r6(F.avg("score")).alias("score"))
 
 
+#: White space as Python's str and re see it.
+WIDE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+PARTS = f"ps AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda p: regexp_replace(p, '^{WIDE}+|{WIDE}+$', '', 'g')), lambda p: p <> '') AS ps FROM d)"
+
+CHUNK_TOKEN_PACKED = f"""WITH RECURSIVE {DOCS}, {PARTS}, q AS (SELECT doc_id, list_transform(ps, lambda p: regexp_replace(p, '{WIDE}+', ' ', 'g')) AS ps FROM ps WHERE len(ps) > 0),
+r AS (SELECT doc_id, ps, 0 AS i, CAST([] AS VARCHAR[]) AS own, CAST(NULL AS VARCHAR[]) AS full_pack FROM q
+  UNION ALL SELECT doc_id, ps, i + 1, CASE WHEN over THEN own[len(own) - fit + 1 :] ELSE own END || [ps[i + 1]], CASE WHEN over THEN own END
+  FROM (SELECT *, len(own) > 0 AND coalesce(list_sum(list_transform(own, lambda x: ceil(length(x) / 4.0::DOUBLE))), 0) + ceil(length(ps[i + 1]) / 4.0::DOUBLE) > 700 AS over, len(list_filter(range(1, len(own) + 1), lambda j: list_sum(list_transform(own[j:], lambda x: ceil(length(x) / 4.0::DOUBLE))) <= 80)) AS fit FROM r WHERE i < len(ps))),
+c AS (SELECT doc_id, i, full_pack AS g FROM r WHERE full_pack IS NOT NULL UNION ALL SELECT doc_id, i + 1, own FROM r WHERE i = len(ps)),
+n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index, g, array_to_string(g, chr(10) || chr(10)) AS chunk FROM c), h AS (SELECT *, doc_id * 100000 + chunk_index AS seq, sha1(trim(lower(regexp_replace(chunk, '\\s+', ' ', 'g')), ' ')) AS k FROM n)
+SELECT doc_id, chunk_index, len(g) AS parts, count(*) OVER (PARTITION BY k) AS n_same, coalesce(lag(seq) OVER (PARTITION BY k ORDER BY seq), -1) AS duplicate_of, sha1(chunk) AS sha1 FROM h"""
+
+CHUNK_PARAGRAPH_WORDS = f"""WITH RECURSIVE {DOCS}, {PARTS}, q AS (SELECT doc_id, ps, list_transform(ps, lambda p: list_filter(regexp_split_to_array(p, '{WIDE}+'), lambda x: x <> '')) AS ws FROM ps WHERE len(ps) > 0),
+r AS (SELECT doc_id, ps, ws, 0 AS i, CAST([] AS VARCHAR[]) AS own, CAST(0 AS BIGINT) AS have, CAST([] AS VARCHAR[]) AS done FROM q
+  UNION ALL SELECT doc_id, ps, ws, i + 1, CASE WHEN long THEN [] WHEN over THEN [lead, ps[i + 1]] ELSE own || [ps[i + 1]] END, CASE WHEN long THEN 0 WHEN over THEN least(70, have) + len(w) ELSE have + len(w) END,
+    CASE WHEN long THEN CASE WHEN len(own) > 0 THEN [array_to_string(own, chr(10) || chr(10))] ELSE [] END || list_transform(range(0, len(w), 350), lambda k: array_to_string(w[k + 1 : k + 420], ' ')) WHEN over THEN [array_to_string(own, chr(10) || chr(10))] ELSE [] END
+  FROM (SELECT *, ws[i + 1] AS w, len(ws[i + 1]) > 420 AS long, len(own) > 0 AND have + len(ws[i + 1]) > 420 AS over, array_to_string(list_filter(regexp_split_to_array(array_to_string(own, ' '), '{WIDE}+'), lambda x: x <> '')[-70:], ' ') AS lead FROM r WHERE i < len(ps))),
+c AS (SELECT doc_id, i, unnest(done) AS chunk, generate_subscripts(done, 1) AS k FROM r UNION ALL SELECT doc_id, i + 1, array_to_string(own, chr(10) || chr(10)), 1 FROM r WHERE i = len(ps) AND len(own) > 0)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS chunk_index, sha1(chunk) AS sha1 FROM c"""
+
+_CLEAN = """d AS (SELECT doc_id, source, regexp_replace(c, '^[ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+$', '', 'g') AS text FROM (SELECT doc_id, source, regexp_replace(regexp_replace(translate(regexp_replace(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), '[' || chr(65279) || chr(173) || chr(8203) || ']', '', 'g'), chr(160), ' '), '[ \\t]+', ' ', 'g'), '\\n{4,}', repeat(chr(10), 3), 'g') AS c FROM documents))"""
+QUALITY_SUMMARY = f"""{DOC_QUALITY.rsplit(chr(10) + 'SELECT', 1)[0].replace(DOCS, _CLEAN)}, y AS (SELECT doc_id, score, CASE WHEN score < 35 OR list_contains(b, 'corrupted_ocr_or_mojibake') THEN 'REJECT' WHEN score < 55 THEN 'LOW' WHEN score < 80 THEN 'MEDIUM' ELSE 'HIGH' END AS label, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM w),
+z AS (SELECT doc_id, score, label, unnest(range(0, CAST(ceil(len(ws) / 450.0) AS BIGINT))) AS i, ws FROM y)
+SELECT label, count(DISTINCT doc_id) AS documents, count(*) AS chunks, CAST(sum(ceil(length(array_to_string(ws[i * 450 + 1 : i * 450 + 500], ' ')) / 4.0::DOUBLE)) AS BIGINT) AS tokens, round(avg(score), 6) AS score FROM z GROUP BY label"""
+
 QUERIES = {
     "doc_normalize": (doc_normalize, DOC_NORMALIZE), "doc_repair": (doc_repair, DOC_REPAIR), "doc_line_clean": (doc_line_clean, DOC_LINE_CLEAN), "doc_repeated_lines": (doc_repeated_lines, DOC_REPEATED_LINES),
     "doc_token_estimates": (doc_token_estimates, DOC_TOKEN_ESTIMATES), "doc_script_language": (doc_script_language, DOC_SCRIPT_LANGUAGE), "doc_quality": (doc_quality, DOC_QUALITY), "doc_category": (doc_category, DOC_CATEGORY),
     "block_classify": (block_classify, BLOCK_CLASSIFY), "doc_exact_dupes": (doc_exact_dupes, DOC_EXACT_DUPES), "doc_near_dupes": (doc_near_dupes, DOC_NEAR_DUPES), "chunk_word_window": (chunk_word_window, CHUNK_WORD_WINDOW),
-    "chunk_diagnostics": (chunk_diagnostics, CHUNK_DIAGNOSTICS), "corpus_manifest": (corpus_manifest, CORPUS_MANIFEST), "chunk_semantic": (chunk_semantic, None), "chunk_token_packed": (chunk_token_packed, None),
-    "chunk_paragraph_words": (chunk_paragraph_words, None), "publish_plan": (publish_plan, PUBLISH_PLAN), "dense_ids": (dense_ids, DENSE_IDS), "page_extract": (page_extract, PAGE_EXTRACT), "page_links": (page_links, PAGE_LINKS), "quality_summary": (flagship, None),
+    "chunk_diagnostics": (chunk_diagnostics, CHUNK_DIAGNOSTICS), "corpus_manifest": (corpus_manifest, CORPUS_MANIFEST), "chunk_semantic": (chunk_semantic, None), "chunk_token_packed": (chunk_token_packed, CHUNK_TOKEN_PACKED),
+    "chunk_paragraph_words": (chunk_paragraph_words, CHUNK_PARAGRAPH_WORDS), "publish_plan": (publish_plan, PUBLISH_PLAN), "dense_ids": (dense_ids, DENSE_IDS), "page_extract": (page_extract, PAGE_EXTRACT), "page_links": (page_links, PAGE_LINKS), "quality_summary": (flagship, QUALITY_SUMMARY),
 }
