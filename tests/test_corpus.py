@@ -177,3 +177,12 @@ def test_roots_and_tables(spark, tmp_path):
     assert {(r["title"], r["root"].rsplit("/", 1)[1]) for r in got.collect()} == {("one", "a"), ("two", "a"), ("three", "c")}
     (tmp_path / "t.json").write_text('[{"id": 1, "t": "x"}, {"id": 2}]')
     assert files.articles(spark, f"file://{tmp_path}/t.json", "id long, t string").count() == 2
+
+
+def test_intake_cleaning(spark):
+    rows = [(1, "ﬁrst line\nPage 3 of 9\n\n\nexam-\nple ■ end\nFIRST LINE\n" + "word " * 250), (2, None), (3, "short text")]
+    got = {r["doc_id"]: r for r in cleaning.intake_cleaned(spark.createDataFrame(rows, "doc_id long, text string"), {"tests": ["quiz"]}).collect()}
+    assert got[1]["cleaned"].startswith("first line\n\nexample end\nword word") and (got[1]["navigation"], got[1]["repeated"]) == (1, 1)
+    assert (got[1]["score"], got[1]["label"], got[1]["action"]) == (100, "HIGH", "keep")
+    assert (got[2]["score"], got[2]["label"], got[2]["action"]) == (0, "REJECT", "reject") and got[3]["score"] == 38 and got[3]["action"] == "manual_review"
+    assert got[3]["tokens"] == 3

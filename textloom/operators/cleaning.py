@@ -1,4 +1,4 @@
-"""The document cleaning job (NRM-10, AGG-03..05, AGG-25, FLT-19, FLT-24, SET-04, SNK-02, PIP-01)."""
+"""The document cleaning job (NRM-10, AGG-03..05, AGG-25, FLT-19, FLT-24, SET-04, SNK-02, PIP-01, PIP-08)."""
 
 from __future__ import annotations
 
@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textloom.functions.text import clean_artifacts, clean_spaces, drop_page_markers, mend_lines
-from textloom.operators.lines import without_repeated_lines
+from textloom.functions.measures import cleaner_action, cleaner_score, cleaner_signals, quality_label, tokens_by_chars
+from textloom.functions.text import clean_artifacts, clean_spaces, drop_page_markers, join_hyphens, mend_lines, nfkc, strip_junk, tidy
+from textloom.operators.lines import clean_lines, without_repeated_lines
 from textloom.operators.stabilize import with_blocks
 
 EXAMPLES = 5
@@ -76,3 +77,12 @@ def write_cleaned(reports: DataFrame, blocks: DataFrame, path: str, key: str = "
     reports.select(key, F.col("_cleaned_text").alias("text")).write.json(f"{path}/cleaned")
     public(reports).write.json(f"{path}/metadata")
     split(blocks)[1].write.json(f"{path}/rejected")
+
+
+def intake_cleaned(df: DataFrame, families: dict[str, list[str]], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """PIP-08: (key, cleaned, counters, signals, score, label, action, tokens): NFKC, junk, white space, hyphens and lines, then the grade."""
+    t = join_hyphens(tidy(strip_junk(nfkc(F.coalesce(text, F.lit(""))))))
+    out = clean_lines(df.select(key, t.alias(text)), key, text).withColumn("cleaned", tidy(F.col("cleaned")))
+    c = F.col("cleaned")
+    out = out.withColumn("signals", cleaner_signals(c, families)).withColumn("score", cleaner_score(c, F.col("signals"))).withColumn("label", quality_label(F.col("score"), F.col("signals")))
+    return out.withColumn("action", cleaner_action(F.col("label"))).withColumn("tokens", tokens_by_chars(c))

@@ -426,11 +426,26 @@ RESULT_DEDUPE = f"""WITH {retrieval.FOUND_SQL.replace('rank <= 3', 'rank <= 8')}
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id, k ORDER BY rank) AS r FROM e WHERE k IS NOT NULL) SELECT query_id, rank, article_id FROM b WHERE r = 1"""
 
 
+def intake_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PIP-08, NRM-02."""
+    out = cleaning.intake_cleaned(docs(spark, sf_dir).select("doc_id", "text"), {"tests": ["!!"], "questionnaires": ["@"]})
+    return out.withColumns({"cleaned": F.md5("cleaned"), "signals": F.array_join("signals", ",")})
+
+
+def chunk_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PIP-03: stabilised documents, without those that are excluded (FLT-13), as semantic chunk records."""
+    d = stabilize.stabilized(named(spark, sf_dir).select("doc_id", "text", "filename"))
+    d = d.filter(stabilize.exclusion(F.col("planned_output"), F.col("duplicate_status")) == "")
+    meta = d.select(F.col("filename").alias("source_file"), F.col("duplicate_of").cast("string").alias("duplicate_of"), "logical_category", "duplicate_status", "tail_removed", "restore_splits", "readiness_before", "readiness_after", "similarity", F.col("stabilized_text").alias("text"))
+    r = ingest.chunk_records(segment.semantic_chunks(meta), namespace="test", language="en")
+    return r.select("chunk_id", F.md5("text").alias("text"), F.to_json("metadata").alias("metadata"))
+
+
 QUERIES = {
     "doc_text_keys": (doc_text_keys, DOC_TEXT_KEYS), "page_urls": (page_urls, PAGE_URLS), "doc_structure": (doc_structure, DOC_STRUCTURE), "doc_tails": (doc_tails, DOC_TAILS), "doc_stabilize": (doc_stabilize, None), "stabilize_summary": (stabilize_summary, None),
     "source_triage": (source_triage, f"WITH {TRIAGED} SELECT doc_id, category, confidence, action, target FROM z"), "source_categories": (source_categories, f"WITH {TRIAGED} SELECT category, target, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM z GROUP BY 1, 2"),
     "source_audit": (source_audit, SOURCE_AUDIT), "source_roll_ups": (source_roll_ups, SOURCE_ROLL_UPS), "ingest_plan": (ingest_plan, f"{PLAN} SELECT * FROM x"), "ingest_summary": (ingest_summary, INGEST_SUMMARY), "cleaning_summary": (cleaning_summary, CLEANING_SUMMARY),
-    "chunk_records": (chunk_records, CHUNK_RECORDS), "embedding_sizes": (embedding_sizes, EMBEDDING_SIZES), "clean_report": (clean_report, None), "prompt_rows": (prompt_rows, PROMPT_ROWS), "retrieval_report": (retrieval_report, RETRIEVAL_REPORT), "retrieval_quality": (retrieval_quality, RETRIEVAL_QUALITY),
+    "chunk_records": (chunk_records, CHUNK_RECORDS), "embedding_sizes": (embedding_sizes, EMBEDDING_SIZES), "clean_report": (clean_report, None), "intake_cleaning": (intake_cleaning, None), "chunk_job": (chunk_job, None), "prompt_rows": (prompt_rows, PROMPT_ROWS), "retrieval_report": (retrieval_report, RETRIEVAL_REPORT), "retrieval_quality": (retrieval_quality, RETRIEVAL_QUALITY),
     "vector_texts": (vector_texts, VECTOR_TEXTS), "index_manifest": (index_manifest, INDEX_MANIFEST), "usage_presets": (usage_presets, USAGE_PRESETS), "usage_latest_session": (usage_latest_session, USAGE_LATEST_SESSION), "user_search": (user_search, USER_SEARCH), "rollback_manifest": (rollback_manifest, ROLLBACK_MANIFEST),
     "block_histogram": (block_histogram, BLOCK_HISTOGRAM), "chunk_summary": (chunk_summary, CHUNK_SUMMARY), "doc_first_seen": (doc_first_seen, DOC_FIRST_SEEN), "doc_intake": (doc_intake, DOC_INTAKE), "intake_summary": (intake_summary, INTAKE_SUMMARY), "flagged_chunks": (flagged_chunks, FLAGGED_CHUNKS), "result_dedupe": (result_dedupe, RESULT_DEDUPE),
 }
