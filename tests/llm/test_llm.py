@@ -85,7 +85,7 @@ def test_rows_of_one_id_keep_their_own_classes(spark):
     assert len(set(keys.values())) == 3
 
 
-def test_blocks_of_a_large_leaf_meet(spark, monkeypatch):
+def test_blocks_of_a_large_leaf_meet(spark):
     rng = random.Random(1)
     w = words(rng, 150).split()
     texts = []
@@ -94,11 +94,35 @@ def test_blocks_of_a_large_leaf_meet(spark, monkeypatch):
         x[k * 2] = f"new{k}"
         texts.append((k, " ".join(x)))
     d = spark.createDataFrame(texts, "doc_id long, text string")
-    monkeypatch.setattr(ngram_jaccard, "blocks", lambda rows, block=16, f=ngram_jaccard.blocks: f(rows, block))
-    got = ngram_jaccard.near_classes(d).collect()
+    got = ngram_jaccard.near_classes(d, block=16).collect()
     assert {r["class_id"] for r in got} == {0} and all(r["n_links"] == 59 for r in got)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_cliques_are_counted_by_home(spark, seed):
+    """Close copies of one text, further ones, and ones of these, in leaves far above the block, with repeated rows and ids."""
+    rng = random.Random(seed)
+    w = [f"{x}{k}" for k, x in enumerate(words(rng, 300).split())]
+
+    def changed(base, n):
+        x = list(base)
+        for k in rng.sample(range(2, 298), n):
+            x[k] = f"new{rng.randrange(10**9)}"
+        return x
+
+    far = changed(w, 6)
+    texts = [" ".join(changed(w, rng.choice([1, 1, 2]))) for _ in range(70)] + [" ".join(changed(far, rng.choice([1, 2, 4]))) for _ in range(30)] + [" ".join(changed(w, rng.choice([5, 8, 12]))) for _ in range(20)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(500, texts[0]), (501, texts[75]), (3, words(rng, 50)), (90, texts[1])]
+    rng.shuffle(rows)
+    sets = [frozenset(tuple(x[i : i + 5]) for i in range(len(x) - 4)) for x in (t.split() for _, t in rows)]
+    links = [sum(len(a & b) >= 0.8 * len(a | b) for b in sets) - 1 for a in sets]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = ngram_jaccard.near_classes(d, block=16).collect()
+    hashed = {r["text"]: r["h"] for r in d.select("text", F.xxhash64("text").alias("h")).collect()}
+    assert Counter((r["doc_id"], r["text_hash"], r["n_links"]) for r in got) == Counter((k, hashed[t], n) for (k, t), n in zip(rows, links))
+    assert len(set(links)) > 5 and Counter(map(tuple, got)) == Counter(map(tuple, ngram_jaccard.near_classes(d).collect()))
+
+
 def test_runs_reach_the_recall():
     assert ngram_jaccard.runs_for(0.999) > ngram_jaccard.runs_for(0.9) >= 2
 

@@ -13,8 +13,10 @@
    several leaves belongs to the smallest, so it is verified and counted once.
 
 Tasks give no pairs but, for each node, its links and the smallest node that its links lead to, which is all that
-components and counts need; so a group of n near copies gives n rows. Brute force over m nodes that are all alike
-still costs m * m / 2 comparisons, spread over its blocks.
+components and counts need; so a group of n near copies gives n rows. In leaves too large for one task, nodes within half
+the distance that the threshold allows from the leaf's first node are at home there: by the triangle inequality
+(Jaccard's distance is a metric) they are all linked to each other, so their links are counted by the group's size and
+never compared, and a clique of close copies costs work in proportion to its nodes. Only others are compared by blocks.
 
 Defined cases: texts with fewer than five words have one shingle of all their words; null, empty and blank texts
 have none, link to nothing and are a class of their own each; rows that share an id are told apart by their texts, so each has
@@ -26,7 +28,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,7 +40,7 @@ from textloom.llm.common import table, text_or_empty, written
 from textloom.llm.graph import components
 
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.999
-PLACES, LEVELS, LEAF, BLOCK = 64, 3, 48, 2048
+PLACES, LEVELS, LEAF, BLOCK, SALTS = 64, 3, 48, 2048, 64
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _A = np.array([xxhash.xxh3_64_intdigest(b"a", seed=k) | 1 for k in range(PLACES)], np.uint64)
@@ -177,17 +179,30 @@ GROUP = ["leaf", "one", "two"]
 
 
 def blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Adds (one, two, own): the pair of blocks that a copy of the row is for, and the row's own block. Leaves of at most block nodes have one block."""
-    parts = F.ceil(F.col("size") / block).cast("int")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), parts).cast("int")).withColumn("__x", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return rows.withColumn("one", F.least("own", "__x")).withColumn("two", F.greatest("own", "__x")).drop("__x", "size")
+    """Adds (one, two, own): the pair of blocks that a copy of the row is for, and the row's own block.
+
+    Leaves of at most block nodes have one block. In larger ones the nodes of the most frequent home have blocks of
+    their own, which meet those of the other nodes and not each other.
+    """
+    small = rows.filter(F.col("size") <= block).select("*", *[F.lit(0).alias(c) for c in ("own", "one", "two")]).drop("size")
+    large = rows.filter(F.col("size") > block)
+    homes = large.groupBy("leaf", "home").agg(F.count("*").alias("k")).groupBy("leaf").agg(F.max(F.struct("k", "home")).alias("most"))
+    parts = lambda n: F.ceil(n / block).cast("int")
+    k = F.col("most.k")
+    large = large.join(homes, "leaf").withColumns({"__d": parts(k), "__e": parts(F.col("size") - k), "__main": F.col("home") == F.col("most.home")})
+    place = lambda n: F.pmod(F.xxhash64("node", F.lit("block")), F.greatest(n, F.lit(1))).cast("int")
+    large = large.withColumn("own", F.when(F.col("__main"), place(F.col("__d"))).otherwise(F.col("__d") + place(F.col("__e"))))
+    first = F.when(F.col("__main"), F.col("__d")).otherwise(F.lit(0))
+    meets = F.filter(F.sequence(F.lit(0), F.col("__d") + F.col("__e")), lambda x: (x >= first) & (x < F.col("__d") + F.col("__e")))
+    large = large.withColumn("__x", F.explode(meets)).withColumn("one", F.least("own", "__x")).withColumn("two", F.greatest("own", "__x"))
+    return small.unionByName(large.drop("__x", "__d", "__e", "__main", "most", "size"))
 
 
 def candidates(b: pd.DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the pairs of a group's rows that share at least that many tokens, that are not of one block while the group is for two, and that meet in no smaller leaf."""
+    """Row numbers of the pairs of a group's rows that share at least that many tokens, that are not of one home, nor of one block while the group is for two, and that meet in no smaller leaf."""
     ids = pd.factorize(pd.MultiIndex.from_frame(b[GROUP]))[0] if len(b) > 1 else np.zeros(len(b), int)
     tokens = np.stack(b["tokens"].to_numpy())
-    own, two = b["own"].to_numpy(), b["one"].to_numpy() != b["two"].to_numpy()
+    own, two, home = b["own"].to_numpy(), b["one"].to_numpy() != b["two"].to_numpy(), b["home"].to_numpy()
     width = max(len(x) for x in b["leaves"])
     leaves = np.stack([np.pad(np.asarray(x, np.int64), (0, width - len(x)), mode="edge") for x in b["leaves"]])
     leaf = b["leaf"].to_numpy()
@@ -199,7 +214,7 @@ def candidates(b: pd.DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
         for k in range(0, len(i), 8192):
             p = i[k : k + 8192]
             q = p + shift
-            apart = ~two[p] | (own[p] != own[q])
+            apart = (~two[p] | (own[p] != own[q])) & (home[p] != home[q])
             p, q = p[apart], q[apart]
             near = (tokens[p] == tokens[q]).sum(axis=1) >= least
             p, q = p[near], q[near]
@@ -228,24 +243,61 @@ def shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.nd
     return out
 
 
-def links(docs: DataFrame, nodes: DataFrame, leaves: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+def homes_of(texts_of: Callable[[DataFrame], DataFrame], nodes: DataFrame, large: DataFrame, threshold: float) -> DataFrame:
+    """(node, home, n) of the nodes of large leaves (leaf, node) that are within half the distance of a first node of theirs."""
+    first = large.groupBy("leaf").agg(F.min("node").alias("home"))
+    pairs = written(large.join(first, "leaf").groupBy("node").agg(F.min("home").alias("home")), "first")
+    texts = written(texts_of(pairs.select("node").unionByName(pairs.select(F.col("home").alias("node"))).distinct()), "large-texts")
+    # a home's nodes are spread over SALTS tasks, each of which gets its text
+    salted = pairs.join(texts, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    own = salted.join(texts.select(F.col("node").alias("home"), F.col("t").alias("home_t"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).join(pairs.select("home").distinct(), "home"), ["home", "salt"])
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, last, whole = Words(), None, None
+        for b in batches:
+            kept = []
+            for node, home, t, h in zip(b["node"], b["home"], b["t"], b["home_t"]):
+                if h != last:
+                    last, whole = h, shingles(h, hashes)
+                s = shingles(t, hashes)
+                both = len(np.intersect1d(s, whole, assume_unique=True))
+                union = len(s) + len(whole) - both
+                # rows of other texts with the same id are no node's
+                kept.append(node_of(s) == node and node_of(whole) == home and union - both <= (1 - threshold) / 2 * union - 1e-9)
+            yield b.loc[kept, ["node", "home"]]
+
+    found = own.sortWithinPartitions("home").mapInPandas(near, "node long, home long").distinct()
+    return written(found.join(nodes.select("node", "n"), "node"), "homes")
+
+
+def links(docs: DataFrame, nodes: DataFrame, leaves: DataFrame, key: str, text: str, threshold: float, block: int = BLOCK) -> DataFrame:
     """(node, to, links): for each leaf and node with links there, the smallest node they lead to in the leaf, and the documents at their other ends."""
     least = likely(threshold)
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        """(node, t) of some nodes; rows of other texts with a node's smallest id are among them."""
+        ids = some.join(nodes.select("node", F.col("low").alias("id")), "node")
+        own = docs.select(_id(key, text).alias("id"), text_or_empty(text).alias("t")).join(ids.select("id").distinct().hint("merge"), "id", "left_semi")
+        return ids.join(own.hint("merge"), "id").select("node", "t")
+
+    large = leaves.filter(F.col("size") > block).select("leaf", "node")
+    homes = None if large.isEmpty() else homes_of(texts_of, nodes, large, threshold)
+    leaves = leaves.distinct()
+    leaves = leaves.withColumn("home", F.col("node")) if homes is None else leaves.join(homes.select("node", F.col("home").alias("__h")), "node", "left").withColumn("home", F.coalesce("__h", "node")).drop("__h")
     of = leaves.groupBy("node").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))
-    rows = blocks(leaves.distinct().join(nodes.select("node", "tokens"), "node").join(of, "node"))
+    rows = blocks(leaves.join(nodes.select("node", "tokens"), "node").join(of, "node"), block)
 
     def likely_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in grouped(batches, GROUP):
             p, q = candidates(b, least)
-            yield b.iloc[np.unique(np.r_[p, q])][[*GROUP, "own", "node"]]
+            yield b.iloc[np.unique(np.r_[p, q])][[*GROUP, "own", "node", "home"]]
 
     def sort(df: DataFrame) -> DataFrame:
         return df.repartition(*GROUP).sortWithinPartitions(*GROUP, "node")
 
-    picked = written(sort(rows).mapInPandas(likely_rows, "leaf long, one int, two int, own int, node long"), "likely")
-    some = picked.select("node").distinct().join(nodes.select("node", "low"), "node").select(F.col("low").alias("id")).distinct()
-    texts = docs.select(_id(key, text).alias("id"), text_or_empty(text).alias("t")).join(some.hint("merge"), "id", "left_semi")
-    full = picked.join(nodes.select("node", "n", "tokens", F.col("low").alias("id")), "node").join(of, "node").join(texts.hint("merge"), "id")
+    picked = written(sort(rows).mapInPandas(likely_rows, "leaf long, one int, two int, own int, node long, home long"), "likely")
+    texts = texts_of(picked.select("node").distinct())
+    full = picked.join(nodes.select("node", "n", "tokens"), "node").join(of, "node").join(texts.hint("merge"), "node")
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Words()
@@ -274,15 +326,19 @@ def links(docs: DataFrame, nodes: DataFrame, leaves: DataFrame, key: str, text:
             has = np.flatnonzero(count)
             yield pd.DataFrame({"node": node[has], "to": low[has], "links": count[has].astype(np.int64)})
 
-    return written(sort(full).mapInPandas(verified, "node long, to long, links long"), "links")
+    found = written(sort(full).mapInPandas(verified, "node long, to long, links long"), "links")
+    if homes is None:
+        return found
+    sizes = homes.groupBy("home").agg(F.sum("n").alias("all"), F.count("*").alias("k")).filter("k > 1")
+    return found.unionByName(homes.join(sizes, "home").select("node", F.col("home").alias("to"), (F.col("all") - F.col("n")).alias("links")))
 
 
-def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """(key, text_hash, class_id, class_key, set_id, n_links) for each document: the smallest id of its group of linked
     documents, a number of that group (null for blank texts), the smallest id of the documents with its set of shingles,
     and how many other documents are similar to it. text_hash, xxhash64 of the text, tells rows apart that share an id."""
     rows, nodes = nodes_of(docs.select(key, text), key, text)
-    found = links(docs, nodes, leaves_of(nodes, runs_for(recall, threshold), threshold), key, text, threshold)
+    found = links(docs, nodes, leaves_of(nodes, runs_for(recall, threshold), threshold), key, text, threshold, block)
     label = components(found.select(F.col("node").alias("u"), F.col("to").alias("v")))
     degree = found.groupBy("node").agg(F.sum("links").alias("links"))
     own = nodes.select("node", "low", "n").join(degree, "node", "left").join(label, "node", "left").withColumn("class_key", F.coalesce("label", "node"))
