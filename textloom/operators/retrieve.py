@@ -24,7 +24,10 @@ QUERIES, BLOCK_SIZE = 4096, 4 << 20
 
 
 def in_blocks(queries: DataFrame, size: Column, search: Callable[[pd.DataFrame], DataFrame]) -> DataFrame:
-    """search() of all queries, block by block; the rows of a query_id are in one block. size: characters or numbers of a query."""
+    """search() of all queries, block by block; the rows of a query_id are in one block. size: characters or numbers of a query.
+
+    Each block is read when the plan is made and then held with it, so who has hundreds of blocks calls a search for each part.
+    """
     n, total = queries.agg(F.count("*"), F.sum(size)).first()
     blocks = max(1, -(-n // QUERIES), -(-(total or 0) // BLOCK_SIZE))
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))

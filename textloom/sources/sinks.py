@@ -55,7 +55,7 @@ def numbered(df: DataFrame, by: list[str], order: str, name: str, buckets: int |
 
     Rows are numbered inside ranges of the order column; a range's offset is the count of the key's rows in the ranges before it.
     """
-    buckets = buckets or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or min(4096, max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     cuts = sorted(set(df.agg(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], 100 * buckets)).first()[0] or []))
     df = df.withColumn("__b", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))) if cuts else F.lit(0)).withColumn("__b", F.coalesce("__b", F.lit(-1)))
     sizes = df.groupBy(*by, "__b").agg(F.count("*").alias("__n"))
