@@ -38,6 +38,8 @@ FAMILIES, LEVELS = 24, 3
 BAND = (0.2, 0.95)
 #: Ranges of hashes; the terms of one, with the counts of all documents, are held in memory at once.
 SLICES = 256
+#: Bytes of text in a range of keys, which is held in memory where it is compared.
+RANGE_BYTES = 16 << 20
 #: Hashes that a range of keys gathers before it counts them.
 GATHERED = 1 << 22
 
@@ -202,10 +204,14 @@ def with_next(docs: DataFrame, *, key: str = "doc_id", text: str = "text", range
     """Rows (part, halo, sort key, key, text), dealt by part and sorted: each part holds a range of keys, and behind it, as a
     row with halo 1, the document that follows its last one; behind the last range that is the first document of all.
 
-    Only keys are read to find the ranges; the texts are shuffled once. One number for each range comes to the driver.
+    Ranges follow the size of all texts. Only keys are read to find them; the texts are shuffled once. One number for
+    each range comes to the driver.
     """
     spark = docs.sparkSession
-    ranges = ranges or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if ranges is None:
+        size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0  # one number
+        ranges = max(2 * tasks, -(-size // RANGE_BYTES))
     docs = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("__k"), F.col(key), text_or_empty(text).alias("__t")).withColumn("__h", F.xxhash64("__t"))
     cuts = docs.agg(F.percentile_approx("__k", [k / ranges for k in range(1, ranges)], 100 * ranges)).first()[0] if ranges > 1 else []
     keys, times = np.unique(np.array(cuts or [], np.int64), return_counts=True)
@@ -233,7 +239,7 @@ def with_next(docs: DataFrame, *, key: str = "doc_id", text: str = "text", range
         return pd.Series([[{"part": int(p), "halo": 0}] + ([] if b is None else [{"part": b, "halo": 1}]) for p, b in zip(places_of(k, h), halo)])
 
     out = docs.select("*", F.inline(places("__k", "__h")))
-    return out.repartition(F.col("part")).sortWithinPartitions("part", "halo", "__k", "__h", "__t").select("part", "halo", "__k", "__h", F.col(key).alias("__id"), "__t")
+    return out.repartition(max(tasks, ranges // 4), F.col("part")).sortWithinPartitions("part", "halo", "__k", "__h", "__t").select("part", "halo", "__k", "__h", F.col(key).alias("__id"), "__t")
 
 
 def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
