@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,19 +44,26 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """While it lasts, Python workers get that many rows at once, where rows are short."""
+    bounded_batches(spark)
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, str(rows or before))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
 def written(df: DataFrame, label: str, batch_rows: int | None = None, **options: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
 
     batch_rows: rows that Python workers get at once, where rows are short. options: of the writer.
     """
     spark, path = df.sparkSession, shared_dir(df.sparkSession, label)
-    bounded_batches(spark)
-    before = spark.conf.get(BATCH_ROWS)
-    spark.conf.set(BATCH_ROWS, str(batch_rows or before))
-    try:
+    with batches_of(spark, batch_rows):
         df.write.options(**options).parquet(path)
-    finally:
-        spark.conf.set(BATCH_ROWS, before)
     return spark.read.parquet(path)
 
 
@@ -66,6 +74,18 @@ def discard(df: DataFrame) -> None:
         store.delete_dir(path)
 
 
+def with_keyed(rows: DataFrame, keyed: DataFrame, keys: list[str], share: int = 1000) -> DataFrame:
+    """rows and, by inner join, the columns of keyed: a row for each key that occurs, n of which says how many rows have it; n goes. Keys have no nulls.
+
+    Keys with more than 1 / share of all rows are fewer than share, so they are broadcast and their rows stay where they
+    are; all others meet in a shuffle.
+    """
+    total = keyed.agg(F.sum("n")).first()[0] or 0
+    hot = keyed.filter(F.col("n") * share > total).drop("n")
+    rest = keyed.filter(F.col("n") * share <= total).drop("n")
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(rest, keys))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, whatever the optimiser does with the projections around it."""
     return F.transform(F.array(value), body)[0]

@@ -15,13 +15,14 @@ from textloom.llm.sentence_pieces import op5_sentence_pieces
 from textloom.llm.source_mixing import OP3_SQL, op3_source_mixing
 from textloom.llm.suffix_dedup import op8_suffix_dedup
 from textloom.llm.token_shards import op4_token_shards
+from textloom.llm.vector_codes import OP11_SQL, op11_vector_codes
 from textloom.llm.warc import OP6_SQL, op6_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ngram_jaccard, op2_quality_gam, op3_source_mixing, op4_token_shards, op5_sentence_pieces, op6_warc, op7_chat_format, op8_suffix_dedup, op9_imatch, op10_quality_rules]
+    found = [op1_ngram_jaccard, op2_quality_gam, op3_source_mixing, op4_token_shards, op5_sentence_pieces, op6_warc, op7_chat_format, op8_suffix_dedup, op9_imatch, op10_quality_rules, op11_vector_codes]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": OP3_SQL, "op6_warc": OP6_SQL, "op7_chat_format": OP7_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op3_source_mixing": OP3_SQL, "op6_warc": OP6_SQL, "op7_chat_format": OP7_SQL, "op10_quality_rules": OP10_SQL, "op11_vector_codes": OP11_SQL}
