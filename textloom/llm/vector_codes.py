@@ -50,7 +50,7 @@ class Cells:
         self.exact = entries.shape[1] * len(entries) < 2**15 and bool(np.abs(self.near).max(initial=0) < EXACT)
         gaps = ((self.near[:, None, :] - self.near[None, :, :]) ** 2).sum(axis=2)
         gaps[gaps == 0] = np.inf
-        nearest = gaps.min(axis=1)
+        nearest = gaps.min(axis=1, initial=np.inf)
         nearest = nearest[np.isfinite(nearest)]
         # the diagonal of a cell is about half the distance from an entry to its nearest one
         width = np.sqrt(np.median(nearest) / entries.shape[1]) / 2 if len(nearest) else 32.0
