@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from textloom.llm import registry, simhash, vector_codes
+from textloom.llm import prefix_trie, simhash, vector_codes
 
 
 def coded_by_hand(rows):
@@ -163,3 +163,55 @@ def test_simhash_is_brute_force(spark):
     assert Counter((r["doc_id"], r["fp"] & (1 << 64) - 1, r["component_id"]) for r in got) == Counter((k, slow_print(t), smallest[low[slow_print(t)]]) for k, t in rows)
     assert len(smallest) < len({slow_print(t) for _, t in rows})
     assert simhash.near_components(docs.filter("false")).count() == 0
+
+
+def trie_by_hand(rows):
+    own = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            own[conv].append((turn is not None, turn or 0, role or "", text or ""))
+    turns = {c: [x[2:] for x in sorted(t)] for c, t in own.items()}
+    members, ends = defaultdict(list), defaultdict(list)
+    for c in sorted(turns):
+        h = zlib.crc32(str(c).encode()) % 9
+        path = tuple(turns.get(c - int(math.fmod(c, 5)), [])[:h] + turns[c][h:])
+        for d in range(len(path) + 1):
+            members[path[:d]].append(c)
+        ends[path].append(c)
+    out = Counter()
+    for path, m in members.items():
+        below = [p for p in members if p[: len(path)] == path]
+        n_children = lambda p: sum(len(q) == len(p) + 1 and q[: len(p)] == p for q in below)
+        saved = sum((len(members[p]) - 1) * len(p[-1][1].encode()) for p in below if p)
+        digest = hashlib.sha256(",".join(map(str, ends[path])).encode()).hexdigest()
+        out[m[0], len(path), members[path[:-1]][0] if path else None, len(m), n_children(path), sum(n_children(p) == 0 for p in below), saved, digest] += 1
+    return out
+
+
+TALKS = "conv_id long, turn long, role string, text string"
+
+
+@pytest.mark.parametrize("segment, limit", [(1024, 4 << 20), (3, 4 << 20), (1024, 400), (4, 300), (1, 100)])
+def test_prefix_trie_is_brute_force(spark, segment, limit):
+    rng = random.Random(11)
+    say = lambda: (rng.choice(["user", "assistant", None]), rng.choice(["hi", "ä ö", "", None, "yes please"]))
+    rows = []
+    long = [say() for _ in range(14)]
+    for c in [*range(40), -3, -10, -12, 101]:
+        talk = long[: rng.randint(1, 14)] if c % 3 else [say() for _ in range(rng.randint(1, 9))]
+        if c % 7 == 0:
+            talk = [*talk[:-1], say()]
+        rows += [(c, k if k else None, *t) for k, t in enumerate(talk)]
+    rows += [(200, k, "user", "alone") for k in range(30)] + [(203, k, "user", "alone") for k in range(25)] + [(None, 1, "user", "lost")]
+    docs = spark.createDataFrame(rows, TALKS).withColumn("depth", F.lit("x")).withColumn("pos", F.lit(1)).repartition(3)
+    got = Counter(tuple(r) for r in prefix_trie.prefix_trie(docs, segment, limit).collect())
+    want = trie_by_hand(rows)
+    assert got == want
+    assert max(want.values()) == 1
+
+
+def test_prefix_trie_of_ties_one_turn_and_none(spark):
+    rows = [(5, None, "user", "b"), (5, None, "user", "b"), (5, 1, None, None), (6, 1, "user", "x"), (6, 1, "user", "x")]
+    got = Counter(tuple(r) for r in prefix_trie.prefix_trie(spark.createDataFrame(rows, TALKS)).collect())
+    assert got == trie_by_hand(rows)
+    assert prefix_trie.prefix_trie(spark.createDataFrame([], TALKS)).count() == 0
