@@ -115,16 +115,21 @@ def ranked(costs: list[float], met: list[tuple[int, tuple[bool, ...]]]) -> list[
     return order
 
 
+def drawn(df: DataFrame, share: float, seed: int) -> DataFrame:
+    """A sample in one partition, drawn by as many tasks as df has parts."""
+    return df.sample(min(1.0, share), seed=seed).repartition(1)
+
+
 def order_rules(df: DataFrame, rules: list[Rule], prepare: Callable[[DataFrame], DataFrame] = lambda df: df, sample_rows: int = 2000, times: int = 25, seed: int = 7) -> list[Rule]:
     """The rules by falling rejections per second among the rows that earlier ones let pass, measured on about sample_rows rows of df.
 
-    prepare adds what the rules need, to the sampled rows alone. The sample is held in one partition, so a measurement is one task. One row for each combination of the
-    rules' verdicts comes to the driver.
+    prepare adds what the rules need, to the sampled rows alone. Rows are drawn where they lie; what is drawn is sent to one partition, so a measurement is one
+    task. One row for each combination of the rules' verdicts comes to the driver.
     """
     n = df.count()
     if not n or not rules:
         return rules
-    sample = prepare(df.sample(min(1.0, sample_rows / n), seed=seed)).coalesce(1).persist()
+    sample = prepare(drawn(df, sample_rows / n, seed)).persist()
     try:
         verdicts = sample.groupBy(*[F.coalesce(r.rejects, F.lit(False)).alias(f"r{k}") for k, r in enumerate(rules)]).count().collect()
         if not verdicts:
