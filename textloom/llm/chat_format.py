@@ -33,6 +33,9 @@ SCHEMAS = {
     "lookup": {"type": "object", "properties": {"query": {"type": "string"}, "after": _AFTER}, "required": ["query"]},
 }
 
+#: A weight that only cycles reach: more calls than a conversation can have.
+CYCLE = 1 << 31
+
 #: JSON type -> what schema_of_variant() says of its values
 KINDS = {"string": "STRING", "integer": r"BIGINT|DECIMAL\(\d+,0\)", "number": r"BIGINT|DOUBLE|DECIMAL\(\d+,\d+\)", "boolean": "BOOLEAN", "null": "VOID", "object": "OBJECT<.*", "array": "ARRAY<.*"}
 TOKENS = r'("(?:[^"\\]|\\.)*"|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|[^"\d-]+|.)'
@@ -84,18 +87,19 @@ def levels(needs: DataFrame) -> DataFrame:
 
     Rows of ``front`` say that an id's level is w at least (to is null), or w more than that of ``to``. A round puts
     what is known of each ``to`` with at most one open need in its place. The ids that no round
-    resolves stand in or behind a cycle or a missing call.
+    resolves stand in or behind a cycle or a missing call. In a cycle w doubles with each round; rows beyond CYCLE, which no chain of
+    calls is as long as, stay as they are.
     """
-    w = F.when(F.col("after").isNull(), 0).otherwise(1)
+    w = F.when(F.col("after").isNull(), 0).otherwise(1).cast("long")
     front = written(needs.select("conv_id", "call_id", F.col("after").alias("to"), w.alias("w")).distinct(), "needs")
     before = None
     while True:
         known = front.groupBy("conv_id", F.col("call_id").alias("to")).agg(F.count("to").alias("open"), F.max(F.when(F.col("to").isNull(), F.col("w"))).alias("base"), F.max(F.when(F.col("to").isNotNull(), F.struct("to", "w"))).alias("one"))
         now = known.filter("open > 0").count()
         if now in (0, before):
-            return known.filter("open = 0").select("conv_id", F.col("to").alias("call_id"), F.col("base").alias("level"))
+            return known.filter("open = 0").select("conv_id", F.col("to").alias("call_id"), F.col("base").cast("int").alias("level"))
         before = now
-        met = front.filter("to is not null").join(known.filter("open < 2"), ["conv_id", "to"], "left")
+        met = front.filter("to is not null").join(known.filter(F.col("open") < 2).filter(F.coalesce("one.w", F.lit(0)) < CYCLE), ["conv_id", "to"], "left")
         none = F.lit(None).cast("string")
         base = F.when(F.col("base").isNotNull(), F.struct(none.alias("to"), (F.col("w") + F.col("base")).alias("w")))
         ahead = F.when(F.col("open").isNull(), F.struct("to", "w")).when(F.col("open") == 1, F.struct(F.col("one.to").alias("to"), (F.col("w") + F.col("one.w")).alias("w")))
