@@ -40,6 +40,8 @@ from textloom.llm.bpe_words import TOKENIZERS, byte_pieces
 from textloom.llm.common import discard, shared_dir, table, text_or_empty, written
 
 LENGTH, PER_SHARD, SEED, ROUNDS = 1024, 2048, 20240101, 6
+#: What a task writes at most where shards are smaller.
+TASK_BYTES = 64 << 20
 #: How the table of sequences is written: it is the largest scratch table, read once.
 PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "5", "parquet.page.size": str(8 << 20)}
 #: Sequences in the dictionary that the shuffled ones are compressed with, 1 MB of tokens at most.
@@ -127,9 +129,7 @@ def write_shards(docs: DataFrame, path: str, *, tokenizer: str, key: str = "doc_
             own = f"{name}.{uuid.uuid4().hex}.part"
             with store.open_output_stream(own, compression=None) as out:
                 out.write(b"".join(parts))
-            if store.get_file_info(name).type != fs.FileType.NotFound:
-                store.delete_file(name)
-            store.move(own, name)
+            store.move(own, name)  # in place of what an earlier attempt, or run, has left
 
         for b in batches:
             b.insert(0, "shard", b["slot"] // per_shard)
@@ -144,7 +144,8 @@ def write_shards(docs: DataFrame, path: str, *, tokenizer: str, key: str = "doc_
             close()
 
     shards = max(1, -(-n // per_shard))
-    tasks = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a task writes TASK_BYTES or less, one shard at least; small tables are dealt to as many tasks as shuffles have
+    tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * length * 2 // TASK_BYTES)))
     rows = packed.select(slot_of("task", "i").alias("slot"), small("tokens").alias("tokens"), "doc_ids", "n_tokens")
     rows = rows.repartitionById(tasks, F.floor(F.floor(F.col("slot") / per_shard) * tasks / shards).cast("int")).sortWithinPartitions("slot")
     _manifest(path, None)
