@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import shared_dir, table, text_or_empty, written
+from textloom.llm.common import shared_dir, table, text_or_empty, with_keyed, written
 
 FILE_BYTES = 32 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -76,9 +76,9 @@ def transaction(page: str, page_id: int | None, uri: str, html: bytes, digest: s
 
 def roles(pages: DataFrame, min_bytes: int) -> DataFrame:
     """(k, digest, copy) -> first: for payloads of at least min_bytes, the page that the row is a revisit of."""
-    keys = pages.select("k", "digest", "size")
-    first = keys.filter(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("k").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return keys.distinct().join(first, "digest").select("k", "digest", F.when(F.col("k") > F.col("first"), F.col("first")).alias("first"))
+    keys = written(pages.select("k", "digest", "size"), "digests")
+    first = keys.filter(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("k").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    return with_keyed(keys.distinct(), first, ["digest"]).select("k", "digest", F.when(F.col("k") > F.col("first"), F.col("first")).alias("first"))
 
 
 def write_warc(pages: DataFrame, path: str, *, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -206,8 +206,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     own = captures(read_records(spark, path)).select("record_id", page_id().alias("page_id"), F.col("response.type").alias("type"), F.col("response.refers_to").alias("of"), F.col("response.payload_bytes").alias("n"), F.col("response.payload_digest").alias("digest"))
     own = written(own, "captures")
-    first = own.filter("type = 'response'").join(own.select(F.col("of").alias("record_id")).distinct(), "record_id", "left_semi").select(F.col("record_id").alias("of"), F.col("page_id").alias("first"), F.col("n").alias("first_n"), F.col("digest").alias("first_digest"))
-    return own.join(first, "of", "left").select("page_id", F.coalesce("n", "first_n").alias("payload_bytes"), F.when(F.col("type") == "response", F.col("digest")).otherwise(F.col("first_digest")).alias("payload_digest"), F.col("type").alias("record_type"), F.col("first").alias("refers_to"))
+    responses, again = own.filter("type = 'response'"), own.filter("type = 'revisit'")
+    first = responses.select(F.col("record_id").alias("of"), F.col("page_id").alias("refers_to"), F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"))
+    first = first.join(again.groupBy("of").agg(F.count("*").alias("n")), "of")
+    again = with_keyed(again.select("of", "page_id"), first, ["of"]).select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to")
+    return responses.select("page_id", F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to")).unionByName(again)
 
 
 OP6_SQL = """
