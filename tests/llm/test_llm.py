@@ -387,6 +387,14 @@ def test_levels_of_lists(spark, seed):
     assert {r["call_id"]: r["level"] for r in got} == level and len(got) == len(level)
 
 
+def test_a_cycle_beside_deep_needs_has_no_level(spark):
+    """Over 31 rounds for calls that each need the three before; a cycle elsewhere doubles its weights meanwhile."""
+    rows = [(1, f"c{k}", f"c{k - j}" if k else None) for k in range(36) for j in (1, 2, 3) if k >= j or (j == 1 and not k)]
+    rows += [(2, "v", "w"), (2, "w", "v"), (2, "x", "y"), (2, "y", "z"), (2, "z", "x"), (2, "u", "z"), (2, "t", None)]
+    got = chat_format.levels(spark.createDataFrame(rows, "conv_id long, call_id string, after string")).collect()
+    assert {(r["conv_id"], r["call_id"]): r["level"] for r in got} == {(1, f"c{k}"): k for k in range(36)} | {(2, "t"): 0}
+
+
 def test_calls_keep_their_own_needs(spark):
     call = "array<struct<id:string,name:string,arguments:string>>"
     rows = [
@@ -535,6 +543,13 @@ def test_rules(spark, docs, none):
     assert quality_rules.cascade(quality_rules.measures(none), quality_rules.order_rules(quality_rules.measures(none), quality_rules.default_rules())).count() == 0
 
 
+def test_rules_are_sampled_where_the_rows_lie(spark):
+    rows = spark.range(0, 9000, 1, 6).withColumn("part", F.spark_partition_id())
+    got = quality_rules.drawn(rows, 0.2, 7)
+    assert got.rdd.getNumPartitions() == 1 and {r["part"] for r in got.select("part").distinct().collect()} == set(range(6))
+    assert "Exchange SinglePartition" in got._jdf.queryExecution().executedPlan().toString() and "Coalesce" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rules_are_ordered_by_rejections_per_cost(spark):
     assert quality_rules.ranked([1.0, 1.0, 10.0], [(5, (True, False, True)), (4, (True, True, False)), (3, (False, False, True)), (2, (False, True, False))]) == [0, 1, 2]
     assert quality_rules.ranked([1.0, 0.1], [(5, (True, False)), (4, (True, True))]) == [1, 0]

@@ -191,7 +191,7 @@ def trie_by_hand(rows):
 TALKS = "conv_id long, turn long, role string, text string"
 
 
-@pytest.mark.parametrize("segment, limit", [(1024, 4 << 20), (3, 4 << 20), (1024, 400), (4, 300), (1, 100)])
+@pytest.mark.parametrize("segment, limit", [(1024, 4 << 20), (3, 4 << 20), (4, 300)])
 def test_prefix_trie_is_brute_force(spark, segment, limit):
     rng = random.Random(11)
     say = lambda: (rng.choice(["user", "assistant", None]), rng.choice(["hi", "ä ö", "", None, "yes please"]))
