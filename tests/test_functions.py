@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import measures as M
@@ -111,26 +112,29 @@ def test_packed_chunk_names_the_copy_before_it(spark, monkeypatch, sf):
     assert sorted(((r["seq"] or 0), r["duplicate_of"], r["n_same"]) for r in dedupe.previous_duplicates(n, F.col("k"), "seq", 2).collect()) == [(0, None, 3), (5, None, 3), (6, 5, 3)]
 
 
-def test_near_pairs_are_brute_force(spark):
+@pytest.mark.parametrize("crowd", [32, 2])
+def test_near_classes_are_brute_force(spark, crowd):
     import random
 
     rng = random.Random(6)
     base = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(60)) for _ in range(rng.choice([3, 5, 30, 90]))) for _ in range(30)]
-    texts = ["", None, *base, *base[:6]]
+    texts = ["", None, "  ", *base, *base[:6]]
     for t in base[:20]:
         w = t.split()
         for _ in range(rng.randint(1, 3)):
             w[rng.randrange(len(w))] = "new"
         texts += [" ".join(w), "head " + t, t.upper() + " tail"]
+    long = [f"w{k}" for k in range(200)]
+    texts += [" ".join([*long[:at], f"x{at}", *long[at + 1 :]]) for at in range(0, 200, 5)]  # a clique
     sets = {k: frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for k, t in enumerate(texts) if (w := (t or "").lower().split())}
-    own = {}
-    for k, g in sets.items():
-        own.setdefault(g, k)
-    want = {(k, own[g], 1.0) for k, g in sets.items() if own[g] < k}
-    reps = sorted(own.values())
-    want |= {(b, a, round(j, 9)) for i, a in enumerate(reps) for b in reps[i + 1 :] if (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= 0.8}
-    got = dedupe.near_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("text", F.coalesce("text", F.lit("")))).collect()
-    assert len(got) == len(want) > 30 and {(r["doc_id"], r["duplicate_of"], round(r["similarity"], 9)) for r in got} == want
+    linked = {k: [j for j in sets if j != k and len(sets[k] & sets[j]) >= 0.8 * len(sets[k] | sets[j])] for k in sets}
+    low = {k: k for k in sets}
+    while any(low[j] < low[k] for k in sets for j in linked[k]):
+        low = {k: min([low[k], *(low[j] for j in linked[k])]) for k in sets}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("node", F.lit(1))
+    got = sorted(map(tuple, dedupe.near_classes(docs, crowd=crowd).collect()))
+    assert got == sorted((k, low[k], len(linked[k])) for k in sets)
+    assert dedupe.near_classes(docs.limit(0)).count() == 0
 
 
 def test_canonical_choice(spark):

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions.text import hash_key
+from textloom.operators.graph import components
+from textloom.sources.scratch import stored
 
 
 def exact_duplicates(df: DataFrame, key: Column, order: str = "doc_id") -> DataFrame:
@@ -54,35 +56,62 @@ def shingle_sets(df: DataFrame, key: str, text: str, width: int = 5) -> DataFram
     """(key, g): the sorted distinct hashes of each text's runs of width lower-cased words; texts with fewer words have one run, blank ones none."""
     w = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
     runs = F.when(F.size("__w") <= width, F.array(F.xxhash64(F.array_join("__w", " ")))).otherwise(F.transform(F.sequence(F.lit(1), F.size("__w") - width + 1), lambda i: F.xxhash64(F.array_join(F.slice("__w", i, F.lit(width)), " "))))
-    return df.select(key, w.alias("__w")).filter(F.size("__w") > 0).select(key, F.array_sort(F.array_distinct(runs)).alias("g"))
+    return df.select(key, w.alias("__w")).filter(F.size("__w") > 0).select(key, F.sort_array(F.array_distinct(runs)).alias("g"))
 
 
-def near_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, width: int = 5) -> DataFrame:
-    """JON-10: (key, duplicate_of, similarity): exact Jaccard of shingle sets at the threshold, by prefixes of rare shingles.
+def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, width: int = 5, crowd: int = 32) -> DataFrame:
+    """JON-10: (key, class_id, n_links): the smallest key that links lead to, and how many other texts are similar.
 
-    Texts with equal sets are one class, whose rows name its smallest key with similarity 1; other pairs are between
-    smallest keys of classes. Two sets at the threshold share one of their n - ceil(threshold * n) + 1 rarest
-    shingles, so only texts that meet there are compared. A pair is compared under the smallest such shingle alone.
+    Links are all pairs of an exact Jaccard similarity of shingle sets at the threshold. A row for each text, whatever the number of
+    pairs; blank texts have no shingles and aren't in the result. The sets are computed and stored once; all else reads
+    that table:
+
+    * Texts of equal sets (by two hashes of them) are one node.
+    * Shingles are ordered by how few nodes have them. Two sets at the threshold share one of their n - ceil(threshold * n) + 1
+      first shingles, so nodes meet there, if their sizes and the shingle's places leave room for the overlap needed.
+    * Where over ``crowd`` nodes meet, those within half the distance of the smallest one are at home there: Jaccard's
+      distance is a metric, so they are all linked to each other, and are counted by the size of the home. Nodes of a shingle's
+      most frequent home meet the others there, and not each other.
     """
-    sets = shingle_sets(df, key, text, width)
-    same = sets.groupBy("g").agg(F.min(key).alias("own"))
-    copies = sets.join(same, "g").filter(F.col(key) > F.col("own")).select(key, F.col("own").alias("duplicate_of"), F.lit(1.0).alias("similarity"))
-    shingle = same.select("own", F.size("g").alias("n"), F.explode("g").alias("s"))
-    rare = shingle.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
-    order = shingle.join(rare, "s").groupBy("own").agg(F.any_value("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "s"))).alias("met"))
-    # shingles of one text alone are the rarest and meet nothing
-    alone = F.col("n") - F.size("met")
-    prefix = F.transform(F.slice("met", F.lit(1), F.greatest(F.lit(0), (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1 - alone).cast("int"))), lambda x: x["s"])
-    front = order.select("own", "n", prefix.alias("p")).filter(F.size("p") > 0)
-    entry = front.select("own", "n", "p", F.explode("p").alias("s"))
-    a, b = (entry.select(*[F.col(c).alias(f"{c}_{side}") for c in ("own", "n", "p")], "s") for side in "ab")
-    near = (F.col("own_a") < F.col("own_b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)
-    pairs = a.join(b, "s").filter(near & (F.array_min(F.array_intersect("p_a", "p_b")) == F.col("s"))).select("own_a", "own_b")
-    g = same.select("own", "g")
-    pairs = pairs.join(g.withColumnsRenamed({"own": "own_a", "g": "g_a"}), "own_a").join(g.withColumnsRenamed({"own": "own_b", "g": "g_b"}), "own_b")
-    shared = F.size(F.array_intersect("g_a", "g_b"))
-    pairs = pairs.select(F.col("own_b").alias(key), F.col("own_a").alias("duplicate_of"), (shared / (F.size("g_a") + F.size("g_b") - shared)).alias("similarity"))
-    return copies.unionByName(pairs.filter(F.col("similarity") >= threshold - 1e-12))
+    sets = shingle_sets(df, key, text, width).withColumns({"h": F.xxhash64("g"), "h2": F.hash("g")})
+    sets = stored(sets.select(F.col(key).alias("id"), F.size("g").alias("k"), "h", "h2", "g"), "sets")
+    own = sets.groupBy("h", "h2", "k").agg(F.min("id").alias("node"), F.count("*").alias("n"))
+    nodes = own.select("node", "k", "n")
+    of = sets.select("id", "g").join(nodes.withColumnRenamed("node", "id"), "id", "left_semi").select(F.col("id").alias("node"), "g")
+    shingle = of.select("node", F.explode("g").alias("s"))
+    known = shingle.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
+    met = shingle.join(known, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("met")).join(nodes, "node")
+    # shingles of one node alone are the first ones, and meet nothing
+    alone = F.col("k") - F.size("met")
+    room = F.greatest(F.lit(0), (F.col("k") - F.ceil(F.col("k") * F.lit(threshold) - 1e-9) + 1 - alone).cast("int"))
+    entry = met.select("node", "k", "n", alone.alias("alone"), F.posexplode(F.slice("met", F.lit(1), room)).alias("at", "x"))
+    entry = stored(entry.select("node", "k", "n", F.col("x.s").alias("s"), (F.col("k") - F.col("alone") - F.col("at")).alias("left")), "entries")
+
+    def verified(pairs: DataFrame, distance: float) -> DataFrame:
+        """Pairs (a, b) of at most that distance."""
+        both = pairs.join(of.withColumnsRenamed({"node": "a", "g": "g_a"}), "a").join(of.withColumnsRenamed({"node": "b", "g": "g_b"}), "b")
+        shared = F.size(F.array_intersect("g_a", "g_b"))
+        return both.filter(shared >= (1 - distance) * (F.size("g_a") + F.size("g_b") - shared) - 1e-9).select("a", "b")
+
+    crowds = entry.groupBy("s").agg(F.min("node").alias("a"), F.count("*").alias("m")).filter(F.col("m") > crowd).select("s", "a")
+    meant = entry.join(crowds, "s").groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a"))
+    home = stored(verified(meant, (1 - threshold) / 2).select(F.col("b").alias("node"), F.col("a").alias("home")), "homes")
+    entry = entry.join(home, "node", "left").withColumn("home", F.coalesce("home", "node"))
+    main = entry.join(crowds.select("s"), "s", "left_semi").groupBy("s", "home").agg(F.count("*").alias("m")).groupBy("s").agg(F.max(F.struct("m", "home"))["home"].alias("main"))
+    entry = entry.join(main, "s", "left").withColumn("main", F.coalesce(F.col("home") == F.col("main"), F.lit(False)))
+    a, b = (entry.select("s", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "k", "left", "home", "main")]) for side in "ab")
+    enough = F.least("left_a", "left_b") >= F.lit(threshold / (1 + threshold)) * (F.col("k_a") + F.col("k_b")) - 1e-9
+    meet = (F.col("main_b") | (F.col("node_a") < F.col("node_b"))) & (F.col("home_a") != F.col("home_b")) & (F.least("k_a", "k_b") >= threshold * F.greatest("k_a", "k_b") - 1e-9) & enough
+    pairs = a.filter("not main_a").join(b, "s").filter(meet).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    pairs = stored(verified(pairs, 1 - threshold), "pairs")
+    weight = nodes.select("node", "n")
+    sides = [pairs.select(F.col(x).alias("to"), F.col(y).alias("node")).join(weight, "node").groupBy(F.col("to").alias("node")).agg(F.sum("n").alias("links")) for x, y in ("ab", "ba")]
+    homes = home.join(weight, "node")
+    inside = homes.join(homes.groupBy("home").agg(F.sum("n").alias("all")), "home").select("node", (F.col("all") - F.col("n")).alias("links"))
+    links = sides[0].unionByName(sides[1]).unionByName(inside).groupBy("node").agg(F.sum("links").alias("links"))
+    label = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(home.select(F.col("node").alias("u"), F.col("home").alias("v"))))
+    found = own.join(links, "node", "left").join(label, "node", "left").select("h", "h2", "k", F.coalesce("label", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    return sets.select(F.col("id").alias(key), "h", "h2", "k").join(found, ["h", "h2", "k"]).select(key, "class_id", "n_links")
 
 
 def canonical(df: DataFrame, base: str, *order: Column) -> DataFrame:

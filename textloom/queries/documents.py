@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from textloom.functions import measures as M
 from textloom.functions import text as X
 from textloom.operators import dedupe, lines, segment
+from textloom.queries import chunk_sql
 from textloom.sources import pages as P
 from textloom.sources import sinks
 
@@ -222,15 +223,15 @@ SELECT doc_id, CASE WHEN doc_id > first THEN first ELSE -1 END AS duplicate_of,
 
 
 def doc_near_dupes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON-10 over all documents: shingles of five words, similarity 0.8."""
-    return dedupe.near_pairs(docs(spark, sf_dir)).withColumn("similarity", r6(F.col("similarity")))
+    """JON-10 over all documents: shingles of five words, similarity 0.8; texts with links to others."""
+    return dedupe.near_classes(docs(spark, sf_dir)).filter("n_links > 0")
 
 
-DOC_NEAR_DUPES = f"""WITH {DOCS}, w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM d),
+DOC_NEAR_DUPES = f"""WITH RECURSIVE {DOCS}, w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM d),
 g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) <= 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4]) END)) AS g FROM w WHERE len(w) > 0),
-c AS (SELECT doc_id, g, min(doc_id) OVER (PARTITION BY g) AS own FROM g), s AS (SELECT doc_id, len(g) AS n, unnest(g) AS s FROM c WHERE doc_id = own),
-p AS (SELECT b.doc_id, a.doc_id AS duplicate_of, count(*) AS k, any_value(a.n) AS x, any_value(b.n) AS y FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT doc_id, own AS duplicate_of, 1.0::DOUBLE AS similarity FROM c WHERE doc_id > own UNION ALL SELECT doc_id, duplicate_of, round(k / (x + y - k), 6) FROM p WHERE k / (x + y - k) >= 0.8"""
+s AS (SELECT doc_id, len(g) AS n, unnest(g) AS s FROM g), p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k, any_value(a.n) AS x, any_value(b.n) AS y FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT u, v FROM p WHERE k / (x + y - k) >= 0.8), r AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON l.u = r.v)
+SELECT u AS doc_id, min(v) AS class_id, (SELECT count(*) FROM l WHERE l.u = r.u) AS n_links FROM r GROUP BY u"""
 
 
 def chunk_word_window(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,6 +275,10 @@ def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.semantic_chunks(docs(spark, sf_dir).select("doc_id", "text"), separator="\n")
 
 
+CHUNK_SEMANTIC = f"""WITH RECURSIVE {DOCS}, {chunk_sql.semantic('d', 'doc_id', chr(92) + 'n')}
+SELECT k AS doc_id, chunk_index::INTEGER AS chunk_index, chunk, first_paragraph, last_paragraph, tokens, continuity, redundancy FROM chunks"""
+
+
 def chunk_token_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = segment.token_chunks(docs(spark, sf_dir).select("doc_id", "text"), separator="\n")
     return dedupe.previous_duplicates(c.withColumn("seq", F.col("doc_id") * 100_000 + F.col("chunk_index")), F.sha1(X.hash_key(F.col("chunk"))), "seq", 1000 * 100_000).select("doc_id", "chunk_index", "parts", "n_same", F.coalesce("duplicate_of", F.lit(-1)).alias("duplicate_of"), F.sha1("chunk").alias("sha1"))
@@ -352,6 +357,6 @@ QUERIES = {
     "doc_normalize": (doc_normalize, DOC_NORMALIZE), "doc_repair": (doc_repair, DOC_REPAIR), "doc_line_clean": (doc_line_clean, DOC_LINE_CLEAN), "doc_repeated_lines": (doc_repeated_lines, DOC_REPEATED_LINES),
     "doc_token_estimates": (doc_token_estimates, DOC_TOKEN_ESTIMATES), "doc_script_language": (doc_script_language, DOC_SCRIPT_LANGUAGE), "doc_quality": (doc_quality, DOC_QUALITY), "doc_category": (doc_category, DOC_CATEGORY),
     "block_classify": (block_classify, BLOCK_CLASSIFY), "doc_exact_dupes": (doc_exact_dupes, DOC_EXACT_DUPES), "doc_near_dupes": (doc_near_dupes, DOC_NEAR_DUPES), "chunk_word_window": (chunk_word_window, CHUNK_WORD_WINDOW),
-    "chunk_diagnostics": (chunk_diagnostics, CHUNK_DIAGNOSTICS), "corpus_manifest": (corpus_manifest, CORPUS_MANIFEST), "chunk_semantic": (chunk_semantic, None), "chunk_token_packed": (chunk_token_packed, CHUNK_TOKEN_PACKED),
+    "chunk_diagnostics": (chunk_diagnostics, CHUNK_DIAGNOSTICS), "corpus_manifest": (corpus_manifest, CORPUS_MANIFEST), "chunk_semantic": (chunk_semantic, CHUNK_SEMANTIC), "chunk_token_packed": (chunk_token_packed, CHUNK_TOKEN_PACKED),
     "chunk_paragraph_words": (chunk_paragraph_words, CHUNK_PARAGRAPH_WORDS), "publish_plan": (publish_plan, PUBLISH_PLAN), "dense_ids": (dense_ids, DENSE_IDS), "page_extract": (page_extract, PAGE_EXTRACT), "page_links": (page_links, PAGE_LINKS), "quality_summary": (flagship, QUALITY_SUMMARY),
 }
