@@ -88,5 +88,5 @@ h AS (SELECT k, nd, arg_max(p, g) AS p, arg_max(lead, g) AS lead FROM f WHERE nd
 chunks AS MATERIALIZED (SELECT k, CASE WHEN tk > {HARD} AND len(p) > 1 THEN -1 ELSE nd - 1 END AS chunk_index, array_to_string(own, chr(10) || chr(10)) AS chunk, ids[1] AS first_paragraph, ids[len(ids)] AS last_paragraph, tk AS tokens,
   round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.82::DOUBLE + 0.08::DOUBLE * (ls[1] = 'heading' AND len(ls) > 1)::INT - 0.08::DOUBLE * (len(list_distinct(ls)) > 3)::INT - 0.1::DOUBLE * (len(ls) >= 4 AND len(list_filter(ls, lambda x: x = 'narrative')) >= 4 AND tk > {WANTED})::INT
     - 0.12::DOUBLE * (tk < {LEAST})::INT - 0.18::DOUBLE * (tk > {MOST})::INT - 0.22::DOUBLE * (tk > {HARD})::INT)), 2) AS continuity,
-  round_even(coalesce(list_sum(list_transform(list_filter(p, lambda x: list_contains(lids, idx[x])), lambda x: n[x])), 0) / greatest(tk, 1), 3) AS redundancy
+  printf('%.3f', coalesce(list_sum(list_transform(list_filter(p, lambda x: list_contains(lids, idx[x])), lambda x: n[x])), 0) / greatest(tk, 1)::DOUBLE)::DOUBLE AS redundancy
   FROM (SELECT k, nd, p, idx, n, {joined_tokens('p')} AS tk, {of('p', 'lab')} AS ls, {of('p', 'idx')} AS ids, {of('p', 't')} AS own, {of('lead', 'idx')} AS lids FROM h JOIN ar USING (k)))"""
