@@ -75,16 +75,16 @@ g1 AS (
 ),
 g2 AS MATERIALIZED (SELECT k, g, p, lead, {joined_tokens('p')} AS tk, sh[p[1]] AS sh, {vocabulary('p')} AS ws, len(p) = 1 AND n[p[1]] < 280 AND br[p[1]] AND NOT regexp_matches(t[p[1]], '[.!?:»"]$') AS stub
   FROM (SELECT k, row_number() OVER (PARTITION BY k ORDER BY o, a) AS g, range(a, b + 1) AS p, CASE WHEN l AND a = start THEN [a] ELSE [] END AS lead FROM g1 WHERE cut IS NULL) JOIN ar USING (k)),
-f AS (
+fold AS (
   SELECT DISTINCT k, 0::BIGINT AS g, 0::BIGINT AS nd, []::BIGINT[] AS p, []::BIGINT[] AS lead, []::BIGINT[] AS wp, []::BIGINT[] AS wl FROM g2
   UNION ALL SELECT k, g + 1, nd + CASE WHEN act IN ('join', 'wait') THEN 0 ELSE 1 END, CASE act WHEN 'take' THEN list_concat(wp, xp) WHEN 'push' THEN xp WHEN 'join' THEN list_concat(p, xp) ELSE p END,
     CASE act WHEN 'take' THEN list_concat(wl, xl) WHEN 'push' THEN xl WHEN 'join' THEN list_concat(lead, xl) ELSE lead END, CASE WHEN act = 'wait' THEN xp ELSE [] END, CASE WHEN act = 'wait' THEN xl ELSE [] END
   FROM (SELECT f.k, f.g, f.nd, f.p, f.lead, f.wp, f.wl, x.p AS xp, x.lead AS xl, CASE WHEN len(f.wp) > 0 THEN 'take' WHEN NOT (x.tk < {ORPHAN} OR x.stub) THEN 'push'
       WHEN f.nd > 0 AND {joined_tokens('f.p')} + x.tk <= {MOST} AND NOT x.sh AND (y.k IS NULL OR {share(f"list_distinct(flatten({of('f.p', 'vocabulary')}))", 'x.ws')} >= {share('x.ws', 'y.ws')}) THEN 'join'
       WHEN y.k IS NOT NULL AND x.tk + y.tk <= {MOST} AND NOT y.sh THEN 'wait' ELSE 'push' END AS act
-    FROM f JOIN g2 x ON x.k = f.k AND x.g = f.g + 1 LEFT JOIN g2 y ON y.k = x.k AND y.g = x.g + 1 JOIN (SELECT k, w, c, ws AS vocabulary FROM ar) ar ON ar.k = f.k)
+    FROM fold f JOIN g2 x ON x.k = f.k AND x.g = f.g + 1 LEFT JOIN g2 y ON y.k = x.k AND y.g = x.g + 1 JOIN (SELECT k, w, c, ws AS vocabulary FROM ar) ar ON ar.k = f.k)
 ),
-h AS (SELECT k, nd, arg_max(p, g) AS p, arg_max(lead, g) AS lead FROM f WHERE nd > 0 GROUP BY k, nd),
+h AS (SELECT k, nd, arg_max(p, g) AS p, arg_max(lead, g) AS lead FROM fold WHERE nd > 0 GROUP BY k, nd),
 chunks AS MATERIALIZED (SELECT k, CASE WHEN tk > {HARD} AND len(p) > 1 THEN -1 ELSE nd - 1 END AS chunk_index, array_to_string(own, chr(10) || chr(10)) AS chunk, ids[1] AS first_paragraph, ids[len(ids)] AS last_paragraph, tk AS tokens,
   round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.82::DOUBLE + 0.08::DOUBLE * (ls[1] = 'heading' AND len(ls) > 1)::INT - 0.08::DOUBLE * (len(list_distinct(ls)) > 3)::INT - 0.1::DOUBLE * (len(ls) >= 4 AND len(list_filter(ls, lambda x: x = 'narrative')) >= 4 AND tk > {WANTED})::INT
     - 0.12::DOUBLE * (tk < {LEAST})::INT - 0.18::DOUBLE * (tk > {MOST})::INT - 0.22::DOUBLE * (tk > {HARD})::INT)), 2) AS continuity,

@@ -11,6 +11,7 @@ from textloom.functions import text as X
 from textloom.operators import cleaning, dedupe, ingest, retrieve, segment, stabilize, triage, usage
 from textloom.queries import retrieval
 from textloom.queries.documents import BLOCK_CLASSIFY, CHUNKS, DOC_QUALITY, DOC_WORDS, DOCS, LEXICON, blocks, docs, n, r6, table
+from textloom.queries import jobs_sql
 from textloom.queries.usage import events
 from textloom.sources import pages, sinks
 
@@ -99,7 +100,7 @@ SELECT doc_id, CAST(removed AS BIGINT) AS removed, CASE WHEN removed > 0 THEN fi
 def doc_stabilize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PIP-02, SEG-07, WIN-05, JON-08."""
     d = stabilize.stabilized(named(spark, sf_dir).select("doc_id", "text", "filename"))
-    return d.withColumn("stabilized_text", F.md5("stabilized_text"))
+    return d.withColumns({"stabilized_text": F.md5("stabilized_text"), "form_reasons": F.array_join("form_reasons", ",")})
 
 
 def stabilize_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,7 +236,8 @@ def clean_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         return b.withColumn("__b", M.block_ladder({k: F.col(f"m_{k}") for k in m})).select("doc_id", "block_index", "heading", "text", "__b.*")
 
     reports, _ = cleaning.cleaned(docs(spark, sf_dir).select("doc_id", "text"), classify, preserve_paragraphs=True)
-    return cleaning.public(reports.withColumn("cleaned", F.md5("_cleaned_text")))
+    lists = {c: F.coalesce(F.array_join(c, ","), F.lit("")) for c in ("labels_kept", "labels_removed", "warnings")}
+    return cleaning.public(reports.withColumns({"cleaned": F.md5("_cleaned_text"), **lists}))
 
 
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -438,14 +440,17 @@ def chunk_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = d.filter(stabilize.exclusion(F.col("planned_output"), F.col("duplicate_status")) == "")
     meta = d.select(F.col("filename").alias("source_file"), F.col("duplicate_of").cast("string").alias("duplicate_of"), "logical_category", "duplicate_status", "tail_removed", "restore_splits", "readiness_before", "readiness_after", "similarity", F.col("stabilized_text").alias("text"))
     r = ingest.chunk_records(segment.semantic_chunks(meta), namespace="test", language="en")
-    return r.select("chunk_id", F.md5("text").alias("text"), F.to_json("metadata").alias("metadata"))
+    own = r.select("chunk_id", F.md5("text").alias("text"), "metadata.*")
+    own = own.withColumns({"first_paragraph": F.get("paragraph_range", F.lit(0)), "last_paragraph": F.get("paragraph_range", F.lit(1))})
+    names = {"chunking_readiness_before": "readiness_before", "chunking_readiness_after": "readiness_after", "paragraph_restore_applied": "restored", "tail_cleanup_applied": "tail_cut", "semantic_continuity_score": "continuity", "overlap_redundancy": "redundancy"}
+    return own.select("*", "stabilization.*", "quality.*").withColumnsRenamed(names).drop("paragraph_range", "stabilization", "quality", "duplicate_similarity")
 
 
 QUERIES = {
-    "doc_text_keys": (doc_text_keys, DOC_TEXT_KEYS), "page_urls": (page_urls, PAGE_URLS), "doc_structure": (doc_structure, DOC_STRUCTURE), "doc_tails": (doc_tails, DOC_TAILS), "doc_stabilize": (doc_stabilize, None), "stabilize_summary": (stabilize_summary, None),
+    "doc_text_keys": (doc_text_keys, DOC_TEXT_KEYS), "page_urls": (page_urls, PAGE_URLS), "doc_structure": (doc_structure, DOC_STRUCTURE), "doc_tails": (doc_tails, DOC_TAILS), "doc_stabilize": (doc_stabilize, jobs_sql.doc_stabilize(NAMED)), "stabilize_summary": (stabilize_summary, jobs_sql.stabilize_summary(NAMED)),
     "source_triage": (source_triage, f"WITH {TRIAGED} SELECT doc_id, category, confidence, action, target FROM z"), "source_categories": (source_categories, f"WITH {TRIAGED} SELECT category, target, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM z GROUP BY 1, 2"),
     "source_audit": (source_audit, SOURCE_AUDIT), "source_roll_ups": (source_roll_ups, SOURCE_ROLL_UPS), "ingest_plan": (ingest_plan, f"{PLAN} SELECT * FROM x"), "ingest_summary": (ingest_summary, INGEST_SUMMARY), "cleaning_summary": (cleaning_summary, CLEANING_SUMMARY),
-    "chunk_records": (chunk_records, CHUNK_RECORDS), "embedding_sizes": (embedding_sizes, EMBEDDING_SIZES), "clean_report": (clean_report, None), "intake_cleaning": (intake_cleaning, None), "chunk_job": (chunk_job, None), "prompt_rows": (prompt_rows, PROMPT_ROWS), "retrieval_report": (retrieval_report, RETRIEVAL_REPORT), "retrieval_quality": (retrieval_quality, RETRIEVAL_QUALITY),
+    "chunk_records": (chunk_records, CHUNK_RECORDS), "embedding_sizes": (embedding_sizes, EMBEDDING_SIZES), "clean_report": (clean_report, jobs_sql.CLEAN_REPORT), "intake_cleaning": (intake_cleaning, jobs_sql.INTAKE_CLEANING), "chunk_job": (chunk_job, jobs_sql.chunk_job(NAMED)), "prompt_rows": (prompt_rows, PROMPT_ROWS), "retrieval_report": (retrieval_report, RETRIEVAL_REPORT), "retrieval_quality": (retrieval_quality, RETRIEVAL_QUALITY),
     "vector_texts": (vector_texts, VECTOR_TEXTS), "index_manifest": (index_manifest, INDEX_MANIFEST), "usage_presets": (usage_presets, USAGE_PRESETS), "usage_latest_session": (usage_latest_session, USAGE_LATEST_SESSION), "user_search": (user_search, USER_SEARCH), "rollback_manifest": (rollback_manifest, ROLLBACK_MANIFEST),
     "block_histogram": (block_histogram, BLOCK_HISTOGRAM), "chunk_summary": (chunk_summary, CHUNK_SUMMARY), "doc_first_seen": (doc_first_seen, DOC_FIRST_SEEN), "doc_intake": (doc_intake, DOC_INTAKE), "intake_summary": (intake_summary, INTAKE_SUMMARY), "flagged_chunks": (flagged_chunks, FLAGGED_CHUNKS), "result_dedupe": (result_dedupe, RESULT_DEDUPE),
 }
