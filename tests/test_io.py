@@ -48,12 +48,6 @@ def test_streams(spark, sf, tmp_path):
     src = str(tmp_path / "src")
     spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id"), F.col("user_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type", "value").repartition(3).write.parquet(src)
     schema = spark.read.parquet(src).schema
-    for _ in range(2):
-        streams.append_once(spark.readStream.schema(schema).parquet(src), str(tmp_path / "out"), str(tmp_path / "ck"), "event_id").awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == spark.read.parquet(src).count()
     q = streams.counters(spark.readStream.schema(schema).parquet(src)).writeStream.outputMode("update").format("memory").queryName("counted").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select sum(n) from counted").first()[0] == spark.read.parquet(src).count()
-    q = streams.capped(spark.readStream.schema(schema).parquet(src), 5).writeStream.outputMode("update").format("memory").queryName("capped").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert spark.sql("select max(n) from capped").first()[0] == 5

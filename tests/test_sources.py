@@ -102,13 +102,7 @@ def test_roles_and_warnings(spark):
     assert usage.warn_once(first.drop("warn"), now).filter("warn").count() == 0
 
 
-def test_intake_and_digest_streams(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.json").write_text('{"session_id": "a", "v": 1}\n{"session_id": "b", "v": 2}\n')
-    closed = spark.createDataFrame([("b",)], "session_id string")
-    q = streams.intake(spark, f"file://{tmp_path}/in", "session_id string, v int", closed).writeStream.format("memory").queryName("taken").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert [r["session_id"] for r in spark.table("taken").collect()] == ["a"]
+def test_digest_stream(spark, tmp_path):
     events = spark.createDataFrame([(k, k % 3, datetime(2024, 1, 1 + k // 4, k % 4)) for k in range(12)], "event_id long, user_id long, ts timestamp")
     events.write.parquet(f"file://{tmp_path}/e")
     q = streams.digest(spark.readStream.schema(events.schema).parquet(f"file://{tmp_path}/e")).writeStream.outputMode("complete").format("memory").queryName("days").trigger(availableNow=True).start()
