@@ -55,7 +55,9 @@ def opening(text: Column, chars: int = 1200) -> Column:
 def shingle_sets(df: DataFrame, key: str, text: str, width: int = 5) -> DataFrame:
     """(key, g): the sorted distinct hashes of each text's runs of width lower-cased words; texts with fewer words have one run, blank ones none."""
     w = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
-    runs = F.when(F.size("__w") <= width, F.array(F.xxhash64(F.array_join("__w", " ")))).otherwise(F.transform(F.sequence(F.lit(1), F.size("__w") - width + 1), lambda i: F.xxhash64(F.array_join(F.slice("__w", i, F.lit(width)), " "))))
+    # a hash goes on from word to word, so that of an array is that of its words in turn
+    run = lambda i: F.xxhash64(*[F.get("__w", i + k) for k in range(width)])
+    runs = F.when(F.size("__w") < width, F.array(F.xxhash64("__w"))).otherwise(F.transform(F.sequence(F.lit(0), F.size("__w") - width), run))
     return df.select(key, w.alias("__w")).filter(F.size("__w") > 0).select(key, F.sort_array(F.array_distinct(runs)).alias("g"))
 
 

@@ -30,8 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over all cores, if its files have fewer splits than there are cores; larger tables stay where they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    return spread(table(spark, sf_dir, "documents"), "doc_id").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def r6(c: Column) -> Column:
