@@ -79,6 +79,9 @@ def test_small_functions(spark):
     html = '<h1>T</h1><div class="big content x"><p>one</p></div><p>no</p><article><b>two</b></article><div class="contents">no</div>'
     r = spark.createDataFrame([(html,)], "h string").select(pages.main_text(F.col("h")).alias("m"), pages.description(F.col("h")).alias("d")).first()
     assert r["m"] == "one two" and r["d"] == "one"
+    nested = '<div class="text">a<div>b<br/><div class=\'content\'>c</div>d</div>e<script>var t="</div>";</script><!-- </div> --></div>f<section class="other text"><p>g<p>h</section><article>i</p>j'
+    assert [" ".join(x.split()) for x in pages.container_texts(nested)] == ["a b c d e", "c", "g h", "i j"]
+    assert pages.container_texts("") == pages.container_texts("x < y <b>z") == [] and pages.container_texts('<article>1 < 2<img src="a>b">3') == ["1 < 2 3"]
     k = spark.createDataFrame([(1, "x" * 1200 + "a"), (2, "X" * 1200 + " b"), (3, "y")], "doc_id long, text string")
     assert {r["doc_id"]: r["duplicate_of"] for r in dedupe.exact_duplicates(k, dedupe.opening(F.col("text"))).collect()} == {1: None, 2: 1, 3: None}
     assert dedupe.only_new(k, k, "doc_id").count() == 0 and dedupe.only_new(k, k, "doc_id", force=True).count() == 3

@@ -303,6 +303,17 @@ PUBLISH_PLAN = """WITH a AS (SELECT doc_id, 'sorted/' || lang AS target, source,
 SELECT doc_id, target, source || CASE WHEN n = 1 THEN '' ELSE '__' || (n - 1) END || '.txt' AS target_name, CASE WHEN n = 1 THEN 'planned' ELSE 'renamed' END AS status FROM a"""
 
 
+def publish_plan_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-10, SNK-11 in the order of paths."""
+    path = F.concat_ws("/", F.lit("in"), F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string"))
+    d = docs(spark, sf_dir).select(path.alias("path"), F.lit("sorted").alias("target"), F.concat(F.coalesce("source", F.lit("-")), F.lit(".txt")).alias("filename"))
+    return sinks.copy_plan(d, "target", "filename", "path").select("path", "target_name", "status")
+
+
+PUBLISH_PLAN_BY_PATH = """WITH p AS (SELECT 'in/' || coalesce(lang, '-') || '/' || doc_id AS path, coalesce(source, '-') AS source FROM documents), a AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY path) AS n FROM p)
+SELECT path, source || CASE WHEN n = 1 THEN '' ELSE '__' || (n - 1) END || '.txt' AS target_name, CASE WHEN n = 1 THEN 'planned' ELSE 'renamed' END AS status FROM a"""
+
+
 def dense_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.dense_ids(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("doc_id", F.col("vector_id").cast("long").alias("vector_id"))
 
@@ -311,14 +322,26 @@ DENSE_IDS = "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS vector_id
 
 
 def page_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.articles(table(spark, sf_dir, "pages")).select("page_id", "title", F.md5("text").alias("text"), F.coalesce("error", F.lit("")).alias("error"))
+    return P.articles(spread(table(spark, sf_dir, "pages"), "page_id")).select("page_id", "title", F.md5("text").alias("text"), F.coalesce("error", F.lit("")).alias("error"))
 
 
 TAGS = "trim(regexp_replace(regexp_replace({}, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'), ' ')"
-PAGE_EXTRACT = f"""WITH a AS (SELECT page_id, {TAGS.format("regexp_extract(coalesce(html, ''), '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS title, {TAGS.format("array_to_string(regexp_extract_all(coalesce(html, ''), '" + P.CONTAINERS + "'), ' ')")} AS t FROM pages)
+# the given pages have no container within another, so a pattern finds each one's end
+CONTAINERS = r'(?is)<article\b[^>]*>(.*?)</article>|<(?:div|section|main)\b[^>]*class="(?:[^"]*\s)?(?:article_text|text|content)(?:\s[^"]*)?"[^>]*>(.*?)</(?:div|section|main)>'
+PAGE_EXTRACT = f"""WITH a AS (SELECT page_id, {TAGS.format("regexp_extract(coalesce(html, ''), '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS title, {TAGS.format("array_to_string(regexp_extract_all(coalesce(html, ''), '" + CONTAINERS + "'), ' ')")} AS t FROM pages)
 SELECT page_id, title, md5(t) AS text, CASE WHEN title = '' THEN 'no_title' WHEN t = '' THEN 'no_text' ELSE '' END AS error FROM a"""
 
 
+def page_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXT-02 for pages within a content container: the whole page's text, then that of its own containers."""
+    whole = F.concat(F.lit('<div class="content wide"><div>'), F.coalesce("html", F.lit("")), F.lit("</div></div>"))
+    return spread(table(spark, sf_dir, "pages"), "page_id").select("page_id", F.md5(P.main_text(whole)).alias("text"))
+
+
+PAGE_NESTED = f"""WITH a AS (SELECT page_id, coalesce(html, '') AS html, regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g') AS said FROM pages)
+SELECT page_id, md5(trim(regexp_replace({TAGS.format('said')} || ' ' || {TAGS.format("array_to_string(regexp_extract_all(html, '" + CONTAINERS + "'), ' ')")}, '\\s+', ' ', 'g'), ' ')) AS text FROM a"""
+
+
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.links(table(spark, sf_dir, "pages"))
 
@@ -364,5 +387,5 @@ QUERIES = {
     "doc_token_estimates": (doc_token_estimates, DOC_TOKEN_ESTIMATES), "doc_script_language": (doc_script_language, DOC_SCRIPT_LANGUAGE), "doc_quality": (doc_quality, DOC_QUALITY), "doc_category": (doc_category, DOC_CATEGORY),
     "block_classify": (block_classify, BLOCK_CLASSIFY), "doc_exact_dupes": (doc_exact_dupes, DOC_EXACT_DUPES), "doc_near_dupes": (doc_near_dupes, DOC_NEAR_DUPES), "chunk_word_window": (chunk_word_window, CHUNK_WORD_WINDOW),
     "chunk_diagnostics": (chunk_diagnostics, CHUNK_DIAGNOSTICS), "corpus_manifest": (corpus_manifest, CORPUS_MANIFEST), "chunk_semantic": (chunk_semantic, CHUNK_SEMANTIC), "chunk_token_packed": (chunk_token_packed, CHUNK_TOKEN_PACKED),
-    "chunk_paragraph_words": (chunk_paragraph_words, CHUNK_PARAGRAPH_WORDS), "publish_plan": (publish_plan, PUBLISH_PLAN), "dense_ids": (dense_ids, DENSE_IDS), "page_extract": (page_extract, PAGE_EXTRACT), "page_links": (page_links, PAGE_LINKS), "quality_summary": (flagship, QUALITY_SUMMARY),
+    "chunk_paragraph_words": (chunk_paragraph_words, CHUNK_PARAGRAPH_WORDS), "page_nested": (page_nested, PAGE_NESTED), "publish_plan_by_path": (publish_plan_by_path, PUBLISH_PLAN_BY_PATH), "publish_plan": (publish_plan, PUBLISH_PLAN), "dense_ids": (dense_ids, DENSE_IDS), "page_extract": (page_extract, PAGE_EXTRACT), "page_links": (page_links, PAGE_LINKS), "quality_summary": (flagship, QUALITY_SUMMARY),
 }

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.operators.validate import guarded
+from textloom.sources.scratch import stored
 
 
 def write_json_by(df: DataFrame, path: str, by: str) -> None:
@@ -50,22 +51,23 @@ def replace_partitions(df: DataFrame, path: str, *by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def numbered(df: DataFrame, by: list[str], order: str, name: str, buckets: int | None = None) -> DataFrame:
-    """df with name, 1, 2, 3 .. in order among the rows of equal ``by``, without one window over all rows of a key.
+def numbered(df: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
+    """df with name, 1, 2, 3 .. in order, of any type, among the rows of equal ``by``; nulls first, ties in any order.
 
-    Rows are numbered inside ranges of the order column; a range's offset is the count of the key's rows in the ranges before it.
+    Spark deals the rows out by ranges of (by, order), so a key that a third of all rows share has many ranges. A row's place in its range
+    and the counts of its key's rows in the ranges before give its number: a row for each key and range.
     """
-    buckets = buckets or min(4096, max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    cuts = sorted(set(df.agg(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], 100 * buckets)).first()[0] or []))
-    df = df.withColumn("__b", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))) if cuts else F.lit(0)).withColumn("__b", F.coalesce("__b", F.lit(-1)))
-    sizes = df.groupBy(*by, "__b").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(W.partitionBy(*by).orderBy("__b").rowsBetween(W.unboundedPreceding, -1))
-    offsets = sizes.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__b").alias("__c"), F.coalesce(before, F.lit(0)).alias("__o"))
-    same = F.col("__b") == F.col("__c")
+    keys = [*by, order]
+    dealt = df.withColumn("__tie", F.rand(7)).repartitionByRange(*keys, "__tie").sortWithinPartitions(*keys).drop("__tie")
+    dealt = stored(dealt.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}), "numbered")
+    sizes = dealt.groupBy(*by, "__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__part").alias("__range"), (before - F.col("__first") + 1).alias("__shift"))
+    same = F.col("__part") == F.col("__range")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    out = df.join(offsets, same).withColumn(name, F.row_number().over(W.partitionBy(*by, "__b").orderBy(order)) + F.col("__o"))
-    return out.drop("__b", "__c", "__o", *[f"__{c}" for c in by])
+    out = dealt.join(offsets, same).withColumn(name, F.col("__at") + F.col("__shift"))
+    return out.drop("__part", "__at", "__range", "__shift", *[f"__{c}" for c in by])
 
 
 def dense_ids(df: DataFrame, order: str, name: str = "vector_id") -> DataFrame:
