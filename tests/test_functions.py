@@ -152,3 +152,27 @@ def test_search_edges(spark):
     a = spark.createDataFrame([(1, "Abc abd"), (2, None), (3, "")], "article_id long, text string").fillna("")
     words = spark.createDataFrame([(7, "ab  bc ab"), (8, "zz")], "query_id long, query string")
     assert sorted(map(tuple, retrieve.lexical(words, a).select("query_id", "article_id", "hits").collect())) == [(7, 1, 4), (7, 2, 1), (7, 3, 1)]
+
+
+def test_indexed_search_is_a_full_search(spark):
+    import numpy as np
+
+    from textloom.operators import vector_index
+
+    rng = np.random.default_rng(5)
+    middle = rng.normal(size=(12, 8))
+    rows = [(k, (middle[k % 12] * 3 + rng.normal(size=8) * 0.2).tolist()) for k in range(600)]
+    rows += [(600 + k, rows[k][1]) for k in range(5)] + [(700, [0.0] * 8), (701, [float("nan")] * 8), (702, None)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found, pairs = vector_index.top_k_indexed(q, v, 4, centers=12)
+    whole = np.array([x for _, x in rows[:606]])
+    u = whole / np.maximum(np.linalg.norm(whole, axis=1, keepdims=True), 1e-300)
+    ids = np.array([k for k, _ in rows[:606]])
+    for query, x in [(k, x) for k, x in rows if k % 50 == 0]:
+        own = np.array(x)
+        score = np.round(u @ (own / max(np.linalg.norm(own), 1e-300)), 9)
+        want = [int(ids[i]) for i in np.lexsort((ids, -score))[:4]]
+        assert [r["vec_id"] for r in found.filter(F.col("query_id") == query).orderBy("rank").collect()] == want
+    assert pairs < 0.5 * q.count() * len(rows)
+    assert vector_index.top_k_indexed(q, v.limit(0), 4)[0].count() == vector_index.top_k_indexed(q.limit(0), v, 4)[0].count() == 0

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
-from textloom.operators import dedupe, retrieve, validate
+from textloom.operators import dedupe, retrieve, validate, vector_index
 from textloom.queries.documents import r6, table
 
 HITS_SQL = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id % 50 = 0),
@@ -24,6 +24,13 @@ def vec_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(spark, sf_dir).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", r6(F.col("score")).alias("score"))
 
 
+def vec_topk_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JON-09, SRT-01 through the index of clusters: the same rows as vec_topk."""
+    v = table(spark, sf_dir, "embeddings")
+    found, _ = vector_index.top_k_indexed(v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v, 5)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", r6(F.col("score")).alias("score"))
+
+
 def vec_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = retrieve.confidence(hits(spark, sf_dir))
     return c.select("query_id", "n", r6(F.col("best")).alias("best"), r6(F.col("top3")).alias("top3"), r6(F.col("confidence")).alias("confidence"), "label")
@@ -126,6 +133,7 @@ INTAKE = """WITH a AS (SELECT *, row_number() OVER (PARTITION BY conv_id, trim(l
 SELECT conv_id, count(*) AS items, count(*) FILTER (WHERE role = 'system') AS n_system, count(*) FILTER (WHERE role = 'user') AS n_user, count(*) FILTER (WHERE role = 'assistant') AS n_assistant, count(*) FILTER (WHERE r > 1) AS duplicates, CAST(sum(length(text)) AS BIGINT) AS chars FROM a GROUP BY conv_id"""
 
 QUERIES = {
+    "vec_topk_indexed": (vec_topk_indexed, f"WITH {HITS_SQL} SELECT query_id, rank, vec_id, round(score, 6) AS score FROM h"),
     "vec_topk": (vec_topk, f"WITH {HITS_SQL} SELECT query_id, rank, vec_id, round(score, 6) AS score FROM h"), "vec_confidence": (vec_confidence, VEC_CONFIDENCE), "vec_source_rollup": (vec_source_rollup, VEC_SOURCE_ROLLUP),
     "lexical_top3": (lexical_top3, f"WITH {FOUND_SQL} SELECT query_id, article_id, CAST(hits AS BIGINT) AS hits, rank FROM g"),
     "context_budget_a": (context_budget_a, _context_sql(18_000, "AND rank > 1", 0, "''")), "context_budget_b": (context_budget_b, _context_sql(40_000, "", 2, "chr(10) || chr(10)")),
