@@ -1,5 +1,6 @@
 """Sources, sinks, guards and streams on small files."""
 
+import hashlib
 from datetime import datetime
 
 import pytest
@@ -69,6 +70,15 @@ def test_guards(spark):
             validate.guarded(path, "/kb/current")
     a, b = spark.range(10).select(F.col("id").cast("string").alias("c")), spark.range(9, -1, -1).select(F.col("id").cast("string").alias("c"))
     assert validate.content_hash(a, "c").first() == validate.content_hash(b, "c").first() != validate.content_hash(a.limit(9), "c").first()
+    ids = [f"c{k}" for k in range(50)]
+    sha = lambda xs: hashlib.sha1("\n".join(xs).encode()).hexdigest()
+    level = sorted(ids)
+    while len(level) > 1:
+        level = [sha(level[k : k + 4]) for k in range(0, len(level), 4)]
+    d = spark.createDataFrame([(x,) for x in ids], "c string")
+    for parts in (1, 7):
+        assert tuple(validate.content_hash(d.repartition(parts), "c", 4).first()) == (level[0], 50)
+    assert tuple(validate.content_hash(d, "c").first()) == (sha(sorted(ids)), 50) and tuple(validate.content_hash(d.limit(0), "c").first()) == (sha([]), 0)
 
 
 def test_small_functions(spark):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators.numbering import numbered
+
 
 def record_warnings(df: DataFrame, required: list[str]) -> Column:
     """FLT-17: names of the required columns that a row lacks."""
@@ -22,9 +24,22 @@ def index_checks(df: DataFrame, *, vec_id: str, chunk_id: str, vector: str, dim:
     return one.withColumn("errors", F.array_join(F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in found])), ",")).withColumn("ok", F.col("errors") == "")
 
 
-def content_hash(df: DataFrame, chunk_id: str) -> DataFrame:
-    """MSR-27 at scale: a sum of hashes, which no order changes, and the count."""
-    return df.agg(F.sum(F.xxhash64(chunk_id).cast("decimal(38,0)")).alias("hash"), F.count("*").alias("rows"))
+def content_hash(df: DataFrame, chunk_id: str, leaf: int = 4096) -> DataFrame:
+    """MSR-27: one row of hash and rows: SHA-1 over the sorted distinct ids, one a line, as a tree; rows: how many they are.
+
+    Ids are numbered in order (null is an empty one); each run of ``leaf`` of them is hashed, runs of these hashes are hashed in turn, until one is
+    left. So the order counts and the partitioning doesn't, and a task holds one run. Up to ``leaf`` ids it is the plain hash of all.
+    """
+    rows = numbered(df.select(F.coalesce(F.col(chunk_id).cast("string"), F.lit("")).alias("h")).distinct(), [], "h", "n")
+    n = rows.count()
+    level, left = rows.select("h", (F.col("n") - 1).alias("at")), n
+    while True:
+        runs = level.groupBy(F.floor(F.col("at") / leaf).alias("at")).agg(F.sort_array(F.collect_list(F.struct("at", "h"))).alias("own"))
+        level = runs.select("at", F.sha1(F.array_join(F.col("own.h"), "\n")).alias("h"))
+        left = -(-left // leaf)
+        if left <= 1:
+            break
+    return level.agg(F.coalesce(F.max("h"), F.sha1(F.lit(""))).alias("hash")).withColumn("rows", F.lit(n).cast("long"))
 
 
 def checked_dimension(df: DataFrame, vector: str, dim: int, strict: bool = False) -> DataFrame:

@@ -31,6 +31,15 @@ def vec_topk_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", r6(F.col("score")).alias("score"))
 
 
+def index_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MSR-27 of the vectors as chunks, runs of 100 ids."""
+    return validate.content_hash(table(spark, sf_dir, "embeddings").select(F.concat(F.lit("chunk-"), F.col("vec_id").cast("string")).alias("chunk_id")), "chunk_id", 100)
+
+
+INDEX_CONTENT_HASH = """WITH i AS (SELECT DISTINCT 'chunk-' || vec_id AS h FROM embeddings), a AS (SELECT h, row_number() OVER (ORDER BY h) - 1 AS n FROM i), b AS (SELECT n // 100 AS run, sha1(string_agg(h, chr(10) ORDER BY n)) AS h FROM a GROUP BY run)
+SELECT CASE WHEN count(*) > 1 THEN sha1(string_agg(h, chr(10) ORDER BY run)) ELSE max(h) END AS hash, (SELECT count(*) FROM i) AS rows FROM b"""
+
+
 def vec_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = retrieve.confidence(hits(spark, sf_dir))
     return c.select("query_id", "n", r6(F.col("best")).alias("best"), r6(F.col("top3")).alias("top3"), r6(F.col("confidence")).alias("confidence"), "label")
@@ -133,6 +142,7 @@ INTAKE = """WITH a AS (SELECT *, row_number() OVER (PARTITION BY conv_id, trim(l
 SELECT conv_id, count(*) AS items, count(*) FILTER (WHERE role = 'system') AS n_system, count(*) FILTER (WHERE role = 'user') AS n_user, count(*) FILTER (WHERE role = 'assistant') AS n_assistant, count(*) FILTER (WHERE r > 1) AS duplicates, CAST(sum(length(text)) AS BIGINT) AS chars FROM a GROUP BY conv_id"""
 
 QUERIES = {
+    "index_content_hash": (index_content_hash, INDEX_CONTENT_HASH),
     "vec_topk_indexed": (vec_topk_indexed, f"WITH {HITS_SQL} SELECT query_id, rank, vec_id, round(score, 6) AS score FROM h"),
     "vec_topk": (vec_topk, f"WITH {HITS_SQL} SELECT query_id, rank, vec_id, round(score, 6) AS score FROM h"), "vec_confidence": (vec_confidence, VEC_CONFIDENCE), "vec_source_rollup": (vec_source_rollup, VEC_SOURCE_ROLLUP),
     "lexical_top3": (lexical_top3, f"WITH {FOUND_SQL} SELECT query_id, article_id, CAST(hits AS BIGINT) AS hits, rank FROM g"),

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textloom.operators.numbering import numbered
 from textloom.operators.validate import guarded
-from textloom.sources.scratch import stored
 
 
 def write_json_by(df: DataFrame, path: str, by: str) -> None:
@@ -51,25 +50,6 @@ def replace_partitions(df: DataFrame, path: str, *by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def numbered(df: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
-    """df with name, 1, 2, 3 .. in order, of any type, among the rows of equal ``by``; nulls first, ties in any order.
-
-    Spark deals the rows out by ranges of (by, order), so a key that a third of all rows share has many ranges. A row's place in its range
-    and the counts of its key's rows in the ranges before give its number: a row for each key and range.
-    """
-    keys = [*by, order]
-    dealt = df.withColumn("__tie", F.rand(7)).repartitionByRange(*keys, "__tie").sortWithinPartitions(*keys).drop("__tie")
-    dealt = stored(dealt.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}), "numbered")
-    sizes = dealt.groupBy(*by, "__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__part").alias("__range"), (before - F.col("__first") + 1).alias("__shift"))
-    same = F.col("__part") == F.col("__range")
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    out = dealt.join(offsets, same).withColumn(name, F.col("__at") + F.col("__shift"))
-    return out.drop("__part", "__at", "__range", "__shift", *[f"__{c}" for c in by])
-
-
 def dense_ids(df: DataFrame, order: str, name: str = "vector_id") -> DataFrame:
     """SNK-09, WIN-09: 0, 1, 2 .. in order."""
     return numbered(df, [], order, name).withColumn(name, F.col(name) - 1)
