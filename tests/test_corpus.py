@@ -186,3 +186,14 @@ def test_intake_cleaning(spark):
     assert (got[1]["score"], got[1]["label"], got[1]["action"]) == (100, "HIGH", "keep")
     assert (got[2]["score"], got[2]["label"], got[2]["action"]) == (0, "REJECT", "reject") and got[3]["score"] == 38 and got[3]["action"] == "manual_review"
     assert got[3]["tokens"] == 3
+
+
+def test_rules_come_from_a_table(spark):
+    d = spark.createDataFrame([(1, "Abc abd 12 x|y"), (2, None), (3, "")], "k long, text string").withColumn("one", F.lit("own"))
+    rules = spark.createDataFrame([("a", "ab[cd]", "ab"), ("a", "zz+", "zz"), ("b", "[0-9]{2}", ""), ("b", "[|]", None), ("b", "[|]", None)], "family string, pattern string, anchor string")
+    got = {r["k"]: (r["a"], r["b"], r["one"]) for r in triage.rule_counts(d, rules, F.col("text")).collect()}
+    assert got == {1: (2, 2, "own"), 2: (0, 0, "own"), 3: (0, 0, "own")}
+    assert triage.rule_counts(d, rules.limit(0), F.col("text")).columns == d.columns
+    with pytest.raises(ValueError, match="over 2 rules"):
+        triage.rule_counts(d, rules, F.col("text"), most=2)
+    assert [triage.anchor(p) for p in ("tion", "[0-9]{3}", " [|] ", "ab+c", "(?:x)", "The ", "a.bcd")] == ["tion", "", "", "ab", "", "the ", "bcd"]

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import ahocorasick
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.functions.measures import NUMBERED, document_noise
 
@@ -34,15 +40,68 @@ def source_kind(name: Column) -> Column:
     return F.when(extension(name) == "pdf", "pdf").when(extension(name) == "docx", "docx").otherwise("text")
 
 
-def measured(df: DataFrame, lexicon: dict[str, list[str]], text: str = "text", name: str = "filename") -> DataFrame:
-    """JON-11: df with the counts of each family of the rules table over lower-cased name and text, numbered items, noise, chars, ext.
+def anchor(pattern: str) -> str:
+    """The longest literal that every match of a simple pattern holds, lower-cased; empty where none is sure."""
+    if re.search(r"[|?*{\\]", pattern):
+        return ""
+    return max(re.split(r"\[[^\]]*\]|[.^$()+]", pattern.lower()), key=len)
 
-    The rules table is a bounded set of patterns, which becomes columns, so each text is read once.
+
+def rules_table(spark: SparkSession, lexicon: dict[str, list[str]]) -> DataFrame:
+    """(family, pattern, anchor) of a lexicon."""
+    return spark.createDataFrame([(k, p, anchor(p)) for k, patterns in lexicon.items() for p in patterns], "family string, pattern string, anchor string")
+
+
+def rule_counts(df: DataFrame, rules: DataFrame, text: Column, most: int = 20_000) -> DataFrame:
+    """JON-11: df with a column for each family of rules (family, pattern, anchor): the matches of its patterns in text, in any case.
+
+    The rules go to every task, so a table of over ``most`` rows is refused. One automaton finds the anchors in a text, and only patterns
+    whose anchor is there, or that have none, are tried.
+    """
+    rows = rules.select("family", "pattern", F.lower(F.coalesce("anchor", F.lit(""))).alias("anchor")).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} rules: they don't fit every task")
+    families = sorted({r["family"] for r in rows})
+    if not families:
+        return df
+
+    @F.pandas_udf(T.StructType([T.StructField(f, T.IntegerType()) for f in families]))
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        seek = ahocorasick.Automaton()
+        tests = [(families.index(r["family"]), re.compile(r["pattern"], re.I)) for r in rows]
+        by_anchor: dict[str, list[int]] = {}
+        for k, r in enumerate(rows):
+            by_anchor.setdefault(r["anchor"], []).append(k)
+        free = by_anchor.pop("", [])
+        for word, numbers in by_anchor.items():
+            seek.add_word(word, numbers)
+        seek.make_automaton()
+        for b in batches:
+            found = np.zeros((len(b), len(families)), np.int32)
+            for row, t in enumerate(b):
+                low = t.lower()
+                tried = {k for _, numbers in (seek.iter(low) if by_anchor else []) for k in numbers}
+                for k in [*free, *tried]:
+                    family, test = tests[k]
+                    found[row, family] += sum(1 for _ in test.finditer(low))
+            yield pd.DataFrame(found, columns=families)
+
+    out = df.withColumn("__rules", counted(F.coalesce(text, F.lit(""))))
+    return out.select(*df.columns, *[F.col(f"__rules.{f}").alias(f) for f in families])
+
+
+def measured(df: DataFrame, lexicon: dict[str, list[str]] | DataFrame, text: str = "text", name: str = "filename") -> DataFrame:
+    """JON-11: df with the counts of each family of the rules over lower-cased name and text, numbered items, noise, chars, ext.
+
+    A small lexicon becomes columns; a rules table goes through rule_counts(). Either way each text is read once.
     """
     full = F.concat(F.lower(name), F.lit("\n"), F.lower(text))
-    count = lambda patterns: reduce(lambda a, b: a + b, [F.regexp_count(full, F.lit(f"(?iu){p}")) for p in patterns])
-    own = {k: count(p) for k, p in lexicon.items()}
-    return df.withColumns(own | {"numbered": F.regexp_count(text, F.lit("(?m)" + NUMBERED)), "noise": document_noise(F.col(text)), "chars": F.length(text), "ext": extension(F.col(name)), "low": F.lower(name)})
+    if isinstance(lexicon, DataFrame):
+        df = rule_counts(df, lexicon, full)
+    else:
+        count = lambda patterns: reduce(lambda a, b: a + b, [F.regexp_count(full, F.lit(f"(?iu){p}")) for p in patterns])
+        df = df.withColumns({k: count(p) for k, p in lexicon.items()})
+    return df.withColumns({"numbered": F.regexp_count(text, F.lit("(?m)" + NUMBERED)), "noise": document_noise(F.col(text)), "chars": F.length(text), "ext": extension(F.col(name)), "low": F.lower(name)})
 
 
 def category() -> Column:
@@ -74,7 +133,7 @@ def _looked_up(key: Column, table: dict[str, str], other: str | None = None) ->
     return found if other is None else F.coalesce(found, F.lit(other))
 
 
-def triage(df: DataFrame, lexicon: dict[str, list[str]]) -> DataFrame:
+def triage(df: DataFrame, lexicon: dict[str, list[str]] | DataFrame) -> DataFrame:
     """PIP-05, FLT-09, JON-14: df (filename, text, size, duplicate, ...) with category, confidence, action and target."""
     d = measured(df, lexicon).withColumn("__c", category()).select(*df.columns, "__c.category", "__c.confidence")
     return d.withColumns({"action": _looked_up(F.col("category"), ACTIONS, SPECIAL), "target": F.concat(F.lit("sorted_sources/"), _looked_up(F.col("category"), TARGETS))})

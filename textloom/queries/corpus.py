@@ -116,6 +116,20 @@ def source_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triage.triage(files(spark, sf_dir), LEXICON).select("doc_id", "category", "confidence", "action", "target")
 
 
+def source_triage_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-07 with the rules as a table (JON-11): the rows of source_triage."""
+    return triage.triage(files(spark, sf_dir), triage.rules_table(spark, LEXICON)).select("doc_id", "category", "confidence", "action", "target")
+
+
+def chunk_record_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-17 where records lack something: by the length of its text a record loses the text, its id, its metadata or the name of its source."""
+    r = ingest.chunk_records(records(spark, sf_dir), namespace="test").withColumn("at", F.col("metadata.char_count") % 6)
+    lost = F.col("metadata").withField("source_file", F.lit(None).cast("string"))
+    none = F.lit(None).cast(r.schema["metadata"].dataType)
+    r = r.withColumns({"text": F.when(F.col("at") != 0, F.col("text")).otherwise(""), "chunk_id": F.when(F.col("at") != 1, F.col("chunk_id")), "metadata": F.when(F.col("at") == 2, none).when(F.col("at") == 3, lost).otherwise(F.col("metadata"))})
+    return ingest.record_warnings(r).groupBy("at", F.array_join("warnings", ",").alias("warnings")).agg(F.count("*").alias("n"))
+
+
 def source_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-12."""
     return triage.triage(files(spark, sf_dir), LEXICON).groupBy("category", "target").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
@@ -222,6 +236,8 @@ def embedding_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 RECORDS = f"""WITH {DOCS}, e AS (SELECT *, min(doc_id) OVER (PARTITION BY text) AS own FROM d), w AS (SELECT doc_id, own, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM e),
 c AS (SELECT doc_id, own, unnest(range(0, CAST(ceil(len(ws) / 450.0) AS BIGINT))) AS i, ws FROM w), k AS (SELECT doc_id, own, i, len(ws[i * 450 + 1 : i * 450 + 500]) AS m, array_to_string(ws[i * 450 + 1 : i * 450 + 500], ' ') AS t FROM c),
 r AS (SELECT sha1('doc/' || own || '[' || (i * 450) || ',' || (i * 450 + m - 1) || ']' || trim(lower(t), ' ')) AS chunk_id, 'doc/' || doc_id AS source_file, 'doc/' || own AS canonical_source, CASE WHEN own <> doc_id THEN 'duplicate_candidate' ELSE 'canonical_or_unique' END AS duplicate_status, CAST(greatest(m, round_even(greatest(length(t), 1) / 4.2::DOUBLE, 0)) AS BIGINT) AS tokens, length(t) AS chars, t FROM k)"""
+CHUNK_RECORD_WARNINGS = f"""{RECORDS} SELECT chars % 6 AS at, CASE chars % 6 WHEN 0 THEN 'missing_text' WHEN 1 THEN 'missing_chunk_id' WHEN 2 THEN 'missing_metadata,metadata_missing_source_file,metadata_missing_canonical_source,metadata_missing_paragraph_range,metadata_missing_chunk_index,metadata_missing_token_estimate'
+  WHEN 3 THEN 'metadata_missing_source_file' ELSE '' END AS warnings, count(*) AS n FROM r GROUP BY 1, 2"""
 CHUNK_RECORDS = f"{RECORDS} SELECT chunk_id, source_file, canonical_source, duplicate_status, tokens, chars, tokens > 1150 AS oversized, '' AS warnings FROM r"
 EMBEDDING_SIZES = f"{RECORDS} SELECT source_file AS file, count(*) AS records, CAST(sum(ceil(length(t) / 4.0::DOUBLE)) AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS invalid, round(round(sum(ceil(length(t) / 4.0::DOUBLE)) / 1e6::DOUBLE * 0.02::DOUBLE, 8), 6) AS cost FROM r GROUP BY source_file"
 
@@ -449,7 +465,7 @@ def chunk_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "doc_text_keys": (doc_text_keys, DOC_TEXT_KEYS), "page_urls": (page_urls, PAGE_URLS), "doc_structure": (doc_structure, DOC_STRUCTURE), "doc_tails": (doc_tails, DOC_TAILS), "doc_stabilize": (doc_stabilize, jobs_sql.doc_stabilize(NAMED)), "stabilize_summary": (stabilize_summary, jobs_sql.stabilize_summary(NAMED)),
     "source_triage": (source_triage, f"WITH {TRIAGED} SELECT doc_id, category, confidence, action, target FROM z"), "source_categories": (source_categories, f"WITH {TRIAGED} SELECT category, target, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM z GROUP BY 1, 2"),
-    "source_audit": (source_audit, SOURCE_AUDIT), "source_roll_ups": (source_roll_ups, SOURCE_ROLL_UPS), "ingest_plan": (ingest_plan, f"{PLAN} SELECT * FROM x"), "ingest_summary": (ingest_summary, INGEST_SUMMARY), "cleaning_summary": (cleaning_summary, CLEANING_SUMMARY),
+    "source_triage_rules": (source_triage_rules, f"WITH {TRIAGED} SELECT doc_id, category, confidence, action, target FROM z"), "chunk_record_warnings": (chunk_record_warnings, CHUNK_RECORD_WARNINGS), "source_audit": (source_audit, SOURCE_AUDIT), "source_roll_ups": (source_roll_ups, SOURCE_ROLL_UPS), "ingest_plan": (ingest_plan, f"{PLAN} SELECT * FROM x"), "ingest_summary": (ingest_summary, INGEST_SUMMARY), "cleaning_summary": (cleaning_summary, CLEANING_SUMMARY),
     "chunk_records": (chunk_records, CHUNK_RECORDS), "embedding_sizes": (embedding_sizes, EMBEDDING_SIZES), "clean_report": (clean_report, jobs_sql.CLEAN_REPORT), "intake_cleaning": (intake_cleaning, jobs_sql.INTAKE_CLEANING), "chunk_job": (chunk_job, jobs_sql.chunk_job(NAMED)), "prompt_rows": (prompt_rows, PROMPT_ROWS), "retrieval_report": (retrieval_report, RETRIEVAL_REPORT), "retrieval_quality": (retrieval_quality, RETRIEVAL_QUALITY),
     "vector_texts": (vector_texts, VECTOR_TEXTS), "index_manifest": (index_manifest, INDEX_MANIFEST), "usage_presets": (usage_presets, USAGE_PRESETS), "usage_latest_session": (usage_latest_session, USAGE_LATEST_SESSION), "user_search": (user_search, USER_SEARCH), "rollback_manifest": (rollback_manifest, ROLLBACK_MANIFEST),
     "block_histogram": (block_histogram, BLOCK_HISTOGRAM), "chunk_summary": (chunk_summary, CHUNK_SUMMARY), "doc_first_seen": (doc_first_seen, DOC_FIRST_SEEN), "doc_intake": (doc_intake, DOC_INTAKE), "intake_summary": (intake_summary, INTAKE_SUMMARY), "flagged_chunks": (flagged_chunks, FLAGGED_CHUNKS), "result_dedupe": (result_dedupe, RESULT_DEDUPE),
