@@ -215,3 +215,16 @@ def test_prefix_trie_of_ties_one_turn_and_none(spark):
     got = Counter(tuple(r) for r in prefix_trie.prefix_trie(spark.createDataFrame(rows, TALKS)).collect())
     assert got == trie_by_hand(rows)
     assert prefix_trie.prefix_trie(spark.createDataFrame([], TALKS)).count() == 0
+
+
+def test_more_slices_change_no_fingerprint(spark, tmp_path, monkeypatch):
+    from textloom.llm import imatch
+
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(rng.choice([0, 5, 60, 200])))) for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    few = sorted(map(tuple, imatch.op9_imatch(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(imatch, "SLICE_BYTES", 16)
+    assert imatch.slices_for(20_000) == 2048
+    assert sorted(map(tuple, imatch.op9_imatch(spark, str(tmp_path)).collect())) == few

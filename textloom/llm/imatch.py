@@ -36,8 +36,8 @@ from textloom.llm.common import table, text_or_empty
 #: Families of nested lexicon subsets, and how many levels of each a text uses.
 FAMILIES, LEVELS = 24, 3
 BAND = (0.2, 0.95)
-#: Ranges of hashes; the terms of one, with the counts of all documents, are held in memory at once.
-SLICES = 256
+#: Ranges of hashes at least, and bytes of text for each where there are more; the terms of a range, with the counts of all documents, are held in memory at once.
+SLICES, SLICE_BYTES = 256, 1 << 30
 #: Bytes of text in a range of keys, which is held in memory where it is compared.
 RANGE_BYTES = 16 << 20
 #: Hashes that a range of keys gathers before it counts them.
@@ -84,21 +84,26 @@ def from_planes(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
-def slices(hashes: np.ndarray) -> np.ndarray:
-    """Where each of the SLICES ranges begins among sorted hashes, and the end."""
-    return np.searchsorted(hashes >> np.uint64(32), np.arange(SLICES + 1, dtype=np.uint64) << np.uint64(32 - SLICES.bit_length() + 1))
+def slices_for(size: int) -> int:
+    """A power of two: how many ranges of hashes a corpus of that many bytes has."""
+    return max(SLICES, 1 << (-(-size // SLICE_BYTES) - 1).bit_length() if size > SLICE_BYTES else 1)
 
 
-def lexicon_of(own: list[np.ndarray], found: pd.DataFrame) -> np.ndarray:
+def slices(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Where each of the n ranges, a power of two, begins among sorted hashes, and the end."""
+    return np.searchsorted(hashes >> np.uint64(32), np.arange(n + 1, dtype=np.uint64) << np.uint64(32 - n.bit_length() + 1))
+
+
+def lexicon_of(own: list[np.ndarray], found: pd.DataFrame, n_slices: int) -> np.ndarray:
     """The terms of a part that are in the band. own: all terms that lexicons() finds in it; found: its rows of lexicons()."""
     hashes = np.unique(np.concatenate(own))
-    cuts, inside = slices(hashes), np.zeros(len(hashes), bool)
+    cuts, inside = slices(hashes, n_slices), np.zeros(len(hashes), bool)
     for k, bits in zip(found["slice"], found["bits"]):
         inside[cuts[k] : cuts[k + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=cuts[k + 1] - cuts[k])
     return hashes[inside]
 
 
-def lexicons(dealt: DataFrame, n: int, band: tuple[float, float] | None = None) -> DataFrame:
+def lexicons(dealt: DataFrame, n: int, n_slices: int = SLICES, band: tuple[float, float] | None = None) -> DataFrame:
     """Rows (part, slice, bits): for the sorted distinct terms of each part of with_next() in a slice, whether their frequency among all n documents is in the band.
 
     Terms of a halo row, and those that only edited texts have, are looked up and not counted.
@@ -110,7 +115,7 @@ def lexicons(dealt: DataFrame, n: int, band: tuple[float, float] | None = None)
 
         def sliced() -> pd.DataFrame:
             hashes, counts = counted(*own)
-            cuts = slices(hashes)
+            cuts = slices(hashes, n_slices)
             rows = [(k, part, planes(np.diff(hashes[i:j], prepend=np.uint64(0))), planes(counts[i:j].astype("<i4"))) for k, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
             return pd.DataFrame(rows, columns=["slice", "part", "hashes", "counts"]).astype({"slice": "int32", "part": "int32"})
 
@@ -200,7 +205,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((x == y)[met].mean()) if met.any() else float((a == b).all())
 
 
-def with_next(docs: DataFrame, *, key: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
+def with_next(docs: DataFrame, *, key: str = "doc_id", text: str = "text", ranges: int | None = None, size: int | None = None) -> DataFrame:
     """Rows (part, halo, sort key, key, text), dealt by part and sorted: each part holds a range of keys, and behind it, as a
     row with halo 1, the document that follows its last one; behind the last range that is the first document of all.
 
@@ -210,7 +215,7 @@ def with_next(docs: DataFrame, *, key: str = "doc_id", text: str = "text", range
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if ranges is None:
-        size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0  # one number
+        size = (docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) if size is None else size  # one number
         ranges = max(2 * tasks, -(-size // RANGE_BYTES))
     docs = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("__k"), F.col(key), text_or_empty(text).alias("__t")).withColumn("__h", F.xxhash64("__t"))
     cuts = docs.agg(F.percentile_approx("__k", [k / ranges for k in range(1, ranges)], 100 * ranges)).first()[0] if ranges > 1 else []
@@ -244,12 +249,13 @@ def with_next(docs: DataFrame, *, key: str = "doc_id", text: str = "text", range
 
 def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    dealt = with_next(docs)
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    dealt, n_slices = with_next(docs, size=size), slices_for(size)
 
     def compared(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         texts = texts.sort_values(["halo", "__k", "__h", "__t"])
         every = [terms(t) for t in texts["__t"]]
-        lexicon = lexicon_of([*every, *(borders(*edit(t, after)) for t, after in zip(texts["__t"], texts["__t"][1:]))], found)
+        lexicon = lexicon_of([*every, *(borders(*edit(t, after)) for t, after in zip(texts["__t"], texts["__t"][1:]))], found, n_slices)
         rows, last = [], None
         for halo, key, text, found_terms in zip(texts["halo"], texts["__k"].where(texts["__id"].notna(), None).astype("Int64"), texts["__t"], every):
             own = fingerprint(found_terms, lexicon)
@@ -261,4 +267,4 @@ def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.DataFrame(rows, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]).astype({"doc_id": "Int64"})
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.groupBy("part").cogroup(lexicons(dealt, docs.count()).groupBy("part")).applyInPandas(compared, schema)
+    return dealt.groupBy("part").cogroup(lexicons(dealt, n, n_slices).groupBy("part")).applyInPandas(compared, schema)
