@@ -121,3 +121,27 @@ def test_digest_stream(spark, tmp_path):
     q = streams.digest(spark.readStream.schema(events.schema).parquet(f"file://{tmp_path}/e")).writeStream.outputMode("complete").format("memory").queryName("days").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r["day"]["start"].day, r["n"], r["users"]) for r in spark.table("days").collect()) == [(1, 4, 3), (2, 4, 3), (3, 4, 3)]
+
+def test_beginnings_read_few_bytes_and_no_protected_folder(spark, tmp_path):
+    from textloom.sources import bounded
+
+    for k in range(6):
+        (tmp_path / f"in/{k}/deep").mkdir(parents=True)
+        (tmp_path / f"in/{k}/deep/a{k}.txt").write_text("é" * 5000)
+    for name in (".git", "0/node_modules/x", "3/deep/cleaned"):
+        (tmp_path / "in" / name).mkdir(parents=True)
+        (tmp_path / "in" / name / "hidden.txt").write_text("no")
+    (tmp_path / "in/top.MD").write_bytes(b"ok \xff")
+    (tmp_path / "in/none.exe").write_bytes(b"no")
+    (tmp_path / "in/empty.csv").write_bytes(b"")
+    root = f"file://{tmp_path}/in"
+    for folders in ("1", "1000"):
+        got = {r["title"]: r for r in bounded.beginnings(spark, root, 100, folders=folders).collect()}
+        assert set(got) == {"top", "empty", *(f"a{k}" for k in range(6))}
+        assert sum(len(r["content"]) for r in got.values()) == 6 * 100 + 4 and got["a1"]["length"] == 10_000
+    reader = bounded.BeginningsReader({"path": root, "folders": "1"})
+    assert len(reader.partitions()) == 7 and not any(".git" in (p.folder or "") for p in reader.partitions())
+    texts = {r["title"]: (r["text"], r["ext"]) for r in bounded.bounded_texts(spark, root, 10).collect()}
+    assert texts["a2"] == ("é" * 10, "txt") and texts["top"] == ("ok �", "md") and texts["empty"] == ("", "csv")
+    (tmp_path / "bare").mkdir()
+    assert bounded.beginnings(spark, f"file://{tmp_path}/bare").count() == 0
