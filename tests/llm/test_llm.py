@@ -241,6 +241,12 @@ def test_slots_hold_their_sequences(spark, tmp_path):
         assert {r["slot"]: r["shard"] for r in index.collect()} == {s: s // 4 for s in range(n)}
 
 
+def test_the_mark_of_a_space_decodes_to_a_space(spark):
+    docs = spark.createDataFrame([(1, "a\u2581b"), (2, "a b")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["ids_sha256"], r["round_trip"]) for r in sentence_pieces.encoded_digests(docs, MODEL).collect()}
+    assert got[1][0] == got[2][0] and (got[1][1], got[2][1]) == (False, True)
+
+
 def test_pieces_in_spark(spark, docs, rows, none, monkeypatch):
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     monkeypatch.setattr(sentence_pieces.scan, "__defaults__", (4,))

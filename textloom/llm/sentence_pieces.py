@@ -18,7 +18,8 @@ Documents of at most ``chunk`` characters are one chunk between two certain stat
 alone; words between single spaces recur and are kept. Decoding joins the bytes of the pieces.
 
 Defined cases: of unigram paths with equal scores any may be taken where a chunk is cut; a null or empty text has no ids, and no ids decode to an empty text; characters outside the
-vocabulary are bytes if the model has byte pieces, else the unknown piece; equal rows are encoded each; columns
+vocabulary are bytes if the model has byte pieces, else the unknown piece; U+2581, which pieces write for a space, is
+encoded as one and decodes to a space, so a text that holds it has no round trip; equal rows are encoded each; columns
 beyond the text are kept, ids is replaced if it is there; an empty table gives an empty result.
 """
 
