@@ -1,6 +1,7 @@
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from textloom.sources import files, sinks
@@ -35,6 +36,15 @@ def test_publish_and_roll_back(spark, tmp_path):
     assert sinks.current(spark, root).count() == 5
     sinks.point(spark, root, "v1")
     assert sinks.current(spark, root).count() == 3
+    assert sinks.roll_back(spark, root) == "v2" and sinks.current(spark, root).count() == 5
+    history = [(r["version"], r["backup"]) for r in sinks.pointers(spark, root).orderBy("at").collect()]
+    assert history == [("v1", None), ("v2", "v1"), ("v1", "v2"), ("v2", "v1")]
+    bad = spark.createDataFrame([(False, "empty_text")], "ok boolean, errors string")
+    with pytest.raises(ValueError, match="empty_text"):
+        sinks.publish(spark.range(1), root, "v3", checks=bad)
+    assert sinks.current(spark, root).count() == 5
+    with pytest.raises(ValueError, match="no version"):
+        sinks.roll_back(spark, f"{root}-none")
 
 
 def test_append_new_skips_known(spark, tmp_path):

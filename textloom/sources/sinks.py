@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators.numbering import numbered
@@ -82,17 +82,47 @@ def extend_expiry(users: DataFrame, updates: DataFrame, key: str, now, days: int
     return users.join(hit, key, "left").withColumn("expires_at", F.when(F.col("__u"), later).otherwise(F.col("expires_at"))).drop("__u")
 
 
-def publish(df: DataFrame, root: str, version: str, production: str | None = None) -> None:
-    """SNK-14, VAL-06: a version's folder first, then a pointer to it; a rollback appends a pointer to an older one."""
+def publish(df: DataFrame, root: str, version: str, production: str | None = None, checks: DataFrame | None = None) -> None:
+    """SNK-14, VAL-06: a version's folder first, then a pointer to it, with the version before as its backup.
+
+    checks: the one row of manifest_checks() (VAL-02); nothing is written unless it is ok.
+    """
+    if checks is not None and not (found := checks.first())["ok"]:
+        raise ValueError(f"version {version} fails its checks: {found['errors']}")
     df.write.parquet(guarded(f"{root}/version={version}", production or f"{root}/current"))
     point(df.sparkSession, root, version)
 
 
+def pointers(spark: SparkSession, root: str) -> DataFrame | None:
+    """(version, backup, at) of what was published and rolled back, if anything was."""
+    try:
+        return spark.read.schema("version string, backup string, at timestamp").parquet(f"{root}/pointers")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    return None
+
+
+def _last(found: DataFrame | None) -> Row | None:
+    return None if found is None else found.agg(F.max_by(F.struct("version", "backup"), "at").alias("x")).first()["x"]
+
+
 def point(spark: SparkSession, root: str, version: str) -> None:
-    spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{root}/pointers")
+    """A pointer to a version; its backup is the version that was current."""
+    before = _last(pointers(spark, root))
+    row = spark.range(1).select(F.lit(version).alias("version"), F.lit(before and before["version"]).cast("string").alias("backup"), F.current_timestamp().alias("at"))
+    row.write.mode("append").parquet(f"{root}/pointers")
+
+
+def roll_back(spark: SparkSession, root: str) -> str:
+    """VAL-06: points to the backup of the current version, and names it."""
+    last = _last(pointers(spark, root))
+    if last is None or last["backup"] is None:
+        raise ValueError(f"{root} has no version to roll back to")
+    point(spark, root, last["backup"])
+    return last["backup"]
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
     """WIN-17: the version that the last pointer names."""
-    version = spark.read.parquet(f"{root}/pointers").agg(F.max_by("version", "at")).first()[0]
-    return spark.read.parquet(f"{root}/version={version}")
+    return spark.read.parquet(f"{root}/version={_last(pointers(spark, root))['version']}")
