@@ -21,6 +21,8 @@ from textloom.functions.text import hash_key
 
 #: Queries of one block, and the characters or numbers of all its queries.
 QUERIES, BLOCK_SIZE = 4096, 4 << 20
+#: Scores, rows times queries, that a task works out at once.
+SCORES = 4 << 20
 
 
 def in_blocks(queries: DataFrame, size: Column, search: Callable[[pd.DataFrame], DataFrame]) -> DataFrame:
@@ -45,7 +47,8 @@ def _ranked(corpus: DataFrame, query_ids: np.ndarray, k: int, item: str, score:
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         top, who = np.full((0, len(query_ids)), -np.inf), np.zeros((0, len(query_ids)), np.int64)
-        for b in batches:
+        step = max(1, SCORES // max(1, len(query_ids)))
+        for b in (whole.iloc[i : i + step] for whole in batches for i in range(0, len(whole), step)):
             own, ids = best(scored(b), b.iloc[:, 0].to_numpy(np.int64), k)
             top, who = best(np.concatenate([top, own]), np.concatenate([who, ids]), k)
         row, column = np.nonzero(top > -np.inf)
@@ -125,12 +128,17 @@ def lexical(queries: DataFrame, articles: DataFrame, k: int = 3, *, query: str =
         for column, ws in enumerate(q["ws"]):
             np.add.at(times[:, column], [number[w] for w in ws], 1)
 
+        built: list = []  # the automaton, once for each task
+
         def scored(b: pd.DataFrame) -> np.ndarray:
-            seek = ahocorasick.Automaton()
-            for w in words:
-                if w:
-                    seek.add_word(w, number[w])
-            seek.make_automaton()
+            if not built:
+                seek = ahocorasick.Automaton()
+                for w in words:
+                    if w:
+                        seek.add_word(w, number[w])
+                seek.make_automaton()
+                built.append(seek)
+            seek = built[0]
             met = np.zeros((len(b), len(words)), bool)
             met[:, [number[w] for w in words if not w]] = True  # an empty word is in every text
             for row, t in enumerate(b["t"]):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.operators import dedupe, retrieve, validate, vector_index
-from textloom.queries.documents import r6, table
+from textloom.queries.documents import r6, spread, table
 
 HITS_SQL = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, vec_id, label, list_cosine_similarity(qe, e) AS score FROM q, v),
@@ -63,7 +63,7 @@ f AS (SELECT query_id, doc_id AS article_id, len(list_filter(ws, lambda w: conta
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), F.coalesce("text", F.lit("")).alias("text"))
+    d = spread(table(spark, sf_dir, "documents"), "doc_id").select(F.col("doc_id").alias("article_id"), F.coalesce("text", F.lit("")).alias("text"))
     return retrieve.lexical(q, d)
 
 
