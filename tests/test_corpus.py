@@ -157,6 +157,14 @@ def test_numbering_of_hot_keys(spark):
     assert all([n for _, n in sorted(v)] == list(range(1, len(v) + 1)) for v in got.values()) and set(got) == {"hot", "x", None} and sum(map(len, got.values())) == 1000
 
 
+def test_numbering_goes_by_columns_of_any_type(spark):
+    d = spark.createDataFrame([(f"in/{k % 90}/{k}", "t", None if k % 3 else "f") for k in range(300)], "path string, t string, f string").repartition(5)
+    got = {(r["f"], r["path"]): r["n"] for r in sinks.numbered(d, ["t", "f"], "path", "n").collect()}
+    for f in (None, "f"):
+        assert {p: n for (g, p), n in got.items() if g == f} == {p: k + 1 for k, p in enumerate(sorted(p for g, p in got if g == f))}
+    assert sinks.numbered(d.limit(0), [], "path", "n").count() == 0
+
+
 def test_users_and_reports(spark):
     s = spark.createDataFrame([(1, 10, "2024-01-01", "collecting"), (1, 11, "2024-01-02", "closed"), (1, 12, "2024-01-01", "awaiting_confirmation"), (2, 13, "2024-01-01", "closed")], "user_id long, session_id long, created_at string, status string")
     assert [(r["user_id"], r["session_id"]) for r in usage.latest_sessions(s).collect()] == [(1, 12)]
