@@ -3,11 +3,13 @@
 import hashlib
 from datetime import datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.operators import dedupe, retrieve, usage, validate
+from textloom.queries import retrieval
 from textloom.sources import files, pages, sinks
 from textloom.streaming import streams
 
@@ -145,3 +147,12 @@ def test_beginnings_read_few_bytes_and_no_protected_folder(spark, tmp_path):
     assert texts["a2"] == ("é" * 10, "txt") and texts["top"] == ("ok �", "md") and texts["empty"] == ("", "csv")
     (tmp_path / "bare").mkdir()
     assert bounded.beginnings(spark, f"file://{tmp_path}/bare").count() == 0
+
+
+def test_index_content_hash_of_many_runs(spark, tmp_path):
+    """Over leaf * leaf ids the hash is still that of the SQL, which knows two levels."""
+    spark.range(20_050).selectExpr("id AS vec_id").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    got = retrieval.index_content_hash(spark, f"file://{tmp_path}").first()
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert (got["hash"], got["rows"]) == duck.execute(retrieval.INDEX_CONTENT_HASH).fetchone()

@@ -32,8 +32,8 @@ def vec_topk_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MSR-27 of the vectors as chunks, runs of 100 ids."""
-    return validate.content_hash(table(spark, sf_dir, "embeddings").select(F.concat(F.lit("chunk-"), F.col("vec_id").cast("string")).alias("chunk_id")), "chunk_id", 100)
+    """MSR-27 of the vectors as chunks, runs of 100 ids and one of their hashes."""
+    return validate.content_hash(table(spark, sf_dir, "embeddings").select(F.concat(F.lit("chunk-"), F.col("vec_id").cast("string")).alias("chunk_id")), "chunk_id", 100, two_levels=True)
 
 
 INDEX_CONTENT_HASH = """WITH i AS (SELECT DISTINCT 'chunk-' || vec_id AS h FROM embeddings), a AS (SELECT h, row_number() OVER (ORDER BY h) - 1 AS n FROM i), b AS (SELECT n // 100 AS run, sha1(string_agg(h, chr(10) ORDER BY n)) AS h FROM a GROUP BY run)
