@@ -13,6 +13,7 @@ from textloom.functions.measures import embedding_cost, tokens_by_chars
 from textloom.functions.text import hash_key
 from textloom.operators.dedupe import known_before, previous_duplicates
 from textloom.operators.stabilize import retrieval_weight
+from textloom.sources.scratch import bounded_batches
 
 # Fixed values of the chunk record.
 CHUNK_VERSION, PIPELINE_VERSION, HARD, LEAST = 1, "chunker_v1", 1150, 350
@@ -114,7 +115,7 @@ def embedded(chunks: DataFrame, provider: Callable[[list[str]], np.ndarray], dim
                     raise ValueError(f"embeddings of shape {found.shape}, wanted {(len(part), dim)}")
                 yield part.assign(embedding=list(found))
 
-    return chunks.mapInPandas(run, f"{own}, embedding array<float>")
+    return bounded_batches(chunks).mapInPandas(run, f"{own}, embedding array<float>")
 
 
 def candidate_status(sessions: DataFrame, *reports: DataFrame) -> DataFrame:

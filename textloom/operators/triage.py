@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.functions.measures import NUMBERED, document_noise
+from textloom.sources.scratch import bounded_batches
 
 # What file names say, where a category goes, and what is to be done with it.
 BOOK_NAME = "книга|справочник|руководство|терапия|психотерапия|сексология|женщина|мужчина"
@@ -86,7 +87,7 @@ def rule_counts(df: DataFrame, rules: DataFrame, text: Column, most: int = 20_00
                     found[row, family] += sum(1 for _ in test.finditer(low))
             yield pd.DataFrame(found, columns=families)
 
-    out = df.withColumn("__rules", counted(F.coalesce(text, F.lit(""))))
+    out = bounded_batches(df).withColumn("__rules", counted(F.coalesce(text, F.lit(""))))
     return out.select(*df.columns, *[F.col(f"__rules.{f}").alias(f) for f in families])
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.sources.scratch import bounded_batches
+
 
 def without_tags(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(html, r"<[^>]*>", " "), r"\s+", " "))
@@ -87,5 +89,5 @@ def links(df: DataFrame, key: str = "page_id", html: str = "html", prefix: str =
 
 def articles(df: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """EXT-05: pages without a title or a text carry an error and stay."""
-    out = df.select(key, title(F.coalesce(html, F.lit(""))).alias("title"), main_text(F.coalesce(html, F.lit(""))).alias("text"))
+    out = bounded_batches(df).select(key, title(F.coalesce(html, F.lit(""))).alias("title"), main_text(F.coalesce(html, F.lit(""))).alias("text"))
     return out.withColumn("error", F.when(F.col("title") == "", "no_title").when(F.col("text") == "", "no_text"))
