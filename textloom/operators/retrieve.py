@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions.text import hash_key
+from textloom.sources.scratch import bounded_batches
 
 #: Queries of one block, and the characters or numbers of all its queries.
 QUERIES, BLOCK_SIZE = 4096, 4 << 20
@@ -147,7 +148,7 @@ def lexical(queries: DataFrame, articles: DataFrame, k: int = 3, *, query: str =
             hits = (met.astype(np.float32) @ times.astype(np.float32)).astype(float)
             return np.where(hits > 0, hits, -np.inf)
 
-        return _ranked(articles.select(F.col("article_id").cast("long"), F.lower(text).alias("t")), q["query_id"].to_numpy(np.int64), k, "article_id", "hits", scored, "i4")
+        return _ranked(bounded_batches(articles).select(F.col("article_id").cast("long"), F.lower(text).alias("t")), q["query_id"].to_numpy(np.int64), k, "article_id", "hits", scored, "i4")
 
     return in_blocks(queries.select(F.col("query_id").cast("long"), F.split(F.lower(query), " ").alias("ws")), F.length(F.array_join("ws", " ")), search)
 
