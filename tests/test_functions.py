@@ -199,3 +199,16 @@ def test_counted_characters(spark):
     d = spark.createDataFrame([(x,) for x in texts], "t string")
     for chars in (M.LETTERS, M.CYRILLIC, M.LATIN, r"\s", r"\d", r"\p{L}"):
         assert d.filter(~count_chars(F.col("t"), chars).eqNullSafe(F.regexp_count("t", F.lit(f"[{chars}]")))).count() == 0
+
+
+def test_lines_are_searched_before_they_are_matched(spark):
+    """The plain search in front of a pattern loses no line, and noise counts the runs that its pattern has."""
+    texts = ["Intro text ..... 12", "abc  .. 3", "a. . 4", "(1999) Some book, with a long title", "no year, but a long title here", "in 2004. And what follows is long", "x 1 9 99. and what follows"]
+    d = spark.createDataFrame([(x,) for x in texts], "t string")
+    for p in (M.NUMBERED, M.CONTENTS, M.REFERENCE):
+        assert d.filter((M.line_share(F.col("t"), p) > 0) != F.col("t").rlike(p)).count() == 0
+    assert "contains" in str(M.line_shares(F.col("t"), M.CONTENTS)).lower()
+    odd = "ab ==== c  @@ d **** \n@@@@@@ e=== [[[]]]"
+    got = one(spark, odd, M.block_noise(F.col("t")))
+    n, letters, runs = len(odd), sum(c.isalpha() for c in odd), 5
+    assert got == pytest.approx(min(1.0, (1 - letters / n) * 0.65 + runs * 0.03))
